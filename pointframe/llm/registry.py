@@ -1,8 +1,10 @@
 """The queries of the text operators."""
 
-from pointframe.llm import pieces
+from pointframe.llm import language, pieces, secrets
 
 QUERIES = {
+    "op2_secrets": secrets.op2_secrets,
     "op8_sentencepiece": pieces.op8_sentencepiece,
+    "op9_language_id": language.op9_language_id,
 }
 ORACLES: dict[str, str] = {}
