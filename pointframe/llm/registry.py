@@ -1,10 +1,12 @@
 """The queries of the text operators."""
 
-from pointframe.llm import language, pieces, secrets
+from pointframe.llm import language, pieces, quality, secrets, toxicity
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
+    "op4_quality": quality.op4_quality,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_language_id": language.op9_language_id,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
