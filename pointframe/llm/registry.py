@@ -1,12 +1,13 @@
 """The queries of the text operators."""
 
-from pointframe.llm import language, pieces, quality, secrets, toxicity
+from pointframe.llm import language, lines, pieces, quality, secrets, toxicity
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
     "op4_quality": quality.op4_quality,
+    "op6_line_dedup": lines.op6_line_dedup,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_language_id": language.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_line_dedup": lines.OP6_SQL}
