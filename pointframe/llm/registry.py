@@ -1,10 +1,11 @@
 """The queries of the text operators."""
 
-from pointframe.llm import language, lines, pieces, quality, secrets, toxicity
+from pointframe.llm import language, lines, pieces, quality, secrets, spots, toxicity
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
     "op4_quality": quality.op4_quality,
+    "op5_fingerprints": spots.op5_fingerprints,
     "op6_line_dedup": lines.op6_line_dedup,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_language_id": language.op9_language_id,
