@@ -1,8 +1,9 @@
 """The queries of the text operators."""
 
-from pointframe.llm import language, lines, pieces, quality, secrets, spots, toxicity
+from pointframe.llm import language, lines, pieces, quality, secrets, spots, tiling, toxicity
 
 QUERIES = {
+    "op1_decontamination": tiling.op1_decontamination,
     "op2_secrets": secrets.op2_secrets,
     "op4_quality": quality.op4_quality,
     "op5_fingerprints": spots.op5_fingerprints,
