@@ -1,6 +1,6 @@
 """The queries of the text operators."""
 
-from pointframe.llm import language, lines, pieces, quality, secrets, spots, tiling, toxicity
+from pointframe.llm import language, lines, neardup, pieces, quality, secrets, spots, tiling, toxicity
 
 QUERIES = {
     "op1_decontamination": tiling.op1_decontamination,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_fingerprints": spots.op5_fingerprints,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op7_near_dedup": neardup.op7_near_dedup,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_language_id": language.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
