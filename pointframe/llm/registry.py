@@ -1,10 +1,11 @@
 """The queries of the text operators."""
 
-from pointframe.llm import language, lines, neardup, pieces, quality, secrets, spots, tiling, toxicity
+from pointframe.llm import language, lines, neardup, pages, pieces, quality, secrets, spots, tiling, toxicity
 
 QUERIES = {
     "op1_decontamination": tiling.op1_decontamination,
     "op2_secrets": secrets.op2_secrets,
+    "op3_main_text": pages.op3_main_text,
     "op4_quality": quality.op4_quality,
     "op5_fingerprints": spots.op5_fingerprints,
     "op6_line_dedup": lines.op6_line_dedup,
