@@ -243,6 +243,13 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
+def default_model() -> str:
+    """The place of the public 32k model."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @functools.lru_cache(2)
 def loaded(blob: bytes) -> PieceModel:
     """A model and its caches, kept by each Python worker between tasks."""
@@ -279,11 +286,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", ids_
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     """n_tokens and digests of ids and decoded text for every document."""
-    if model_path is None:
-        import public_tokenizers
-
-        model_path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = encode_decode(read_documents(spark, sf_dir).select("doc_id", "text"), model_path)
+    coded = encode_decode(read_documents(spark, sf_dir).select("doc_id", "text"), model_path or default_model())
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
