@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pointframe.llm.common import append_columns, cut, read_documents
-from pointframe.llm.graph import components, lookup
+from pointframe.llm.graph import components, fair_share, lookup, sized_join
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -33,6 +33,7 @@ ROWS, BANDS = 4, 24  # a pair of similarity 0.8 shares no band once in 300,000 t
 COORDS = ROWS * BANDS
 PART = 256  # members of a leader that are compared in one task, about
 RESIDUAL = 4  # times the nodes: how many comparisons may be made one by one
+BROADCAST_IDS = 500_000  # ids up to which the wanted documents are found by a broadcast
 LEADS = 6  # further rounds of leaders at most, before what is left is compared one by one
 
 _WORD = re.compile(r"\w+")
@@ -150,27 +151,38 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def node_of(text: str) -> int:
+    """A 64-bit hash of a whole text."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def with_signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with node (a hash of the whole text), bands, size and occurrences; a null text counts as empty."""
+    """docs with node (a hash of the whole text), bands and size; a null text counts as empty, one without words has no bands."""
 
     def make():
         def fn(texts: list[str]) -> list[pa.Array]:
-            node, band, size, occ = [], [], [], []
+            band, size = [], []
             for t in texts:
-                node.append(int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
                 h, w = shingles(t)
-                o = occurrences(h, w)
                 band.append(bands(signature(h, w)) if len(h) else None)
-                size.append(len(o))
-                occ.append(o.tobytes())
-            return [pa.array(node, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(size, pa.int32()), pa.array(occ, pa.binary())]
+                size.append(int(w.sum()))
+            return [pa.array([node_of(t) for t in texts], pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(size, pa.int32())]
 
         return fn
 
-    fields = [T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("size", T.IntegerType()), T.StructField("occurrences", T.BinaryType())]
+    fields = [T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("size", T.IntegerType())]
     return append_columns(docs, text_col, fields, make)
 
 
+def with_occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with node and occurrences, the set that exact similarities are taken of."""
+
+    def make():
+        return lambda texts: [pa.array([node_of(t) for t in texts], pa.int64()), pa.array([occurrences(*shingles(t)).tobytes() for t in texts], pa.binary())]
+
+    return append_columns(docs, text_col, [T.StructField("node", T.LongType()), T.StructField("occurrences", T.BinaryType())], make)
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b, n) whose exact similarity is at least `least`; n bounds how many pairs share an a."""
     # A leader of many members goes to as many parts as its members fill.
@@ -189,40 +201,57 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _candidates(members: DataFrame, leaders: DataFrame, least: float) -> DataFrame:
+def _candidates(members: DataFrame, leaders: DataFrame, least: float, share: int) -> DataFrame:
     """Distinct (a, b, n) of bucket leaders and members whose sizes allow the similarity."""
     near = (F.least("size", "lead_size") >= F.lit(least) * F.greatest("size", "lead_size")) & (F.col("node") != F.col("lead"))
-    each = lookup(members, leaders, "bucket", "node", "inner").filter(near)
+    each = sized_join(members, leaders, "bucket", "node", share).filter(near)
     return each.groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n"))
 
 
-def near_links(nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b) links between nodes (node, bands, size, occurrences) that connect every near-duplicate class."""
-    sets = nodes.select("node", "occurrences")
+def _leaders(members: DataFrame) -> DataFrame:
+    """(bucket, lead, lead_size, n): the most central member of each bucket."""
+    best = members.groupBy("bucket").agg(F.max(F.struct("central", "node", "size")).alias("x"), F.max("n").alias("n"))
+    return best.select("bucket", F.col("x.node").alias("lead"), F.col("x.size").alias("lead_size"), "n")
+
+
+def _sets_of(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, occurrences) of the members, read from one document of each."""
+    wanted = cut(members.select("node").distinct().join(nodes.select("node", F.col("rep").alias("id")), "node").select("id").distinct())
+    hint = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = docs.join(hint, docs["id"].eqNullSafe(hint["id"]), "left_semi")
+    return cut(with_occurrences(texts).select("node", "occurrences").dropDuplicates(["node"]))
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b) links between nodes (node, rep, bands, size) that connect every near-duplicate class; docs are (id, text)."""
     total = nodes.count()
+    share = fair_share(nodes, total)
     spread = nodes.select("node", "size", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "node", "size")
-    sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = lookup(spread, sizes, "bucket", "node", "inner")
+    sizes = cut(spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    heavy = [(r["bucket"], -(-r["n"] // share)) for r in sizes.filter(F.col("n") > share).limit(BANDS * total // share + 1).collect()]  # no more than there are partitions, times BANDS
+    parts = F.broadcast(nodes.sparkSession.createDataFrame(heavy, "bucket long, _parts int"))
+    one = lambda df: df.join(parts, "bucket", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    dealt = one(spread).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")).drop("_parts")
+    many = one(sizes).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    members = cut(dealt.join(many, ["bucket", "_part"]).drop("_part"))
     central = members.groupBy("node").agg(F.sum("n").alias("central"))
     members = cut(members.join(central, "node"))
-    first = members.groupBy("bucket").agg(F.max(F.struct("central", "node", "size")).alias("x")).select("bucket", F.col("x.node").alias("lead"), F.col("x.size").alias("lead_size"))
-    links = cut(_alike(_candidates(members, first, least), sets, least))
+    sets = _sets_of(docs, members, nodes)
+    links = cut(_alike(_candidates(members, _leaders(members), least, share), sets, least))
     for _ in range(LEADS):
-        label = components(links)
-        placed = lookup(members, label, "node", "bucket", "left").withColumn("label", F.coalesce("label", "node"))
+        placed = members.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
         # Buckets in which more than one component is left, and in each the component of most members.
         inside = placed.groupBy("bucket", "label").agg(F.count("*").alias("m"))
-        open_ = inside.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("x"), F.count("*").alias("k"), F.sum("m").alias("all")).filter("k > 1")
-        open_ = open_.select("bucket", F.col("x.label").alias("main"), (F.col("all") - F.col("x.m")).alias("rest"), "all")
-        left = cut(lookup(placed, open_, "bucket", "node", "inner"))
-        work = left.groupBy("bucket").agg(F.max(F.col("rest") * F.col("all")).alias("w")).agg(F.sum("w")).first()[0] or 0
+        open_ = inside.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("x"), F.count("*").alias("k"), F.sum("m").alias("n")).filter("k > 1")
+        open_ = open_.select("bucket", F.col("x.label").alias("main"), (F.col("n") - F.col("x.m")).alias("rest"), "n")
+        left = cut(sized_join(placed, open_, "bucket", "node", share))
+        work = left.filter("label <> main").agg(F.sum("n")).first()[0] or 0  # comparisons, one by one
         if not work:
             return links
         rest = left.filter("label <> main")
         if work <= RESIDUAL * max(total, 1000):
             break
-        lead = rest.groupBy("bucket").agg(F.max(F.struct("central", "node", "size")).alias("x")).select("bucket", F.col("x.node").alias("lead"), F.col("x.size").alias("lead_size"))
-        more = cut(_alike(_candidates(left.select("bucket", "node", "size", "n"), lead, least), sets, least))
+        more = cut(_alike(_candidates(left.select("bucket", "node", "size", "n"), _leaders(rest), least, share), sets, least))
         links = cut(links.unionByName(more).distinct())
     # What is outside of a bucket's largest component, one by one against the rest of the bucket.
     other = left.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"))
@@ -238,14 +267,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     than WORDS words is one shingle. Repeated rows stay; a class whose ids are all null has a null class_id; an empty
     table gives an empty result.
     """
-    rows = cut(with_signatures(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).drop("text"))
-    nodes = rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("occurrences").alias("occurrences"))
-    nodes = cut(nodes)
-    label = cut(components(near_links(nodes.filter(F.col("bands").isNotNull()), least)))
-    reps = label.join(nodes.select("node", "rep"), "node")
-    named = lookup(reps, reps.groupBy("label").agg(F.min("rep").alias("class_id")), "label", "node", "inner").select("node", "class_id")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = cut(with_signatures(docs).drop("text"))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size")))
+    label = cut(components(near_links(docs, nodes.filter(F.col("bands").isNotNull()), least)))
+    reps = cut(label.join(nodes.select("node", "rep"), "node"))
+    named = lookup(reps, reps.groupBy("label").agg(F.min("rep").alias("class_id")), "label", "node").select("node", "class_id")
     classes = nodes.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"))
-    return lookup(rows.select("id", "node"), classes, "node", "id", "inner").select(F.col("id").alias(id_col), "class_id")
+    return lookup(rows.select("id", "node"), classes, "node", F.coalesce("id", F.lit(0))).select(F.col("id").alias(id_col), "class_id")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
