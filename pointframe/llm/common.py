@@ -11,7 +11,18 @@ from pyspark.sql import types as T
 
 from pointframe.session import cut, table
 
-__all__ = ["append_columns", "crc_fold", "cut", "map_arrow", "read_documents", "table", "texts_of", "free_name"]
+__all__ = ["append_columns", "claim", "crc_fold", "cut", "map_arrow", "read_documents", "table", "texts_of", "free_name"]
+
+
+#: What each operator keeps in a Python worker between tasks, as the function that drops it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, drop: Callable[[], None]) -> None:
+    """Called by an operator's task: what other operators have kept in this worker is dropped, so that memory holds the caches of one only."""
+    for other in [o for o in _kept if o != owner]:
+        _kept.pop(other)()
+    _kept[owner] = drop
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointframe.llm.common import append_columns, crc_fold, read_documents, texts_of
+from pointframe.llm.common import append_columns, claim, crc_fold, read_documents, texts_of
 
 BUCKETS = 1 << 15
 FIT_ROWS = 20_000  # labelled documents per language that training reads, about
@@ -197,6 +197,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     def make():
         m = shared.value
+        claim("language", lambda: None)
 
         def fn(texts: list[str]) -> list[pa.Array]:
             if not m.langs:

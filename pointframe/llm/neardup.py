@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointframe.llm.common import append_columns, cut, read_documents
+from pointframe.llm.common import append_columns, claim, cut, read_documents
 from pointframe.llm.graph import components, fair_share, lookup, sized_join
 
 WORDS = 5
@@ -54,7 +54,7 @@ class _Hashes(dict):
     """64-bit hashes of words, kept by each worker."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return h
@@ -160,6 +160,8 @@ def with_signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with node (a hash of the whole text), bands and size; a null text counts as empty, one without words has no bands."""
 
     def make():
+        claim("neardup", _hashes.clear)
+
         def fn(texts: list[str]) -> list[pa.Array]:
             band, size = [], []
             for t in texts:
@@ -178,6 +180,7 @@ def with_occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with node and occurrences, the set that exact similarities are taken of."""
 
     def make():
+        claim("neardup", _hashes.clear)
         return lambda texts: [pa.array([node_of(t) for t in texts], pa.int64()), pa.array([occurrences(*shingles(t)).tobytes() for t in texts], pa.binary())]
 
     return append_columns(docs, text_col, [T.StructField("node", T.LongType()), T.StructField("occurrences", T.BinaryType())], make)

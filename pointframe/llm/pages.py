@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointframe.llm.common import append_columns, table
+from pointframe.llm.common import append_columns, claim, table
 from pointframe.llm.page_samples import sample_pages
 
 TRAIN_PAGES = 500
@@ -58,7 +58,7 @@ NAME_GROUPS = {
 _GROUP = {w: g for g, ws in NAME_GROUPS.items() for w in ws.split()}
 
 
-@functools.lru_cache(50_000)
+@functools.lru_cache(20_000)
 def _name_features(value: str) -> tuple[str, ...]:
     out = set()
     for part in _PART.findall(_CAMEL.sub("-", value).lower()):
@@ -88,7 +88,7 @@ class _Frame:
     silent: bool = False
 
 
-@functools.lru_cache(100_000)
+@functools.lru_cache(20_000)
 def _frame_features(tag: str, attrs: str) -> tuple[frozenset[str], int | None]:
     out, label = {"t=" + tag} if tag in BLOCKS else set(), None
     for m in _ATTR.finditer(attrs):
@@ -318,6 +318,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", mo
 
     def make():
         m = shared.value
+        claim("pages", lambda: (_frame_features.cache_clear(), _name_features.cache_clear()))
         return lambda texts: [pa.array([main_text(t, m) for t in texts], pa.string())]
 
     return append_columns(pages, html_col, [T.StructField(text_col, T.StringType())], make)

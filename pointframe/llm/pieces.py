@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointframe.llm.common import append_columns, read_documents
+from pointframe.llm.common import append_columns, claim, read_documents
 
 MARK = "▁"
-CACHE = 700_000  # units kept per task; the cache is emptied when full, which changes speed only
+CACHE, PAIRS = 300_000, 200_000  # units and token pairs kept by a worker; a cache is emptied when full, which changes speed only
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -123,7 +123,7 @@ class PieceModel:
         """Whether the joined characters of a and b merge into a and b again, seen from the merges at the seam."""
         ok = self.fits.get((a, b))
         if ok is None:
-            if len(self.fits) > CACHE:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
             if self.ordered:
                 x = self.spines.get((a, 1)) or self.spines.setdefault((a, 1), self.spine(a, 1))
@@ -266,6 +266,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", ids_
     blob = model_bytes(model_path)
 
     def make():
+        claim("pieces", loaded.cache_clear)
         model = loaded(blob)
         tail = [model.eos] if end_id else []
 

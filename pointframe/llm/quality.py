@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointframe.llm.common import append_columns, cut, read_documents
+from pointframe.llm.common import append_columns, claim, cut, read_documents
 from pointframe.llm.labelled import held_out, label_sample
 
 FIT_ROWS = 50_000  # labelled documents that the fit reads, about
@@ -170,6 +170,8 @@ def with_statistics(docs: DataFrame, text_col: str = "text", stats_col: str = "s
     """docs with the array of statistics of each whole text; a null text counts as empty, repeated rows stay."""
 
     def make():
+        claim("quality", lambda: None)
+
         def fn(texts: list[str]) -> list[pa.Array]:
             flat = np.array([statistics(t) for t in texts], dtype=float).reshape(-1)
             return [pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, len(NAMES)), pa.int32()), pa.array(flat))]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointframe.llm.common import read_documents, table, texts_of
+from pointframe.llm.common import claim, read_documents, table, texts_of
 
 SEED = 5
 COVERAGE = 0.5
@@ -242,6 +242,7 @@ def _searched(docs: DataFrame, bench, key: str, text_col: str, hits_col: str, co
     names = docs.columns
 
     def run(batches):
+        claim("tiling", _built.clear)
         b = _built.get(key)
         if b is None:  # kept by each Python worker between tasks
             _built.clear()

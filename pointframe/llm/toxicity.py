@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointframe.llm.common import append_columns, cut, read_documents, texts_of
+from pointframe.llm.common import append_columns, claim, cut, read_documents, texts_of
 from pointframe.llm.labelled import FIT_ROWS, held_out, label_sample
 
 WORDS = 50_000  # words and stems that a model holds at most: those of the strongest evidence
@@ -70,7 +70,7 @@ class _Scores(dict):
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         get = self.model.scores.get
         s = get(word)
@@ -176,6 +176,7 @@ def find_passages(docs: DataFrame, model: ToxicModel, text_col: str = "text") ->
 
     def make():
         m = shared.value
+        claim("toxicity", m._cache.clear)
 
         def fn(texts: list[str]) -> list[pa.Array]:
             got = [m.passages(t) for t in texts]
