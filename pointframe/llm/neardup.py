@@ -6,10 +6,8 @@ and below a rank that gives about COORDS * (ln COORDS + 4) darts in all are kept
 coordinates, and a coordinate keeps its dart of least rank. Two sets agree in a coordinate with the probability of
 their weighted Jaccard similarity, at a cost that follows elements plus darts rather than elements times coordinates.
 
-Signatures are cut into bands of ROWS coordinates. Texts that share a band form a bucket; the bucket's most central
-member (whose bands are shared most) is its leader, and members are compared with leaders by their exact similarity. What
-is left in a bucket outside of its largest component is compared with the bucket again, by further leaders and at
-last one by one, so that no link within a bucket is lost. Exact copies are one node throughout.
+Signatures are cut into bands of ROWS coordinates. Texts that share a band form a bucket, inside of which links are found
+by exact similarities (see buckets). Exact copies are one node throughout.
 """
 
 from __future__ import annotations
@@ -24,17 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointframe.llm.buckets import link_buckets
 from pointframe.llm.common import append_columns, claim, cut, read_documents
-from pointframe.llm.graph import components, fair_share, lookup, sized_join
+from pointframe.llm.graph import lookup
 
 WORDS = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 4, 24  # a pair of similarity 0.8 shares no band once in 300,000 times
 COORDS = ROWS * BANDS
 PART = 256  # members of a leader that are compared in one task, about
-RESIDUAL = 4  # times the nodes: how many comparisons may be made one by one
 BROADCAST_IDS = 500_000  # ids up to which the wanted documents are found by a broadcast
-LEADS = 6  # further rounds of leaders at most, before what is left is compared one by one
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -204,19 +201,6 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _candidates(members: DataFrame, leaders: DataFrame, least: float, share: int) -> DataFrame:
-    """Distinct (a, b, n) of bucket leaders and members whose sizes allow the similarity."""
-    near = (F.least("size", "lead_size") >= F.lit(least) * F.greatest("size", "lead_size")) & (F.col("node") != F.col("lead"))
-    each = sized_join(members, leaders, "bucket", "node", share).filter(near)
-    return each.groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n"))
-
-
-def _leaders(members: DataFrame) -> DataFrame:
-    """(bucket, lead, lead_size, n): the most central member of each bucket."""
-    best = members.groupBy("bucket").agg(F.max(F.struct("central", "node", "size")).alias("x"), F.max("n").alias("n"))
-    return best.select("bucket", F.col("x.node").alias("lead"), F.col("x.size").alias("lead_size"), "n")
-
-
 def _sets_of(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, occurrences) of the members, read from one document of each."""
     wanted = cut(members.select("node").distinct().join(nodes.select("node", F.col("rep").alias("id")), "node").select("id").distinct())
@@ -225,42 +209,10 @@ def _sets_of(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame
     return cut(with_occurrences(texts).select("node", "occurrences").dropDuplicates(["node"]))
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b) links between nodes (node, rep, bands, size) that connect every near-duplicate class; docs are (id, text)."""
-    total = nodes.count()
-    share = fair_share(nodes, total)
+def near_labels(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(node, label) of the nodes (node, rep, bands, size) in classes of several; docs are (id, text)."""
     spread = nodes.select("node", "size", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "node", "size")
-    sizes = cut(spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    heavy = [(r["bucket"], -(-r["n"] // share)) for r in sizes.filter(F.col("n") > share).limit(BANDS * total // share + 1).collect()]  # no more than there are partitions, times BANDS
-    parts = F.broadcast(nodes.sparkSession.createDataFrame(heavy, "bucket long, _parts int"))
-    one = lambda df: df.join(parts, "bucket", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    dealt = one(spread).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")).drop("_parts")
-    many = one(sizes).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    members = cut(dealt.join(many, ["bucket", "_part"]).drop("_part"))
-    central = members.groupBy("node").agg(F.sum("n").alias("central"))
-    members = cut(members.join(central, "node"))
-    sets = _sets_of(docs, members, nodes)
-    links = cut(_alike(_candidates(members, _leaders(members), least, share), sets, least))
-    for _ in range(LEADS):
-        placed = members.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        # Buckets in which more than one component is left, and in each the component of most members.
-        inside = placed.groupBy("bucket", "label").agg(F.count("*").alias("m"))
-        open_ = inside.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("x"), F.count("*").alias("k"), F.sum("m").alias("n")).filter("k > 1")
-        open_ = open_.select("bucket", F.col("x.label").alias("main"), (F.col("n") - F.col("x.m")).alias("rest"), "n")
-        left = cut(sized_join(placed, open_, "bucket", "node", share))
-        work = left.filter("label <> main").agg(F.sum("n")).first()[0] or 0  # comparisons, one by one
-        if not work:
-            return links
-        rest = left.filter("label <> main")
-        if work <= RESIDUAL * max(total, 1000):
-            break
-        more = cut(_alike(_candidates(left.select("bucket", "node", "size", "n"), _leaders(rest), least, share), sets, least))
-        links = cut(links.unionByName(more).distinct())
-    # What is outside of a bucket's largest component, one by one against the rest of the bucket.
-    other = left.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"))
-    pairs = rest.join(other, "bucket").filter((F.col("label") != F.col("label_b")) & (F.least("size", "size_b") >= F.lit(least) * F.greatest("size", "size_b")))
-    pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), "n").groupBy("a", "b").agg(F.max("n").alias("n"))
-    return links.unionByName(cut(_alike(pairs, sets, least)))
+    return link_buckets(spread, nodes.count(), lambda members: _sets_of(docs, members, nodes), _alike, least)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -273,7 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = cut(with_signatures(docs).drop("text"))
     nodes = cut(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size")))
-    label = cut(components(near_links(docs, nodes.filter(F.col("bands").isNotNull()), least)))
+    label = cut(near_labels(docs, nodes.filter(F.col("bands").isNotNull()), least))
     reps = cut(label.join(nodes.select("node", "rep"), "node"))
     named = lookup(reps, reps.groupBy("label").agg(F.min("rep").alias("class_id")), "label", "node").select("node", "class_id")
     classes = nodes.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"))

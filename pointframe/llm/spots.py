@@ -13,10 +13,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pointframe.llm.buckets import link_buckets
 from pointframe.llm.common import cut, read_documents
+from pointframe.llm.graph import fair_share, lookup
 
 CHAIN = 2
 THRESHOLD = 0.8
@@ -103,6 +104,38 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", deriv
     return out.filter(~F.col("_ghost")).drop("_ghost")
 
 
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b, n) of at least that likeness."""
+    share = fair_share(sets, sets.count())
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("sigs").alias(f"s{k}"))
+    parts = lambda: F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(share))).cast("int")
+    dealt = pairs.withColumn("_parts", parts()).withColumn("_part", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int")).join(side("b"), "b")
+    lead = dealt.select("a", "_parts").distinct().join(side("a"), "a").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return dealt.join(lead, ["a", "_parts", "_part"]).filter(likeness(F.col("sa"), F.col("sb")) >= least).select("a", "b")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = THRESHOLD) -> DataFrame:
+    """(id, class_id): rows of equal or chained near-equal fingerprints share a class, named by its least id.
+
+    Sets are partitioned by size so that a set of likeness `least` is in the same partition or the next. The comparison is
+    pruned by prefixes: in a common order of signatures, two such sets share one of their first n - ceil(least n) + 1, which
+    with the partition makes the bucket they meet in. Equal sets are one node; a text without signatures (null, empty or
+    without words) is alike to its kind only.
+    """
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.array_sort(signatures(F.col(text_col))).alias("sigs")).withColumn("node", F.xxhash64("sigs")))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("sigs").alias("sigs")).withColumn("size", F.size("sigs")))
+    some = nodes.filter("size > 0")
+    part = F.floor(F.log(F.col("size")) / F.lit(math.log(1 / least)) + 1e-9).cast("int")
+    prefix = F.slice("sigs", F.lit(1), F.greatest(F.lit(1), F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9).cast("int") + 1))
+    spread = some.select("node", "size", part.alias("p"), F.explode(prefix).alias("sig")).select("node", "size", "sig", F.explode(F.array(F.col("p"), F.col("p") + 1)).alias("q"))
+    spread = spread.select(F.xxhash64("sig", "q").alias("bucket"), "node", "size").distinct()
+    label = cut(link_buckets(spread, some.count(), lambda members: some.select("node", "sigs").join(members.select("node").distinct(), "node", "left_semi"), _alike, least))
+    reps = cut(label.join(nodes.select("node", "rep"), "node"))
+    named = lookup(reps, reps.groupBy("label").agg(F.min("rep").alias("class_id")), "label", "node").select("node", "class_id")
+    classes = nodes.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"))
+    return lookup(rows.select("id", "node"), classes, "node", F.coalesce("id", F.lit(0))).select(F.col("id").alias(id_col), "class_id")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and the likeness to the edited and to the next document."""
     docs = read_documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

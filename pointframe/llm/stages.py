@@ -10,11 +10,12 @@ from pointframe.llm.common import cut, table
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told: `und` (no letter) and ambiguous ones go. The model is fitted on docs."""
+    """The documents whose language can be told: `und` (no letter) goes, and what is ambiguous without any language
+    being the likelier one (score below a half). The model is fitted on docs."""
     model = language.fit(docs.filter(~language.held_out()))
     work = docs.drop("lang_pred", "score", "ambiguous")
     found = language.identify(work, model)
-    return found.filter((F.col("lang_pred") != language.UND) & ~F.col("ambiguous")).select(*work.columns)
+    return found.filter((F.col("lang_pred") != language.UND) & ~(F.col("ambiguous") & (F.col("score") < 0.5))).select(*work.columns)
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
