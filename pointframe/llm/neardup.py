@@ -51,7 +51,7 @@ class _Hashes(dict):
     """64-bit hashes of words, kept by each worker."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return h
@@ -188,17 +188,26 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     # A leader of many members goes to as many parts as its members fill.
     parts = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(PART))))).cast("int")
     pairs = pairs.withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int"))
-    lead = pairs.select("a", "_parts").distinct().join(sets.select(F.col("node").alias("a"), F.col("occurrences").alias("oa")), "a")
-    lead = lead.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("occurrences").alias("ob")), "b").join(lead, ["a", "_parts", "_part"]).select("a", "b", "oa", "ob")
+    lead = pairs.select("a", "_parts").distinct().join(sets.select(F.col("node").alias("a"), F.col("occurrences").alias("o")), "a")
+    lead = lead.select("a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_parts", F.lit(None).cast("long").alias("b"), "o")
+    member = pairs.join(sets.select(F.col("node").alias("b"), F.col("occurrences").alias("o")), "b").select("a", "_part", "_parts", "b", "o")
+    # A leader's set stands before those of its members, so that each set is in memory once.
+    keys = ["a", "_parts", "_part"]
+    rows = lead.unionByName(member).repartition(*keys).sortWithinPartitions(*keys, F.col("b").isNotNull()).select("a", "b", "o")
 
     def run(batches):
+        own = b""
         for batch in batches:
-            a, b = batch.column("oa").to_pylist(), batch.column("ob").to_pylist()
-            ok = pa.array([similarity(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(ok)
-
-    return both.mapInArrow(run, "a long, b long")
+            leads, ids, occ, keep = batch.column("a"), batch.column("b").to_pylist(), batch.column("o"), []
+            for k, b in enumerate(ids):
+                if b is None:
+                    own = occ[k].as_py()
+                elif similarity(own, occ[k].as_py()) >= least:
+                    keep.append(k)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([leads.take(at), batch.column("b").take(at)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _sets_of(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
