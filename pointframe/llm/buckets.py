@@ -71,7 +71,8 @@ def link_buckets(spread: DataFrame, total: int, sets_of: Callable[[DataFrame], D
         links = cut(links.unionByName(more).distinct())
     # What is outside of a bucket's largest component, one by one against the rest of the bucket.
     other = left.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"))
-    pairs = rest.join(other, "bucket").filter((F.col("label") != F.col("label_b")) & (F.least("size", "size_b") >= F.lit(least) * F.greatest("size", "size_b")))
+    once = (F.col("label_b") == F.col("main")) | (F.col("node") < F.col("b"))  # two that are both left meet once
+    pairs = rest.join(other, "bucket").filter((F.col("label") != F.col("label_b")) & once & (F.least("size", "size_b") >= F.lit(least) * F.greatest("size", "size_b")))
     pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), "n").groupBy("a", "b").agg(F.max("n").alias("n"))
     more = cut(alike(pairs, sets, least))
     return components(links.unionByName(more)) if more.limit(1).count() else cut(components(links)) if links is not seen else labels

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pointframe.llm.common import cut
 
 LEAST_HEAVY = 64
+TASK_LINKS = 200_000  # links that a task of the component search takes at least, so that few links don't make many small files
 
 
 def fair_share(df: DataFrame, rows: int) -> int:
@@ -50,7 +51,8 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     its smaller ones and itself. The number of rounds grows with the logarithm of the longest path. Minima are taken before
     the shuffle and handed out by joins that split heavy nodes, so a node of very many neighbours meets in no single task.
     """
-    edges = cut(links.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).filter("a < b").distinct())
+    parts = links.count() // TASK_LINKS + 1
+    edges = cut(links.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).filter("a < b").distinct().coalesce(parts))
     seen = None
     while True:
         state = edges.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).first()
@@ -60,7 +62,7 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"))
         # m is the least neighbour or the node itself; only the larger neighbours are taken over to it.
-        large = cut(lookup(both, least, "a", "b").filter("b > a AND m < b").select(F.col("m").alias("a"), "b").distinct())
+        large = cut(lookup(both, least, "a", "b").filter("b > a AND m < b").select(F.col("m").alias("a"), "b").distinct().coalesce(parts))
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = lookup(large, least, "b", "a")
         edges = cut(
@@ -68,6 +70,7 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
             .unionByName(small.select(F.col("m").alias("a"), "b"))
             .filter("a < b")
             .distinct()
+            .coalesce(parts)
         )
     label = edges.groupBy("b").agg(F.min("a").alias("label")).select(F.col("b").alias("node"), "label")
     return label.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
