@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency, in DataFrame functions only.
 
 Pages are grouped by host. A line is boilerplate on a host if it stands on at least MIN_PAGES of its pages and on more
-than MAX_RATIO of them; its occurrences are dropped from every page of the host.
+than MAX_RATIO of them; its occurrences are dropped from every page of the host. What repeats over documents of many hosts
+but stays at or below the ratio on each stays in place, so the same line may go from one host and stay on another.
 """
 
 from __future__ import annotations
