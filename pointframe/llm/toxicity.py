@@ -116,23 +116,49 @@ def with_stem(words: DataFrame, stems: list[str]) -> DataFrame:
     return each.join(F.broadcast(some), "stem", "left_semi")
 
 
-COUNTS = T.StructType([T.StructField("word", T.StringType()), T.StructField("clean", T.LongType()), T.StructField("toxic", T.LongType())])
+COUNTS = T.StructType([T.StructField("word", T.StringType()), T.StructField("copies", T.LongType()), T.StructField("clean", T.LongType()), T.StructField("toxic", T.LongType())])
+
+
+def with_copies(rows: DataFrame) -> DataFrame:
+    """rows (text, y) with copies, the number of rows of the same text and label; null counts as the empty text.
+
+    Only hashes of texts are shuffled, summed before; the texts that occur twice or more are at most half of the rows,
+    of which a fit reads about FIT_ROWS, so they are broadcast.
+    """
+    text = F.coalesce("text", F.lit(""))
+    keyed = rows.select("text", "y", F.xxhash64(text).alias("_a"), F.hash(text).alias("_b"))
+    many = keyed.groupBy("_a", "_b", "y").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
+    return keyed.join(F.broadcast(many), ["_a", "_b", "y"], "left").select("text", "y", F.coalesce("_n", F.lit(1)).cast("long").alias("copies"))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each word in a batch, the number of distinct clean and toxic texts that hold it."""
+    """Of each word in a batch and each number of copies, the number of clean and toxic rows that hold it."""
     for b in batches:
-        sides = (Counter(), Counter())
-        for t, y in {(t, y) for t, y in zip(texts_of(b, "text"), b.column("y").to_pylist(), strict=True)}:
-            sides[y].update(set(_WORD.findall(t.lower())))
-            sides[y][""] += 1
-        words = list(sides[0].keys() | sides[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([s[w] for w in words], pa.int64()) for s in sides)], names=["word", "clean", "toxic"])
+        sides: dict[int, tuple[Counter, Counter]] = {}
+        alike = Counter(zip(texts_of(b, "text"), b.column("y").to_pylist(), b.column("copies").to_pylist(), strict=True))
+        for (t, y, n), k in alike.items():
+            side = sides.setdefault(n, (Counter(), Counter()))[y]
+            for w in {"", *_WORD.findall(t.lower())}:
+                side[w] += k
+        for n, (clean, toxic) in sides.items():
+            words = list(clean.keys() | toxic.keys())
+            columns = ([n] * len(words), [clean[w] for w in words], [toxic[w] for w in words])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=COUNTS.names)
+
+
+def count_words(rows: DataFrame) -> DataFrame:
+    """(word, clean, toxic): the distinct clean and toxic texts of all rows that hold a word, and under the empty word all.
+
+    The rows of a text of n copies are n over all batches together, so the sum over texts of n copies is a multiple of
+    n, however the rows are dealt out.
+    """
+    each = with_copies(rows).mapInArrow(_count, COUNTS).groupBy("word", "copies").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return each.groupBy("word").agg(*(F.sum(F.expr(f"{c} div copies")).alias(c) for c in ("clean", "toxic")))
 
 
 def fit_words(rows: DataFrame) -> ToxicModel:
     """A model of rows (text, y). Without rows of both labels it knows no word and finds nothing."""
-    counts = cut(rows.select("text", "y").mapInArrow(_count, COUNTS).groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    counts = cut(count_words(rows.select("text", "y")))
     size = counts.filter(F.col("word") == "").collect()
     n0, n1 = (size[0]["clean"], size[0]["toxic"]) if size else (0, 0)
     if not n0 or not n1:

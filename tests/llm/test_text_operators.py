@@ -222,6 +222,14 @@ def test_segments_equal_their_definition():
         assert [x[:2] for x in a] == [x[:2] for x in b] and np.allclose([x[2] for x in a], [x[2] for x in b])
 
 
+def test_word_counts_do_not_depend_on_batches(spark):
+    rows = [("bad words here", 1)] * 40 + [("good words here", 0), ("good words there", 0), ("good words there", 0), ("bad words here", 0), (None, 0), ("", 0)]
+    want = {"": (4, 1), "bad": (1, 1), "words": (3, 1), "here": (2, 1), "good": (2, 0), "there": (1, 0)}
+    docs = spark.createDataFrame(rows, "text string, y int")
+    for parts in (1, 7):
+        assert {r.word: (r.clean, r.toxic) for r in toxicity.count_words(docs.repartition(parts)).collect()} == want
+
+
 # 5. Fingerprints
 
 
