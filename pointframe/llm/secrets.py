@@ -1,9 +1,11 @@
 """Secret scan: pattern kinds, and an assignment-aware lexer that reads names, follows constants and scores literals.
 
 Pattern kinds (assign, access, hex) are found in the whole text, leftmost and non-overlapping within a kind. The
-lexer reads lines that hold an assignment in the syntaxes of source code and configuration files: name-literal pairs
-(`name = "x"`, `name: x`, `"name": "x"`, `name := x`, `name => x`, `key="name" value="x"`), sums of literals, and
-references (`name`, `$name`, `${name}`) to names assigned before, whose literals are carried along. A literal that
+lexer reads assignments in the syntaxes of source code and configuration files: name-literal pairs
+(`name = "x"`, `$name = "x"`, `a["name"] = "x"`, `name: x`, `"name": "x"`, `name := x`, `name => x`,
+`key="name" value="x"`), sums of literals, and references (`name`, `$name`, `${name}`, `a["name"]`) to names assigned
+before, whose literals are carried along. A value or the rest of a sum may stand on the next line or in brackets; of a
+string or block over several lines each line is a literal. A literal that
 reaches a name is scored by how sensitive the name is and how much the literal looks like key material; a literal of
 a score of at least `threshold` becomes a span of kind `literal`, if no assign span covers it already.
 """
@@ -41,9 +43,18 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 _OP = re.compile(r"[=:]")
-_PAIR = re.compile(rf"""(?<![\w.\-$])(?:"({_NAME})"|'({_NAME})'|({_NAME}))(?:\x20*:\x20*[A-Za-z_][\w\[\], ]{{0,60}}?(?=\x20*=))?[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?=\S)""")
-_ATOM = re.compile(rf"""[\x20\t]*(?:(?P<q>["'`])(?P<s>(?:\\.|(?!(?P=q)).)*)(?P=q)|\$\{{(?P<i>{_NAME})\}}|\$(?P<d>[A-Za-z_]\w*)|(?P<b>[^\s"'`,;(){{}}\[\]+]+))""")
-_PLUS = re.compile(r"[\x20\t]*(?:\+|\.\.)[\x20\t]*")
+_PAIR = re.compile(rf"""(?<![\w.\-$])(?:"({_NAME})"|'({_NAME})'|(?:[$@]{{1,2}}(?:\w+:(?=[A-Za-z_]))?)?({_NAME}))(?:\x20?[\]}}])?(?:\x20*:\x20*[A-Za-z_][\w\[\], ]{{0,60}}?(?=\x20*=))?[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*""")
+_ATOM = re.compile(rf"""[\x20\t]*(?:(?P<q>["'`])(?P<s>(?:\\.|(?!(?P=q)).)*)(?P=q)|\$\{{(?P<i>{_NAME})\}}|[$@]?[A-Za-z_][\w.]*\[["'](?P<k>{_NAME})["']\]|\$(?P<d>[A-Za-z_]\w*)|(?P<b>[^\s"'`,;(){{}}\[\]+]+))""")
+_TRIPLE = re.compile(r"""[\x20\t]*[A-Za-z]{0,2}(?P<q>"{3}|'{3}|`{3})(?P<s>(?s:.*?))(?P=q)""")
+_LONG = re.compile(r"""[\x20\t]*(?P<q>["'`])(?P<s>(?s:\\.|(?!(?P=q))[^\\])*+)(?P=q)""")
+_BLOCK = re.compile(r"[\x20\t]*[|>][+\-0-9]*[\x20\t]*\r?(?=\n)")
+_PLUS = re.compile(r"(?:[\x20\t]*|[\x20\t]*\\?\r?\n[\x20\t]+)(?:\+|\.\.)[\x20\t]*(?:\\?\r?\n[\x20\t]*(?=\S))?")
+_BRACKET = re.compile(r"[\x20\t]*\([\x20\t]*")
+_NEXT = re.compile(r"[\x20\t]*\\?\r?\n[\x20\t]*")
+_ALONE = re.compile(r"""(?<=[\x20\t])[^\s"'`,;(){}\[\]+=]*[^\s"'`,;(){}\[\]+=:][;,]?[\x20\t]*\r?(?:\n|\Z)""")
+_KEY = re.compile(r"[\x20\t]*(?:[\]}][\x20\t]*)?[:=]")
+_BESIDE = re.compile(r"""(?:[\x20\t]*\r?\n)?[\x20\t]*(?=["'])""")
+_LINES = re.compile(r"\S(?:[^\n]*\S)?")
 _XML = re.compile(r"""(?:key|name)\s*=\s*["']([^"'\n]+)["']\s+value\s*=\s*["']([^"'\n]*)["']""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -70,6 +81,57 @@ def literal_score(value: str) -> float:
     return min(1.0, bits / 3.5) * min(1.0, 0.6 + n / 40)
 
 
+def _value(text: str, pos: int, env: dict[str, list[tuple[int, int, str]]]) -> tuple[int, list[tuple[int, int, str]] | None]:
+    """(end, literals) of the value at pos, which may begin on the next line; None if a line ends without any."""
+    literals: list[tuple[int, int, str]] = []
+    if (m := _BLOCK.match(text, pos)) is not None:
+        return _block(text, pos, m.end())
+    bracket = _BRACKET.match(text, pos)
+    pos = bracket.end() if bracket else pos
+    if (m := _NEXT.match(text, pos)) is not None:
+        # A quoted string that is no key itself, or a word alone on an indented line.
+        pos, quoted = m.end(), text[m.end() : m.end() + 1] in {'"', "'", "`"}
+        a = quoted and (_TRIPLE.match(text, pos) or _ATOM.match(text, pos) or _LONG.match(text, pos))
+        if not (a and _KEY.match(text, a.end()) is None or not quoted and (_TRIPLE.match(text, pos) or _ALONE.match(text, pos))):
+            return pos, None
+    elif pos >= len(text):
+        return pos, None
+    while (a := _TRIPLE.match(text, pos) or _ATOM.match(text, pos) or _LONG.match(text, pos)) is not None:
+        found = a.groupdict()
+        ref = found.get("i") or found.get("d") or found.get("k")
+        if found.get("q"):
+            at, s = a.start("s"), a["s"]
+            literals += [(at + x.start(), at + x.end(), x[0]) for x in _LINES.finditer(s)] if "\n" in s else [(at, a.end("s"), s)]
+        elif ref or a["b"].lstrip("@") in env:
+            literals += env.get(ref or a["b"].lstrip("@"), [])
+        else:
+            end = a.end("b") - (a["b"][-1] in ".:")
+            literals.append((a.start("b"), end, text[a.start("b") : end]))
+        pos = a.end()
+        p = _PLUS.match(text, pos) or (_BESIDE.match(text, pos) if bracket and found.get("q") else None)
+        if p is None:
+            break
+        pos = p.end()
+    return pos, literals
+
+
+def _block(text: str, pos: int, at: int) -> tuple[int, list[tuple[int, int, str]]]:
+    """The lines of a block that are indented deeper than the line of pos; at is the end of that line."""
+    first = text.rfind("\n", 0, pos) + 1
+    depth = lambda a, b: b - a - len(text[a:b].lstrip(" \t"))
+    own, literals = depth(first, at), []
+    while at < len(text):
+        end = text.find("\n", at + 1)
+        end = len(text) if end < 0 else end
+        m = _LINES.search(text, at + 1, end)
+        if m is not None:
+            if depth(at + 1, end) <= own:
+                break
+            literals.append((m.start(), m.end(), m[0]))
+        at = end
+    return at, literals
+
+
 def lex(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, float]]:
     """(start, end, name, score) of the literals that reach a sensitive name, in order, each literal once."""
     env: dict[str, list[tuple[int, int, str]]] = {}
@@ -92,20 +154,10 @@ def lex(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, fl
             flows(m[1], [(m.start(2), m.end(2), m[2])])
         pos = max(at, start)
         while (m := _PAIR.search(text, pos, stop)) is not None:
-            name, pos, literals = m[1] or m[2] or m[3], m.end(), []
-            while (a := _ATOM.match(text, pos, stop)) is not None:
-                ref = a["i"] or a["d"]
-                if a["q"]:
-                    literals.append((a.start("s"), a.end("s"), a["s"]))
-                elif ref or a["b"] in env:
-                    literals += env.get(ref or a["b"], [])
-                else:
-                    end = a.end("b") - (a["b"][-1] in ".:")
-                    literals.append((a.start("b"), end, text[a.start("b") : end]))
-                pos = a.end()
-                if (p := _PLUS.match(text, pos, stop)) is None:
-                    break
-                pos = p.end()
+            name = m[1] or m[2] or m[3]
+            pos, literals = _value(text, m.end(), env)
+            if literals is None:
+                continue
             env[name] = literals[-64:]
             flows(name, literals)
         at = stop

@@ -140,6 +140,37 @@ def test_literals_that_reach_sensitive_names(text, found):
     assert [text[s:e] for k, s, e, *_ in secrets.scan(text) if k == "literal"] == found
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('config["db_credential"] = "S3cr3tValue99"', ["S3cr3tValue99"]),
+        ('os.environ["DB_PWD"] = \'S3cr3tValue99\'', ["S3cr3tValue99"]),
+        ('$config{db_pwd} = "S3cr3tValue99";', ["S3cr3tValue99"]),
+        ('$db_pwd = "S3cr3tValue99";', ["S3cr3tValue99"]),
+        ('$env:DB_PWD = "S3cr3tValue99"', ["S3cr3tValue99"]),
+        ('  @db_pwd = "S3cr3tValue99"', ["S3cr3tValue99"]),
+        ('$base = "Zx9kQ2";\n$db_pwd = $base + "vB7nM4pL";', ["Zx9kQ2", "vB7nM4pL"]),
+        ('parts["base"] = "Zx9kQ2"\ndb_pwd = parts["base"] + "vB7nM4pL"', ["Zx9kQ2", "vB7nM4pL"]),
+        ('String db_pwd =\n    "S3cr3tValue99";', ["S3cr3tValue99"]),
+        ('db_pwd = \\\r\n  "S3cr3tValue99"', ["S3cr3tValue99"]),
+        ('db_pwd = (\n    "Zx9kQ2"\n    "vB7nM4pL"\n)', ["Zx9kQ2", "vB7nM4pL"]),
+        ('db_pwd = "Zx9kQ2"\n    + "vB7nM4pL"', ["Zx9kQ2", "vB7nM4pL"]),
+        ('db_pwd = "Zx9kQ2" +\n"vB7nM4pL"', ["Zx9kQ2", "vB7nM4pL"]),
+        ("db_pwd:\n  hunter2Hunter\nother: 1", ["hunter2Hunter"]),
+        ("a:\n  db_pwd: |\n    hunter2Hunter\n\n    S3cr3tValue99\n  user: Q1w2E3r4T5y6", ["hunter2Hunter", "S3cr3tValue99"]),
+        ('db_pwd = """\n  S3cr3tValue99\n"""', ["S3cr3tValue99"]),
+        ("private_pem = '-- BEGIN --\nS3cr3tValue99S3cr\nQ1w2E3r4T5y6u7\n-- END --'", ["S3cr3tValue99S3cr", "Q1w2E3r4T5y6u7"]),
+        ("DB_PWD=\nUSER_ID=hunter2Hunter", []),
+        ('db_pwd:\n  "user9Name": x', []),
+        ('auth:\n  user: hunter2Hunter', []),
+        ('user = `\ndb_pwd = "S3cr3tValue99"\n`', ["S3cr3tValue99"]),
+        ("db_pwd =", []),
+    ],
+)
+def test_subscripts_sigils_and_values_over_lines(text, found):
+    assert [text[s:e] for k, s, e, *_ in secrets.scan(text) if k == "literal"] == found
+
+
 # 3. Pages
 
 
