@@ -23,34 +23,36 @@ def line_keys(text):
     return F.transform(F.split(text, "\n"), lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b")))
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = False) -> DataFrame:
     """(host, lines): for each host with boilerplate, the keys of its lines.
 
-    A host whose pages have D distinct lines on average has fewer than D / max_ratio of them, however many pages there
-    are. Counts are summed before they are shuffled, so neither a hot host nor a hot line meets in one task.
+    Pages of a host with the same text count once, so that a group of copies doesn't turn its text into boilerplate;
+    with copies, each row counts. A host whose pages have D distinct lines on average has fewer than D / max_ratio of
+    them, however many pages there are. Copies are dropped and counts summed before they are shuffled, so neither a hot
+    host nor a hot page or line meets in one task.
     """
-    pages = docs.filter(F.col(host_col).isNotNull()).select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    page = F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"))
     blank = F.struct(F.xxhash64(F.lit("")).alias("a"), F.hash(F.lit("")).alias("b"))
-    per_line = (
-        pages.filter(F.col("text").isNotNull())
-        .select("host", F.explode(F.array_remove(F.array_distinct(line_keys(F.col("text"))), blank)).alias("line"))
-        .groupBy("host", "line")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") >= min_pages)
-    )
-    per_host = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    keys = F.array_remove(F.array_distinct(line_keys(text)), blank)
+    pages = docs.filter(F.col(host_col).isNotNull()).select(F.col(host_col).alias("host"), page.alias("page"), keys.alias("lines"))
+    hosts = pages.select("host", "page")
+    if not copies:
+        pages, hosts = pages.dropDuplicates(["host", "page"]), hosts.distinct()
+    per_line = pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    per_host = hosts.groupBy("host").agg(F.count("*").alias("pages"))
     return per_line.join(per_host, "host").filter(F.col("n") > F.lit(max_ratio) * F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = False) -> DataFrame:
     """docs without the boilerplate lines of their hosts, with n_dropped, the number of lines dropped from each page.
 
     A page of nothing but boilerplate and blank lines is a copy rather than a carrier of boilerplate; it stays whole. A
     null host has no statistics and its pages stay as they are; null and empty texts stay; blank lines are never
-    boilerplate; repeated rows count as pages of their own; an empty table stays empty. A column n_dropped of docs is
+    boilerplate; pages of a host with the same text count once, or each with copies; an empty table stays empty. A column n_dropped of docs is
     replaced; others stay.
     """
-    known = cut(boilerplate(docs, host_col, text_col, max_ratio, min_pages))
+    known = cut(boilerplate(docs, host_col, text_col, max_ratio, min_pages, copies))
     size = known.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("n"), F.count("*").alias("hosts")).first()
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "n_dropped"])
     host, drop, salt = free_name(docs, "_host"), free_name(docs, "_lines"), free_name(docs, "_salt")
@@ -77,8 +79,8 @@ def without_lines(joined: DataFrame, text_col: str, drop: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the text that remains and the number of lines dropped."""
-    return drop_boilerplate(read_documents(spark, sf_dir).select("doc_id", "source", "text"))
+    """Every document with the text that remains and the number of lines dropped; as in the SQL, each row is a page."""
+    return drop_boilerplate(read_documents(spark, sf_dir).select("doc_id", "source", "text"), copies=True)
 
 
 OP6_SQL = f"""

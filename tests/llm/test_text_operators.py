@@ -328,6 +328,14 @@ def test_pages_of_boilerplate_alone_stay(spark):
     assert got[0] == ("common\n", 0) and got[3] == ("own 3", 1)
 
 
+def test_copies_make_no_boilerplate(spark):
+    article = "first line\nsecond line\nthird line"
+    rows = [(k, "h", article) for k in range(50)] + [(50, "h", article.replace("third", "other"))] + [(k, "h", f"own {k}\nmenu") for k in range(51, 151)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = {r.doc_id: (r.text, r.n_dropped) for r in lines.drop_boilerplate(docs).collect()}
+    assert got[0] == (article, 0) and got[50] == (article.replace("third", "other"), 0) and got[60] == ("own 60", 1)
+
+
 # 7. Near duplicates
 
 
