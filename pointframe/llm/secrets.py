@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,19 +72,80 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """How much a literal looks like key material, from 0 to 1: its entropy, length and mix of characters."""
-    n = len(value)
-    if n < 8 or PLACEHOLDERS.match(value) or any(c.isspace() for c in value):
+    return _score(len(value), value, value) if len(value) >= 8 else 0.0
+
+
+def _score(n: int, chars: str | Counter, outline: str) -> float:
+    """The score of n characters, given with their counts; outline is the value or has the same placeholder pattern."""
+    if n < 8 or PLACEHOLDERS.match(outline) or any(c.isspace() for c in chars):
         return 0.0
-    bits = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
-    classes = sum(any(test(c) for c in value) for test in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
-    if classes < 2 or not any(c.isdigit() for c in value) and classes < 3:
+    counts = Counter(chars)
+    bits = -sum(k / n * math.log2(k / n) for k in counts.values())
+    classes = sum(any(test(c) for c in counts) for test in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in counts)
+    if classes < 2 or not any(c.isdigit() for c in counts) and classes < 3:
         return 0.0
     return min(1.0, bits / 3.5) * min(1.0, 0.6 + n / 40)
 
 
-def _value(text: str, pos: int, env: dict[str, list[tuple[int, int, str]]]) -> tuple[int, list[tuple[int, int, str]] | None]:
+EDGE = 32  # characters of a long joined value's ends that tell whether it is a placeholder
+
+
+@dataclass(eq=False)
+class Flow:
+    """What a name holds: literals (start, end, value) and the flows of other names, shared rather than copied."""
+
+    parts: list[tuple[int, int, str] | Flow] = field(default_factory=list)
+    summed: tuple[int, Counter, str, str] | None = None  # number of literals, characters of the joined value, its ends
+
+    def summary(self) -> tuple[int, Counter, str, str]:
+        todo = [self]
+        while todo:
+            flow = todo[-1]
+            below = [p for p in flow.parts if isinstance(p, Flow) and p.summed is None]
+            if flow.summed is None and below:
+                todo += below
+                continue
+            todo.pop()
+            if flow.summed is None:
+                many, counts, head, tail = 0, Counter(), "", ""
+                for p in flow.parts:
+                    n, c, h, t = p.summed if isinstance(p, Flow) else (1, Counter(p[2]), p[2][:EDGE], p[2][-EDGE:])
+                    many += n
+                    counts.update(c)
+                    head, tail = (head + h)[:EDGE] if len(head) < EDGE else head, (tail + t)[-EDGE:]
+                flow.summed = many, counts, head, tail
+        return self.summed
+
+    def whole(self) -> float:
+        """The score of the joined value of several literals, without joining it."""
+        many, counts, head, tail = self.summary()
+        n = sum(counts.values())
+        outline = head + "".join(counts) + tail if n > EDGE else head
+        return _score(n, counts, outline) if many > 1 else 0.0
+
+
+def _reach(events: list[tuple[float, int, str, Flow]]) -> dict[tuple[int, int], tuple[float, int, str, str]]:
+    """Of each literal (start, end) the best event that reaches it, the first of equals: (score, order, name, value)."""
+    best: dict[tuple[int, int], tuple[float, int, str, str]] = {}
+    seen: set[int] = set()
+    for s, order, name, flow in sorted(events, key=lambda x: (-x[0], x[1])):
+        todo = [flow]
+        while todo:
+            at = todo.pop()
+            if id(at) in seen:
+                continue
+            seen.add(id(at))
+            for p in at.parts:
+                if isinstance(p, Flow):
+                    todo.append(p)
+                else:
+                    best.setdefault((p[0], p[1]), (s, order, name, p[2]))
+    return best
+
+
+def _value(text: str, pos: int, env: dict[str, Flow]) -> tuple[int, list[tuple[int, int, str] | Flow] | None]:
     """(end, literals) of the value at pos, which may begin on the next line; None if a line ends without any."""
-    literals: list[tuple[int, int, str]] = []
+    literals: list[tuple[int, int, str] | Flow] = []
     if (m := _BLOCK.match(text, pos)) is not None:
         return _block(text, pos, m.end())
     bracket = _BRACKET.match(text, pos)
@@ -103,7 +165,7 @@ def _value(text: str, pos: int, env: dict[str, list[tuple[int, int, str]]]) -> t
             at, s = a.start("s"), a["s"]
             literals += [(at + x.start(), at + x.end(), x[0]) for x in _LINES.finditer(s)] if "\n" in s else [(at, a.end("s"), s)]
         elif ref or a["b"].lstrip("@") in env:
-            literals += env.get(ref or a["b"].lstrip("@"), [])
+            literals += [env[x]] if (x := ref or a["b"].lstrip("@")) in env else []
         else:
             end = a.end("b") - (a["b"][-1] in ".:")
             literals.append((a.start("b"), end, text[a.start("b") : end]))
@@ -134,16 +196,15 @@ def _block(text: str, pos: int, at: int) -> tuple[int, list[tuple[int, int, str]
 
 def lex(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, float]]:
     """(start, end, name, score) of the literals that reach a sensitive name, in order, each literal once."""
-    env: dict[str, list[tuple[int, int, str]]] = {}
-    found: dict[tuple[int, int], tuple[str, float]] = {}
+    env: dict[str, Flow] = {}
+    alone: list[tuple[float, int, str, Flow]] = []  # by how sensitive the name is
+    joined: list[tuple[float, int, str, Flow]] = []  # by that and the joined value
 
-    def flows(name: str, literals: list[tuple[int, int, str]]) -> None:
-        s = name_score(name)
-        whole = literal_score("".join(v for *_, v in literals)) if len(literals) > 1 else 0.0
-        for start, end, value in literals if s else ():
-            score = s * max(literal_score(value), whole if len(value) >= 4 else 0.0)
-            if score >= threshold and score > found.get((start, end), ("", 0.0))[1]:
-                found[start, end] = name, score
+    def flows(name: str, flow: Flow) -> None:
+        if s := name_score(name):
+            alone.append((s, len(alone), name, flow))
+            if len(flow.parts) > 1 or any(isinstance(p, Flow) for p in flow.parts):
+                joined.append((s * flow.whole(), alone[-1][1], name, flow))
 
     at = 0
     while (op := _OP.search(text, at)) is not None:
@@ -151,17 +212,24 @@ def lex(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, fl
         stop = text.find("\n", op.end())
         stop = len(text) if stop < 0 else stop
         for m in _XML.finditer(text, max(at, start), stop):
-            flows(m[1], [(m.start(2), m.end(2), m[2])])
+            flows(m[1], Flow([(m.start(2), m.end(2), m[2])]))
         pos = max(at, start)
         while (m := _PAIR.search(text, pos, stop)) is not None:
             name = m[1] or m[2] or m[3]
             pos, literals = _value(text, m.end(), env)
             if literals is None:
                 continue
-            env[name] = literals[-64:]
-            flows(name, literals)
+            env[name] = Flow(literals)
+            flows(name, env[name])
         at = stop
-    return [(s, e, *found[s, e]) for s, e in sorted(found)]
+    single, whole, out = _reach(alone), _reach(joined), []
+    for span, (s, order, name, value) in sorted(single.items()):
+        best = (s * literal_score(value), -order, name)
+        if span in whole and len(value) >= 4:
+            best = max(best, (whole[span][0], -whole[span][1], whole[span][2]))
+        if best[0] >= threshold and best[0] > 0:
+            out.append((*span, best[2], best[0]))
+    return out
 
 
 def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, str, float]]:

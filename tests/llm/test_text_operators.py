@@ -171,6 +171,13 @@ def test_subscripts_sigils_and_values_over_lines(text, found):
     assert [text[s:e] for k, s, e, *_ in secrets.scan(text) if k == "literal"] == found
 
 
+def test_every_literal_of_a_long_constant_is_followed():
+    text = 'first = "S3cr3tValue99"\n' + "".join(f'first = first + "p{k}"\n' for k in range(3000)) + "db_pwd = first\n"
+    assert text[10 - 1 : 22] == "S3cr3tValue99" and (9, 22, "db_pwd") in [x[:3] for x in secrets.lex(text)]
+    doubled = 'x = "Zx9kQ2" + "vB7nM4pL"\n' + "x = x + x\n" * 200 + "db_pwd = x\n"
+    assert [doubled[s:e] for s, e, *_ in secrets.lex(doubled)] == ["Zx9kQ2", "vB7nM4pL"]
+
+
 # 3. Pages
 
 
