@@ -35,7 +35,10 @@ _MARK = "\x01"
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
-    """The distinct signatures of a text, as hashes. A null text counts as empty and has none."""
+    """The distinct signatures of a text, as hashes. A null text counts as empty and has none.
+
+    A text with words but without a chain has one signature: all its words.
+    """
     words = "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w)))
     s = F.regexp_replace(F.concat(F.lit("\n"), F.lower(F.coalesce(text, F.lit("")))), r"[\n.!?|;]+", f" {_MARK} ")
     s = F.concat(F.regexp_replace(s, rf"[^\p{{L}}\p{{N}}{_MARK}]+", " "), F.lit(" "))
@@ -43,7 +46,10 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     s = F.regexp_replace(s, rf"(?: {_MARK}){{2,}}+", f" {_MARK}")
     word = rf" [^ {_MARK}]++"
     chains = F.regexp_extract_all(s, F.lit(rf"{_MARK}(?=({word}" + rf"(?: {_MARK})?+{word}" * (chain - 1) + "))"), F.lit(1))
-    return F.array_distinct(F.transform(chains, lambda c: F.xxhash64(F.replace(c, F.lit(f" {_MARK}"), F.lit("")))))
+    sigs = F.array_distinct(F.transform(chains, lambda c: F.xxhash64(F.replace(c, F.lit(f" {_MARK}"), F.lit("")))))
+    every = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    # In a function of one element, sigs is computed once, and the words only where they are needed.
+    return F.transform(F.array(sigs), lambda x: F.when((F.size(x) > 0) | (every == ""), x).otherwise(F.array(F.xxhash64(every))))[0]
 
 
 def likeness(a: Column, b: Column) -> Column:

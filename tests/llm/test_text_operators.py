@@ -311,6 +311,12 @@ def test_near_duplicate_texts_by_fingerprint(spark, sf_dir):
         assert got[i] == r
 
 
+def test_short_texts_are_no_copies_of_each_other(spark):
+    rows = [(1, "This."), (2, "Ereaea."), (3, "this"), (4, "the"), (5, None), (6, "..."), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in spots.near_classes(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 5, 7: 5}
+
+
 # 6. Lines
 
 
