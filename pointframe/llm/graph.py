@@ -27,16 +27,20 @@ def sized_join(left: DataFrame, right: DataFrame, key: str, spread: str, share:
     return dealt.join(many.drop(n), [key, "_part"]).drop("_part")
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, spread: str | Column, how: str = "inner") -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, spread: str | Column, how: str = "inner", rows: int | None = None) -> DataFrame:
     """left with the columns of right, which has one narrow row for each key; the heavy keys of left are dealt into parts.
 
     The heavy keys are counted first; there are fewer of them than shuffle partitions, so their list may be broadcast.
+    If left is known to have few rows, none is heavy.
     """
+    if rows is not None and rows <= TASK_LINKS:
+        return left.join(right, key, how)
     counts = left.groupBy(key).agg(F.count("*").alias("_n"))
-    share = fair_share(left, left.count())
-    heavy = [(r[0], r[1] // share + 1) for r in counts.filter(F.col("_n") > share).collect()]
-    if not heavy:
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    share = fair_share(left, total or 0)
+    if (most or 0) <= share:
         return left.join(right, key, how)
+    heavy = [(r[0], r[1] // share + 1) for r in counts.filter(F.col("_n") > share).collect()]
     parts = F.broadcast(left.sparkSession.createDataFrame(heavy, f"{key} {left.schema[key].dataType.simpleString()}, _parts int"))
     one = lambda df: df.join(parts, key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
     dealt = one(left).withColumn("_part", F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int")).drop("_parts")
@@ -51,7 +55,8 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     its smaller ones and itself. The number of rounds grows with the logarithm of the longest path. Minima are taken before
     the shuffle and handed out by joins that split heavy nodes, so a node of very many neighbours meets in no single task.
     """
-    parts = links.count() // TASK_LINKS + 1
+    rows = links.count()  # of edges; no step makes more than twice as many
+    parts = rows // TASK_LINKS + 1
     edges = cut(links.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).filter("a < b").distinct().coalesce(parts))
     seen = None
     while True:
@@ -62,9 +67,9 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"))
         # m is the least neighbour or the node itself; only the larger neighbours are taken over to it.
-        large = cut(lookup(both, least, "a", "b").filter("b > a AND m < b").select(F.col("m").alias("a"), "b").distinct().coalesce(parts))
+        large = cut(lookup(both, least, "a", "b", rows=2 * rows).filter("b > a AND m < b").select(F.col("m").alias("a"), "b").distinct().coalesce(parts))
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = lookup(large, least, "b", "a")
+        small = lookup(large, least, "b", "a", rows=2 * rows)
         edges = cut(
             small.select(F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b"))
             .unionByName(small.select(F.col("m").alias("a"), "b"))

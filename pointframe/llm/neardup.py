@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import struct
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointframe.llm.buckets import link_buckets
+from pointframe.llm.buckets import link_buckets, linked
 from pointframe.llm.common import append_columns, claim, cut, read_documents
 from pointframe.llm.graph import lookup
 
 WORDS = 5
 SIMILARITY = 0.8
-ROWS, BANDS = 4, 24  # a pair of similarity 0.8 shares no band once in 300,000 times
+ROWS, BANDS = 6, 40  # a pair of similarity 0.8 shares no band once in 190,000 times, one of 0.5 shares one in 0.47 of all cases
 COORDS = ROWS * BANDS
-PART = 256  # members of a leader that are compared in one task, about
 BROADCAST_IDS = 500_000  # ids up to which the wanted documents are found by a broadcast
 
 _WORD = re.compile(r"\w+")
@@ -148,13 +149,24 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def node_of(text: str) -> int:
-    """A 64-bit hash of a whole text."""
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+Name = Callable[[str], tuple[int, int]]
 
 
-def with_signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with node (a hash of the whole text), bands and size; a null text counts as empty, one without words has no bands."""
+def name_of(text: str) -> tuple[int, int]:
+    """Two 64-bit halves of a hash of a whole text: its node, and what tells texts of one node apart."""
+    a, b = struct.unpack("<qq", hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+    return a, b
+
+
+_NAMES = [T.StructField("node", T.LongType()), T.StructField("half", T.LongType())]
+
+
+def _names(texts: list[str], name: Name) -> list[pa.Array]:
+    return [pa.array(x, pa.int64()) for x in (zip(*map(name, texts), strict=True))]
+
+
+def with_signatures(docs: DataFrame, text_col: str = "text", name: Name = name_of) -> DataFrame:
+    """docs with node, half (see name_of), bands and size; a null text counts as empty, one without words has no bands."""
 
     def make():
         claim("neardup", _hashes.clear)
@@ -165,76 +177,54 @@ def with_signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 h, w = shingles(t)
                 band.append(bands(signature(h, w)) if len(h) else None)
                 size.append(int(w.sum()))
-            return [pa.array([node_of(t) for t in texts], pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(size, pa.int32())]
+            return [*_names(texts, name), pa.array(band, pa.list_(pa.int64())), pa.array(size, pa.int32())]
 
         return fn
 
-    fields = [T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("size", T.IntegerType())]
-    return append_columns(docs, text_col, fields, make)
+    return append_columns(docs, text_col, [*_NAMES, T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("size", T.IntegerType())], make)
 
 
-def with_occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with node and occurrences, the set that exact similarities are taken of."""
+def with_occurrences(docs: DataFrame, text_col: str = "text", name: Name = name_of) -> DataFrame:
+    """docs with node, half and occurrences, the set that exact similarities are taken of."""
 
     def make():
         claim("neardup", _hashes.clear)
-        return lambda texts: [pa.array([node_of(t) for t in texts], pa.int64()), pa.array([occurrences(*shingles(t)).tobytes() for t in texts], pa.binary())]
-
-    return append_columns(docs, text_col, [T.StructField("node", T.LongType()), T.StructField("occurrences", T.BinaryType())], make)
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b, n) whose exact similarity is at least `least`; n bounds how many pairs share an a."""
-    # A leader of many members goes to as many parts as its members fill.
-    parts = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(PART))))).cast("int")
-    pairs = pairs.withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int"))
-    lead = pairs.select("a", "_parts").distinct().join(sets.select(F.col("node").alias("a"), F.col("occurrences").alias("o")), "a")
-    lead = lead.select("a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_parts", F.lit(None).cast("long").alias("b"), "o")
-    member = pairs.join(sets.select(F.col("node").alias("b"), F.col("occurrences").alias("o")), "b").select("a", "_part", "_parts", "b", "o")
-    # A leader's set stands before those of its members, so that each set is in memory once.
-    keys = ["a", "_parts", "_part"]
-    rows = lead.unionByName(member).repartition(*keys).sortWithinPartitions(*keys, F.col("b").isNotNull()).select("a", "b", "o")
-
-    def run(batches):
-        own = b""
-        for batch in batches:
-            leads, ids, occ, keep = batch.column("a"), batch.column("b").to_pylist(), batch.column("o"), []
-            for k, b in enumerate(ids):
-                if b is None:
-                    own = occ[k].as_py()
-                elif similarity(own, occ[k].as_py()) >= least:
-                    keep.append(k)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([leads.take(at), batch.column("b").take(at)], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def _sets_of(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+        return lambda texts: [*_names(texts, name), pa.array([occurrences(*shingles(t)).tobytes() for t in texts], pa.binary())]
+
+    return append_columns(docs, text_col, [*_NAMES, T.StructField("occurrences", T.BinaryType())], make)
+
+
+def _apart(rows: DataFrame, clashes: list[int]) -> DataFrame:
+    """rows with nodes that stand for several texts replaced by a hash of both halves."""
+    return rows.withColumn("node", F.when(F.col("node").isin(clashes), F.xxhash64("node", "half")).otherwise(F.col("node"))) if clashes else rows
+
+
+def _sets_of(docs: DataFrame, members: DataFrame, nodes: DataFrame, name: Name, clashes: list[int]) -> DataFrame:
     """(node, occurrences) of the members, read from one document of each."""
     wanted = cut(members.select("node").distinct().join(nodes.select("node", F.col("rep").alias("id")), "node").select("id").distinct())
     hint = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = docs.join(hint, docs["id"].eqNullSafe(hint["id"]), "left_semi")
-    return cut(with_occurrences(texts).select("node", "occurrences").dropDuplicates(["node"]))
+    return cut(_apart(with_occurrences(texts, name=name), clashes).select("node", "occurrences").dropDuplicates(["node"]))
 
 
-def near_labels(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(node, label) of the nodes (node, rep, bands, size) in classes of several; docs are (id, text)."""
-    spread = nodes.select("node", "size", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "node", "size")
-    return link_buckets(spread, nodes.count(), lambda members: _sets_of(docs, members, nodes), _alike, least)
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, name: Name = name_of) -> DataFrame:
     """(id, class_id) of every row: rows of equal or chained near-equal texts share a class, named by its least id.
 
     Null and empty texts are copies of each other; texts without words are classes of their own copies; a text of fewer
     than WORDS words is one shingle. Repeated rows stay; a class whose ids are all null has a null class_id; an empty
-    table gives an empty result.
+    table gives an empty result. Other columns don't matter, whatever their names.
+
+    Texts are told apart by 128 bits; similarities are of sets of 32-bit hashes, where two texts of n shingles share
+    n * n / 2^32 by chance (0.1 of 20,000), so a similarity is off by less than 1e-5.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = cut(with_signatures(docs).drop("text"))
+    rows = cut(with_signatures(docs, name=name).drop("text"))
+    clashes = [r["node"] for r in rows.groupBy("node").agg(F.min("half").alias("x"), F.max("half").alias("y")).filter("x <> y").collect()]  # rows^2 / 2^65
+    rows = _apart(rows, clashes)
     nodes = cut(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size")))
-    label = cut(near_labels(docs, nodes.filter(F.col("bands").isNotNull()), least))
+    some = nodes.filter(F.col("bands").isNotNull())
+    spread = some.select("node", "size", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "node", "size")
+    label = cut(link_buckets(spread, some.count(), lambda members: _sets_of(docs, members, nodes, name, clashes), linked, least))
     reps = cut(label.join(nodes.select("node", "rep"), "node"))
     named = lookup(reps, reps.groupBy("label").agg(F.min("rep").alias("class_id")), "label", "node").select("node", "class_id")
     classes = nodes.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"))

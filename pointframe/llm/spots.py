@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pointframe.llm.buckets import link_buckets
+from pointframe.llm.buckets import INDEXED, STREAMED, link_buckets
 from pointframe.llm.common import cut, read_documents
-from pointframe.llm.graph import fair_share, lookup
+from pointframe.llm.graph import lookup
 
 CHAIN = 2
 THRESHOLD = 0.8
@@ -110,14 +110,15 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", deriv
     return out.filter(~F.col("_ghost")).drop("_ghost")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b, n) of at least that likeness."""
-    share = fair_share(sets, sets.count())
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("sigs").alias(f"s{k}"))
-    parts = lambda: F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(share))).cast("int")
-    dealt = pairs.withColumn("_parts", parts()).withColumn("_part", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int")).join(side("b"), "b")
-    lead = dealt.select("a", "_parts").distinct().join(side("a"), "a").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    return dealt.join(lead, ["a", "_parts", "_part"]).filter(likeness(F.col("sa"), F.col("sb")) >= least).select("a", "b")
+def _linked(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): the labels that members of a group join by that likeness; each side of a group meets the other in a join that keeps links only."""
+    rows = groups.join(sets, "node").select("kind", "g", "part", "side", "node", "label", "sigs")
+    held = rows.filter(F.col("side") != STREAMED).select("kind", "g", "part", F.col("node").alias("x"), F.col("label").alias("a"), F.col("sigs").alias("sa"))
+    passed = rows.filter(F.col("side") != INDEXED).select("kind", "g", "part", F.col("node").alias("y"), F.col("label").alias("b"), F.col("sigs").alias("sb"))
+    small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
+    alike = (F.col("a") != F.col("b")) & (small >= F.lit(least) * large) & (likeness(F.col("sa"), F.col("sb")) >= least)
+    on = [held[c] == passed[c] for c in ("kind", "g", "part")]
+    return held.join(passed, [*on, alike]).select("a", "b").distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = THRESHOLD) -> DataFrame:
@@ -135,7 +136,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prefix = F.slice("sigs", F.lit(1), F.greatest(F.lit(1), F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9).cast("int") + 1))
     spread = some.select("node", "size", part.alias("p"), F.explode(prefix).alias("sig")).select("node", "size", "sig", F.explode(F.array(F.col("p"), F.col("p") + 1)).alias("q"))
     spread = spread.select(F.xxhash64("sig", "q").alias("bucket"), "node", "size").distinct()
-    label = cut(link_buckets(spread, some.count(), lambda members: some.select("node", "sigs").join(members.select("node").distinct(), "node", "left_semi"), _alike, least))
+    label = cut(link_buckets(spread, some.count(), lambda members: some.select("node", "sigs").join(members.select("node").distinct(), "node", "left_semi"), _linked, least))
     reps = cut(label.join(nodes.select("node", "rep"), "node"))
     named = lookup(reps, reps.groupBy("label").agg(F.min("rep").alias("class_id")), "label", "node").select("node", "class_id")
     classes = nodes.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"))

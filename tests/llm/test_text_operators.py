@@ -402,11 +402,43 @@ def test_large_groups_hold_together(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = _classes(dict(rows))
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == want
-    monkeypatch.setattr(buckets, "RESIDUAL", 0)  # all through further leaders, then one by one
-    monkeypatch.setattr(buckets, "LEADS", 2)
+    monkeypatch.setattr(buckets, "HELD", 7)  # groups in many parts
+    monkeypatch.setattr(buckets, "PASSED", 11)
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == want
 
 
+def test_a_common_passage_links_only_what_is_near(spark, monkeypatch):
+    """Texts of which half is one passage fall into the same buckets; chains and pairs among them are found, others are not."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    passage = [rng.choice(words) for _ in range(150)]
+    texts = {}
+    for k in range(60):
+        texts[k] = passage + [rng.choice(words) for _ in range(60 + k % 5 * 10)]
+    for k in range(60, 90):  # a chain, each near the one before
+        t = list(texts[k - 1] if k > 60 else texts[3])
+        at = rng.randrange(len(t) - 8)
+        t[at : at + 6] = [rng.choice(words) for _ in range(6)]
+        texts[k] = t
+    texts = {k: " ".join(t) for k, t in texts.items()}
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    want = _classes(texts)
+    assert len(set(want.values())) < 65
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == want
+    monkeypatch.setattr(buckets, "HELD", 5)
+    monkeypatch.setattr(buckets, "PASSED", 9)
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == want
+
+
+def test_texts_of_one_node_are_told_apart(spark):
+    def poor(text):
+        return len(text) % 3, sum(text.encode())
+
+    rows = [(1, "a b c d e f g"), (2, "h i j k l m n"), (3, "a b c d e f g"), (4, "one two three four five six seven"), (5, ""), (6, None), (7, "???")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), name=poor)
+    assert {r.doc_id: r.class_id for r in got.collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7}
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000, k) for k in range(1001, 1200)] + [(2000 + k, 2001 + k) for k in range(60)]
