@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +24,36 @@ _kept: dict[str, Callable[[], None]] = {}
 
 def claim(owner: str, drop: Callable[[], None]) -> None:
     """Called by an operator's task: what other operators have kept in this worker is dropped, so that memory holds the caches of one only."""
-    for other in [o for o in _kept if o != owner]:
+    others = [o for o in _kept if o != owner]
+    for other in others:
         _kept.pop(other)()
     _kept[owner] = drop
+    if others:
+        _give_back()
+
+
+def _give_back() -> None:
+    """Hand freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+CHUNK_ROWS, CHUNK_BYTES = 1000, 4 << 20  # rows and text of a batch that are worked on at once, about
+
+
+def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices, so that what is made of them in Python stays small; a row is never cut."""
+    at, size = 0, 0
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for k, n in enumerate(lengths):
+        if k > at and (k - at == CHUNK_ROWS or size + n > CHUNK_BYTES):
+            yield batch.slice(at, k - at)
+            at, size = k, 0
+        size += n
+    if at < len(lengths):
+        yield batch.slice(at)
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +84,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str]], list[pa.Array]]]) -> DataFrame:
-    """df with further columns computed from its text column, one Arrow batch at a time.
+    """df with further columns computed from its text column, a slice of an Arrow batch at a time.
 
     make() runs once per task and returns a function from the texts of a batch to the new columns. Columns of df
     with a clashing name are replaced. Rows, their order inside a partition and their multiplicity stay as they are.
@@ -66,8 +97,8 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], ma
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for b in batches:
-            if b.num_rows:
+        for batch in batches:
+            for b in chunks(batch, text_col):
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *fn(texts_of(b, text_col))], names=schema.names)
 
     return src.mapInArrow(run, schema)

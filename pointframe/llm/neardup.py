@@ -36,6 +36,7 @@ BROADCAST_IDS = 500_000  # ids up to which the wanted documents are found by a b
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
+_STEP = _U(0x9E3779B97F4A7C15)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -69,9 +70,9 @@ def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     n = min(WORDS, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
-    for k in range(n):
-        h = _mix(h + w[k : k + len(h)] * _U(0x9E3779B97F4A7C15))
-    h, c = np.unique(h, return_counts=True)
+    for k in range(n):  # the words' hashes are even over 64 bits, so a polynomial of them is
+        h = h * _STEP + w[k : k + len(h)]
+    h, c = np.unique(_mix(h), return_counts=True)
     return h, c.astype(np.float64)
 
 
@@ -96,28 +97,28 @@ def signature(h: np.ndarray, w: np.ndarray, coords: int = COORDS) -> np.ndarray:
     bound = coords * (math.log(coords) + 4) / float(w.sum())
     top = float(w.max())
     while True:
-        ids, ranks = [], []
+        darts, ranks = [], []
         v = 0
         while (1 << v) - 1 < top:
-            low_w, some = float((1 << v) - 1), np.flatnonzero(w > (1 << v) - 1)
-            hv, wv, r = h[some], w[some], 0
-            while ((1 << r) - 1) / (1 << v) < bound:
-                seed = _mix(hv + _U(((v << 8 | r) + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
-                count = np.searchsorted(_darts_in(1 << r), _unit(seed), "right")
-                total = int(count.sum())
-                if total:
-                    at = np.repeat(np.arange(len(hv)), count)
-                    j = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-                    dart = _mix(seed[at] + (j.astype(np.uint64) + _U(1)) * _U(0xA0761D6478BD642F))
-                    weight = low_w + (1 << v) * _unit(_mix(dart + _U(0xE7037ED1A0B428DB)))
-                    rank = ((1 << r) - 1 + (1 << r) * _unit(_mix(dart + _U(0x8EBC6AF09C88C6E3)))) / (1 << v)
-                    keep = (weight < wv[at]) & (rank < bound)
-                    ids.append(dart[keep])
-                    ranks.append(rank[keep])
-                r += 1
+            some = np.flatnonzero(w > (1 << v) - 1) if v else slice(None)
+            hv, wv = h[some], w[some]
+            regions = range(next(r for r in range(64) if ((1 << r) - 1) / (1 << v) >= bound))
+            seed = _mix(hv + np.array([((v << 8 | r) + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF for r in regions], np.uint64)[:, None])
+            even = _unit(seed)
+            count = np.concatenate([np.searchsorted(_darts_in(1 << r), even[r], "right") for r in regions])
+            at = np.repeat(np.arange(len(count)), count)
+            j = np.arange(1, len(at) + 1) - np.repeat(np.cumsum(count) - count, count)
+            dart = _mix(seed.ravel()[at] + j.astype(np.uint64) * _U(0xA0761D6478BD642F))
+            width = np.repeat([float(1 << r) for r in regions], len(hv))[at]
+            rank = (width - 1 + width * _unit(_mix(dart + _U(0x8EBC6AF09C88C6E3)))) / (1 << v)
+            keep = rank < bound
+            if v:  # an element's weight reaches over all of the first region
+                keep &= (1 << v) * (1 + _unit(_mix(dart + _U(0xE7037ED1A0B428DB)))) - 1 < np.tile(wv, len(regions))[at]
+            darts.append(dart[keep])
+            ranks.append(rank[keep])
             v += 1
-        dart, rank = np.concatenate(ids), np.concatenate(ranks)
-        order = np.argsort(-rank, kind="stable")
+        dart, rank = np.concatenate(darts), np.concatenate(ranks)
+        order = np.argsort(-rank)
         out, hit = np.zeros(coords, np.uint64), np.zeros(coords, bool)
         place = (dart[order] % _U(coords)).astype(np.int64)
         out[place], hit[place] = dart[order], True  # the last one written has the least rank
@@ -130,8 +131,8 @@ def bands(sig: np.ndarray) -> np.ndarray:
     """One 64-bit hash for each band."""
     rows, out = sig.reshape(BANDS, ROWS), np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
-        out = _mix(out * _U(0x9E3779B97F4A7C15) + rows[:, k])
-    return out.view(np.int64)
+        out = out * _STEP + rows[:, k]
+    return _mix(out).view(np.int64)
 
 
 def occurrences(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -175,9 +176,12 @@ def with_signatures(docs: DataFrame, text_col: str = "text", name: Name = name_o
             band, size = [], []
             for t in texts:
                 h, w = shingles(t)
-                band.append(bands(signature(h, w)) if len(h) else None)
                 size.append(int(w.sum()))
-            return [*_names(texts, name), pa.array(band, pa.list_(pa.int64())), pa.array(size, pa.int32())]
+                if len(h):
+                    band.append(bands(signature(h, w)))
+            starts = np.concatenate([[0], np.cumsum([BANDS * (n > 0) for n in size])])
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *band])), mask=pa.array([n == 0 for n in size]))
+            return [*_names(texts, name), lists, pa.array(size, pa.int32())]
 
         return fn
 
