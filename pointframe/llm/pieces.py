@@ -28,6 +28,7 @@ from pointframe.llm.common import append_columns, claim, read_documents
 
 MARK = "▁"
 CACHE, PAIRS = 300_000, 200_000  # units and token pairs kept by a worker; a cache is emptied when full, which changes speed only
+SHORT = 64  # characters of a unit that is kept, and tiled as a whole
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -67,15 +68,27 @@ class PieceModel:
         self.halves: dict[str, tuple[str, str]] = {}
         self.reachable = {p for p in self.ids if self.merge(p, self.halves) == [p]}
         self.ordered = all(max(self.rank(x), self.rank(y)) < self.rank(p) for p, (x, y) in self.halves.items() if not p.startswith(MARK * 2))
+        # From here on pieces are their ids.
+        n = len(m.pieces)
+        self.width = [0] * n
         self.longest = ahocorasick.Automaton()
         for p in self.reachable:
-            self.longest.add_word(p[::-1], len(p))
+            self.width[self.ids[p]] = len(p)
+            self.longest.add_word(p[::-1], self.ids[p])
         self.longest.make_automaton()
-        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.reachable), None) for p in self.reachable}
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.spines: dict[tuple[str, int], list[tuple[str, float, float]]] = {}
+        self.shorter = [-1] * n
+        for p in self.reachable:
+            self.shorter[self.ids[p]] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.reachable), -1)
+        #: The rank at which two neighbours merge, by left id * n + right id.
+        self.stride = n
+        self.joins = {self.ids[p[:k]] * n + self.ids[p[k:]]: self.rank(p) for p in self.ids for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids}
+        self.fits: dict[int, bool] = {}
+        self.spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self.units: dict[str, tuple[int, ...]] = {}
+        self.name = [p.piece for p in m.pieces]
         self.split = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+").findall
+        single = "".join(re.escape(c) for c in sorted(p for p in self.ids if len(p) == 1))
+        self.runs = re.compile(f"[{single}]+|.", re.S).findall
 
     def rank(self, piece: str) -> float:
         """When a piece is merged: the lower the earlier; single characters are there from the start."""
@@ -110,96 +123,104 @@ class PieceModel:
             offer(i, right[i])
         return [p for p in parts if p is not None]
 
-    def spine(self, piece: str, side: int) -> list[tuple[str, float, float]]:
-        """The pieces that stand at one end of a piece (0: its left, 1: its right) while it is merged: each with the ranks at which it comes and goes."""
-        out, gone = [], float("inf")
-        while True:
-            out.append((piece, self.rank(piece), gone))
-            if len(piece) == 1:
-                return out
-            gone, piece = self.rank(piece), self.halves[piece][side]
-
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether the joined characters of a and b merge into a and b again, seen from the merges at the seam."""
-        ok = self.fits.get((a, b))
+    def spine(self, token: int, side: int) -> list[tuple[int, float]]:
+        """The pieces that stand at one end of a token (0: its left, 1: its right) while it is merged, first the character: each with the rank at which it goes."""
+        got = self.spines.get((token, side))
+        if got is None:
+            gone, piece = float("inf"), self.name[token]
+            got = [(token, gone)]
+            while len(piece) > 1:
+                gone, piece = self.rank(piece), self.halves[piece][side]
+                got.append((self.ids[piece], gone))
+            self.spines[token, side] = got = got[::-1]
+        return got
+
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether the joined characters of tokens a and b merge into a and b again, seen from the merges at the seam.
+
+        The pieces beside the seam change as the merges of a and of b go on; while two stand side by side, they must not
+        merge with each other before one of them goes.
+        """
+        key = a * self.stride + b
+        ok = self.fits.get(key)
         if ok is None:
             if len(self.fits) > PAIRS:
                 self.fits.clear()
             if self.ordered:
-                x = self.spines.get((a, 1)) or self.spines.setdefault((a, 1), self.spine(a, 1))
-                y = self.spines.get((b, 0)) or self.spines.setdefault((b, 0), self.spine(b, 0))
-                ok = not any(
-                    (s := self.score.get(p + q)) is not None and -s < p_gone and -s <= q_gone and p_comes < q_gone and q_comes < p_gone
-                    for p, p_comes, p_gone in x
-                    for q, q_comes, q_gone in y
-                )
+                x, y, i, j, ok = self.spine(a, 1), self.spine(b, 0), 0, 0, True
+                while i < len(x) and j < len(y):
+                    (p, p_gone), (q, q_gone) = x[i], y[j]
+                    s = self.joins.get(p * self.stride + q)
+                    if s is not None and s < p_gone and s <= q_gone:
+                        ok = False
+                        break
+                    i += p_gone <= q_gone
+                    j += q_gone <= p_gone
             else:
-                ok = self.merge(a + b) == [a, b]
-            self.fits[a, b] = ok
+                x, y = self.name[a], self.name[b]
+                ok = self.merge(x + y) == [x, y]
+            self.fits[key] = ok
         return ok
 
-    def heads(self, run: str) -> list[str | None]:
+    def heads(self, run: str) -> list[int]:
         """The longest piece that begins at each position, by one pass of the automaton over the reversed run."""
-        n, out = len(run), [None] * len(run)
-        for end, size in self.longest.iter(run[::-1]):  # matches at one end come longest first
-            at = n - 1 - end
-            if out[at] is None:
-                out[at] = run[at : at + size]
+        last = len(run) - 1
+        out = [-1] * len(run)
+        for end, token in self.longest.iter(run[::-1]):  # matches at one end come longest first
+            if out[last - end] < 0:
+                out[last - end] = token
         return out
 
-    def tile(self, run: str) -> list[str]:
+    def tile(self, run: str) -> list[int]:
         """Backtracking over a run of known characters."""
         heads, n = self.heads(run), len(run)
-        failed, tokens, at, piece = 0, [], 0, heads[0]
+        width, shorter, fits, compatible, stride = self.width, self.shorter, self.fits, self.compatible, self.stride
+        failed, tokens, at, token, last = 0, [], 0, heads[0], -1
         while True:
-            last = tokens[-1] if tokens else None
-            while piece is not None and (failed >> (at + len(piece)) & 1 or last is not None and not self.compatible(last, piece)):
-                piece = self.shorter[piece]
-            if piece is not None:
-                tokens.append(piece)
-                at += len(piece)
+            while token >= 0 and (failed and failed >> (at + width[token]) & 1 or last >= 0 and not (fits.get(last * stride + token) or compatible(last, token))):
+                token = shorter[token]
+            if token >= 0:
+                tokens.append(token)
+                last = token
+                at += width[token]
                 if at == n:
                     return tokens
-                piece = heads[at]
+                token = heads[at]
             else:
                 failed |= 1 << at
                 if not tokens:
                     raise AssertionError(f"no tiling of {run!r}")
-                piece = tokens.pop()
-                at -= len(piece)
-                piece = self.shorter[piece]
+                token = tokens.pop()
+                last = tokens[-1] if tokens else -1
+                at -= width[token]
+                token = shorter[token]
+
+    def part(self, part: str) -> list[int]:
+        """The ids of known characters without a place where the text falls apart, or of a short run of them."""
+        return [self.ids[p] for p in self.merge(part)] if part.startswith(MARK * 2) else self.tile(part)
 
     def encode_unit(self, unit: str) -> tuple[int, ...]:
-        """The ids of one unit, put together from its parts between characters that no piece holds side by side."""
-        got = self.units.get(unit)
-        if got is not None:
-            return got
+        """The ids of one unit; a long one is put together from its parts between characters that no piece holds side by side."""
         out: list[int] = []
-        at = 0
-        while at < len(unit):
-            if unit[at] not in self.ids:
-                out += [self.byte_id[b] for b in unit[at].encode()]
-                at += 1
-                continue
-            end = at + 1
-            while end < len(unit) and unit[end - 1 : end + 1] in self.pairs:
-                end += 1
-            part = unit[at:end]
-            ids = self.units.get(part)
-            if ids is None:
-                ids = tuple(self.ids[p] for p in (self.merge(part) if part.startswith(MARK * 2) else self.tile(part)))
-                self.keep(part, ids)
-            out += ids
-            at = end
-        got = tuple(out)
-        self.keep(unit, got)
-        return got
-
-    def keep(self, unit: str, ids: tuple[int, ...]) -> None:
-        if len(unit) <= 64:
+        for run in self.runs(unit):
+            if run[0] not in self.ids:
+                out += [self.byte_id[b] for b in run.encode()]
+            elif len(run) <= SHORT:
+                out += self.part(run)
+            else:
+                at = 0
+                for end in range(1, len(run) + 1):
+                    if end == len(run) or run[end - 1 : end + 1] not in self.pairs:
+                        out += self.units.get(run[at:end]) or self.keep(run[at:end], tuple(self.part(run[at:end])))
+                        at = end
+        return self.keep(unit, tuple(out))
+
+    def keep(self, unit: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        if len(unit) <= SHORT:
             if len(self.units) > CACHE:
                 self.units.clear()
             self.units[unit] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
         """Ids without an end id; equal to the library's encode(text)."""

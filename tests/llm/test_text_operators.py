@@ -493,4 +493,4 @@ def test_seam_rule_equals_re_merging(library):
     for _ in range(4000):
         a, b = rng.choice(names), rng.choice(names)
         if not (a + b).startswith("▁▁") and "▁▁" not in a + b:
-            assert m.compatible(a, b) == (m.merge(a + b) == [a, b])
+            assert m.compatible(m.ids[a], m.ids[b]) == (m.merge(a + b) == [a, b])
