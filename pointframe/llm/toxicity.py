@@ -1,9 +1,11 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens are lower-cased words. A token's score is its log-odds between toxic and clean labelled documents under a
-Dirichlet prior taken from all of them. A word too rare to be known takes the odds of its longest telling stem: the
-stem's evidence are the distinct words that begin with it, each counting once by its toxic share, under a Dirichlet
-prior of the overall toxic share (so one frequent word lends its stem nothing). A constant drift below zero is added, and a linear-time scan finds
+Tokens are lower-cased words. A token's score is its log-odds between toxic and clean labelled documents under a Dirichlet
+prior of PRIOR documents, shared as the word's stem suggests: the toxic share of the distinct words that begin alike, each
+counting once, under a prior of STEM_PRIOR words shared as the next shorter stem suggests, and so on down to the overall
+share. So every token has a score, negative ones too; a rare word is drawn to its stem and an unseen one has its stem's
+odds (and one frequent word lends its stem nothing). Tallies of words and stems are kept in HASHED buckets each; words of
+one bucket are tallied together. A constant drift below zero is added, and a linear-time scan finds
 every maximal-scoring segment. A text's best segment is judged by extreme-value statistics: among clean labelled
 texts the best score of n tokens follows a Gumbel law whose location grows with log n, and the final score
 is a logistic function of the surprise (minus the log of the tail probability) fitted on the labelled documents.
@@ -15,10 +17,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,13 +29,12 @@ from pyspark.sql import types as T
 from pointframe.llm.common import append_columns, claim, cut, read_documents, texts_of
 from pointframe.llm.labelled import FIT_ROWS, held_out, label_sample
 
-WORDS = 50_000  # words and stems that a model holds at most: those of the strongest evidence
-PRIOR = 2.0  # mass of the Dirichlet prior, in documents
-SURE = 4.0  # least z-score of a word's or stem's toxic share against the overall share
-WORD_SHARE = 0.5  # least share of toxic texts among those with a word
-STEMS = range(8, 2, -1)  # lengths of the stems, longest first
-STEM_SHARE = 0.8  # least share of toxic words among the words of a stem
-DRIFT = -1.0  # added to every token
+HASHED = 1 << 20  # buckets of words and of stems
+PRIOR = 10.0  # mass of a word's Dirichlet prior, in documents
+STEM_PRIOR = 5.0  # mass of a stem's, in words
+STEMS = range(3, 9)  # lengths of the stems
+DRIFT = -2.0  # added to every token
+SHARES = 1_000_000  # a word's toxic share is summed as so many parts
 TAIL = 0.05  # a segment as good as this in a clean text of the same length is not significant
 THRESHOLD = 0.7
 
@@ -62,36 +64,56 @@ def segments(scores: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), y - x) for a, b, x, y in out]
 
 
+def bucket_of(word: str) -> int:
+    """The bucket that xxhash64 of Spark's functions gives a word or stem."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=42) & (HASHED - 1)
+
+
 class _Scores(dict):
     """Word scores, filled as words turn up; emptied when large, which changes speed only."""
 
     def __init__(self, model: ToxicModel):
         super().__init__()
         self.model = model
+        self.tallies = [memoryview(x) for x in (model.words, model.toxic, model.stems, model.shares)]
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
-        get = self.model.scores.get
-        s = get(word)
-        if s is None:
-            s = next((x for k in STEMS if len(word) > k and (x := get(word[:k] + "*")) is not None), 0.0)
-        self[word] = s
+        words, toxic, stems, shares = self.tallies
+        base = share = self.model.base
+        if base in (0.0, 1.0):  # nothing to tell apart
+            return 0.0
+        for k in STEMS:
+            if len(word) > k:
+                at = bucket_of(word[:k])
+                share = (shares[at] / SHARES + STEM_PRIOR * share) / (stems[at] + STEM_PRIOR)
+        at = bucket_of(word)
+        hits, n = toxic[at], words[at]
+        self[word] = s = math.log((hits + PRIOR * share) / (n - hits + PRIOR * (1 - share)) * (1 - base) / base)
         return s
 
 
+def _none() -> np.ndarray:
+    return np.zeros(HASHED, np.int64)
+
+
 @dataclass
 class ToxicModel:
-    """scores: of the words that stand out, of the telling stems (with a trailing *), and 0 for plain words of such stems."""
+    """Tallies by bucket: documents with a word and toxic ones among them; words with a stem and the sum of their toxic shares."""
 
-    scores: dict[str, float]
+    base: float = 0.0
+    words: np.ndarray = field(default_factory=_none)
+    toxic: np.ndarray = field(default_factory=_none)
+    stems: np.ndarray = field(default_factory=_none)
+    shares: np.ndarray = field(default_factory=_none)
     drift: float = DRIFT
 
     def __post_init__(self) -> None:
         self._cache = _Scores(self)
 
     def __reduce__(self):
-        return ToxicModel, (self.scores, self.drift)
+        return ToxicModel, (self.base, self.words, self.toxic, self.stems, self.shares, self.drift)
 
     def token_scores(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self._cache.__getitem__, words), float, len(words))
@@ -100,7 +122,7 @@ class ToxicModel:
         """(number of tokens, maximal segments as (start, end, score) in code points)."""
         low = text.lower()
         words = _WORD.findall(low)
-        found = segments(s, self.drift) if (s := self.token_scores(words)).any() else []
+        found = segments(self.token_scores(words), self.drift) if words else []
         if not found:
             return len(words), []
         # Lower-casing may change a text's length; spans are given in the text itself.
@@ -109,13 +131,6 @@ class ToxicModel:
         return len(words), [(min(at[a][0], clip), min(at[b - 1][1], clip), v) for a, b, v in found]
 
 
-def with_stem(words: DataFrame, stems: list[str]) -> DataFrame:
-    """The words that begin with one of the stems; there are at most WORDS stems."""
-    some = words.sparkSession.createDataFrame([(x,) for x in stems], "stem string")
-    each = words.select("*", F.explode(F.array(*(F.substring("word", 1, k) for k in STEMS))).alias("stem"))
-    return each.join(F.broadcast(some), "stem", "left_semi")
-
-
 COUNTS = T.StructType([T.StructField("word", T.StringType()), T.StructField("copies", T.LongType()), T.StructField("clean", T.LongType()), T.StructField("toxic", T.LongType())])
 
 
@@ -156,36 +171,30 @@ def count_words(rows: DataFrame) -> DataFrame:
     return each.groupBy("word").agg(*(F.sum(F.expr(f"{c} div copies")).alias(c) for c in ("clean", "toxic")))
 
 
+def _tally(counts: DataFrame, n, hits) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of n and hits by the bucket of `key`: at most HASHED rows, whatever the number of words."""
+    by = counts.groupBy(F.xxhash64("key").bitwiseAND(F.lit(HASHED - 1)).cast("int").alias("at")).agg(F.sum(n).alias("n"), F.sum(hits).alias("hits")).toArrow()
+    out = _none(), _none()
+    for x, c in zip(out, ("n", "hits"), strict=True):
+        x[by.column("at").to_numpy()] = by.column(c).to_numpy()
+    return out
+
+
 def fit_words(rows: DataFrame) -> ToxicModel:
-    """A model of rows (text, y). Without rows of both labels it knows no word and finds nothing."""
+    """A model of rows (text, y). Without rows of both labels it finds nothing.
+
+    Null texts count as empty; texts that occur several times under one label count once; an empty table has no label.
+    All tallies are sums of whole numbers, so the model doesn't depend on how rows are dealt out or batched.
+    """
     counts = cut(count_words(rows.select("text", "y")))
     size = counts.filter(F.col("word") == "").collect()
     n0, n1 = (size[0]["clean"], size[0]["toxic"]) if size else (0, 0)
     if not n0 or not n1:
-        return ToxicModel({})
-    base = n1 / (n0 + n1)
-    evidence = lambda hits, n: (hits - base * n) / F.sqrt(base * (1 - base) * n + 1)
-    # Dirichlet prior over the two labels: PRIOR documents, shared as all labelled documents are.
-    odds = lambda hits, n: F.log((hits + PRIOR * base) / (n - hits + PRIOR * (1 - base))) - F.lit(math.log(base / (1 - base)))
-    words = counts.filter(F.col("word") != "").select("word", "clean", "toxic", odds(F.col("toxic"), F.col("toxic") + F.col("clean")).alias("delta"), evidence(F.col("toxic"), F.col("toxic") + F.col("clean")).alias("z"))
-    toxic = (F.col("z") >= SURE) & (F.col("delta") + DRIFT > 0) & (F.col("toxic") >= WORD_SHARE * (F.col("toxic") + F.col("clean")))
-    known = {r["word"]: r["delta"] for r in words.filter(toxic).orderBy(F.desc("z"), "word").limit(WORDS).collect()}
-    stems = (
-        words.select("word", "clean", "toxic", F.explode(F.array(*(F.lit(k) for k in STEMS))).alias("k"))
-        .filter(F.length("word") > F.col("k"))
-        .groupBy(F.expr("substring(word, 1, k)").alias("stem"))
-        .agg(F.count("*").alias("n"), F.sum(F.col("toxic") / (F.col("toxic") + F.col("clean"))).alias("n1"))
-        .filter((F.col("n1") >= STEM_SHARE * F.col("n")) & (evidence(F.col("n1"), F.col("n")) >= SURE))
-        .select("stem", "n1", odds(F.col("n1"), F.col("n")).alias("delta"))
-        .orderBy(F.desc("n1"), "stem")
-        .limit(WORDS)
-    ).collect()
-    if stems:
-        telling = {r["stem"] + "*": r["delta"] for r in stems}
-        lead = with_stem(words, [r["stem"] for r in stems]).filter(F.col("clean") > F.col("toxic"))
-        known |= {r["word"]: 0.0 for r in lead.select("word").distinct().collect() if r["word"] not in known}
-        known |= telling
-    return ToxicModel(known)
+        return ToxicModel()
+    words = counts.filter(F.col("word") != "").select("word", F.col("word").alias("key"), "toxic", (F.col("clean") + F.col("toxic")).alias("n"))
+    each = words.select("toxic", "n", "word", F.explode(F.array(*(F.lit(k) for k in STEMS))).alias("k")).filter(F.length("word") > F.col("k"))
+    stems = each.select(F.expr("substring(word, 1, k)").alias("key"), F.expr(f"{SHARES} * toxic div n").alias("share"))
+    return ToxicModel(n1 / (n0 + n1), *_tally(words, F.col("n"), F.col("toxic")), *_tally(stems, F.lit(1), F.col("share")))
 
 
 PASSAGE = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -195,7 +204,7 @@ def find_passages(docs: DataFrame, model: ToxicModel, text_col: str = "text") ->
     """docs with n_tokens and passages (start, end, score), the maximal-scoring segments of each whole text.
 
     A null or empty text has no token and no passage; repeated rows stay; an empty table stays empty; existing columns
-    of these names are replaced. The model holds at most 2 x WORDS entries, so its broadcast doesn't grow with the data.
+    of these names are replaced. The model is 4 x HASHED numbers, so its broadcast doesn't grow with the data.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -240,6 +249,7 @@ def fit_calibration(rows: list[tuple[float, int, int]]) -> Calibration:
     clean texts have none); the logistic is fitted by Newton steps with a ridge.
     """
     cal = Calibration()
+    rows = sorted(rows)  # sums of floats in one order
     clean = np.array([(s, max(n, 1)) for s, n, y in rows if y == 0 and s > 0]).reshape(-1, 2)
     s = np.concatenate([clean[:, 0], np.linspace(0.5, 1.5, 10)])
     cal.lam = min(math.pi / math.sqrt(6) / max(float(s.std()), 0.3), 3.0)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -228,7 +229,7 @@ def test_languages_on_held_out_rows(spark):
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     out = toxicity.op10_toxicity(spark, d).join(spark.read.parquet(d + "/labels.parquet"), "doc_id").filter("held_out AND toxic IS NOT NULL").toPandas()
-    assert out[out.toxic == 1].predicted.mean() > 0.75 and out[out.toxic == 0].predicted.mean() < 0.02
+    assert out[out.toxic == 1].predicted.mean() >= 0.89 and out[out.toxic == 0].predicted.mean() < 0.01
 
 
 def test_folds_are_crc32(spark):
@@ -268,6 +269,61 @@ def test_word_counts_do_not_depend_on_batches(spark):
         assert {r.word: (r.clean, r.toxic) for r in toxicity.count_words(docs.repartition(parts)).collect()} == want
 
 
+def test_toxicity_equals_brute_force_however_rows_are_batched(spark, tmp_path):
+    rng, d = random.Random(3), str(tmp_path)
+    plain, bad = [f"plain{k}" for k in range(60)], [f"vile{x}" for x in "abcdefgh"]
+    docs, labels = [], []
+    for k in range(240):
+        toxic = int(k % 4 == 0)
+        words = [rng.choice(plain) for _ in range(rng.randrange(1, 25))] + [rng.choice(bad) for _ in range(toxic * rng.randrange(1, 4))]
+        rng.shuffle(words)
+        docs.append((k, " ".join(words) if k % 17 else docs[-1][1] if k else None))
+        labels.append((k, toxic if k % 31 else 1 - toxic))
+    docs += [(500, ""), (501, None), (502, "vilezz"), (503, "!!")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(d + "/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(d + "/labels.parquet")
+
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    y = {k: v for k, v in labels if zlib.crc32(str(k).encode()) % 3 != 1}
+    fit = {(t or "", y[k]) for k, t in docs if k in y}
+    n1 = sum(v for _, v in fit)
+    base = n1 / len(fit)
+    sets = [(set(words(t)), v) for t, v in fit]
+    n = {w: sum(w in s for s, _ in sets) for s, _ in sets for w in s}
+    hits = {w: sum(w in s for s, v in sets if v) for w in n}
+
+    def odds(w):
+        share = base
+        for k in range(3, 9):
+            if len(w) > k:
+                alike = [hits[x] * 10**6 // n[x] / 10**6 for x in n if len(x) > k and x[:k] == w[:k]]
+                share = (sum(alike) + 5 * share) / (len(alike) + 5)
+        h, m = hits.get(w, 0), n.get(w, 0)
+        return math.log((h + 10 * share) / (m - h + 10 * (1 - share))) - math.log(base / (1 - base))
+
+    best = {}
+    for k, t in docs:
+        v = [odds(w) - 2 for w in words(t)]
+        best[k] = max([0.0] + [sum(v[i:j]) for i in range(len(v)) for j in range(i + 1, len(v) + 1)]), len(v)
+    cal = toxicity.fit_calibration([(*best[k], y[k]) for k, _ in docs if k in y])
+
+    def score(s, m):
+        x = cal.lam * (s - cal.mu) - math.log(max(m, 1))
+        tail = 0.0 if s <= 0 else x if x > 30 else -math.log(max(-math.expm1(-math.exp(-max(x, -5.0))), 1e-300))
+        return 1 / (1 + math.exp(-cal.bias - cal.slope * min(tail, 12.0)))
+
+    was, got = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    try:
+        for rows in ("7", was):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            got.append({r.doc_id: (r.score, r.predicted) for r in toxicity.op10_toxicity(spark, d).collect()})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert got[0] == got[1]
+    assert all(abs(got[0][k][0] - score(*best[k])) < 1e-6 and got[0][k][1] == (score(*best[k]) >= 0.7) for k in best)
+    assert got[0][502][1] == 1 and got[0][500][1] == 0
+
+
 # 5. Fingerprints
 
 
