@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,10 +36,11 @@ SILENT = frozenset("head template noscript svg math object canvas audio video se
 #: Fixed values of HTML: what an opening tag closes, if it is open inside the nearest of the stops.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
-_TAG = re.compile(
-    r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?:[!?])[^>]*+>|/(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>|(?P<tag>[a-zA-Z][^\s/>]*+)(?:(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<rest>[^>]*+)>))""", re.S
-)
-_ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style|data-main)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_EDGE = re.compile(r"""[>"']""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in sorted(RAW)}
+_ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_MARK = re.compile(r"""data-main\s*=\s*["']?([01])""")  # the label of a training page's element
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -83,35 +85,94 @@ class Block:
 @dataclass
 class _Frame:
     tag: str
+    holder: str  # the nearest block element, itself included
     features: frozenset[str]
     label: int | None
     silent: bool = False
 
 
 @functools.lru_cache(20_000)
-def _frame_features(tag: str, attrs: str) -> tuple[frozenset[str], int | None]:
-    out, label = {"t=" + tag} if tag in BLOCKS else set(), None
+def _frame_features(tag: str, attrs: str) -> frozenset[str]:
+    out = {"t=" + tag} if tag in BLOCKS else set()
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "data-main":
-            label = int(value)
-        elif key in ("hidden", "aria-hidden", "style"):
+        if key in ("hidden", "aria-hidden", "style"):
             if key == "hidden" or value.lower() == "true" or "display:none" in value.replace(" ", "").lower():
                 out.add("hidden")
         elif key == "role":
             out.add("r=" + value.lower())
         else:
             out.update(_name_features(value))
-    return frozenset(out), label
-
-
-def read_blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page, character references decoded and white space runs made one space; blank ones are left out."""
+    return frozenset(out)
+
+
+class _Scanner:
+    """Where markup begins and ends in a page; no part of the page is gone through more than a few times, whatever is left open."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+        self.open: set[int] = set()  # places outside of quotes from which no tag ends
+
+    def close_of(self, at: int) -> int:
+        """The end of a start tag whose attributes begin at `at`: after the first > outside of quotes or, without one, the first."""
+        page, k, seen = self.page, at, []
+        while k not in self.open and (m := _EDGE.search(page, k)) is not None:
+            if m[0] == ">":
+                return m.end()
+            seen.append(k)
+            k = page.find(m[0], m.end()) + 1 if m.start() < self.quotes[m[0]] else -1
+            if k < 0:
+                break
+        self.open.update(seen)
+        return page.find(">", at) + 1
+
+    def tags(self):
+        """(start, end, kind, name, attributes) of each piece of markup: kind is "<", "/" or "!"; start tags may be answered by a place to go on from."""
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            sign = page[start + 1 : start + 2]
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = len(page) if end < 0 else end + 3
+                yield start, at, "!", "", ""
+                continue
+            if start > self.last:
+                return  # nothing closes any more
+            if sign in ("!", "?"):
+                at = page.find(">", start) + 1
+                yield start, at, "!", "", ""
+            elif sign == "/" and (m := _NAME.match(page, start + 2)) is not None:
+                at = page.find(">", m.end()) + 1
+                yield start, at, "/", m[0].lower(), ""
+            elif (m := _NAME.match(page, start + 1)) is not None:
+                at = self.close_of(m.end())
+                at = (yield start, at, "<", m[0].lower(), page[m.end() : at - 1]) or at
+            else:
+                at = start + 1
+
+
+def read_blocks(page: str, known: frozenset[str] | None = None, marked: bool = False) -> list[Block]:
+    """The leaf blocks of a page, character references decoded and white space runs made one space; blank ones are left out.
+
+    Of ancestors, only features in `known` are kept, if it is given; labels are read from marked pages only. The time is
+    linear in the page: which elements are open, and where the nearest of a kind stands, is kept along with the stack.
+    """
     blocks: list[Block] = []
-    stack = [_Frame("", frozenset(), None)]
+    stack = [_Frame("", "", frozenset(), None)]
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a tag
+    walls: list[int] = []  # of the open block elements
     text: list[str] = []
-    linked = links = 0
-    at, end = 0, len(page)
+    linked, at = 0, 0
+    scanner = _Scanner(page)
+
+    def add(upto: int) -> None:
+        nonlocal linked
+        if upto > at and not stack[-1].silent:
+            text.append(page[at:upto])
+            if places["a"]:
+                linked += upto - at
 
     def flush() -> None:
         nonlocal linked
@@ -119,80 +180,72 @@ def read_blocks(page: str) -> list[Block]:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
                 top = stack[-1]
-                holder = next((f.tag for f in reversed(stack) if f.tag in BLOCKS), "")
-                blocks.append(Block(joined, holder, top.features, linked, top.label))
+                blocks.append(Block(joined, top.holder, top.features, linked, top.label))
             text.clear()
         linked = 0
 
+    def nearest(tags) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
     def close(down_to: int) -> None:
-        nonlocal links
-        if any(f.tag in BLOCKS for f in stack[down_to:]):
+        if walls and walls[-1] >= down_to:
             flush()
-        links -= sum(f.tag == "a" for f in stack[down_to:])
-        del stack[down_to:]
-
-    while at < end:
-        m = _TAG.search(page, at)
-        stop = m.start() if m else end
-        if stop > at and not stack[-1].silent:
-            text.append(page[at:stop])
-            if links:
-                linked += stop - at
-        if m is None:
+        while len(stack) > down_to:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if walls and walls[-1] == len(stack):
+                walls.pop()
+
+    markup = scanner.tags()
+    answer = None
+    while True:
+        try:
+            start, end, kind, tag, attrs = markup.send(answer)
+        except StopIteration:
             break
-        at = m.end()
-        tag = (m["tag"] or m["end"] or "").lower()
-        if not tag:
+        answer = None
+        add(start)
+        at = end
+        if kind == "!":
             continue
-        if m["end"]:
-            if tag == "p" and not any(f.tag == "p" for f in stack):
+        if kind == "/":
+            if tag == "p" and not places["p"]:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if tag not in BLOCKS and tag not in SILENT and stack[k].tag in BLOCKS:
-                    break  # an inline end tag doesn't close blocks
+            k = nearest((tag,))
+            if k and (tag in BLOCKS or tag in SILENT or not walls or k > walls[-1]):  # an inline end tag doesn't close blocks
+                close(k)
             continue
         if tag == "br" or tag == "wbr":
             if not stack[-1].silent and tag == "br":
                 text.append(" ")
             continue
         if tag in RAW:
-            close_at = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close_at.end() if close_at else end
+            m = _RAW_END[tag].search(page, at) if at <= scanner.last else None
+            answer = at = page.find(">", m.end()) + 1 or len(page) if m else len(page)
             continue
         if tag in BLOCKS:
             flush()
             if tag not in ("body", "html"):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        close(k)
-                        break
-                    if stack[k].tag in ("td", "th", "button", "table"):
-                        break
-            else:  # a body ends the head
-                for k in range(1, len(stack)):
-                    if stack[k].tag == "head":
-                        close(k)
-                        break
+                if (k := nearest(("p",))) > nearest(("td", "th", "button", "table")):
+                    close(k)
+            elif places["head"]:  # a body ends the head
+                close(places["head"][0])
             if tag in CLOSES:
                 closed, stops = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in closed:
-                        close(k)
-                        break
-                    if stack[k].tag in stops:
-                        break
-        if tag in VOIDS:
-            continue
-        attrs = m["attrs"] if m["attrs"] is not None else m["rest"] or ""
-        if attrs.endswith("/") and tag in SILENT:
+                if (k := nearest(closed)) > nearest(stops):
+                    close(k)
+        if tag in VOIDS or attrs.endswith("/") and tag in SILENT:
             continue
-        features, label = _frame_features(tag, attrs) if len(attrs) < 300 else _frame_features.__wrapped__(tag, attrs)
+        features = _frame_features(tag, attrs) if len(attrs) < 300 else _frame_features.__wrapped__(tag, attrs)
+        if known is not None:
+            features &= known
         top = stack[-1]
-        stack.append(_Frame(tag, top.features | features if features else top.features, label if label is not None else top.label, top.silent or tag in SILENT))
-        links += tag == "a"
+        mark = _MARK.search(attrs) if marked else None
+        places[tag].append(len(stack))
+        if tag in BLOCKS:
+            walls.append(len(stack))
+        stack.append(_Frame(tag, tag if tag in BLOCKS else top.holder, top.features if features <= top.features else top.features | features, int(mark[1]) if mark else top.label, top.silent or tag in SILENT))
+    add(len(page))
     flush()
     return blocks
 
@@ -217,7 +270,7 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
         f.append("place=" + ("first" if k == 0 else "last" if k == n - 1 else "in"))
         if heading is not None:
             f.append("after_h1" if k >= heading else "before_h1")
-        f += [name for name, cue in _CUES.items() if len(b.text) < 400 and cue.search(b.text)]
+        f += [f"{name},{min(words.bit_length(), 8)}" for name, cue in _CUES.items() if cue.search(b.text)]
         out.append(f)
     return out
 
@@ -229,6 +282,10 @@ class Field:
     weights: dict[str, float] = field(default_factory=dict)
     step: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
 
+    @functools.cached_property
+    def known(self) -> frozenset[str]:
+        return frozenset(self.weights)
+
     def emissions(self, feats: list[list[str]]) -> list[float]:
         get = self.weights.get
         return [sum([get(x, 0.0) for x in f]) for f in feats]
@@ -277,7 +334,7 @@ def train(pages: list[str], epochs: int = EPOCHS, rate: float = 0.3, decay: floa
     model, seen, seen_step = Field(), {}, np.full((2, 2), 1.0)
     data = []
     for p in pages:
-        blocks = read_blocks(p)
+        blocks = read_blocks(p, marked=True)
         if blocks:
             data.append((block_features(blocks), [b.label or 0 for b in blocks]))
     for _ in range(epochs):
@@ -303,7 +360,7 @@ def trained() -> Field:
 
 
 def main_text(page: str, model: Field) -> str:
-    blocks = read_blocks(page)
+    blocks = read_blocks(page, model.known)
     labels = model.decode(block_features(blocks))
     return "\n".join(b.text for b, y in zip(blocks, labels, strict=True) if y)
 

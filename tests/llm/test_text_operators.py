@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -185,7 +186,7 @@ def test_every_literal_of_a_long_constant_is_followed():
 def test_field_learns_unseen_layouts():
     model, wrong, total = pages.trained(), 0, 0
     for p in page_samples.sample_pages(120, seed=99):
-        blocks = pages.read_blocks(p)
+        blocks = pages.read_blocks(p, marked=True)
         got = model.decode(pages.block_features(blocks))
         wrong += sum(y != (b.label or 0) for y, b in zip(got, blocks, strict=True))
         total += len(blocks)
@@ -211,6 +212,47 @@ def test_main_text_of_a_page():
     assert pages.main_text(html, pages.trained()) == "A & B\nOne two three.\nFour five six."
 
 
+def test_marks_of_training_pages_are_not_read_from_others():
+    page = '<div data-main="app.js"><p data-main>One two three four five.</p></div><main data-main=1>x</main>'
+    assert [b.label for b in pages.read_blocks(page)] == [None, None]
+    assert isinstance(pages.main_text(page, pages.trained()), str)
+    assert [b.label for b in pages.read_blocks(page, marked=True)] == [None, 1]
+
+
+def test_odd_markup_takes_linear_time():
+    model = pages.trained()
+    units = ["<div>", "<b></i>", "<a ", '<a b="', "<a '\">\"'", "</p ", "<!", "<script ", "</x>", "<p><td>", "<ul><li>", '<div class="ad q">', "&", "<span class=x>y", "<!-- ", "<table><tr><td>z"]
+    names = "".join(f"<div class={''.join(chr(97 + k // 26**j % 26) for j in range(4))}>y" for k in range(50_000))
+    for page in [names, *(u * (1_000_000 // len(u)) for u in units), *((u * (500_000 // len(u))) + ">" for u in units)]:
+        began = time.process_time()
+        pages.main_text(page, model)
+        assert time.process_time() - began < 4, page[:20]
+
+
+def test_gradient_is_that_of_the_log_likelihood():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        n = int(rng.integers(1, 6))
+        e, step, y = rng.normal(size=n), rng.normal(size=(2, 2)), rng.integers(0, 2, n).tolist()
+        feats = [[str(k)] for k in range(n)]
+
+        def log_p(e, step):
+            value = lambda z: sum(e[k] * z[k] for k in range(n)) + sum(step[z[k - 1], z[k]] for k in range(1, n))  # noqa: B023, E731
+            every = [value([m >> k & 1 for k in range(n)]) for m in range(1 << n)]
+            return value(y) - np.log(np.sum(np.exp(every)))  # noqa: B023
+
+        de, ds = pages.Field({str(k): float(v) for k, v in enumerate(e)}, step).gradient(feats, y)
+        for k in range(n):
+            up = e.copy()
+            up[k] += 1e-6
+            assert abs((log_p(up, step) - log_p(e, step)) / 1e-6 - de[k]) < 1e-4
+        for i in range(2):
+            for j in range(2):
+                up = step.copy()
+                up[i, j] += 1e-6
+                assert abs((log_p(e, up) - log_p(e, step)) / 1e-6 - ds[i, j]) < 1e-4
+
+
 # 4, 9, 10. Classifiers on held-out rows
 
 
