@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -44,7 +45,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 _OP = re.compile(r"[=:]")
-_PAIR = re.compile(rf"""(?<![\w.\-$])(?:"({_NAME})"|'({_NAME})'|(?:[$@]{{1,2}}(?:\w+:(?=[A-Za-z_]))?)?({_NAME}))(?:\x20?[\]}}])?(?:\x20*:\x20*[A-Za-z_][\w\[\], ]{{0,60}}?(?=\x20*=))?[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*""")
+_PAIR = re.compile(rf"""(?<![\w.\-$])(?:"({_NAME})"|'({_NAME})'|(?:[$@]{{1,2}}(?:\w+:(?=[A-Za-z_]))?)?({_NAME}))(?:\x20?[\]}}])?(?:\x20*:\x20*[A-Za-z_][\w\[\], ]*+(?==))?[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*""")
 _ATOM = re.compile(rf"""[\x20\t]*(?:(?P<q>["'`])(?P<s>(?:\\.|(?!(?P=q)).)*)(?P=q)|\$\{{(?P<i>{_NAME})\}}|[$@]?[A-Za-z_][\w.]*\[["'](?P<k>{_NAME})["']\]|\$(?P<d>[A-Za-z_]\w*)|(?P<b>[^\s"'`,;(){{}}\[\]+]+))""")
 _TRIPLE = re.compile(r"""[\x20\t]*[A-Za-z]{0,2}(?P<q>"{3}|'{3}|`{3})(?P<s>(?s:.*?))(?P=q)""")
 _LONG = re.compile(r"""[\x20\t]*(?P<q>["'`])(?P<s>(?s:\\.|(?!(?P=q))[^\\])*+)(?P=q)""")
@@ -237,8 +238,9 @@ def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, s
     out = []
     if ":" in text or "=" in text:
         out = [("assign", m.start(), m.end(), m[1], 1.0) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-        covered = [(s, e) for _, s, e, *_ in out]
-        out += [("literal", s, e, name, score) for s, e, name, score in lex(text, threshold) if not any(a < e and s < b for a, b in covered)]
+        starts, ends = [x[1] for x in out], [x[2] for x in out]  # in order, without overlaps
+        free = lambda s, e: not (k := bisect_left(starts, e)) or ends[k - 1] <= s
+        out += [("literal", s, e, name, score) for s, e, name, score in lex(text, threshold) if free(s, e)]
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), "", 1.0) for m in ACCESS.finditer(text)]
     out += [("hex", m.start(), m.end(), "", 1.0) for m in HEX.finditer(text)]
