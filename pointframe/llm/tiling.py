@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointframe.llm.common import claim, read_documents, table, texts_of
+from pointframe.llm.common import chunks, claim, cut, read_documents, table, texts_of
 
 SEED = 5
 COVERAGE = 0.5
@@ -75,6 +76,8 @@ def tile(doc: list[int], item: list[int], least: int = SEED) -> list[tuple[int,
         found, best = [], 0
         for h, i in rolling(item, free_i, length):
             for d in index.get(h, ()):
+                if i and d and free_i[i - 1] and free_d[d - 1] and item[i - 1] == doc[d - 1]:
+                    continue  # part of a longer match, so never the longest
                 k = 0
                 while d + k < len(doc) and i + k < len(item) and free_d[d + k] and free_i[i + k] and doc[d + k] == item[i + k]:
                     k += 1
@@ -87,7 +90,7 @@ def tile(doc: list[int], item: list[int], least: int = SEED) -> list[tuple[int,
         return best, found
 
     length = max(least, len(item))
-    while True:
+    while any(free_i):
         best, found = scan(length)
         if best >= 2 * length:
             length = best
@@ -102,6 +105,7 @@ def tile(doc: list[int], item: list[int], least: int = SEED) -> list[tuple[int,
             return tiles
         else:
             length = max(least, length // 2)
+    return tiles
 
 
 @dataclass
@@ -206,32 +210,41 @@ RESULT = T.StructType(
 HITS = T.ArrayType(RESULT)
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, chars: int = BLOCK_CHARS) -> list[list[tuple[object, str]]]:
+def blocks(items: DataFrame, id_col: str, text_col: str, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
     """The distinct items in blocks of about so many characters; streamed to the driver one partition at a time."""
-    out: list[list[tuple[object, str]]] = [[]]
+    block: list[tuple[object, str]] = []
     size = 0
     for r in items.select(id_col, text_col).filter(F.col(text_col).isNotNull()).distinct().orderBy(id_col, text_col).toLocalIterator():
-        if size + len(r[1]) > chars and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((r[0], r[1]))
+        if size + len(r[1]) > chars and block:
+            yield block
+            block, size = [], 0
+        block.append((r[0], r[1]))
         size += len(r[1])
-    return out
+    yield block
 
 
 def contaminations(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, hits_col: str = "hits") -> DataFrame:
     """docs with hits: (item_id, coverage, item_tokens, tiles) of each item whose tokens are covered to `coverage` or more.
 
-    Every item is held against every whole text, a block of items at a time if the benchmark is large (a pass over
-    docs for each BLOCK_CHARS characters of it). Null, empty and wordless texts and items match nothing; items that
-    occur twice under one id count once; an item of fewer than SEED tokens must occur whole; repeated documents stay; an
-    empty table of either kind gives no hit; an existing column named as the new one is replaced.
+    Every item is held against every whole text. A benchmark of more than BLOCK_CHARS characters is gone through in blocks:
+    the driver and the tasks hold one block at a time, and docs with the hits so far is written once for each block but the
+    last. Null, empty and wordless texts and items match nothing; items that occur twice under one id count once; an item
+    of fewer than SEED tokens must occur whole; repeated documents stay; an empty table of either kind gives no hit; an
+    existing column named as the new one is replaced. Item ids must be whole numbers; null is one of them.
     """
+    if not isinstance(items.schema[item_id].dataType, T.IntegralType):
+        raise ValueError(f"{item_id} must be a whole number")
     spark = docs.sparkSession
+    items = items.withColumn(item_id, F.col(item_id).cast("long"))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("item_tokens", pa.int64()), ("tiles", pa.list_(pa.struct([(x, pa.int64()) for x in ("doc_token", "item_token", "tokens")])))]))
     out = docs.drop(*[c for c in docs.columns if c.lower() == hits_col.lower()]).withColumn(hits_col, F.array().cast(HITS))
+    held = None
     for block in blocks(items, item_id, item_text):
-        out = _searched(out, spark.sparkContext.broadcast(block), uuid.uuid4().hex, text_col, hits_col, coverage, kind)
+        if held is not None:
+            out = cut(out)
+            held.destroy()
+        held = spark.sparkContext.broadcast(block)
+        out = _searched(out, held, uuid.uuid4().hex, text_col, hits_col, coverage, kind)
     return out
 
 
@@ -247,9 +260,7 @@ def _searched(docs: DataFrame, bench, key: str, text_col: str, hits_col: str, co
         if b is None:  # kept by each Python worker between tasks
             _built.clear()
             b = _built[key] = Bench.build(bench.value)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in chunks(whole, text_col)):
             found = []
             for text, had in zip(texts_of(batch, text_col), batch.column(hits_col).to_pylist(), strict=True):
                 got = [
