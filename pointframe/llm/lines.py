@@ -44,10 +44,10 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     return per_line.join(per_host, "host").filter(F.col("n") > F.lit(max_ratio) * F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = False) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = False, keep_whole: bool = False) -> DataFrame:
     """docs without the boilerplate lines of their hosts, with n_dropped, the number of lines dropped from each page.
 
-    A page of nothing but boilerplate and blank lines is a copy rather than a carrier of boilerplate; it stays whole. A
+    A page of nothing but boilerplate and blank lines loses its boilerplate as any other, or stays whole with keep_whole. A
     null host has no statistics and its pages stay as they are; null and empty texts stay; blank lines are never
     boilerplate; pages of a host with the same text count once, or each with copies; an empty table stays empty. A column n_dropped of docs is
     replaced; others stay.
@@ -55,26 +55,29 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     known = cut(boilerplate(docs, host_col, text_col, max_ratio, min_pages, copies))
     size = known.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("n"), F.count("*").alias("hosts")).first()
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "n_dropped"])
-    host, drop, salt = free_name(docs, "_host"), free_name(docs, "_lines"), free_name(docs, "_salt")
+    host, drop, salt, part = (free_name(docs, x) for x in ("_host", "_lines", "_salt", "_part"))
     if size["n"] + size["hosts"] <= BROADCAST_LINES:
         right = F.broadcast(known.select(F.col("host").alias(host), F.col("lines").alias(drop)))
         joined = docs.join(right, docs[host_col] == right[host], "left").drop(host)
     else:
-        right = known.select(F.col("host").alias(host), F.col("lines").alias(drop), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_part"))
+        right = known.select(F.col("host").alias(host), F.col("lines").alias(drop), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias(part))
         left = docs.withColumn(salt, F.pmod(F.xxhash64(text_col, host_col), F.lit(SALT)).cast("int"))
-        joined = left.join(right, (left[host_col] == right[host]) & (left[salt] == right["_part"]), "left").drop(host, salt, "_part")
-    return without_lines(joined, text_col, drop)
+        joined = left.join(right, (left[host_col] == right[host]) & (left[salt] == right[part]), "left").drop(host, salt, part)
+    return without_lines(joined, text_col, drop, keep_whole)
 
 
-def without_lines(joined: DataFrame, text_col: str, drop: str) -> DataFrame:
-    text = F.col(text_col)
+def without_lines(joined: DataFrame, text_col: str, drop: str, keep_whole: bool = False) -> DataFrame:
+    """joined without the lines in its column drop, and without that column, with n_dropped."""
+    text, left = F.col(text_col), free_name(joined, "_kept")
     lines = F.split(text, "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col(drop), F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"))))
-    touched = joined.withColumn("n_dropped", F.lit(0)).withColumn("_kept", F.when(F.col(drop).isNotNull() & text.isNotNull(), kept))
-    cleaned = F.col("_kept").isNotNull() & F.exists("_kept", lambda x: x != "")
+    touched = joined.withColumn(left, F.when(F.col(drop).isNotNull() & text.isNotNull(), kept))
+    cleaned = F.col(left).isNotNull()
+    if keep_whole:
+        cleaned &= F.exists(left, lambda x: x != "")
     return touched.select(
-        *(F.when(cleaned, F.array_join("_kept", "\n")).otherwise(text).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in joined.columns if c != drop),
-        F.coalesce(F.when(cleaned, F.size(lines) - F.size("_kept")), F.lit(0)).cast("long").alias("n_dropped"),
+        *(F.when(cleaned, F.array_join(left, "\n")).otherwise(text).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in joined.columns if c != drop),
+        F.coalesce(F.when(cleaned, F.size(lines) - F.size(left)), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
@@ -99,7 +102,7 @@ WITH hosts AS (
 ), kept AS (
   SELECT *, CASE WHEN dropped IS NOT NULL THEN list_filter(lines, lambda x: NOT list_contains(dropped, x)) END AS kept FROM split
 ), judged AS (
-  SELECT *, coalesce(len(list_filter(kept, lambda x: x <> '')) > 0, false) AS cleaned FROM kept
+  SELECT *, kept IS NOT NULL AS cleaned FROM kept
 )
 SELECT doc_id, source,
        CASE WHEN cleaned THEN array_to_string(kept, chr(10)) ELSE text END AS text,
