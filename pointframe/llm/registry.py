@@ -13,5 +13,6 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_language_id": language.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
+    "spot_near_classes": spots.spot_near_classes,
 }
 ORACLES: dict[str, str] = {"op6_line_dedup": lines.OP6_SQL}

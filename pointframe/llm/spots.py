@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pointframe.llm.buckets import INDEXED, STREAMED, link_buckets
-from pointframe.llm.common import cut, read_documents
+from pointframe.llm.common import cut, free_name, read_documents
 from pointframe.llm.graph import lookup
 
 CHAIN = 2
@@ -37,10 +37,11 @@ _MARK = "\x01"
 def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The distinct signatures of a text, as hashes. A null text counts as empty and has none.
 
-    A text with words but without a chain has one signature: all its words.
+    A text with words but without a chain has one signature: all its words. What is neither letter nor digit only parts
+    words, control characters included; equal texts have equal signatures, in whatever row or table they stand.
     """
     words = "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w)))
-    s = F.regexp_replace(F.concat(F.lit("\n"), F.lower(F.coalesce(text, F.lit("")))), r"[\n.!?|;]+", f" {_MARK} ")
+    s = F.regexp_replace(F.concat(F.lit("\n"), F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARK, " ")), r"[\n.!?|;]+", f" {_MARK} ")
     s = F.concat(F.regexp_replace(s, rf"[^\p{{L}}\p{{N}}{_MARK}]+", " "), F.lit(" "))
     s = F.regexp_replace(s, rf" (?:{words})(?= )", f" {_MARK}")
     s = F.regexp_replace(s, rf"(?: {_MARK}){{2,}}+", f" {_MARK}")
@@ -92,22 +93,21 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", deriv
     firsts = [(r["b"], r["o"]) for r in docs.groupBy(_bucket(order, bounds).alias("b")).agg(F.min(order).alias("o")).collect()]  # one row for each range
     firsts.sort()
     ghosts = [(o, firsts[i - 1][0]) for i, (_, o) in enumerate(firsts)]
-    ghost = spark.createDataFrame(ghosts, "_first long, _before int")
+    at_, own, first, before, ghost, range_ = (free_name(docs, x) for x in ("_order", "_own", "_first", "_before", "_ghost", "_range"))
+    heads = spark.createDataFrame(ghosts, f"`{first}` long, `{before}` int")
+    place = lambda is_ghost, of: F.struct(F.lit(is_ghost).alias("ghost"), F.col(of).alias("range"))
     dealt = (
-        docs.withColumn("_order", order)
-        .withColumn("_own", _bucket(F.col("_order"), bounds))
-        .join(F.broadcast(ghost), F.col("_order") == F.col("_first"), "left")
-        .withColumn("_places", F.when(F.col("_before").isNull(), F.array(F.struct(F.lit(False).alias("ghost"), F.col("_own").alias("range")))).otherwise(
-            F.array(F.struct(F.lit(False).alias("ghost"), F.col("_own").alias("range")), F.struct(F.lit(True).alias("ghost"), F.col("_before").alias("range")))
-        ))
-        .withColumn("_at", F.explode("_places"))
-        .select(*docs.columns, "_order", F.col("_at.ghost").alias("_ghost"), F.col("_at.range").alias("_range"))
+        docs.withColumn(at_, order)
+        .withColumn(own, _bucket(F.col(at_), bounds))
+        .join(F.broadcast(heads), F.col(at_) == F.col(first), "left")
+        .withColumn(ghost, F.explode(F.when(F.col(before).isNull(), F.array(place(False, own))).otherwise(F.array(place(False, own), place(True, before)))))
+        .select(*docs.columns, at_, F.col(ghost)["range"].alias(range_), F.col(ghost)["ghost"].alias(ghost))
     )
-    w = Window.partitionBy("_range").orderBy("_ghost", "_order", F.xxhash64(*(F.col(c) for c in columns)), *columns)
+    w = Window.partitionBy(range_).orderBy(ghost, at_, F.xxhash64(*(F.col(c) for c in columns)), *columns)
     derived = derived or {}
-    dealt = dealt.repartition("_range").withColumns(derived)
-    out = dealt.select(*docs.columns, *derived, "_ghost", *(F.lead(c).over(w).alias(f"next_{c}") for c in [*columns, *derived]))
-    return out.filter(~F.col("_ghost")).drop("_ghost")
+    dealt = dealt.repartition(range_).withColumns(derived)
+    out = dealt.select(*docs.columns, *derived, ghost, *(F.lead(c).over(w).alias(f"next_{c}") for c in [*columns, *derived]))
+    return out.filter(~F.col(ghost)).drop(ghost)
 
 
 def _linked(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -143,6 +143,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return lookup(rows.select("id", "node"), classes, "node", F.coalesce("id", F.lit(0))).select(F.col("id").alias(id_col), "class_id")
 
 
+def spot_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document by fingerprints: partitions by set length, pruned Jaccard."""
+    return near_classes(read_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and the likeness to the edited and to the next document."""
     docs = read_documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
