@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import itertools
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -156,7 +156,8 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
     """A model of the rows' (doc_id, text, lang).
 
     Rows with a null language and texts without letters teach nothing; with no row at all the model knows no
-    language and predicts `und`. Languages beyond the MAX_LANGS most frequent are refused.
+    language and predicts `und`. A table of more than MAX_LANGS languages is refused with an error, since the counts of all
+    languages reach the driver. If a language has more than about fit_rows rows, a sample of them by hash is taken.
     """
     rows = rows.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull())
     per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
@@ -166,7 +167,7 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
     for lang, n in per.items():
         if n > fit_rows:
             share = F.when(F.col("lang") == lang, F.lit(fit_rows / n)).otherwise(share)
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    picked = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30))
     sums = picked.mapInArrow(_count, COUNTS).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sums["lang"].unique())
     counts = np.zeros((len(langs), BUCKETS))
@@ -187,8 +188,8 @@ def from_counts(langs: list[str], counts: np.ndarray) -> LanguageModel:
     return LanguageModel(langs, codes, weights, trust / trust.mean())
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and ambiguous.
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", names: Sequence[str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """docs with lang_pred, score and ambiguous, or as names has it.
 
     A null text or one without letters gets `und`, score 0 and ambiguous; repeated rows stay; an empty table stays
     empty; existing columns of these names are replaced. The model is languages x buckets numbers, whatever the input.
@@ -207,7 +208,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
         return fn
 
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+    fields = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
     return append_columns(docs, text_col, fields, make)
 
 

@@ -182,7 +182,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", stats_col: str = "s
 
 
 def score_statistics(stats: DataFrame, model: Discriminant | None, stats_col: str = "stats") -> DataFrame:
-    """stats with score; without a model every score is 0.5."""
+    """stats with score; without a model every score is 0.5. Repeated rows stay; an empty table stays empty; an existing score is replaced."""
     fields = T.StructType([f for f in stats.schema.fields if f.name != "score"] + [T.StructField("score", T.DoubleType())])
 
     def run(batches):
@@ -201,6 +201,8 @@ def op4_quality(spark: SparkSession, sf_dir: str, fit_rows: int = FIT_ROWS) -> D
     labels = label_sample(spark, sf_dir, "quality", fit_rows)  # at most about fit_rows rows: small enough to broadcast
     known = stats.join(F.broadcast(labels), "doc_id").select("stats", "y").toPandas()
     x = np.stack(known["stats"].to_list()) if len(known) else np.zeros((0, len(NAMES)))
-    model = fit(x, known["y"].to_numpy(dtype=int))
+    y = known["y"].to_numpy(dtype=int)
+    order = np.lexsort([y, *x.T])  # sums of floats in one order, however rows arrive
+    model = fit(x[order], y[order])
     scored = score_statistics(stats, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointframe.llm import buckets, graph, language, lines, neardup, pages, page_samples, pieces, quality, registry, secrets, spots, tiling, toxicity
+from pointframe.llm import buckets, graph, language, lines, neardup, pages, page_samples, pieces, quality, registry, secrets, spots, stages, tiling, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -53,6 +53,30 @@ def test_odd_and_empty_tables(name, spark, odd_dir, empty_dir):
     assert registry.QUERIES[name](spark, empty_dir).count() == 0
 
 
+CLASHES = ["_host", "_HOST_", "_lines", "_kept", "_part", "_salt", "_hits", "_n", "_score", "_lang_pred", "score", "node", "bands", "size", "label", "bucket", "id", "class_id", "y", "sigs", "_order"]
+
+
+def test_columns_with_clashing_names_stay(spark, odd_dir, monkeypatch):
+    docs = spark.read.parquet(odd_dir + "/documents.parquet").withColumns({c: F.lit(c) for c in CLASHES})
+    items = spark.read.parquet(odd_dir + "/benchmark.parquet")
+    calls = {
+        "op1": (lambda: tiling.contaminations(docs, items), {"hits"}), "op2": (lambda: secrets.find_secrets(docs), {"secrets"}), "op3": (lambda: pages.extract(docs, "text", "main"), {"main"}),
+        "op4": (lambda: quality.score_statistics(quality.with_statistics(docs), None), {"stats", "score"}), "op5": (lambda: spots.with_next(docs, ["text"]), {"next_text"}),
+        "op6": (lambda: lines.drop_boilerplate(docs), {"n_dropped"}), "op8": (lambda: pieces.encode_decode(docs, pieces.default_model()), {"ids", "decoded"}),
+        "op9": (lambda: language.identify(docs, language.fit(docs)), {"lang_pred", "score", "ambiguous"}), "op10": (lambda: toxicity.find_passages(docs, toxicity.ToxicModel()), {"n_tokens", "passages"}),
+        "keep_identified": (lambda: stages.keep_identified(docs), set()), "drop_repeated_lines": (lambda: stages.drop_repeated_lines(docs), set()),
+        "keep_one": (lambda: stages.keep_one_of_each_class(docs), set()), "drop_contaminated": (lambda: stages.drop_contaminated(docs, items), set()),
+    }
+    for name, (call, new) in calls.items():
+        out = call()
+        stay = [c for c in docs.columns if c not in new]
+        assert set(out.columns) == {*stay, *new}, name
+        assert all(r[c] == c for r in out.collect() for c in CLASHES if c in stay and c not in new), name
+    assert len(neardup.near_duplicates(docs).collect()) == len(spots.near_classes(docs).collect()) == len(ODD)
+    monkeypatch.setattr(lines, "BROADCAST_LINES", -1)  # the other side of the size check
+    assert {r["_part"] for r in lines.drop_boilerplate(docs).collect()} == {"_part"}
+
+
 # 1. Tiling
 
 
@@ -433,9 +457,12 @@ def test_both_ways_of_the_line_join_agree(spark, sf_dir, monkeypatch):
     assert sorted(map(tuple, lines.drop_boilerplate(docs).collect())) == a
 
 
-def test_pages_of_boilerplate_alone_stay(spark):
+def test_pages_of_boilerplate_alone(spark):
     rows = [(k, "h", f"common\nown {k}" if k else "common\n") for k in range(6)]
-    got = {r.doc_id: (r.text, r.n_dropped) for r in lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in lines.drop_boilerplate(docs).collect()}
+    assert got[0] == ("", 1) and got[3] == ("own 3", 1)
+    got = {r.doc_id: (r.text, r.n_dropped) for r in lines.drop_boilerplate(docs, keep_whole=True).collect()}
     assert got[0] == ("common\n", 0) and got[3] == ("own 3", 1)
 
 
