@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -92,26 +90,56 @@ def _apply(df: DataFrame, r: np.ndarray, t: np.ndarray) -> DataFrame:
     return df.withColumns({f"_{c}": v for c, v in zip("xyz", at, strict=True)}).drop("x", "y", "z").withColumnsRenamed({f"_{c}": c for c in "xyz"})
 
 
-def icp_point_to_point(source: DataFrame, target: DataFrame, sid: list[str], tid: list[str], max_dist: float, rounds: int = 10, good: float = 1e-6, keep: Callable[[Column], Column] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """(R, t, mean distance): nearest pairs, their moments summed by the engine, a 3 x 3 solve on the driver, until it is good or rounds are over."""
-    r, t, err = np.eye(3), np.zeros(3), float("inf")
+def icp_point_to_point(source: DataFrame, target: DataFrame, sid: list[str], tid: list[str], max_dist: float, rounds: int = 10, good: float = 1e-6, least: float | None = None, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """(R, t, mean distance): nearest pairs, their moments summed by the engine, a 3 x 3 solve on the driver, until it is good or rounds are over.
+
+    The mean distance is over all pairs and is judged before a step; with `least`, only pairs that far apart or further
+    move the cloud, which speeds the last rounds up.
+    """
+    r, t = start or (np.eye(3), np.zeros(3))
+    err = float("inf")
     for _ in range(rounds):
         nn = spatial.knn_join(_apply(source, r, t), target, 1, max_dist, sid, tid, max_dist=max_dist)
-        if keep is not None:
-            nn = nn.filter(keep(F.sqrt("d2")))
         cols = [f"{s}_{c}" for s in "qt" for c in "xyz"]
-        agg = nn.agg(F.count("*").alias("n"), F.avg(F.sqrt("d2")).alias("err"), *(F.avg(c).alias(c) for c in cols), *(F.sum(F.col(f"q_{a}") * F.col(f"t_{b}")).alias(f"s{a}{b}") for a in "xyz" for b in "xyz")).first()
-        if not agg["n"] or agg["n"] < 3:
+        far = F.lit(True) if least is None else F.sqrt("d2") >= least
+        only = lambda v: F.when(far, v)  # noqa: B023, E731
+        agg = nn.agg(F.count(only(F.lit(1))).alias("n"), F.avg(F.sqrt("d2")).alias("err"), *(F.avg(only(F.col(c))).alias(c) for c in cols), *(F.sum(only(F.col(f"q_{a}") * F.col(f"t_{b}"))).alias(f"s{a}{b}") for a in "xyz" for b in "xyz")).first()
+        if agg["err"] is not None:
+            err = agg["err"]
+        if err < good or agg["n"] < 3:
             break
         mp, mq = (np.array([agg[f"{s}_{c}"] for c in "xyz"]) for s in "qt")
         cross = np.array([[agg[f"s{a}{b}"] for b in "xyz"] for a in "xyz"]) - agg["n"] * np.outer(mp, mq)
         dr, dt = rigid_from_moments(mp, mq, cross)
-        r, t, err = dr @ r, dr @ t + dt, agg["err"]
-        if err < good:
-            break
+        r, t = dr @ r, dr @ t + dt
     return r, t, err
 
 
+def icp_checked(source: DataFrame, target: DataFrame, sid: list[str], tid: list[str], start: tuple[np.ndarray, np.ndarray] | None = None, max_dist: float = 250.0, rounds: int = 20, fitness: float = 2.0) -> tuple[bool, np.ndarray, np.ndarray, float]:
+    """(whether it fits, R, t, fitness): point-to-point steps from a guess until they are below 1e-6; the fitness is the mean
+    squared distance of the moved source to its nearest targets, which must not be above the limit. No target fits nothing."""
+    r, t = start or (np.eye(3), np.zeros(3))
+    for _ in range(rounds):
+        r1, t1, _ = icp_point_to_point(source, target, sid, tid, max_dist, 1, 0.0, start=(r, t))
+        step = max(np.abs(r1 - r).max(), np.abs(t1 - t).max())
+        r, t = r1, t1
+        if step < 1e-6:
+            break
+    nn = spatial.knn_join(_apply(source, r, t), target, 1, max_dist, sid, tid, max_dist=max_dist)
+    score = nn.agg(F.avg("d2").alias("f")).first()["f"]
+    return score is not None and score <= fitness, r, t, float("inf") if score is None else score
+
+
+def align_planes(source: DataFrame, planes: DataFrame, sid: list[str], tid: list[str], max_dist: float, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """The short alignment of a loop candidate: four rounds of point-to-plane steps with a Huber loss of 0.1."""
+    return icp_point_to_plane(source, planes, sid, tid, max_dist, 4, 0.1, start)
+
+
+def align_planes_long(source: DataFrame, planes: DataFrame, sid: list[str], tid: list[str], start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """The long alignment: up to a hundred rounds within three metres, without a loss."""
+    return icp_point_to_plane(source, planes, sid, tid, 3.0, 100, None, start)
+
+
 def _exp(w: np.ndarray) -> np.ndarray:
     n = float(np.linalg.norm(w))
     k = np.array([[0, -w[2], w[1]], [w[2], 0, -w[0]], [-w[1], w[0], 0]])
@@ -156,31 +184,6 @@ def icp_point_to_plane(source: DataFrame, planes: DataFrame, sid: list[str], tid
     return r, t, cost
 
 
-GRAVITY = np.array([0.0, 0.0, -9.81])
-
-
-def propagate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """States of one session along its inertial samples (t_us, gx..gz, ax..az), from rest at the origin: midpoint rates, forward steps."""
-    pdf = pdf.sort_values("t_us").reset_index(drop=True)
-    t = pdf["t_us"].to_numpy() / 1e6
-    gyr, acc = pdf[["gx", "gy", "gz"]].to_numpy(), pdf[["ax", "ay", "az"]].to_numpy()
-    rot, vel, pos, rows = np.eye(3), np.zeros(3), np.zeros(3), []
-    for k in range(len(pdf)):
-        if k:
-            dt = t[k] - t[k - 1]
-            a = rot @ ((acc[k - 1] + acc[k]) / 2) + GRAVITY
-            pos = pos + vel * dt + 0.5 * a * dt * dt
-            vel = vel + a * dt
-            rot = rot @ _exp((gyr[k - 1] + gyr[k]) / 2 * dt)
-        rows.append([pdf["session"].iloc[0], int(pdf["t_us"].iloc[k]), *pos, *vel, rot.reshape(-1).tolist()])
-    return pd.DataFrame(rows, columns=["session", "t_us", "px", "py", "pz", "vx", "vy", "vz", "rot"])
-
-
-def propagate_sessions(imu: DataFrame) -> DataFrame:
-    """The states of all sessions; each one is a sequential recurrence, sessions run apart."""
-    return imu.groupBy("session").applyInPandas(lambda pdf: propagate(pdf), "session long, t_us long, px double, py double, pz double, vx double, vy double, vz double, rot array<double>")
-
-
 def imu_init(pdf: pd.DataFrame, samples: int = 20) -> pd.DataFrame:
     """Running mean and recursive covariance of the first samples of one session's accelerations."""
     pdf = pdf.sort_values("t_us").head(samples)
@@ -211,53 +214,3 @@ def undistort(points: DataFrame, poses: DataFrame, ends: DataFrame) -> DataFrame
     back, shift = g.inverse(g.quat_to_mat([F.col(f"e_q{c}") for c in "wxyz"]), g.vec("e_px", "e_py", "e_pz"))
     out = g.transform(back, shift, g.vec("_wx", "_wy", "_wz"))
     return m.select(*[c for c in points.columns if c not in "xyz"], *(v.alias(c) for v, c in zip(out, "xyz", strict=True)))
-
-
-def kalman_update(x: np.ndarray, p: np.ndarray, hth: np.ndarray, htr: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray]:
-    """One error-state update from J^T J and J^T r of the first len(hth) states; the gain is taken in its small form."""
-    n, k = len(x), len(hth)
-    full, rhs = np.zeros((n, n)), np.zeros(n)
-    full[:k, :k], rhs[:k] = hth / noise, htr / noise
-    post = np.linalg.inv(np.linalg.inv(p) + full)
-    return x - post @ rhs, post
-
-
-def iterated_update(x: np.ndarray, p: np.ndarray, measure: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], noise: float = 1e-3, rounds: int = 4, still: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Iterated update of a vector state: measure(x) gives the sums J^T J and J^T r there; ends when steps are small."""
-    x0, post = x.copy(), p
-    for _ in range(rounds):
-        hth, htr = measure(x)
-        n, k = len(x), len(hth)
-        full, rhs = np.zeros((n, n)), np.zeros(n)
-        full[:k, :k], rhs[:k] = hth / noise, htr / noise
-        prior = np.linalg.inv(p)
-        post = np.linalg.inv(prior + full)
-        step = -post @ (rhs + prior @ (x - x0))
-        x = x + step
-        if np.abs(step).max() < still:
-            break
-    return x, post
-
-
-def ransac_plane_share(points: DataFrame, keys: list[str], near: float = 0.2, tries: int = 50, seed: int = 7) -> DataFrame:
-    """The share of each group's points on its best plane through three of them, and whether it is more than 0.4: the group is just a plane.
-
-    Proposals come from a seeded sample of each group; every point of the group is held against them.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "y", "z"])
-        p, rng, best = pdf[["x", "y", "z"]].to_numpy(), np.random.default_rng(seed), 0
-        for _ in range(tries if len(p) >= 3 else 0):
-            a, b, c = p[rng.choice(len(p), 3, replace=False)]
-            n = np.cross(b - a, c - a)
-            length = np.linalg.norm(n)
-            if length > 1e-9:
-                best = max(best, int((np.abs((p - a) @ n) / length < near).sum()))
-        share = best / max(len(p), 1)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), share, share > 0.4]], columns=[*keys, "share", "is_plane"])
-
-    types = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
-    return points.groupBy(*keys).applyInPandas(lambda pdf: run(pdf), f"{types}, share double, is_plane boolean")
-
-

@@ -221,13 +221,12 @@ def triangles(keypoints: DataFrame, near: int, shortest: float, longest: float,
     Sides are sorted (a <= b <= c, scaled), vertices follow them: va joins a and b, vb a and c, vc b and c. Sides outside of
     the bounds and nearly flat triangles go; of those equal in millimetres the first by (kp_id, pair) stays.
     """
-    nn = spatial.knn_join(keypoints, keypoints, near - 1, guess, ["kp_id"], ["kp_id"], [frame], skip_self=True)
-    nn = nn.select(F.col(f"q_{frame}").alias(frame), F.col("q_kp_id").alias("p1"), F.col("t_kp_id").alias("p"), "rank")
-    pairs = nn.alias("m").join(nn.alias("n"), (F.col(f"m.{frame}") == F.col(f"n.{frame}")) & (F.col("m.p1") == F.col("n.p1")) & (F.col("m.rank") < F.col("n.rank")))
-    pairs = pairs.select(F.col(f"m.{frame}").alias(frame), F.col("m.p1").alias("p1"), F.col("m.rank").alias("m"), F.col("n.rank").alias("n"), F.col("m.p").alias("p2"), F.col("n.p").alias("p3"))
-    kp = lambda k: keypoints.select(F.col(frame), F.col("kp_id").alias(f"p{k}"), F.struct("kp_id", "x", "y", "z", "slices").alias(f"k{k}"))
-    for k in (1, 2, 3):
-        pairs = pairs.join(kp(k), [frame, f"p{k}"])
+    nn = spatial.knn_join(keypoints, keypoints, near - 1, guess, ["kp_id", "slices"], ["kp_id", "slices"], [frame], skip_self=True)
+    corner = lambda s: F.struct(F.col(f"{s}_kp_id").alias("kp_id"), *(F.col(f"{s}_{c}").alias(c) for c in "xyz"), F.col(f"{s}_slices").alias("slices"))
+    near_ = F.collect_list(F.struct("rank", corner("t").alias("k")))  # fewer than `near`
+    each = nn.groupBy(F.col(f"q_{frame}").alias(frame), corner("q").alias("k1")).agg(near_.alias("_n"))
+    two = F.flatten(F.transform("_n", lambda m: F.transform(F.filter("_n", lambda n: n["rank"] > m["rank"]), lambda n: F.struct(m.alias("m"), n.alias("n")))))
+    pairs = each.withColumn("_p", F.explode(two)).select(frame, F.col("k1.kp_id").alias("p1"), F.col("_p.m.rank").alias("m"), F.col("_p.n.rank").alias("n"), "k1", F.col("_p.m.k").alias("k2"), F.col("_p.n.k").alias("k3"))
     v = lambda k: tuple(F.col(f"k{k}.{c}") for c in "xyz")
     side = lambda i, j: F.sqrt(g.sq_dist(v(i), v(j)))
     t = pairs.withColumn("_s", g.sorted_sides(side(1, 2), side(1, 3), side(2, 3)))
@@ -289,3 +288,10 @@ def voxel_overlap(source: DataFrame, target: DataFrame, size: float) -> DataFram
     hits = F.coalesce(F.sum(F.when(F.col("_hit") == 1, F.col("k"))), F.lit(0))
     out = per.agg(hits.alias("hits"), F.count("_hit").alias("voxels"), F.coalesce(F.sum("k"), F.lit(0)).alias("points"))
     return out.withColumn("score", F.try_divide(F.col("hits").cast("double"), F.col("points")))
+
+
+def line_like(df: DataFrame, keys: list[str], x: str, y: str, thin: float, long: float = 0.5) -> DataFrame:
+    """(keys, small, large, is_line): the eigenvalues of the second moments of (x, y) about the origin, and whether the lesser is at most `thin` and the greater at least `long`."""
+    m = df.groupBy(*keys).agg(F.avg(F.col(x) * F.col(x)).alias("_a"), F.avg(F.col(x) * F.col(y)).alias("_b"), F.avg(F.col(y) * F.col(y)).alias("_c"))
+    half, root = (F.col("_a") + F.col("_c")) / 2, F.sqrt(((F.col("_a") - F.col("_c")) / 2) ** 2 + F.col("_b") ** 2)
+    return m.select(*keys, (half - root).alias("small"), (half + root).alias("large")).withColumn("is_line", (F.col("small") <= thin) & (F.col("large") >= long))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -133,42 +134,130 @@ def cells_in_view(spark, origin, axis, half_angle: float, depth: float, cell: fl
 FEATURE_SCHEMA = "scan_id long, ring int, pt_idx long, x double, y double, z double, feature string"
 
 
-def classify_ring(pdf: pd.DataFrame, group: int = 8, plane_ratio: float = 0.0225, jump_cos: float = 0.9397, wire_ratio: float = 4.0) -> pd.DataFrame:
-    """plane, edge or wire for the points of one ring in order; others stay plain.
-
-    A run of `group` points is a plane if its points keep close to the line between its ends (squared distance less than
-    plane_ratio of the squared length). A point between runs whose neighbours stand at a sharp corner is an edge, and one
-    whose range falls out of both neighbours' by wire_ratio of their step is a wire.
+@dataclass(frozen=True)
+class RingRules:
+    """Limits of the ring features; angles in degrees, distances in the points' unit."""
+
+    blind: float = 0.5  # nearer points are not looked at
+    far: float = 10.0  # a point beyond it next to a blind one has infinity beside it
+    group: int = 8  # least points of a run
+    reach: float = 0.1  # a run grows to this part of its first point's range
+    flat: float = 225.0  # squared length of a run over its squared width
+    spread: float | None = 6.25  # of gaps: greatest to middle, middle to least; None: greatest to least below 3.24
+    behind: float = 170.0
+    ahead: float = 8.0
+    corner: float = 160.0
+    jump_ratio: float = 2.0
+    jump_gap: float = 0.1
+    straight: float = 172.5
+    even: float = 1.2
+
+
+def _run_end(p: np.ndarray, reach: float, r: np.ndarray, gap: np.ndarray, i: int, rules: RingRules) -> tuple[int, np.ndarray | None]:
+    """(end, direction) of the run of points that begins at i; the direction is None if the run is no plane."""
+    dark = np.flatnonzero(r[i : i + rules.group] < rules.blind)
+    if len(dark):
+        return i + int(dark[0]), None
+    end = i + rules.group
+    while end < len(p):
+        chord = p[end] - p[i]
+        if r[end] < rules.blind:
+            return end, None
+        if chord @ chord >= reach * reach:
+            break
+        end += 1
+    last = min(end, len(p) - 1)
+    chord = p[last] - p[i]
+    length = float(chord @ chord)
+    width = float((np.cross(p[i + 1 : end] - p[i], chord) ** 2).sum(1).max())
+    if width and length * length / width < rules.flat:
+        return end, None
+    gaps = np.sort(gap[i:end])[::-1]
+    most, middle, least = gaps[0], gaps[len(gaps) // 2], gaps[-2]
+    if least < 1e-16 or (most / least >= 3.24 if rules.spread is None else max(most / middle, middle / least) >= rules.spread):
+        return end, None
+    return end, chord / np.sqrt(length) if length else None
+
+
+PLAIN, MAYBE, PLANE, JUMP, CREASE, WIRE = range(6)
+FEATURES = np.array(["plain", "plane", "plane", "edge", "edge", "wire"], dtype=object)
+
+
+def ring_features(p: np.ndarray, rules: RingRules = RingRules()) -> np.ndarray:
+    """The feature codes of the points of one ring in order.
+
+    Runs of points that keep close to a line and to an even spacing are planes, whose ends are planes maybe; where two runs
+    meet at an angle is a crease. Of other points, one beside a jump in depth is a jump edge if the points on its near side
+    are evenly spaced, one with nothing on either side is a wire, and one in line with even neighbours makes all three a plane.
     """
-    pdf = pdf.sort_values("pt_idx").reset_index(drop=True)
-    p, n = pdf[["x", "y", "z"]].to_numpy(), len(pdf)
-    kind = np.array(["plain"] * n, dtype=object)
-    k = 0
-    while k + group < n:
-        a, b = p[k], p[k + group]
-        span = b - a
-        length = span @ span
-        if length > 0:
-            off = p[k : k + group + 1] - a
-            apart = (np.cross(off, span) ** 2).sum(1) / length
-            if apart.max() < plane_ratio * length:
-                kind[k : k + group + 1] = "plane"
-                k += group
-                continue
-        k += 1
-    r = np.sqrt((p**2).sum(1))
-    for i in range(1, n - 1):
-        if kind[i] != "plain":
+    n = len(p)
+    kind = np.zeros(n, np.int8)
+    if n < 2:
+        return kind
+    r = np.hypot(p[:, 0], p[:, 1])
+    gap = np.append(((p[1:] - p[:-1]) ** 2).sum(1), 0.0)
+    lit = r >= rules.blind
+    if not lit.any():
+        return kind
+    head = int(lit.argmax())
+    i, before = head, None
+    while i < n - rules.group:
+        if not lit[i]:
+            i += 1
             continue
-        u, v = p[i - 1] - p[i], p[i + 1] - p[i]
-        nu, nv = np.linalg.norm(u), np.linalg.norm(v)
-        if nu == 0 or nv == 0:
+        end, along = _run_end(p, rules.reach * r[i], r, gap, i, rules)
+        if along is None:
+            i, before = end + 1, None
             continue
-        if abs(u @ v) / (nu * nv) < 1 - jump_cos:
-            kind[i] = "edge"
-        elif abs(r[i] - r[i - 1]) > wire_ratio * abs(r[i + 1] - r[i - 1]) + 1e-9 and abs(r[i] - r[i + 1]) > wire_ratio * abs(r[i + 1] - r[i - 1]) + 1e-9:
-            kind[i] = "wire"
-    return pdf.assign(feature=kind)[["scan_id", "ring", "pt_idx", "x", "y", "z", "feature"]]
+        stop = min(end, n - 1)
+        kind[i : stop + 1] = PLANE
+        kind[[i, stop]] = MAYBE
+        if before is not None:
+            kind[i] = CREASE if abs(before @ along) < 0.707 else PLANE
+        i, before = end, along
+    cos = lambda a: np.cos(np.radians(a))
+    # What is beside each point: something normal, nothing but more of the line of sight, or nothing to be seen.
+    with np.errstate(invalid="ignore", divide="ignore"):
+        unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+        sight = unit(p)
+        to = {-1: np.zeros_like(p), 1: np.zeros_like(p)}
+        to[-1][1:], to[1][:-1] = p[:-1] - p[1:], p[1:] - p[:-1]
+        beside = {}
+        for m in (-1, 1):
+            angle = (sight * unit(to[m])).sum(1)
+            dark = ~np.roll(lit, -m)
+            beside[m] = np.select([dark & (r > rules.far), dark, angle < cos(rules.behind), angle > cos(rules.ahead)], ["inf", "blind", "behind", "ahead"], "normal")
+            to[m][dark] = np.nan
+        bend = (unit(to[-1]) * unit(to[1])).sum(1)
+    root = np.sqrt(gap)
+    even = lambda a, b: (np.maximum(a, b) <= rules.jump_ratio * np.minimum(a, b)) & (np.abs(a - b) <= rules.jump_gap)
+    shift = lambda v, k: np.roll(v, -k)
+    calm_before = even(shift(root, -1), shift(root, -2)) & shift(lit, -1) & shift(lit, -2)
+    calm_after = even(root, shift(root, 1)) & shift(lit, 1) & shift(lit, 2)
+    prev = shift(gap, -1)
+    k = np.arange(n)
+    judged = (k >= head + 3) & (k < n - 3) & lit & (kind < PLANE) & (prev >= 1e-16) & (gap >= 1e-16)
+    left, right = beside[-1], beside[1]
+    after = (left == "normal") & (right == "ahead") & (gap > 0.0225) & (gap > 4 * prev)
+    ahead = (left == "ahead") & (right == "normal") & (prev > 0.0225) & (prev > 4 * gap)
+    sharp = bend > cos(rules.corner)
+    jump = (after & sharp & calm_before) | (ahead & sharp & calm_after) | ((left == "normal") & (right == "inf") & calm_before) | ((left == "inf") & (right == "normal") & calm_after)
+    alone = (left != "normal") & (right != "normal") & ~after & ~ahead
+    kind[judged & jump] = JUMP
+    kind[judged & alone & (kind == PLAIN)] = WIRE
+    small, large = np.minimum(prev, gap), np.maximum(prev, gap)
+    line = judged & (k > head) & (k < n - 1) & lit & shift(lit, -1) & shift(lit, 1) & (small >= 1e-8) & (bend < cos(rules.straight)) & (large < rules.even * small)
+    for i in np.flatnonzero(line).tolist():
+        if kind[i] == PLAIN:  # each in turn: a point made part of a plane makes no plane of its own
+            around = np.array([i - 1, i, i + 1])
+            kind[around[kind[around] == PLAIN]] = PLANE
+    return kind
+
+
+def classify_ring(pdf: pd.DataFrame, rules: RingRules = RingRules()) -> pd.DataFrame:
+    """plane, edge or wire for the points of one ring in order; others stay plain."""
+    pdf = pdf.sort_values("pt_idx").reset_index(drop=True)
+    return pdf.assign(feature=FEATURES[ring_features(pdf[["x", "y", "z"]].to_numpy(dtype=float), rules)])[["scan_id", "ring", "pt_idx", "x", "y", "z", "feature"]]
 
 
 def classify(df: DataFrame) -> DataFrame:

@@ -93,3 +93,18 @@ def box_search(df: DataFrame, low: tuple[float, ...], high: tuple[float, ...]) -
     for c, lo, hi in zip(XYZ, low, high, strict=True):
         cond = cond & (F.col(c) >= lo) & (F.col(c) < hi)
     return df.filter(cond)
+
+
+def plane_rmse(queries: DataFrame, targets: DataFrame, k: int, guess: float, qid: list[str], tid: list[str], max_dist: float) -> DataFrame:
+    """One row (useful, rmse): the queries nearer than max_dist squared to the plane through their k nearest targets, and the root of their mean distance to it.
+
+    Queries whose targets lie in no one plane's direction (singular equations) don't count.
+    """
+    from pointframe.operators.fitting import plane_of_points
+
+    nn = knn_join(queries, targets, k, guess, qid, tid)
+    keys = [f"q_{c}" for c in dict.fromkeys([*qid, *XYZ])]
+    plane = plane_of_points(nn.select(*keys, *(F.col(f"t_{c}").alias(c) for c in XYZ)), keys)
+    dis = F.abs(g.dot(g.vec("nx", "ny", "nz"), g.vec("q_x", "q_y", "q_z")) + F.col("d"))
+    near = plane.select(dis.alias("dis")).filter(F.col("dis") < max_dist * max_dist)
+    return near.agg(F.count("*").alias("useful"), F.sqrt(F.avg("dis")).alias("rmse"))

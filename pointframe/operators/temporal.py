@@ -32,6 +32,22 @@ def asof_forward(left: DataFrame, right: DataFrame, on: str, t: str, cols: list[
     return m.select("_l.*", *(F.col(f"_m.{c}").alias(prefix + c) for c in ["t", *cols]))
 
 
+def asof_consumed(left: DataFrame, right: DataFrame, on: str, t: str, cols: list[str], prefix: str = "r_") -> DataFrame:
+    """left with the first right row at or after its time that no earlier left row has taken (null if there is none).
+
+    Rows of both sides are taken in order of time, then of all their values, and each once. If f is the rank of the first
+    right row at or after the i-th left row, that row takes the one of rank i + the greatest f - i so far; so it is two sorts,
+    not a loop.
+    """
+    rank = lambda df, name: df.withColumn(name, F.row_number().over(Window.partitionBy(on).orderBy(t, *[c for c in df.columns if c not in (on, t)])).cast("long"))
+    r = rank(right.select(on, t, *cols), "_rank")
+    m = asof_forward(rank(left, "_i"), r, on, t, ["_rank"], "_f_")
+    lead = F.max(F.col("_f__rank") - F.col("_i")).over(Window.partitionBy(on).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    m = m.withColumn("_rank", F.when(F.col("_f__rank").isNotNull(), F.col("_i") + lead))
+    taken = r.select(on, "_rank", F.col(t).alias(prefix + "t"), *(F.col(c).alias(prefix + c) for c in cols))
+    return m.join(taken, [on, "_rank"], "left").select(*left.columns, prefix + "t", *(prefix + c for c in cols))
+
+
 def asof_nearest(left: DataFrame, right: DataFrame, on: str, t: str, cols: list[str], tolerance: int, prefix: str = "r_") -> DataFrame:
     """left with the nearest right row within tolerance, the earlier of two equally near."""
     both = asof_backward(left, right, on, t, cols, "_b_")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pointframe.functions import geom as g
 from pointframe.functions.packets import decode_packets
+from pointframe.operators import estimation as es
 from pointframe.operators import fitting as ft
 from pointframe.operators import graph as gr
 from pointframe.plans.q_points import R6, r6
@@ -16,7 +21,7 @@ from pointframe.streaming import keyframes as kf
 
 
 @query("fit1_plane_of_points", f"""
-WITH p AS (SELECT pt_idx // 5 AS grp, x, y, z FROM ({POINTS}) WHERE pt_idx < 495),
+WITH p AS (SELECT pt_idx // 5 AS grp, x, y, z FROM ({POINTS})),
  m AS (SELECT grp, sum(x*x) AS xx, sum(x*y) AS xy, sum(x*z) AS xz, sum(y*y) AS yy, sum(y*z) AS yz, sum(z*z) AS zz, -sum(x) AS sx, -sum(y) AS sy, -sum(z) AS sz FROM p GROUP BY 1),
  i AS (SELECT *, xx*(yy*zz - yz*yz) - xy*(xy*zz - yz*xz) + xz*(xy*yz - yy*xz) AS det FROM m),
  s AS (SELECT grp, (sx*(yy*zz - yz*yz) + sy*(xz*yz - xy*zz) + sz*(xy*yz - xz*yy)) / det AS a, (sx*(yz*xz - xy*zz) + sy*(xx*zz - xz*xz) + sz*(xz*xy - xx*yz)) / det AS b, (sx*(xy*yz - yy*xz) + sy*(xy*xz - xx*yz) + sz*(xx*yy - xy*xy)) / det AS c FROM i),
@@ -24,7 +29,7 @@ WITH p AS (SELECT pt_idx // 5 AS grp, x, y, z FROM ({POINTS}) WHERE pt_idx < 495
 SELECT n.grp, {R6(nx='any_value(nx)', nz='any_value(nz)', d='any_value(d)', worst='max(abs(nx*x + ny*y + nz*z + d))')}, max(abs(nx*x + ny*y + nz*z + d)) <= 0.5 AS ok FROM n JOIN p USING (grp) GROUP BY 1
 """)
 def fit1(spark, d):
-    p = points(spark, d).filter("pt_idx < 495").withColumn("grp", F.floor(F.col("pt_idx") / 5))
+    p = points(spark, d).withColumn("grp", F.floor(F.col("pt_idx") / 5))
     out = ft.plane_of_points(p, ["grp"], 0.5)
     return out.select("grp", *r6(nx=F.col("nx"), nz=F.col("nz"), d=F.col("d"), worst=F.col("worst")), "ok")
 
@@ -38,30 +43,33 @@ def fit12(spark, d):
 
 def _tri_pairs(spark, d):
     """Triangles of three consecutive points and the same ones turned by 90 degrees about z and shifted by (1, 2, 3), some of them spoilt."""
-    p = points(spark, d).filter("pt_idx < 498").withColumn("tri", F.floor(F.col("pt_idx") / 3))
+    p = points(spark, d).withColumn("tri", F.floor(F.col("pt_idx") / 3))
     turned = F.array(-F.col("y") + 1 + F.when(F.col("tri") % 4 == 0, F.col("tri")).otherwise(0), F.col("x") + 2, F.col("z") + 3)
     rows = p.groupBy("tri").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pt_idx", F.array("x", "y", "z").alias("a")))), lambda s: s["a"])).alias("q"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pt_idx", turned.alias("a")))), lambda s: s["a"])).alias("t"))
-    return rows.withColumn("grp", F.col("tri") % 5)
+    return rows.filter(F.size("q") == 9).withColumn("grp", F.col("tri") % 5)  # the last points may be fewer than three
+
+
+_TRIS = f"SELECT pt_idx // 3 AS tri FROM ({POINTS}) GROUP BY 1 HAVING count(*) = 3"
 
 
 _TURNED = "SELECT * FROM (VALUES (0.0::DOUBLE, -1.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE)) AS v(m00, m01, m10, m11, tx, ty, tz)"
 
 
-@query("fit2_triangle_transform", f"WITH v AS ({_TURNED}) SELECT tri, {R6(m00='m00', m01='m01', m10='m10', tx='tx', ty='ty')} FROM v, (SELECT DISTINCT pt_idx // 3 AS tri FROM ({POINTS}) WHERE pt_idx < 498 AND (pt_idx // 3) % 4 <> 0)")
+@query("fit2_triangle_transform", f"WITH v AS ({_TURNED}) SELECT tri, {R6(m00='m00', m01='m01', m10='m10', tx='tx', ty='ty')} FROM v, (SELECT tri FROM ({_TRIS}) WHERE tri % 4 <> 0)")
 def fit2(spark, d):
     a = ft.align_triangles(_tri_pairs(spark, d).filter("tri % 4 <> 0"))
     r, s = F.col("rotation"), F.col("shift")
     return a.select("tri", *((F.round(v, 6) + 0.0).alias(n) for n, v in {"m00": r[0], "m01": r[1], "m10": r[3], "tx": s[0], "ty": s[1]}.items()))
 
 
-@query("fit3_voted_transform", f"WITH t AS (SELECT DISTINCT pt_idx // 3 AS tri FROM ({POINTS}) WHERE pt_idx < 498) SELECT tri % 5 AS grp, CAST(sum(CASE WHEN tri % 4 <> 0 OR tri < 3 THEN 1 ELSE 0 END) AS BIGINT) AS votes, -1.0::DOUBLE AS m01, 1.0::DOUBLE AS m10 FROM t GROUP BY 1")
+@query("fit3_voted_transform", f"WITH t AS ({_TRIS}) SELECT tri % 5 AS grp, CAST(sum(CASE WHEN tri % 4 <> 0 OR tri < 3 THEN 1 ELSE 0 END) AS BIGINT) AS votes, -1.0::DOUBLE AS m01, 1.0::DOUBLE AS m10 FROM t GROUP BY 1")
 def fit3(spark, d):
     v = ft.vote_transforms(_tri_pairs(spark, d), ["grp"], "tri")
     r = F.col("rotation")
     return v.select("grp", "votes", F.round(r[1], 5).alias("m01"), F.round(r[3], 5).alias("m10"))
 
 
-@query("fit4_rotation_consensus", f"WITH t AS (SELECT DISTINCT pt_idx // 3 AS tri FROM ({POINTS}) WHERE pt_idx < 498 AND (pt_idx // 3) % 4 <> 0) SELECT tri % 5 AS grp, count(*) * (count(*) - 1) // 2 AS agreeing FROM t GROUP BY 1")
+@query("fit4_rotation_consensus", f"WITH t AS (SELECT tri FROM ({_TRIS}) WHERE tri % 4 <> 0) SELECT tri % 5 AS grp, count(*) * (count(*) - 1) // 2 AS agreeing FROM t GROUP BY 1")
 def fit4(spark, d):
     # Pairs of transforms whose rotations are within 10 degrees of each other.
     a = ft.align_triangles(_tri_pairs(spark, d).filter("tri % 4 <> 0")).select("grp", "tri", "rotation")
@@ -71,81 +79,121 @@ def fit4(spark, d):
     return j.filter(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (trace - 1) / 2))) < 0.17453292519943295).groupBy("grp").agg(F.count("*").alias("agreeing"))
 
 
-@query("fit7_point_to_point", "SELECT 0 AS dim, -0.02::DOUBLE AS shift UNION ALL SELECT 1, 0.03 UNION ALL SELECT 2, -0.01")
+_BACK = f"SELECT pt_idx, {', '.join(f'round({c}, 3) + 0.0 AS {c}' for c in 'xyz')} FROM ({POINTS})"
+_TURN, _MOVE = np.array([0.008, -0.01, 0.006]), np.array([0.02, -0.03, 0.01])
+
+
+def _moved(spark, d):
+    """The cloud turned a little about a general axis and moved."""
+    return ft._apply(points(spark, d), ft._exp(_TURN), _MOVE)
+
+
+def _aligned(cloud, r, t):
+    return ft._apply(cloud, r, t).select("pt_idx", *((F.round(c, 3) + 0.0).alias(c) for c in "xyz"))
+
+
+@query("fit7_point_to_point", _BACK)
 def fit7(spark, d):
-    p = points(spark, d)
-    moved = p.withColumns({"x": F.col("x") + 0.02, "y": F.col("y") - 0.03, "z": F.col("z") + 0.01})
-    _, t, _ = ft.icp_point_to_point(moved, p, ["pt_idx"], ["pt_idx"], 0.5)
-    return spark.createDataFrame([(k, round(float(v), 4) + 0.0) for k, v in enumerate(t)], "dim int, shift double")
+    moved = _moved(spark, d)
+    return _aligned(moved, *ft.icp_point_to_point(moved, points(spark, d), ["pt_idx"], ["pt_idx"], 0.5, 20)[:2])
 
 
-@query("fit8_point_to_plane", "SELECT 0 AS dim, -0.02::DOUBLE AS shift UNION ALL SELECT 1, 0.03 UNION ALL SELECT 2, -0.01")
+@query("fit8_point_to_plane", _BACK)
 def fit8(spark, d):
-    p = points(spark, d)
-    moved = p.withColumns({"x": F.col("x") + 0.02, "y": F.col("y") - 0.03, "z": F.col("z") + 0.01})
-    _, t, _ = ft.icp_point_to_plane(moved, p, ["pt_idx"], ["pt_idx"], 0.3)
-    return spark.createDataFrame([(k, round(float(v), 4) + 0.0) for k, v in enumerate(t)], "dim int, shift double")
+    moved = _moved(spark, d)
+    return _aligned(moved, *ft.icp_point_to_plane(moved, points(spark, d), ["pt_idx"], ["pt_idx"], 0.5)[:2])
+
+
+@query("fit5_short_alignment", _BACK)
+def fit5(spark, d):
+    # From a guess that is off by a part of the way.
+    moved = _moved(spark, d)
+    r = ft._exp(-0.8 * _TURN)
+    return _aligned(moved, *ft.align_planes(moved, points(spark, d), ["pt_idx"], ["pt_idx"], 0.5, (r, -0.8 * _MOVE))[:2])
+
+
+@query("fit6_long_alignment", _BACK)
+def fit6(spark, d):
+    moved = _moved(spark, d)
+    return _aligned(moved, *ft.align_planes_long(moved, points(spark, d), ["pt_idx"], ["pt_idx"])[:2])
+
+
+@query("fit9_checked_alignment", f"SELECT TRUE AS fits, * FROM ({_BACK})")
+def fit9(spark, d):
+    moved = _moved(spark, d)
+    fits, r, t, _ = ft.icp_checked(moved, points(spark, d), ["pt_idx"], ["pt_idx"], max_dist=0.5)
+    return _aligned(moved, r, t).withColumn("fits", F.lit(fits))
 
 
 def _imu(spark, d):
+    """Samples at 100 Hz of a body that turns about its vertical axis and is pushed along both others."""
     s = samples(spark, d)
+    order = F.row_number().over(Window.partitionBy("session").orderBy("t_us", "id"))
     zero = F.lit(0.0)
-    return s.select("session", "t_us", "id", zero.alias("gx"), zero.alias("gy"), zero.alias("gz"), (F.col("v") / 1000).alias("ax"), zero.alias("ay"), F.lit(9.81).alias("az"))
+    return s.select("session", (order * 10_000).cast("long").alias("t_us"), "id", zero.alias("gx"), zero.alias("gy"), (F.col("v") / 91).alias("gz"), (F.col("v") / 7).alias("ax"), (F.col("v") / 49 - 1).alias("ay"), F.lit(9.81).alias("az"))
+
 
+_IMU = f"SELECT session, row_number() OVER (PARTITION BY session ORDER BY t_us, id) AS k, v FROM ({SAMPLES})"
 
-@query("fit10_inertial_speed", f"""
-WITH s AS ({SAMPLES}), a AS (SELECT session, t_us, v / 1000 AS a, lag(v / 1000) OVER w AS pa, (t_us - lag(t_us) OVER w) / 1e6 AS dt FROM s WHERE session < 40 WINDOW w AS (PARTITION BY session ORDER BY t_us))
-SELECT session, t_us, round(sum(coalesce((a + pa) / 2 * dt, 0)) OVER (PARTITION BY session ORDER BY t_us), 2) AS vx FROM a
+
+@query("fit10_inertial_states", f"""
+WITH a AS (SELECT session, k, (v + lag(v) OVER w) / 2 AS m FROM ({_IMU}) WINDOW w AS (PARTITION BY session ORDER BY k)), b AS (SELECT *, coalesce(m, 0) / 91 * 0.01 AS turn FROM a),
+ c AS (SELECT *, sum(turn) OVER (PARTITION BY session ORDER BY k) - turn AS yaw FROM b),
+ e AS (SELECT *, CASE WHEN m IS NULL THEN 0 ELSE cos(yaw) * m / 7 - sin(yaw) * (m / 49 - 1) END AS x, CASE WHEN m IS NULL THEN 0 ELSE sin(yaw) * m / 7 + cos(yaw) * (m / 49 - 1) END AS y FROM c),
+ f AS (SELECT *, sum(x * 0.01) OVER (PARTITION BY session ORDER BY k) AS vx, sum(y * 0.01) OVER (PARTITION BY session ORDER BY k) AS vy FROM e),
+ h AS (SELECT *, sum(vx * 0.01) OVER (PARTITION BY session ORDER BY k) - vx * 0.01 AS px FROM f)
+SELECT session, k * 10000 AS t_us, {R6(px='px', vx='vx', vy='vy', c='cos(yaw + turn)')} FROM h
 """)
 def fit10(spark, d):
-    return ft.propagate_sessions(_imu(spark, d).filter("session < 40")).select("session", "t_us", F.round("vx", 2).alias("vx"))
+    # The third rotation entry is the cosine of the angle after the sample.
+    s = es.propagate_states(_imu(spark, d))
+    return s.select("session", "t_us", *r6(px=F.col("pos")[0], vx=F.col("vel")[0], vy=F.col("vel")[1], c=F.col("rot")[0]))
 
 
-@query("agg17_inertial_init", f"WITH s AS ({SAMPLES}), r AS (SELECT session, v, row_number() OVER (PARTITION BY session ORDER BY t_us) AS k FROM s) SELECT session, count(*) AS n, round(avg(v / 1000), 9) AS mx FROM r WHERE k <= 20 GROUP BY 1")
+@query("agg17_inertial_init", f"""
+WITH r AS (SELECT session, k, v / 7 AS ax, v / 49 - 1 AS ay FROM ({_IMU}) WHERE k <= 20), m AS (SELECT *, avg(ax) OVER w AS mx, avg(ay) OVER w AS my FROM r WINDOW w AS (PARTITION BY session ORDER BY k))
+SELECT session, count(*) AS n, {R6(mx='avg(ax)', my='avg(ay)', mz='9.81::DOUBLE', vx='sum((ax - mx)**2 * (k - 1) / k::DOUBLE) / count(*)', vy='sum((ay - my)**2 * (k - 1) / k::DOUBLE) / count(*)', vz='0.0::DOUBLE')} FROM m GROUP BY 1
+""")
 def agg17(spark, d):
     out = _imu(spark, d).groupBy("session").applyInPandas(lambda pdf: ft.imu_init(pdf), "session long, n long, mx double, my double, mz double, vx double, vy double, vz double")
-    return out.select("session", "n", F.round("mx", 9).alias("mx"))
+    return out.select("session", "n", *r6(**{c: F.col(c) + 0.0 for c in ("mx", "my", "mz", "vx", "vy", "vz")}))
 
 
 @query("fit11_undistortion", f"""
-WITH t AS ({TRAJECTORY}), a AS (SELECT session, id, t_us, x, y, (t_us - lag(t_us) OVER w) / 1e6 AS dt, lag(x) OVER w AS px, lag(y) OVER w AS py FROM t WINDOW w AS (PARTITION BY session ORDER BY t_us)), e AS (SELECT session, max_by(x, t_us) AS ex, max_by(y, t_us) AS ey FROM t GROUP BY 1)
-SELECT a.session, id, {R6(x='1 + px + 1e-5 * dt - ex', y='2 + py - ey')} FROM a JOIN e USING (session) WHERE px IS NOT NULL
+WITH t AS ({TRAJECTORY}), a AS (SELECT session, id, t_us, (t_us - lag(t_us) OVER w - 1) / 1e6 AS dt, lag(x) OVER w AS px, lag(y) OVER w AS py FROM t WINDOW w AS (PARTITION BY session ORDER BY t_us)), e AS (SELECT session, max_by(x, t_us) AS ex, max_by(y, t_us) AS ey FROM t GROUP BY 1),
+ m AS (SELECT a.session, id, px + 1e-5 * dt + cos(0.3 + 1e-7 * dt) - 2 * sin(0.3 + 1e-7 * dt) - ex AS wx, py + sin(0.3 + 1e-7 * dt) + 2 * cos(0.3 + 1e-7 * dt) - ey AS wy FROM a JOIN e USING (session) WHERE px IS NOT NULL)
+SELECT session, id, {R6(x='cos(0.5) * wx + sin(0.5) * wy', y='-sin(0.5) * wx + cos(0.5) * wy')} FROM m
 """)
 def fit11(spark, d):
-    # Each point is seen one microsecond before the next pose, from the state of the pose before, which drifts by 1e-5 a second in x.
+    # Each point is seen one microsecond before the next pose, from the state before, which drifts and turns; the end is turned another way.
     t = trajectory(spark, d)
-    zero, one = F.lit(0.0), F.lit(1.0)
-    poses = t.select("session", "t_us", F.col("x").alias("px"), F.col("y").alias("py"), zero.alias("pz"), F.lit(1e-5).alias("vx"), *(zero.alias(c) for c in ("vy", "vz", "wx", "wy", "wz")), one.alias("qw"), *(zero.alias(c) for c in ("qx", "qy", "qz")))
+    zero, turn = F.lit(0.0), lambda a: {"qw": F.lit(math.cos(a / 2)), "qx": F.lit(0.0), "qy": F.lit(0.0), "qz": F.lit(math.sin(a / 2))}
+    poses = t.select("session", "t_us", F.col("x").alias("px"), F.col("y").alias("py"), zero.alias("pz"), F.lit(1e-5).alias("vx"), *(zero.alias(c) for c in ("vy", "vz", "wx", "wy")), F.lit(1e-7).alias("wz"), *(v.alias(c) for c, v in turn(0.3).items()))
     pts = t.select("session", "id", F.lit(0).alias("scan_id"), (F.col("t_us") - 1).alias("t_us"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("z"))
-    ends = t.groupBy("session").agg(F.max_by("x", "t_us").alias("px"), F.max_by("y", "t_us").alias("py")).select("session", F.lit(0).alias("scan_id"), "px", "py", zero.alias("pz"), one.alias("qw"), *(zero.alias(c) for c in ("qx", "qy", "qz")))
+    ends = t.groupBy("session").agg(F.max_by("x", "t_us").alias("px"), F.max_by("y", "t_us").alias("py")).select("session", F.lit(0).alias("scan_id"), "px", "py", zero.alias("pz"), *(v.alias(c) for c, v in turn(0.5).items()))
     return ft.undistort(pts, poses, ends).select("session", "id", *r6(x=F.col("x"), y=F.col("y")))
 
 
-@query("fit13_kalman_update", "SELECT 0 AS state, 1.0::DOUBLE AS x UNION ALL SELECT 1, 2.0 UNION ALL SELECT 2, 0.0")
+@query("fit13_pose_update", _BACK)
 def fit13(spark, d):
-    # A plain measurement of the first two states: their sums come from the engine, the update from the driver.
-    import numpy as np
-
-    n = points(spark, d).agg(F.count("*").alias("n")).first()["n"]
-
-    def measure(x):
-        return n * np.eye(2), n * (x[:2] - np.array([1.0, 2.0]))
-
-    x, _ = ft.iterated_update(np.zeros(3), 100 * np.eye(3), measure, noise=1e-3)
-    return spark.createDataFrame([(k, round(float(v), 4) + 0.0) for k, v in enumerate(x)], "state int, x double")
-
-
-@query("agg23_plane_share")
-def agg23(spark, d):
-    return ft.ransac_plane_share(points(spark, d), ["scan_id"])
+    # The cloud is seen from a pose that the filter doesn't know; every point lies on a known plane.
+    r, t = es.exp_so3(np.array([0.05, -0.08, 0.1])), np.array([0.3, -0.2, 0.1])
+    p = points(spark, d).withColumn("d", -g.dot(g.vec("nx", "ny", "nz"), g.vec("x", "y", "z")))
+    seen = ft._apply(p, r.T, -r.T @ t)
+    known = 1e-10 * np.eye(es.SIZE)  # the mounting is known, the pose is not
+    known[:6, :6] = np.eye(6)
+    x, _ = es.update(es.State(), known, lambda x: es.measurement_sums(es.measurement_rows(seen, x)), 1e-6, 8, 1e-8)
+    return _aligned(seen, x.rot, x.pos)
 
 
 def _frames(spark, d):
-    t = trajectory(spark, d).filter("session < 30")
-    return t.select("session", F.col("id").alias("frame_id"), "x", "y", F.lit(0.0).alias("z"), F.lit(0.0).alias("roll"), F.lit(0.0).alias("pitch"), (F.col("z") % 3.0).alias("yaw"))
+    t = trajectory(spark, d)
+    return t.select("session", F.col("id").alias("frame_id"), "x", "y", "z", (F.col("z") % 0.7).alias("roll"), (F.col("z") % 1.1 - 0.5).alias("pitch"), (F.col("z") % 3.0).alias("yaw"))
 
 
-_FRAMES = f"SELECT session, id AS frame_id, x, y, z % 3.0 AS yaw FROM ({TRAJECTORY}) WHERE session < 30"
+_FRAMES = f"SELECT session, id AS frame_id, x, y, z, z % 0.7 AS r, z % 1.1 - 0.5 AS p, z % 3.0 AS yaw FROM ({TRAJECTORY})"
+#: The columns of a frame's rotation.
+_AXES = ("cos(yaw)*cos(p)", "sin(yaw)*cos(p)", "-sin(p)"), ("cos(yaw)*sin(p)*sin(r) - sin(yaw)*cos(r)", "sin(yaw)*sin(p)*sin(r) + cos(yaw)*cos(r)", "cos(p)*sin(r)"), ("cos(yaw)*sin(p)*cos(r) + sin(yaw)*sin(r)", "sin(yaw)*sin(p)*cos(r) - cos(yaw)*sin(r)", "cos(p)*cos(r)")
 
 
 @query("fac1_prior_factors", f"WITH f AS ({_FRAMES}) SELECT session, min(frame_id) AS frame_id, {R6(x='min_by(x, frame_id)', yaw='min_by(yaw, frame_id)')}, 1e-6::DOUBLE AS var0 FROM f GROUP BY 1")
@@ -154,11 +202,14 @@ def fac1(spark, d):
 
 
 @query("fac2_between_factors", f"""
-WITH f AS ({_FRAMES}), a AS (SELECT *, lag(frame_id) OVER w AS i, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(yaw) OVER w AS pa FROM f WINDOW w AS (PARTITION BY session ORDER BY frame_id))
-SELECT session, i, frame_id AS j, round(cos(pa)*(x-px) + sin(pa)*(y-py), 5) AS dx, round(-sin(pa)*(x-px) + cos(pa)*(y-py), 5) AS dy, round(yaw - pa, 5) AS dyaw FROM a WHERE i IS NOT NULL
+WITH f AS ({_FRAMES}), m AS (SELECT *, {', '.join(f'{e} AS m{i}{k}' for k, axis in enumerate(_AXES) for i, e in enumerate(axis))} FROM f),
+ a AS (SELECT *, lag(frame_id) OVER w AS i, x - lag(x) OVER w AS ux, y - lag(y) OVER w AS uy, z - lag(z) OVER w AS uz, {', '.join(f'lag(m{i}{k}) OVER w AS l{i}{k}' for i in range(3) for k in range(3))} FROM m WINDOW w AS (PARTITION BY session ORDER BY frame_id))
+SELECT session, i, frame_id AS j, {', '.join(f'round(l0{k}*ux + l1{k}*uy + l2{k}*uz, 5) AS d{c}' for k, c in enumerate('xyz'))}, round(l00*m00 + l10*m10 + l20*m20, 5) AS m00, round(l00*m02 + l10*m12 + l20*m22, 5) AS m02, round(l02*m00 + l12*m10 + l22*m20, 5) AS m20 FROM a WHERE i IS NOT NULL
 """)
 def fac2(spark, d):
-    return gr.between_factors(_frames(spark, d)).select("session", "i", "j", *(F.round(f"d{c}", 5).alias(f"d{c}") for c in ("x", "y", "yaw")))
+    b = gr.between_factors(_frames(spark, d))
+    m = g.euler_to_mat(F.col("droll"), F.col("dpitch"), F.col("dyaw"))
+    return b.select("session", "i", "j", *(F.round(f"d{c}", 5).alias(f"d{c}") for c in "xyz"), *(F.round(m[k], 5).alias(n) for n, k in (("m00", 0), ("m02", 2), ("m20", 6))))
 
 
 def _pairs(spark, d):
@@ -218,24 +269,28 @@ def fac6(spark, d):
     return kept.groupBy("i", "j").agg(F.count("*").alias("n")).unionByName(between.select("i", "j", F.lit(-1).cast("long").alias("n")))
 
 
-@query("fac5_pose_graph", "SELECT frame, CASE frame % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS x, CASE frame % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 ELSE 1.0 END::DOUBLE AS y FROM range(5) t(frame)")
+@query("fac5_pose_graph", f"SELECT scan_id AS frame, {', '.join(f'round(avg({c}), 4) + 0.0 AS {c}' for c in 'xyz')} FROM ({POINTS}) GROUP BY 1")
 def fac5(spark, d):
-    # A square driven with drift, closed by one loop: the last frame is the first again.
-    import numpy as np
-
-    turn = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
-    graph = gr.PoseGraph({0: np.eye(3)}, {0: np.zeros(3)}, [])
-    for k in range(4):
-        graph.factors.append((k, k + 1, turn, np.array([1.0, 0, 0]), 1.0))
-        graph.rot[k + 1] = graph.rot[k] @ turn @ ft._exp(np.array([0, 0, 0.05]))
-        graph.pos[k + 1] = graph.pos[k] + graph.rot[k] @ np.array([1.05, 0.02, 0])
-    assert graph.accept([(0, 4, np.eye(3), np.zeros(3), 10.0)])
-    return spark.createDataFrame([(k, round(float(graph.pos[k][0]), 4) + 0.0, round(float(graph.pos[k][1]), 4) + 0.0) for k in range(5)], "frame long, x double, y double")
+    # Frames at the scans' centres, turned by their mean normals; the poses are known with drift, the steps between them exactly.
+    rows = points(spark, d).groupBy("scan_id").agg(*(F.avg(c).alias(c) for c in ("x", "y", "z", "nx", "ny", "nz"))).orderBy("scan_id").collect()  # one row a frame
+    rot = {r.scan_id: ft._exp(4 * np.array([r.nx, r.ny, r.nz])) for r in rows}
+    pos = {r.scan_id: np.array([r.x, r.y, r.z]) for r in rows}
+    frames = sorted(rot)
+    step = lambda i, j: (i, j, rot[i].T @ rot[j], rot[i].T @ (pos[j] - pos[i]), 1.0)
+    drift = lambda k: (rot[k] @ ft._exp(0.02 * n * np.array([1.0, -1, 2])), pos[k] + 0.1 * n * np.array([1.0, 2, -1]))  # noqa: B023, E731
+    graph = gr.PoseGraph({}, {}, [step(i, j) for i, j in zip(frames, frames[1:], strict=False)])
+    for n, k in enumerate(frames):
+        graph.rot[k], graph.pos[k] = drift(k)
+    body = np.array([[1.0, 0, 0], [0, 2, 0], [0, 0, 3]])
+    graph.points = [(frames[2], frames[7], p, rot[frames[7]].T @ (rot[frames[2]] @ p + pos[frames[2]] - pos[frames[7]]), 1.0) for p in body]
+    assert graph.accept([step(frames[0], frames[-1])])
+    return spark.createDataFrame([(k, *(round(float(v), 4) + 0.0 for v in graph.pos[k])) for k in frames], "frame long, x double, y double, z double")
 
 
 @query("str1_keyframe_windows")
 def str1(spark, d):
-    return kf.keyframes_batch(trajectory(spark, d), window=5).select("session", "keyframe", "t_us", "n_scans")
+    t = trajectory(spark, d).withColumns({"qw": F.cos(F.col("z") / 2), "qx": F.lit(0.0), "qy": F.lit(0.0), "qz": F.sin(F.col("z") / 2)})
+    return kf.keyframes_batch(t, window=5).select("session", "keyframe", "t_us", "n_scans")
 
 
 @query("str3_submaps", f"WITH s AS ({SAMPLES}), m AS (SELECT session, id AS submap, t_us FROM s WHERE kind = 'purchase'), p AS (SELECT session, id, t_us FROM s WHERE kind <> 'purchase') SELECT p.session, p.id, m.submap FROM p ASOF LEFT JOIN m ON p.session = m.session AND p.t_us <= m.t_us")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pointframe.functions import geom as g
+from pointframe.operators import loops
 from pointframe.operators import planes as op
 from pointframe.operators import points as pt
 from pointframe.plans import sqlgeom as sg
@@ -141,10 +144,16 @@ def agg16(spark, d):
     return points(spark, d).groupBy("scan_id").agg(*r6(x=F.avg("x"), y=F.avg("y"), z=F.avg("z")))
 
 
-@query("agg24_conditional_residuals", f"WITH p AS ({POINTS}) SELECT scan_id, {R6(near='coalesce(avg(abs(z)) FILTER (WHERE x > 0), -1)', far='coalesce(avg(abs(z)) FILTER (WHERE x <= 0), -1)')} FROM p GROUP BY 1")
+@query("agg24_plane_residuals", f"""
+WITH p AS ({POINTS}), e AS (SELECT a.scan_id AS source, b.scan_id AS target, abs(b.nx*(a.x-b.x) + b.ny*(a.y-b.y) + b.nz*(a.z-b.z)) AS dis,
+ least(sqrt((a.nx+b.nx)**2 + (a.ny+b.ny)**2 + (a.nz+b.nz)**2), sqrt((a.nx-b.nx)**2 + (a.ny-b.ny)**2 + (a.nz-b.nz)**2)) AS turn FROM p a JOIN p b ON b.pt_idx = a.pt_idx + 1)
+SELECT {R6(near_distance='avg(dis) FILTER (WHERE source - target = 1)', near_normal='avg(turn) FILTER (WHERE source - target = 1)', loop_distance='avg(dis) FILTER (WHERE source - target <> 1)', loop_normal='avg(turn) FILTER (WHERE source - target <> 1)')} FROM e
+""")
 def agg24(spark, d):
-    part = lambda c: F.coalesce(F.avg(F.when(c, F.abs("z"))), F.lit(-1.0))
-    return points(spark, d).groupBy("scan_id").agg(*r6(near=part(F.col("x") > 0), far=part(F.col("x") <= 0)))
+    p = points(spark, d)
+    side = lambda s, k, at: p.select((F.col("pt_idx") - at).alias("k"), F.col("scan_id").alias(k), *(F.col(c).alias(f"{s}_c{c}") for c in "xyz"), *(F.col(f"n{c}").alias(f"{s}_n{c}") for c in "xyz"))
+    out = loops.plane_pair_residuals(side("s", "source", 0).join(side("t", "target", 1), "k"))
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
 @query("agg25_leaf_centroids", f"WITH p AS ({POINTS}) SELECT {', '.join(f'{sg.leaf(c, 0.7)} AS l{c}' for c in 'xyz')}, {R6(x='avg(x)', y='avg(y)', z='avg(z)', intensity='avg(intensity)')} FROM p GROUP BY 1, 2, 3")
@@ -206,11 +215,9 @@ def dsc1(spark, d):
     return op.off_ridge(kept, p, ["scan_id"]).select("scan_id", "px", "py", "summary")
 
 
-@query("flt17_line_like", f"WITH c AS (SELECT scan_id, {_COV} FROM ({POINTS}) GROUP BY 1), e AS (SELECT scan_id, (cxx + cyy) / 2 AS h, sqrt(((cxx - cyy) / 2) ** 2 + cxy ** 2) AS r FROM c) SELECT scan_id, {R6(small='h - r', large='h + r')}, (h - r) < 0.5 * (h + r) AS line_like FROM e")
+@query("flt17_line_like", f"WITH m AS (SELECT scan_id, avg(x*x) AS a, avg(x*y) AS b, avg(y*y) AS c FROM ({POINTS}) GROUP BY 1), e AS (SELECT scan_id, (a + c) / 2 AS h, sqrt(((a - c) / 2) ** 2 + b ** 2) AS r FROM m) SELECT scan_id, {R6(small='h - r', large='h + r')}, h - r <= 1.4 AND h + r >= 0.5 AS is_line FROM e")
 def flt17(spark, d):
-    c = op.covariance(points(spark, d), ["scan_id"])
-    h, r = (F.col("cxx") + F.col("cyy")) / 2, F.sqrt(((F.col("cxx") - F.col("cyy")) / 2) ** 2 + F.col("cxy") ** 2)
-    return c.select("scan_id", *r6(small=h - r, large=h + r), (h - r < 0.5 * (h + r)).alias("line_like"))
+    return op.line_like(points(spark, d), ["scan_id"], "x", "y", 1.4).select("scan_id", *r6(small=F.col("small"), large=F.col("large")), "is_line")
 
 
 # Keypoints: points whose slices are the bits of their number.
@@ -251,8 +258,7 @@ def dsc5(spark, d):
     return k.join(b, "kp_id").select("kp_id", "other", *r6(similarity=op.dice(F.col("slices"), F.col("s2"))))
 
 
-_FEW = f"SELECT * FROM ({_KP}) WHERE kp_id % 4 = 0"
-_NN = f"""k AS ({_FEW}), nn AS (SELECT a.frame_id, a.kp_id AS p1, b.kp_id AS p, row_number() OVER (PARTITION BY a.frame_id, a.kp_id ORDER BY (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2, b.kp_id) AS r FROM k a JOIN k b ON a.frame_id = b.frame_id AND a.kp_id <> b.kp_id)"""
+_NN = f"""k AS ({_KP}), nn AS (SELECT a.frame_id, a.kp_id AS p1, b.kp_id AS p, row_number() OVER (PARTITION BY a.frame_id, a.kp_id ORDER BY (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2, b.kp_id) AS r FROM k a JOIN k b ON a.frame_id = b.frame_id AND a.kp_id <> b.kp_id)"""
 _D = "sqrt(({0}.x-{1}.x)**2 + ({0}.y-{1}.y)**2 + ({0}.z-{1}.z)**2)".format
 _TRI = f"""{_NN}, pr AS (SELECT m.frame_id, m.p1, m.r AS m, n.r AS n, m.p AS p2, n.p AS p3 FROM nn m JOIN nn n ON m.frame_id = n.frame_id AND m.p1 = n.p1 AND m.r < n.r WHERE m.r <= 5 AND n.r <= 5),
  sd AS (SELECT pr.*, list_sort([{{'l': {_D('a', 'b')}, 'u': 1, 'v': 2}}, {{'l': {_D('a', 'c')}, 'u': 1, 'v': 3}}, {{'l': {_D('b', 'c')}, 'u': 2, 'v': 3}}]) AS s FROM pr JOIN k a ON a.frame_id = pr.frame_id AND a.kp_id = p1 JOIN k b ON b.frame_id = pr.frame_id AND b.kp_id = p2 JOIN k c ON c.frame_id = pr.frame_id AND c.kp_id = p3),
@@ -263,7 +269,7 @@ _TRI = f"""{_NN}, pr AS (SELECT m.frame_id, m.p1, m.r AS m, n.r AS n, m.p AS p2,
 
 
 def _triangles(spark, d, scale=1.0):
-    return op.triangles(keypoints(spark, d).filter("kp_id % 4 = 0"), 6, 0.2, 4.0, scale)
+    return op.triangles(keypoints(spark, d), 6, 0.2, 4.0, scale)
 
 
 @query("dsc4_triangles", f"WITH {_TRI} SELECT frame_id, p1, m, n, {R6(a='a', b='b', c='c')}, ka, kb, kc FROM tri")
@@ -275,7 +281,7 @@ def dsc4(spark, d):
 def top8(spark, d):
     from pointframe.operators.spatial import knn_join
 
-    k = keypoints(spark, d).filter("kp_id % 4 = 0")
+    k = keypoints(spark, d)
     nn = knn_join(k, k, 5, 1.0, ["kp_id"], ["kp_id"], ["frame_id"], skip_self=True)
     n = F.count("*")
     return nn.groupBy(F.col("q_frame_id").alias("frame_id"), F.col("q_kp_id").alias("p1")).agg((n * (n - 1) / 2).cast("long").alias("pairs")).filter("pairs > 0")
@@ -330,13 +336,13 @@ def top3(spark, d):
 
 @query("agg18_mean_side_distance", f"WITH {_MATCH}, f AS (SELECT DISTINCT frame_id FROM k) SELECT frame_id, round(coalesce(avg(side_dist), -1), 6) AS mean FROM f LEFT JOIN mt ON q_frame = frame_id GROUP BY 1")
 def agg18(spark, d):
-    f = keypoints(spark, d).filter("kp_id % 4 = 0").select("frame_id").distinct()
+    f = keypoints(spark, d).select("frame_id").distinct()
     return f.join(_matches(spark, d), F.col("q_frame") == F.col("frame_id"), "left").groupBy("frame_id").agg(F.round(F.coalesce(F.avg("side_dist"), F.lit(-1.0)), 6).alias("mean"))
 
 
 @query("agg19_mean_similarity", f"WITH {_MATCH}, f AS (SELECT DISTINCT frame_id FROM k) SELECT frame_id, round(coalesce(avg(similarity), -1), 6) AS mean FROM f LEFT JOIN mt ON q_frame = frame_id GROUP BY 1")
 def agg19(spark, d):
-    f = keypoints(spark, d).filter("kp_id % 4 = 0").select("frame_id").distinct()
+    f = keypoints(spark, d).select("frame_id").distinct()
     return f.join(_matches(spark, d), F.col("q_frame") == F.col("frame_id"), "left").groupBy("frame_id").agg(F.round(F.coalesce(F.avg("similarity"), F.lit(-1.0)), 6).alias("mean"))
 
 
@@ -349,16 +355,57 @@ def join13(spark, d):
     return op.voxel_overlap(p.filter("scan_id % 2 = 0"), p.filter("scan_id % 2 = 1"), 0.5).select("hits", "voxels", "points", *r6(score=F.col("score")))
 
 
-@query("fac8_overlap_score", f"""
-WITH p AS ({POINTS}), s AS (SELECT {_V5} FROM p WHERE scan_id < 4), t AS (SELECT DISTINCT {_V5} FROM p WHERE scan_id >= 4), n AS (SELECT (SELECT count(*) FROM s) AS a, (SELECT count(*) FROM p WHERE scan_id >= 4) AS b)
-SELECT round((SELECT count(*) FROM s JOIN t USING (vx, vy, vz)) / CAST(a AS DOUBLE) * least(a, b) / greatest(a, b), 6) AS score FROM n
-""")
+_SHIFTED = f"SELECT scan_id, vx, vy, vz FROM (SELECT scan_id, {sg.voxel('(x + 0.3)', 0.5)} AS vx, {sg.voxel('y', 0.5)} AS vy, {sg.voxel('z', 0.5)} AS vz FROM ({{}}))"
+
+
+def _scan_pairs(spark):
+    turn, shift = F.array(*(F.lit(float(k % 4 == 0)) for k in range(9))), F.array(F.lit(0.3), F.lit(0.0), F.lit(0.0))
+    return spark.range(10).select(F.col("id").alias("i"), ((F.col("id") + 1) % 10).alias("j"), turn.alias("rotation"), shift.alias("shift"))
+
+
+def _overlap_sql(source: str, extra: str) -> str:
+    return f"""WITH p AS ({source}), v AS (SELECT DISTINCT scan_id, {_V5} FROM p), s AS ({_SHIFTED.format('p')}), n AS (SELECT scan_id, count(*) AS n FROM p GROUP BY 1),
+ h AS (SELECT s.scan_id, count(v.vx) AS h FROM s LEFT JOIN v ON v.scan_id = (s.scan_id + 1) % 10 AND v.vx = s.vx AND v.vy = s.vy AND v.vz = s.vz GROUP BY 1),
+ o AS (SELECT h.scan_id AS i, (h.scan_id + 1) % 10 AS j, h / CAST(a.n AS DOUBLE) * least(a.n, b.n) / greatest(a.n, b.n) AS score FROM h JOIN n a ON a.scan_id = h.scan_id JOIN n b ON b.scan_id = (h.scan_id + 1) % 10)
+SELECT i, j, {extra} FROM o"""
+
+
+@query("fac8_overlap_score", _overlap_sql(POINTS, "round(score, 6) AS score, FALSE AS vetoed"))
 def fac8(spark, d):
-    p = points(spark, d)
-    other = p.filter("scan_id >= 4")
-    size = other.agg(F.count("*").alias("b"))
-    o = op.voxel_overlap(p.filter("scan_id < 4"), other, 0.5)
-    return o.join(F.broadcast(size), F.lit(True)).select(*r6(score=F.col("score") * F.least("points", "b") / F.greatest("points", "b")))
+    return loops.overlap_scores(_scan_pairs(spark), points(spark, d).withColumnRenamed("scan_id", "frame_id"), 0.5, plane=None).select("i", "j", *r6(score=F.col("score")), "vetoed")
+
+
+#: Even scans pressed flat.
+_FLAT = f"SELECT * REPLACE (CASE WHEN scan_id % 2 = 0 THEN 0.1 + x / 100 ELSE z END AS z) FROM ({POINTS})"
+
+
+def _flat(spark, d):
+    return points(spark, d).withColumn("z", F.when(F.col("scan_id") % 2 == 0, F.lit(0.1) + F.col("x") / 100).otherwise(F.col("z")))
+
+
+@query("fac8_plane_veto", _overlap_sql(_FLAT, "CASE WHEN i % 2 = 0 AND score > 0.01 THEN 0.0 ELSE round(score, 6) END AS score, i % 2 = 0 AND score > 0.01 AS vetoed"))
+def fac8b(spark, d):
+    return loops.overlap_scores(_scan_pairs(spark), _flat(spark, d).withColumnRenamed("scan_id", "frame_id"), 0.5, 0.01, 0.9).select("i", "j", *r6(score=F.col("score")), "vetoed")
+
+
+@query("agg23_plane_share", f"SELECT DISTINCT scan_id, scan_id % 2 = 0 AS is_plane FROM ({POINTS})")
+def agg23(spark, d):
+    return loops.plane_share(_flat(spark, d), ["scan_id"]).select("scan_id", (F.col("share") > 0.9).alias("is_plane"))
+
+
+def _revisits(df, first: str):
+    """df and, as frames a hundred later, the same turned by 0.7 about z and moved by (4, -3, 1)."""
+    c, s = math.cos(0.7), math.sin(0.7)
+    again = df.withColumns({"frame_id": F.col("frame_id") + 100, "x": c * F.col("x") - s * F.col("y") + 4, "y": s * F.col("x") + c * F.col("y") - 3, "z": F.col("z") + 1})
+    return df.unionByName(again.select(*df.columns)).select(first, *[c for c in df.columns if c != first])
+
+
+@query("dsc6_loop_detection", f"SELECT DISTINCT scan_id + 100 AS i, scan_id AS j, 1.0::DOUBLE AS score, {R6(r00='cos(0.7)', r01='sin(0.7)', r22='1.0', tz='-1.0')} FROM ({POINTS})")
+def dsc6(spark, d):
+    # Every frame is met again once, from another pose: its loop is the frame itself, and the pose is undone.
+    found = loops.detect_loops(_revisits(keypoints(spark, d), "frame_id"), _revisits(points(spark, d).select(F.col("scan_id").alias("frame_id"), "x", "y", "z"), "frame_id"), similar=0.9, skip_near=50, accept=0.5)
+    r, t = F.col("rotation"), F.col("shift")
+    return found.select("i", "j", *r6(score=F.col("score"), r00=r[0], r01=r[1], r22=r[8], tz=t[2]))
 
 
 @query("join18_voxel_neighbours", f"""

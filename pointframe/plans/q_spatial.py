@@ -102,12 +102,12 @@ def join11(spark, d):
     return t.join(last, "session").filter((F.col("x") - F.col("e.x")) ** 2 + (F.col("y") - F.col("e.y")) ** 2 <= 4).select("session", "id")
 
 
-@query("join12_loop_truth", f"WITH t AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t_us, id) AS k FROM ({TRAJECTORY})), j AS (SELECT a.session, a.id, b.id AS loop_id, abs(a.x-b.x) + abs(a.y-b.y) AS gap FROM t a JOIN t b ON a.session = b.session AND a.k - b.k > 3 AND (a.x-b.x)**2 + (a.y-b.y)**2 <= 9 WHERE a.session < 20) SELECT session, id, arg_min(loop_id, (gap, loop_id)) AS loop_id FROM j GROUP BY 1, 2")
+@query("join12_loop_truth", f"WITH t AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t_us, id) AS k FROM ({TRAJECTORY})), j AS (SELECT a.session, a.id, b.id AS loop_id, abs(a.x-b.x) + abs(a.y-b.y) AS gap FROM t a JOIN t b ON a.session = b.session AND a.k - b.k > 3 AND (a.x-b.x)**2 + (a.y-b.y)**2 <= 9) SELECT session, id, arg_min(loop_id, (gap, loop_id)) AS loop_id FROM j GROUP BY 1, 2")
 def join12(spark, d):
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("session").orderBy("t_us", "id")
-    t = trajectory(spark, d).filter("session < 20").withColumn("k", F.row_number().over(w)).withColumn("z", F.lit(0.0))
+    t = trajectory(spark, d).withColumn("k", F.row_number().over(w)).withColumn("z", F.lit(0.0))
     pairs = op.radius_join(t, t, 3.0, ["id", "k"], ["id", "k"], ["session"]).filter("q_k - t_k > 3")
     gap = F.abs(F.col("q_x") - F.col("t_x")) + F.abs(F.col("q_y") - F.col("t_y"))
     return pairs.groupBy(F.col("q_session").alias("session"), F.col("q_id").alias("id")).agg(F.min_by("t_id", F.struct(gap, "t_id")).alias("loop_id"))
@@ -143,12 +143,16 @@ def join20(spark, d):
     return nn.agg(F.round(F.avg(near.cast("double")), 6).alias("inliers"), F.round(F.sqrt(F.avg(F.when(near, F.col("d2")))), 6).alias("rmse"))
 
 
-@query("join20_plane_rmse", f"WITH {_nn(20, 'scan_id = 2', 'scan_id = 7')}, m AS (SELECT q, any_value(qz) AS qz, avg(tz) AS mz FROM nn GROUP BY 1) SELECT round(sqrt(avg((qz - mz)**2)), 6) AS rmse FROM m")
+@query("join20_plane_rmse", f"""
+WITH {_nn(20, 'scan_id = 2', 'scan_id = 7')}, m AS (SELECT q, any_value(qx) AS qx, any_value(qy) AS qy, any_value(qz) AS qz, sum(tx*tx) AS xx, sum(tx*ty) AS xy, sum(tx*tz) AS xz, sum(ty*ty) AS yy, sum(ty*tz) AS yz, sum(tz*tz) AS zz, -sum(tx) AS sx, -sum(ty) AS sy, -sum(tz) AS sz FROM nn GROUP BY 1),
+ i AS (SELECT *, xx*(yy*zz - yz*yz) - xy*(xy*zz - yz*xz) + xz*(xy*yz - yy*xz) AS det FROM m),
+ s AS (SELECT *, (sx*(yy*zz - yz*yz) + sy*(xz*yz - xy*zz) + sz*(xy*yz - xz*yy)) / det AS a, (sx*(yz*xz - xy*zz) + sy*(xx*zz - xz*xz) + sz*(xz*xy - xx*yz)) / det AS b, (sx*(xy*yz - yy*xz) + sy*(xy*xz - xx*yz) + sz*(xx*yy - xy*xy)) / det AS c FROM i),
+ d AS (SELECT abs(a*qx + b*qy + c*qz + 1) / sqrt(a*a + b*b + c*c) AS dis FROM s)
+SELECT count(*) AS useful, round(sqrt(avg(dis)), 6) AS rmse FROM d WHERE dis < 4.0
+""")
 def join20b(spark, d):
     q, t = _sides(spark, d, "scan_id = 2", "scan_id = 7")
-    nn = op.knn_join(q, t, 20, 1.0, ["pt_idx"], ["pt_idx"])
-    m = nn.groupBy("q_pt_idx").agg(F.first("q_z").alias("qz"), F.avg("t_z").alias("mz"))
-    return m.agg(F.round(F.sqrt(F.avg((F.col("qz") - F.col("mz")) ** 2)), 6).alias("rmse"))
+    return op.plane_rmse(q, t, 20, 1.0, ["pt_idx"], ["pt_idx"], 2.0).select("useful", *r6(rmse=F.col("rmse")))
 
 
 _CELL = ", ".join(f"{sg.leaf(c, 0.8)} AS c{c}" for c in "xyz")
@@ -233,10 +237,11 @@ def idx14(spark, d):
     return ix.admit(q, nn, 0.5).select("pt_idx", "verdict")
 
 
-@query("prj2_relative_correction", f"WITH p AS ({POINTS}) SELECT pt_idx, {R6(**{c: sg.rotate(ROT, ('x', 'y', 'z'), SHIFT)[k] for k, c in enumerate('xyz')})} FROM p")
+@query("prj2_relative_correction", f"WITH p AS ({POINTS}), q AS (SELECT pt_idx, x - 0.5 AS dx, y + 1.25 AS dy, z - 2.0 AS dz FROM p), b AS (SELECT pt_idx, cos(0.4)*dx + sin(0.4)*dy AS ux, -sin(0.4)*dx + cos(0.4)*dy AS uy, dz AS uz FROM q) SELECT pt_idx, {R6(**{c: sg.rotate(ROT, ('ux', 'uy', 'uz'), SHIFT)[k] for k, c in enumerate('xyz')})} FROM b")
 def prj2b(spark, d):
     from pointframe.plans.q_points import rot, xyz
 
-    ident = [F.lit(float(k % 4 == 0)) for k in range(9)]
-    m, t = g.compose(rot(), g.lit3(SHIFT), *g.inverse(ident, g.lit3((0, 0, 0))))
+    # From a pose turned by 0.4 about z at (0.5, -1.25, 2) to the corrected one.
+    was = g.euler_to_mat(F.lit(0.0), F.lit(0.0), F.lit(0.4))
+    m, t = g.compose(rot(), g.lit3(SHIFT), *g.inverse(was, g.lit3((0.5, -1.25, 2.0))))
     return points(spark, d).select("pt_idx", *xyz(g.transform(m, t, g.vec("x", "y", "z"))))

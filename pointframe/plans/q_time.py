@@ -35,11 +35,16 @@ def join6(spark, d):
     return op.asof_nearest(left, right, "session", "t_us", ["rid"], DAY).select("session", "id", F.col("r_rid").alias("rid"))
 
 
-@query("join7_forward_asof", f"WITH {_LR} SELECT l.session, l.id, r.id AS rid, r.t_us - l.t_us AS wait_us, r.t_us - l.t_us > 1000000 AS late FROM l ASOF LEFT JOIN r ON l.session = r.session AND l.t_us <= r.t_us")
+@query("join7_forward_asof", f"""
+WITH {_LR}, a AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t_us, id) AS i FROM l), b AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t_us, id) AS k FROM r),
+ f AS (SELECT a.session, a.id, a.t_us, a.i, (SELECT count(*) FROM r WHERE r.session = a.session AND r.t_us < a.t_us) + 1 AS f FROM a),
+ p AS (SELECT *, i + max(f - i) OVER (PARTITION BY session ORDER BY i) AS k FROM f)
+SELECT p.session, p.id, b.id AS rid, b.t_us - p.t_us AS wait_us, b.t_us - p.t_us > 1000000 AS late FROM p LEFT JOIN b USING (session, k)
+""")
 def join7(spark, d):
     left, right = _lr(spark, d)
     wait = F.col("r_t") - F.col("t_us")
-    return op.asof_forward(left, right, "session", "t_us", ["rid"]).select("session", "id", F.col("r_rid").alias("rid"), wait.alias("wait_us"), (wait > 1_000_000).alias("late"))
+    return op.asof_consumed(left, right.drop("v"), "session", "t_us", ["rid"]).select("session", "id", F.col("r_rid").alias("rid"), wait.alias("wait_us"), (wait > 1_000_000).alias("late"))
 
 
 @query("join8_exact_time", f"WITH s AS ({SAMPLES}) SELECT a.session, a.t_us, a.id, b.id AS other FROM s a JOIN s b ON a.session = b.session AND a.t_us = b.t_us WHERE a.id % 2 = 0")

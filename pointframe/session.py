@@ -16,6 +16,7 @@ def local_session(cores: int | str = "*", app: str = "pointframe", memory: str =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
@@ -29,13 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave the cluster's spark.checkpoint.dir alone; set one only where it is unset, as in tests."""
+    """Leave the cluster's spark.checkpoint.dir alone; set one only where it is unset on a single machine, as in tests."""
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
     spark.sparkContext.setCheckpointDir(os.path.join(os.environ.get("TMPDIR", "/tmp"), "pointframe-checkpoints"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and return it with a lineage that starts there."""
+    """Materialise df in the shared checkpoint folder and return it with a lineage that starts there.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints, its files go once nothing refers to it any more.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -97,3 +97,40 @@ def read_session(spark: SparkSession, path: str, corrected: bool) -> tuple[DataF
     """(points, keyframes, loops) of an earlier session, its points either as seen or corrected."""
     pts = spark.read.parquet(f"{path}/points").filter(F.col("corrected") == corrected).drop("corrected")
     return pts, spark.read.parquet(f"{path}/keyframes"), spark.read.parquet(f"{path}/loops")
+
+
+#: The columns of the timing log and of the loop evaluation.
+TIMING = ["time_stamp", "total", "scan_size", "incremental", "search", "delete_size", "delete_time", "tree_start", "tree_end", "add_size", "preprocess"]
+EVALUATION = ["frame", "x", "y", "z", "found", "match_frame", "candidate_id", "match_size", "rough_size", "tx", "ty", "tz", "n_kp", "n_repeat", "score", "t_build", "t_search", "t_fine", "t_add"]
+LOOP = ["i", "j", "x", "y", "z", "roll", "pitch", "yaw"]
+
+
+def append_descriptors(triangles: DataFrame, path: str) -> None:
+    """Add triangles to a descriptor base, with their vertices as they are, so that nothing need be coded into coordinates."""
+    triangles.write.mode("append").parquet(path)
+
+
+def read_descriptors(spark: SparkSession, path: str) -> DataFrame:
+    """The triangles of a descriptor base, for any number of height slices."""
+    return spark.read.parquet(path)
+
+
+def write_planes(planes: DataFrame, path: str, frame: str = "frame_id") -> None:
+    """The plane sets of a session, a folder a frame, so that one frame is read alone."""
+    planes.write.mode("overwrite").partitionBy(frame).parquet(path)
+
+
+def read_planes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_log(df: DataFrame, path: str, columns: list[str], order: str, sep: str = ",", header: bool = True) -> None:
+    """Rows as text in the given columns (TIMING, EVALUATION, LOOP or any state), in order inside and across parts; a missing column is empty."""
+    have = set(df.columns)
+    rows = df.select(*(F.col(c) if c in have else F.lit(None).cast("double").alias(c) for c in columns))
+    rows.repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").csv(path, sep=sep, header=header)
+
+
+def read_log(spark: SparkSession, path: str, columns: list[str], sep: str = ",", header: bool = True) -> DataFrame:
+    """What write_log wrote, as doubles."""
+    return spark.read.csv(path, schema=_doubles(columns), sep=sep, header=header)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -10,8 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointframe.functions import geom as g
+
 KEYFRAME = "session long, keyframe long, t_us long, n_scans long, scans array<long>"
-KEYFRAME_STATE = "keyframe long, count long, last array<double>, scans array<long>, epoch_t long"
+KEYFRAME_STATE = "keyframe long, count long, last array<double>, scans array<long>, seen_t long"
+TURN = ("qw", "qx", "qy", "qz")
 
 
 @dataclass
@@ -19,29 +23,38 @@ class Gate:
     """One step of the keyframe window, the same in batch and in streams.
 
     Every scan joins the buffer before it is judged; while the count is 0 the buffer holds the newest scan only. A step of
-    more than `jump` drops the scan from the count and moves the reference; one of less than `still` is not counted and
-    leaves the reference. The window closes with the `window`-th accepted scan.
+    more than `jump` drops the scan from the count and moves the reference; one that is shorter than `still` and turns by
+    less than `turn` degrees is not counted and leaves the reference. The window closes with the `window`-th accepted scan.
+    Time that runs backwards starts a new epoch with an empty buffer.
     """
 
     window: int = 10
     still: float = 0.2
     jump: float = 5.0
+    turn: float = 5.0
     keyframe: int = 0
     count: int = 0
-    last: list[float] | None = None
+    last: list[float] | None = None  # position and attitude (w, x, y, z) of the reference
     scans: list[int] = field(default_factory=list)
+    seen: int | None = None
 
-    def step(self, scan: int, pos: tuple[float, float, float]) -> list[int] | None:
+    def step(self, scan: int, t: int, pose: list[float]) -> list[int] | None:
+        if self.seen is not None and t < self.seen:
+            self.count, self.scans = 0, []
+        self.seen = t
         if self.count == 0:
             self.scans = []
-        self.scans = [*self.scans, scan]
-        moved = float(np.linalg.norm(np.subtract(pos, self.last or (0.0, 0.0, 0.0))))
+        self.scans.append(scan)
+        last = self.last or [0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0]
+        moved = math.dist(pose[:3], last[:3])
         if moved > self.jump:
-            self.last = list(pos)
+            self.last = pose
             return None
         if moved < self.still:
-            return None
-        self.last = list(pos)
+            alike = abs(sum(a * b for a, b in zip(pose[3:], last[3:], strict=True)))
+            if 2 * math.degrees(math.acos(min(1.0, alike))) < self.turn:
+                return None
+        self.last = pose
         if self.count < self.window - 1:
             self.count += 1
             return None
@@ -50,48 +63,81 @@ class Gate:
         return done
 
 
-def _run(gate: Gate, session: int, pdf: pd.DataFrame) -> list[list]:
+def _run(gate: Gate, session: int, pdf: pd.DataFrame, arrival: str | None) -> list[list]:
     out = []
-    for r in pdf.sort_values(["t_us", "id"]).itertuples(index=False):
-        done = gate.step(int(r.id), (r.x, r.y, r.z))
+    pdf = pdf.sort_values([arrival] if arrival else ["t_us", "id"])
+    turn = [c for c in TURN if c in pdf.columns]
+    if len(turn) < 4:
+        pdf, turn = pdf.assign(_w=1.0, _o=0.0), ["_w", "_o", "_o", "_o"]
+    poses = np.stack([pdf[c].to_numpy(dtype=float) for c in ("x", "y", "z", *turn)], 1).tolist()
+    for scan, t, pose in zip(pdf["id"].tolist(), pdf["t_us"].tolist(), poses, strict=True):
+        done = gate.step(scan, t, pose)
         if done is not None:
-            out.append([session, gate.keyframe, int(r.t_us), len(done), done])
+            out.append([session, gate.keyframe, t, len(done), done])
     return out
 
 
 _COLS = ["session", "keyframe", "t_us", "n_scans", "scans"]
 
 
-def keyframes_batch(poses: DataFrame, window: int = 10, still: float = 0.2, jump: float = 5.0) -> DataFrame:
-    """Keyframes of (session, id, t_us, x, y, z); a session is a sequence, sessions run apart."""
+def keyframes_batch(poses: DataFrame, window: int = 10, still: float = 0.2, jump: float = 5.0, turn: float = 5.0, arrival: str | None = None) -> DataFrame:
+    """Keyframes of (session, id, t_us, x, y, z and, if there, the attitude qw, qx, qy, qz); a session is a sequence, sessions run apart.
+
+    Scans are taken by time or, with `arrival`, in order of that column, in which time may run backwards.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_run(Gate(window, still, jump), int(pdf["session"].iloc[0]), pdf), columns=_COLS)
+        return pd.DataFrame(_run(Gate(window, still, jump, turn), int(pdf["session"].iloc[0]), pdf, arrival), columns=_COLS)
 
     return poses.groupBy("session").applyInPandas(lambda pdf: run(pdf), KEYFRAME)
 
 
-def keyframes_stream(poses: DataFrame, window: int = 10, still: float = 0.2, jump: float = 5.0) -> DataFrame:
-    """The same over a stream: the gate of each session is its state. A batch whose times run backwards starts a new epoch."""
+def keyframes_stream(poses: DataFrame, window: int = 10, still: float = 0.2, jump: float = 5.0, turn: float = 5.0, arrival: str | None = None) -> DataFrame:
+    """The same over a stream: the gate of each session is its state, with the scans of the open window.
+
+    Within a micro-batch scans are taken by time or in order of `arrival`; a scan older than the last one starts a new epoch.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        gate, seen = Gate(window, still, jump), -1
+        gate = Gate(window, still, jump, turn)
         if state.exists:
-            gate.keyframe, gate.count, last, scans, seen = state.get
+            gate.keyframe, gate.count, last, scans, gate.seen = state.get
             gate.last, gate.scans = (list(last) if len(last) else None), list(scans)
         pdf = pd.concat(list(batches), ignore_index=True)
         if len(pdf):
-            if int(pdf["t_us"].max()) < seen:
-                gate.count, gate.scans = 0, []
-            rows = _run(gate, int(key[0]), pdf)
-            seen = int(pdf["t_us"].max())
-            state.update((gate.keyframe, gate.count, gate.last or [], gate.scans, seen))
+            rows = _run(gate, int(key[0]), pdf, arrival)
+            state.update((gate.keyframe, gate.count, gate.last or [], gate.scans, gate.seen))
             if rows:
                 yield pd.DataFrame(rows, columns=_COLS)
 
     return poses.groupBy("session").applyInPandasWithState(run, KEYFRAME, KEYFRAME_STATE, "append", "NoTimeout")
 
 
+def epochs_stream(rows: DataFrame, on: str, order: str, t: str) -> DataFrame:
+    """A stream of sensor rows (scans or inertial samples) with epoch: how often time has run backwards so far, by key.
+
+    Rows of a micro-batch are taken in order of `order`; a new epoch means that what was buffered before is void.
+    """
+    names = rows.columns
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        epoch, seen = state.get if state.exists else (0, -(1 << 62))
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(order)
+        if len(pdf):
+            times = np.concatenate([[seen], pdf[t].to_numpy()])
+            epochs = epoch + np.cumsum(times[1:] < times[:-1])
+            state.update((int(epochs[-1]), int(times[-1])))
+            yield pdf.assign(epoch=epochs)[[*names, "epoch"]]
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.groupBy(on).applyInPandasWithState(run, f"{fields}, epoch long", "epoch long, seen long", "append", "NoTimeout")
+
+
+def publish(rows: DataFrame, path: str, checkpoint: str):
+    """Start writing a stream (clouds, odometry or a path) as Parquet, exactly once; what is there is gone through and the query ends."""
+    return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
+
+
 def join_clouds_and_poses(clouds: DataFrame, odometry: DataFrame, wait: str = "10 seconds") -> DataFrame:
     """Stream-stream join on equal session and event time; an unmatched row waits until the watermark passes it."""
     c = clouds.withWatermark("ts", wait).alias("c")
@@ -127,40 +173,54 @@ def near_submaps(frames: DataFrame, here: DataFrame, reach: float, used: DataFra
 
 
 def rebuild_map(points: DataFrame, poses: DataFrame, here: DataFrame, reach: float, budget: int, verify) -> tuple[DataFrame, bool]:
-    """The map after a correction: points of near frames at their corrected places, thinned to a budget a frame, kept only if verify(map) holds."""
+    """The map after a correction: points of near frames at their corrected places, thinned to a budget a frame, kept only if verify(map) holds.
+
+    Poses are (session, frame_id, x, y, z, version) and, if there, roll, pitch and yaw; points are in the frames' bodies.
+    """
     from pointframe.operators.points import thin_to
 
     near = near_submaps(latest(poses), here, reach, poses.limit(0))
-    at = points.join(near.select("session", "frame_id", *(F.col(c).alias(f"_p{c}") for c in "xyz")), ["session", "frame_id"])
-    at = at.withColumns({c: F.col(c) + F.col(f"_p{c}") for c in "xyz"}).drop("_px", "_py", "_pz")
+    angles = [F.col(c) if c in poses.columns else F.lit(0.0) for c in ("roll", "pitch", "yaw")]
+    where = near.select("session", "frame_id", *(F.col(c).alias(f"_p{c}") for c in "xyz"), F.array(*g.euler_to_mat(*angles)).alias("_m"))
+    at = points.join(where, ["session", "frame_id"])
+    moved = g.transform([F.col("_m")[k] for k in range(9)], g.vec("_px", "_py", "_pz"), g.vec("x", "y", "z"))
+    at = at.withColumns(dict(zip("xyz", moved, strict=True))).drop("_px", "_py", "_pz", "_m")
     new = thin_to(at.withColumn("scan_id", F.col("frame_id")), budget)
     return (new, True) if verify(new) else (points, False)
 
 
 @dataclass
 class Relocalizer:
-    """Multi-session state: -1 not tried, 0 waiting, 1 found; two loops to the prior session find it."""
+    """Multi-session state: -1 not tried, 0 tried and not yet sure, 1 found.
+
+    It is tried with the second loop against the prior session; a correction that is accepted then finds it. What was found stays.
+    """
 
     state: int = -1
     loops: int = 0
 
     def see(self, prior_loop: bool, accepted: bool) -> int:
-        if self.state == 1:
-            return 1
-        if prior_loop:
-            self.state = 0
-            self.loops = self.loops + 1 if accepted else 0
-            if self.loops >= 2:
-                self.state = 1
+        """The state after a loop, against the prior session or not, and whether a correction has been accepted since."""
+        if prior_loop and self.state == -1:
+            self.loops += 1
+            if self.loops == 2:
+                self.state = 0
+        if accepted and self.state == 0:
+            self.state = 1
         return self.state
 
 
 @dataclass
 class LocalMap:
-    """The cube of the map around the sensor; move() gives the boxes that leave it when it follows."""
+    """The cube of the map around the sensor; move() gives the boxes that leave it when it follows.
+
+    The cube moves along each axis on which the sensor is within `threshold` times the detection range of a face, the lower
+    face first; the boxes are cut from the cube as it was before.
+    """
 
     edge: float = 200.0
-    margin: float = 75.0
+    reach: float = 50.0  # detection range
+    threshold: float = 1.5
     low: np.ndarray | None = None
 
     def move(self, at: tuple[float, float, float]) -> list[tuple[tuple[float, ...], tuple[float, ...]]]:
@@ -168,16 +228,18 @@ class LocalMap:
         if self.low is None:
             self.low = p - self.edge / 2
             return []
-        gone, step = [], max((self.edge - 2 * self.margin) * 0.5 * 0.9, self.margin - self.edge / 2 + self.edge / 4)
+        margin = self.threshold * self.reach
+        step = max((self.edge - 2 * margin) * 0.5 * 0.9, self.reach * (self.threshold - 1))
+        gone, was = [], self.low.copy()
         for k in range(3):
-            for side in (-1, 1):
-                gap = p[k] - self.low[k] if side < 0 else self.low[k] + self.edge - p[k]
-                if gap <= self.margin:
-                    lo, hi = self.low.copy(), self.low + self.edge
-                    if side < 0:
-                        lo[k] = hi[k] - step
-                    else:
-                        hi[k] = lo[k] + step
-                    gone.append((tuple(lo), tuple(hi)))
-                    self.low[k] += side * step
+            low, high = was.copy(), was + self.edge
+            if abs(p[k] - was[k]) <= margin:
+                low[k] = high[k] - step
+                self.low[k] -= step
+            elif abs(p[k] - was[k] - self.edge) <= margin:
+                high[k] = low[k] + step
+                self.low[k] += step
+            else:
+                continue
+            gone.append((tuple(low.tolist()), tuple(high.tolist())))
         return gone

@@ -1,7 +1,10 @@
 """Properties and brute-force checks of the library's own operators."""
 
+import collections
 import math
+import random
 import struct
+import time
 
 import numpy as np
 import pandas as pd
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pointframe.functions import geom as g
 from pointframe.functions.packets import LAYOUTS, decode_packet
-from pointframe.operators import fitting, graph, index, planes, points, spatial
+from pointframe.operators import estimation, fitting, graph, index, loops, planes, points, spatial, temporal
 from pointframe.sources import readers
 from pointframe.streaming import keyframes as kf
 
@@ -211,26 +214,186 @@ def test_rebuild_is_rolled_back_when_refused(spark):
     assert kf.rebuild_map(pts, poses, here, 10.0, 5, lambda m: False) == (pts, False)
 
 
-def test_gates_and_state_machines():
-    loops = [{"frame": f, "target": t, "score": s, "distance": d} for f, t, s, d in [(9, 1, 0.9, 1), (9, 1, 0.9, 1), (10, 2, 0.4, 1), (12, 2, 0.8, 1), (30, 3, 0.6, 50), (31, 3, 0.8, 50)]]
-    assert [(x["frame"], x["target"]) for x in graph.gate_loops(loops)] == [(9, 1), (12, 2), (31, 3)]
+def test_a_turn_on_the_spot_counts_and_time_may_run_backwards():
+    g = kf.Gate(window=2)
+    pose = lambda x, deg: [x, 0.0, 0.0, math.cos(math.radians(deg) / 2), 0.0, 0.0, math.sin(math.radians(deg) / 2)]
+    assert g.step(1, 10, pose(1, 0)) is None and g.count == 1
+    assert g.step(2, 20, pose(1, 4)) is None and g.count == 1  # neither moved nor turned
+    assert g.step(3, 30, pose(1, 6)) == [1, 2, 3]
+    assert g.step(4, 40, pose(2, 6)) is None and g.step(5, 5, pose(3, 6)) is None
+    assert g.scans == [5] and g.count == 1  # a new epoch
+
+
+def test_loop_gate():
+    gate = loops.LoopGate(overlap=0.5)
+    see = [gate.see(*x, 100.0) for x in [(9, 1, 0.4, 1.0), (9, 1, 0.9, 1.0), (9, 1, 0.9, 1.0), (12, 2, 0.8, 1.0), (20, 3, 0.8, 30.0), (21, 4, 0.8, 60.0), (22, 5, 0.8, 60.0), (23, 6, 0.8, 30.0), (24, 7, 0.8, 30.0)]]
+    assert see == ["reject", "wait", "use", "use", "use", "reject", "reject", "wait", "use"]
+
+
+def test_relocalizer():
     r = kf.Relocalizer()
-    assert [r.see(*x) for x in [(False, False), (True, True), (True, True), (False, False)]] == [-1, 0, 1, 1]
-    m = kf.LocalMap(edge=100.0, margin=30.0)
-    assert m.move((0, 0, 0)) == [] and m.move((1, 0, 0)) == [] and len(m.move((25, 0, 0))) == 1
+    assert [r.see(*x) for x in [(False, True), (True, False), (False, True), (True, False), (False, False), (False, True), (True, False)]] == [-1, -1, -1, 0, 0, 1, 1]
+
+
+def test_local_map_boxes():
+    m = kf.LocalMap(edge=100.0, reach=20.0, threshold=1.5)
+    assert m.move((0, 0, 0)) == [] and m.move((1, 0, 0)) == []
+    gone = m.move((25.0, -25.0, 0.0))
+    step = max((100 - 60) * 0.45, 10)
+    assert gone == [((-50.0, -50.0, -50.0), (-50.0 + step, 50.0, 50.0)), ((-50.0, 50.0 - step, -50.0), (50.0, 50.0, 50.0))]
+    assert m.low.tolist() == [-50 + step, -50 - step, -50]
+
+
+def test_each_pose_is_taken_once(spark):
+    rng = random.Random(4)
+    left = [(s, i, rng.randrange(60)) for s in range(8) for i in range(rng.randrange(25))]
+    right = [(s, 100 + i, rng.randrange(60)) for s in range(8) for i in range(rng.randrange(25))]
+    want = {}
+    for s in range(8):
+        queue = sorted((t, i) for k, i, t in right if k == s)
+        for t, i in sorted((t, i) for k, i, t in left if k == s):
+            while queue and queue[0][0] < t:
+                queue.pop(0)
+            want[s, i] = queue.pop(0)[1] if queue else None
+    out = temporal.asof_consumed(spark.createDataFrame(left, "s long, id long, t long"), spark.createDataFrame(right, "s long, rid long, t long"), "s", "t", ["rid"])
+    assert {(r.s, r.id): r.r_rid for r in out.collect()} == want
+
+
+def _state(rng):
+    return estimation.State(*(estimation.exp_so3(rng.normal(size=3)) if k in (1, 2) else rng.normal(size=3) for k in range(8)))
+
+
+def test_process_model_and_prediction_match_differences():
+    rng = np.random.default_rng(0)
+    x, gyro, acc, dt = _state(rng), rng.normal(size=3), rng.normal(size=3), 0.05
+    d = 0.3 * rng.normal(size=estimation.SIZE)
+    assert np.allclose(x.plus(d).minus(x), d, atol=1e-9)
+    after, cov = estimation.predict(x, np.eye(estimation.SIZE), gyro, acc, dt, np.zeros(12))
+    step = np.zeros((estimation.SIZE, estimation.SIZE))
+    for k in range(estimation.SIZE):
+        e = np.zeros(estimation.SIZE)
+        e[k] = 1e-6
+        step[:, k] = estimation.predict(x.plus(e), cov, gyro, acc, dt)[0].minus(after) / 1e-6
+        f0, f1 = estimation.flow(x, gyro, acc), estimation.flow(x.plus(e), gyro, acc)
+        for name in f0:
+            assert np.allclose((f1[name] - f0[name]) / 1e-6, estimation.flow_by_state(x, acc)[estimation.SLOTS[name], k], atol=1e-4)
+    assert np.allclose(step @ step.T, cov, atol=1e-5)
+    noisy = estimation.predict(x, np.zeros((estimation.SIZE, estimation.SIZE)), gyro, acc, dt)[1]
+    assert np.allclose(noisy[estimation.SLOTS["gyro_bias"], estimation.SLOTS["gyro_bias"]], 1e-5 * dt * dt * np.eye(3)) and noisy[12, 12] > 0
+
+
+def test_update_is_the_least_cost(spark):
+    """The iterated update ends where prior and measurement error together are least; its measurement rows match differences."""
+    rng = np.random.default_rng(1)
+    x0 = estimation.State(grav=np.array([0.1, 0.2, -9.8]))
+    truth = x0.plus(np.concatenate([0.2 * rng.normal(size=12), np.zeros(11)]))
+    p, n = rng.normal(size=(60, 3)) * 5, rng.normal(size=(60, 3))
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    world = lambda x: (p @ x.mount_rot.T + x.mount_pos) @ x.rot.T + x.pos
+    d = -(n * world(truth)).sum(1)
+    rows = spark.createDataFrame([(*map(float, a), *map(float, b), float(c)) for a, b, c in zip(p, n, d, strict=True)], "x double, y double, z double, nx double, ny double, nz double, d double")
+    measure = lambda x: estimation.measurement_sums(estimation.measurement_rows(rows, x))
+    prior = np.diag(rng.uniform(0.01, 0.1, estimation.SIZE))
+    x, post = estimation.update(x0, prior, measure, 0.01, 10, 1e-9)
+
+    def cost(y):
+        e = y.minus(x0)
+        return e @ np.linalg.solve(prior, e) + (((n * world(y)).sum(1) + d) ** 2).sum() / 0.01
+
+    for k in range(estimation.SIZE):
+        e = np.zeros(estimation.SIZE)
+        e[k] = 1e-4
+        assert cost(x.plus(e)) > cost(x) - 1e-9 and cost(x.plus(-e)) > cost(x) - 1e-9
+    assert (np.linalg.eigvalsh(post) > 0).all() and (np.diag(post) < np.diag(prior) + 1e-9).all()
+
+
+def test_corrected_state_and_notice():
+    rng = np.random.default_rng(2)
+    x, r, q = _state(rng), estimation.exp_so3(rng.normal(size=3)), estimation.exp_so3(rng.normal(size=3))
+    y, note = estimation.corrected_state(x, (r, np.ones(3)), (q, np.zeros(3)), r)
+    assert np.allclose(y.rot, r @ q) and np.allclose(y.pos, 1) and np.allclose(y.vel, r @ x.vel) and note["after"][3:] == [1.0, 1.0, 1.0] and note["before"][3:] == x.pos.tolist()
+
+
+def test_ring_features_of_a_room():
+    # Two walls that meet at a corner where one run of points ends and the next begins; then a wall far behind the second's end.
+    a = np.stack([np.full(41, 4.0), np.linspace(-2, 2, 41), np.zeros(41)], 1)
+    b = np.stack([np.linspace(3.9, 0.1, 39), np.full(39, 2.0), np.zeros(39)], 1)
+    c = np.stack([np.linspace(0.0, -4.0, 21), np.full(21, 9.0), np.zeros(21)], 1)
+    got = points.FEATURES[points.ring_features(np.concatenate([a, b, c]))]
+    assert (got[:40] == "plane").all() and got[40] == "edge" and (got[41:72] == "plane").all()
+    assert "edge" in got[72:80] and "edge" not in got[80:]  # the near wall ends in a jump, the far one doesn't begin with one
+    assert (points.ring_features(np.zeros((5, 3))) == points.PLAIN).all() and len(points.ring_features(np.zeros((0, 3)))) == 0
+    lone = np.stack([np.linspace(20, 30, 30) ** 2, np.linspace(1, 3, 30) ** 3, np.zeros(30)], 1)  # along the line of sight
+    assert not (points.FEATURES[points.ring_features(lone)] == "edge").any()
+
+
+def test_epochs_of_a_stream_are_those_of_the_batch(spark, tmp_path):
+    rng, schema = random.Random(2), "session long, id long, t_us long"
+    rows = [(s, i, i * 10 if rng.random() > 0.1 else rng.randrange(100)) for s in range(3) for i in range(60)]
+    for part in range(3):
+        spark.createDataFrame([r for r in rows if r[1] // 20 == part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in order of their time
+    stream = kf.epochs_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "session", "id", "t_us")
+    kf.publish(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    want = {(r.session, r.id): r.epoch for r in temporal.epochs(spark.createDataFrame(rows, schema), "session", "id", "t_us").collect()}
+    assert {(r.session, r.id): r.epoch for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want and max(want.values()) > 2
+
+
+def test_sinks_come_back(spark, cloud, tmp_path):
+    cloud = cloud[0]
+    tri = planes.triangles(cloud.select(F.col("scan_id").alias("frame_id"), F.col("pt_idx").alias("kp_id"), "x", "y", "z", F.array(F.lit(1), F.lit(3)).alias("slices")), 4, 0.1, 9.0)
+    for _ in range(2):
+        readers.append_descriptors(tri, str(tmp_path / "base"))
+    assert readers.read_descriptors(spark, str(tmp_path / "base")).count() == 2 * tri.count() > 0
+    rows = spark.createDataFrame([(float(k), 0.5 * k) for k in range(30)], "time_stamp double, total double")
+    readers.write_log(rows, str(tmp_path / "log"), readers.TIMING, "time_stamp")
+    back = readers.read_log(spark, str(tmp_path / "log"), readers.TIMING)
+    assert sorted((r.time_stamp, r.total, r.search) for r in back.collect()) == [(float(k), 0.5 * k, None) for k in range(30)]
+    flat = planes.fit_planes(cloud.withColumnRenamed("scan_id", "frame_id"), ["frame_id"])
+    readers.write_planes(flat, str(tmp_path / "planes"))
+    assert readers.read_planes(spark, str(tmp_path / "planes")).count() == flat.count()
+
+
+def test_index_under_random_inserts_and_deletes(spark):
+    """Inserts that keep the point nearest to a cell's centre, deletes of points and boxes, then nearest, radius and box searches, against lists."""
+    rng, size = np.random.default_rng(8), 0.8
+    live = {k: tuple(p) for k, p in enumerate(rng.uniform(-5, 5, (400, 3)))}
+    schema = "pt_idx long, x double, y double, z double"
+    df = lambda d: spark.createDataFrame([(int(k), *map(float, p)) for k, p in sorted(d.items())], schema)
+    cell = lambda p: tuple(np.floor(np.array(p) / size).astype(int).tolist())
+    middle = lambda p: float(((np.array(p) - (np.floor(np.array(p) / size) + 0.5) * size) ** 2).sum())
+    table = df(live)
+    for turn in range(3):
+        gone = {int(k): live[k] for k in rng.choice(sorted(live), 40, replace=False).tolist()}
+        box = ((-1.0 + turn, -5.0, -5.0), (0.0 + turn, 5.0, 5.0))
+        fresh = {1000 * (turn + 1) + k: tuple(p) for k, p in enumerate(rng.uniform(-5, 5, (60, 3)))}
+        table = index.delete_points(table, df(gone))
+        table = index.delete_boxes(table.withColumn("deleted_by", F.lit(None).cast("string")), [box]).filter("deleted_by IS NULL").drop("deleted_by")
+        table = spark.createDataFrame(index.insert_sampled(table, df(fresh), size, "pt_idx").select("pt_idx", "x", "y", "z").collect(), schema)
+        live = {k: p for k, p in live.items() if k not in gone and not all(lo <= v < hi for v, lo, hi in zip(p, *box, strict=True))}
+        touched = {cell(p) for p in fresh.values()}
+        live |= fresh
+        best = {}
+        for k, p in sorted(live.items()):
+            if cell(p) in touched and (cell(p) not in best or middle(p) < middle(live[best[cell(p)]])):
+                best[cell(p)] = k
+        live = {k: p for k, p in live.items() if cell(p) not in touched or best[cell(p)] == k}
+        assert {r.pt_idx for r in table.collect()} == set(live)
+    q = rng.uniform(-5, 5, (30, 3))
+    queries = df({k: tuple(p) for k, p in enumerate(q)})
+    ids, p = np.array(sorted(live)), np.array([live[k] for k in sorted(live)])
+    d2 = ((q[:, None, :] - p[None]) ** 2).sum(2)
+    got = collections.defaultdict(list)
+    for r in sorted(spatial.knn_join(queries, table, 5, 0.5, ["pt_idx"], ["pt_idx"]).collect(), key=lambda r: r.rank):
+        got[r.q_pt_idx].append(r.t_pt_idx)
+    assert all(got[k] == ids[np.argsort(d2[k], kind="stable")[:5]].tolist() for k in range(30))
+    near = {(r.q_pt_idx, r.t_pt_idx) for r in spatial.radius_join(queries, table, 1.5, ["pt_idx"], ["pt_idx"]).collect()}
+    assert near == {(k, int(ids[j])) for k in range(30) for j in np.flatnonzero(d2[k] <= 2.25)}
+    box = {r.pt_idx for r in spatial.box_search(table, (-2, -2, -2), (2, 2, 2)).collect()}
+    assert box == {int(k) for k, x in zip(ids, p, strict=True) if (x >= -2).all() and (x < 2).all()}
 
 
 def test_graph_refuses_a_false_loop():
     gph = graph.PoseGraph({0: np.eye(3), 1: np.eye(3)}, {0: np.zeros(3), 1: np.array([1.0, 0, 0])}, [(0, 1, np.eye(3), np.array([1.0, 0, 0]), 1.0)])
     assert not gph.accept([(0, 1, np.eye(3), np.array([50.0, 0, 0]), 1.0)])
     assert len(gph.factors) == 1 and np.allclose(gph.pos[1], [1, 0, 0])
-
-
-def test_kalman_forms_agree():
-    rng = np.random.default_rng(0)
-    h = rng.normal(size=(30, 4))
-    truth = np.array([0.5, -1, 2, 0.1])
-    z = h @ truth
-    x1, p1 = fitting.iterated_update(np.zeros(6), 10 * np.eye(6), lambda x: (h.T @ h, h.T @ (h @ x[:4] - z)), 1e-4)
-    x2, p2 = fitting.kalman_update(np.zeros(6), 10 * np.eye(6), h.T @ h, h.T @ (-z), 1e-4)
-    assert np.allclose(x1, x2, atol=1e-8) and np.allclose(x1[:4], truth, atol=1e-4) and np.allclose(p1, p2)
