@@ -130,16 +130,16 @@ def _imu(spark, d):
     s = samples(spark, d)
     order = F.row_number().over(Window.partitionBy("session").orderBy("t_us", "id"))
     zero = F.lit(0.0)
-    return s.select("session", (order * 10_000).cast("long").alias("t_us"), "id", zero.alias("gx"), zero.alias("gy"), (F.col("v") / 91).alias("gz"), (F.col("v") / 7).alias("ax"), (F.col("v") / 49 - 1).alias("ay"), F.lit(9.81).alias("az"))
+    return s.select("session", (order * 10_000).cast("long").alias("t_us"), "id", zero.alias("gx"), zero.alias("gy"), (F.col("v") * 0.01098913).alias("gz"), (F.col("v") * 0.14285137).alias("ax"), (F.col("v") * 0.02040813 - 1).alias("ay"), F.lit(9.81).alias("az"))
 
 
 _IMU = f"SELECT session, row_number() OVER (PARTITION BY session ORDER BY t_us, id) AS k, v FROM ({SAMPLES})"
 
 
 @query("fit10_inertial_states", f"""
-WITH a AS (SELECT session, k, (v + lag(v) OVER w) / 2 AS m FROM ({_IMU}) WINDOW w AS (PARTITION BY session ORDER BY k)), b AS (SELECT *, coalesce(m, 0) / 91 * 0.01 AS turn FROM a),
+WITH a AS (SELECT session, k, (v + lag(v) OVER w) / 2 AS m FROM ({_IMU}) WINDOW w AS (PARTITION BY session ORDER BY k)), b AS (SELECT *, coalesce(m, 0) * 0.01098913 * 0.01 AS turn FROM a),
  c AS (SELECT *, sum(turn) OVER (PARTITION BY session ORDER BY k) - turn AS yaw FROM b),
- e AS (SELECT *, CASE WHEN m IS NULL THEN 0 ELSE cos(yaw) * m / 7 - sin(yaw) * (m / 49 - 1) END AS x, CASE WHEN m IS NULL THEN 0 ELSE sin(yaw) * m / 7 + cos(yaw) * (m / 49 - 1) END AS y FROM c),
+ e AS (SELECT *, CASE WHEN m IS NULL THEN 0 ELSE cos(yaw) * m * 0.14285137 - sin(yaw) * (m * 0.02040813 - 1) END AS x, CASE WHEN m IS NULL THEN 0 ELSE sin(yaw) * m * 0.14285137 + cos(yaw) * (m * 0.02040813 - 1) END AS y FROM c),
  f AS (SELECT *, sum(x * 0.01) OVER (PARTITION BY session ORDER BY k) AS vx, sum(y * 0.01) OVER (PARTITION BY session ORDER BY k) AS vy FROM e),
  h AS (SELECT *, sum(vx * 0.01) OVER (PARTITION BY session ORDER BY k) - vx * 0.01 AS px FROM f)
 SELECT session, k * 10000 AS t_us, {R6(px='px', vx='vx', vy='vy', c='cos(yaw + turn)')} FROM h
@@ -151,7 +151,7 @@ def fit10(spark, d):
 
 
 @query("agg17_inertial_init", f"""
-WITH r AS (SELECT session, k, v / 7 AS ax, v / 49 - 1 AS ay FROM ({_IMU}) WHERE k <= 20), m AS (SELECT *, avg(ax) OVER w AS mx, avg(ay) OVER w AS my FROM r WINDOW w AS (PARTITION BY session ORDER BY k))
+WITH r AS (SELECT session, k, v * 0.14285137 AS ax, v * 0.02040813 - 1 AS ay FROM ({_IMU}) WHERE k <= 20), m AS (SELECT *, avg(ax) OVER w AS mx, avg(ay) OVER w AS my FROM r WINDOW w AS (PARTITION BY session ORDER BY k))
 SELECT session, count(*) AS n, {R6(mx='avg(ax)', my='avg(ay)', mz='9.81::DOUBLE', vx='sum((ax - mx)**2 * (k - 1) / k::DOUBLE) / count(*)', vy='sum((ay - my)**2 * (k - 1) / k::DOUBLE) / count(*)', vz='0.0::DOUBLE')} FROM m GROUP BY 1
 """)
 def agg17(spark, d):
