@@ -6,8 +6,9 @@ of the gram between the two sides, each language weighing alike. A text goes to
 against the bits' margins, each bit weighted by how well it separated the training counts; a small gap between the
 best and the second codeword marks the prediction as ambiguous.
 
-Training reads at most about `fit_rows` labelled documents per language (a sample by hash of the id, whole texts);
-n-gram counts are summed by Spark and only languages x buckets numbers reach the driver.
+Training reads at most about `fit_rows` labelled documents per language (a sample by hash, whole texts); n-gram counts and
+the shares on either side of each bit are summed by Spark, and only buckets x bits and languages x bits numbers reach the
+driver.
 """
 
 from __future__ import annotations
@@ -23,11 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointframe.llm.common import append_columns, claim, crc_fold, read_documents, texts_of
+from pointframe.llm.common import append_columns, claim, crc_fold, cut, read_documents, texts_of
 
 BUCKETS = 1 << 15
 FIT_ROWS = 20_000  # labelled documents per language that training reads, about
-MAX_LANGS = 512  # languages that a model can hold
+MAX_LANGS = 8192  # more values than this are no languages
+WIDE = 1024  # languages up to which the best of many codes is looked for
+SCALE = 1 << 49  # shares are summed as whole numbers of so many parts
+PREDICTED = 1 << 22  # texts x languages x bits that are in memory at once
 AMBIGUOUS = 0.05  # gap of the normalised losses of the best two codewords
 SHARPNESS = 40.0  # turns a mean log-odds into a margin
 FEW = 30  # a text of this many grams counts half as sure as a long one
@@ -87,6 +91,10 @@ def code_matrix(k: int) -> np.ndarray:
         return np.array(rows).T.astype(float)
     width = max(24, 10 * int(np.ceil(np.log2(k))))
     rng, best, gap = np.random.default_rng(7), None, -1
+    while k > WIDE:  # wide enough to differ by any draw, or nearly
+        best = rng.choice([-1.0, 1.0], size=(k, width))
+        if len(np.unique(best, axis=0)) == k:
+            return best
     for _ in range(200):
         m = rng.choice([-1.0, 1.0], size=(k, width))
         m = m[:, np.abs(m.sum(0)) < k]
@@ -122,6 +130,10 @@ class LanguageModel:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score from 0 to 1, whether ambiguous) of each text."""
+        some = max(1, PREDICTED // self.codes.size)
+        if len(texts) > some:
+            parts = [self.predict(texts[i : i + some]) for i in range(0, len(texts), some)]
+            return [x for p in parts for x in p[0]], np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
         margins, letters = self.margins(texts)
         x = np.clip(SHARPNESS * margins[:, None, :] * self.codes[None, :, :], -500, 500)
         loss = (np.logaddexp(0, -x) * self.trust).sum(2) / self.trust.sum()  # text x language
@@ -138,53 +150,78 @@ COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("buc
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gram counts of each language in one partition."""
+    """Gram counts of each language in one partition, or in parts of it if it has many languages."""
     total: dict[str, np.ndarray] = {}
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for lang, acc in total.items():
+            at = np.flatnonzero(acc)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(acc[at], pa.int64())], names=["lang", "bucket", "n"])
+        total.clear()
+
     for b in batches:
         langs, texts = b.column("lang").to_pylist(), texts_of(b, "text")
-        for lang in set(langs):
+        for lang in sorted(set(langs)):
             acc = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
             for codes, *_ in chunks([t for t, x in zip(texts, langs, strict=True) if x == lang]):
                 for h, live in gram_buckets(codes):
                     acc += np.bincount(h[live], minlength=BUCKETS)
-    for lang, acc in total.items():
-        at = np.flatnonzero(acc)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(acc[at], pa.int64())], names=["lang", "bucket", "n"])
+            if len(total) >= 64:
+                yield from counted()
+    yield from counted()
 
 
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
     """A model of the rows' (doc_id, text, lang).
 
     Rows with a null language and texts without letters teach nothing; with no row at all the model knows no
-    language and predicts `und`. A table of more than MAX_LANGS languages is refused with an error, since the counts of all
-    languages reach the driver. If a language has more than about fit_rows rows, a sample of them by hash is taken.
+    language and predicts `und`. If a language has more than about fit_rows rows, a sample of them by hash is taken. A table
+    of more than MAX_LANGS languages is refused with an error, since codewords of all of them are held.
     """
     rows = rows.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull())
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(per) > MAX_LANGS:
+    large = rows.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") > fit_rows)  # fewer than rows / fit_rows
+    share = F.coalesce(F.lit(float(fit_rows)) / F.col("n"), F.lit(1.0))
+    picked = rows.join(F.broadcast(large), "lang", "left").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)).drop("n")
+    sums = cut(picked.mapInArrow(_count, COUNTS).groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    total = sums.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()
+    if len(total) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    share = F.lit(1.0)
-    for lang, n in per.items():
-        if n > fit_rows:
-            share = F.when(F.col("lang") == lang, F.lit(fit_rows / n)).otherwise(share)
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30))
-    sums = picked.mapInArrow(_count, COUNTS).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(sums["lang"].unique())
-    counts = np.zeros((len(langs), BUCKETS))
-    counts[sums["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=int), sums["bucket"].to_numpy(dtype=int)] = sums["n"]
-    return from_counts(langs, counts)
-
-
-def from_counts(langs: list[str], counts: np.ndarray) -> LanguageModel:
+    return from_counts(sums, [(r["lang"], r["n"]) for r in total])
+
+
+def from_counts(sums: DataFrame, total: list[tuple[str, int]]) -> LanguageModel:
+    """The model of counts (lang, bucket, n), whose sums by language are given in order of the languages.
+
+    A language's share of a bucket is of its grams, with half a gram more in each bucket; a bit's weight is the log of the
+    mean share of the languages with the bit over that of those without, and its trust the least expected margin of a language.
+    """
+    langs = [x for x, _ in total]
     codes = code_matrix(len(langs))
-    weights, trust = np.zeros((codes.shape[1], BUCKETS + 1), np.float32), np.ones(codes.shape[1])
-    if len(langs) > 1:
-        p = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
-        for b in range(codes.shape[1]):
-            yes, no = p[codes[:, b] > 0].mean(0), p[codes[:, b] < 0].mean(0)
-            weights[b, :BUCKETS] = np.log(yes) - np.log(no)
-            side = (p * weights[b, :BUCKETS]).sum(1) * codes[:, b]  # each language's expected margin
-            trust[b] = max(side.min(), 1e-3)
+    bits = range(codes.shape[1])
+    weights, trust = np.zeros((len(bits), BUCKETS + 1), np.float32), np.ones(len(bits))
+    if len(langs) < 2:
+        return LanguageModel(langs, codes, weights, trust)
+    mass = np.array([n + 0.5 * BUCKETS for _, n in total])
+    spark = sums.sparkSession
+    known = F.broadcast(spark.createDataFrame([(x, float(m), [int(c > 0) for c in row]) for (x, _), m, row in zip(total, mass, codes, strict=True)], "lang string, mass double, bits array<int>"))
+    part = (F.col("n") * F.lit(float(SCALE)) / F.col("mass")).cast("long")
+    each = sums.join(known, "lang").select("lang", "bucket", part.alias("p"), "bits")
+    got = each.groupBy("bucket").agg(F.sum("p").alias("all"), *(F.sum(F.col("p") * F.col("bits")[b]).alias(f"b{b}") for b in bits)).toArrow()
+    at = got.column("bucket").to_numpy()
+    rest = (0.5 / mass) @ (codes > 0), (0.5 / mass) @ (codes < 0)
+    for b in bits:
+        yes, no = np.full(BUCKETS, rest[0][b]), np.full(BUCKETS, rest[1][b])
+        with_bit = got.column(f"b{b}").to_numpy()
+        yes[at] += with_bit / SCALE
+        no[at] += (got.column("all").to_numpy() - with_bit) / SCALE
+        weights[b, :BUCKETS] = np.log(yes / (codes[:, b] > 0).sum()) - np.log(no / (codes[:, b] < 0).sum())
+    # Expected margins: weights in whole numbers too, so that sums don't depend on their order.
+    whole = np.round(weights[:, :BUCKETS].T.astype(float) * (1 << 20)).astype(np.int64)
+    odds = F.broadcast(spark.createDataFrame(pa.table({"bucket": pa.array(np.arange(BUCKETS), pa.int32()), "w": pa.array(list(whole), pa.list_(pa.int64()))})))
+    sides = sums.join(odds, "bucket").groupBy("lang").agg(*(F.sum(F.col("n") * F.col("w")[b]).alias(f"b{b}") for b in bits)).orderBy("lang").collect()
+    flat = weights[:, :BUCKETS].astype(float).sum(1)
+    side = np.array([[r[f"b{b}"] / (1 << 20) for b in bits] for r in sides])
+    trust = np.maximum(((side + 0.5 * flat) / mass[:, None] * codes).min(0), 1e-3)
     return LanguageModel(langs, codes, weights, trust / trust.mean())
 
 

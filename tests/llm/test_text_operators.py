@@ -303,8 +303,17 @@ def test_folds_are_crc32(spark):
     assert all(r.a == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.b == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
+def test_very_many_languages(spark):
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    rows = [(30 * k + i, " ".join("".join(rng.choice(letters[5 * k : 5 * k + 5]) for _ in range(4)) for _ in range(20)), f"l{k:03}") for k in range(600) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs, language.fit(docs)).collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.99 * len(got)
+
+
 def test_code_words_differ():
-    for k in (2, 3, 4, 6, 20):
+    for k in (2, 3, 4, 6, 20, 2000):
         m = language.code_matrix(k)
         assert len({tuple(r) for r in m}) == k and (np.abs(m.sum(0)) < k).all()
 
