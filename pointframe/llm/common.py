@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 from collections.abc import Callable, Iterator
 
@@ -24,6 +25,7 @@ _kept: dict[str, Callable[[], None]] = {}
 
 def claim(owner: str, drop: Callable[[], None]) -> None:
     """Called by an operator's task: what other operators have kept in this worker is dropped, so that memory holds the caches of one only."""
+    _lean()
     others = [o for o in _kept if o != owner]
     for other in others:
         _kept.pop(other)()
@@ -32,6 +34,16 @@ def claim(owner: str, drop: Callable[[], None]) -> None:
         _give_back()
 
 
+@functools.cache
+def _lean() -> None:
+    """Once a worker: batches are taken from the system and go back to it when they are done, rather than to a pool that keeps them."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD: blocks from here on, as whole batches, are mapped alone
+        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+
+
 def _give_back() -> None:
     """Hand freed memory back to the system, where the C library can."""
     gc.collect()

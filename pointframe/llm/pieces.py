@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pointframe.llm.common import append_columns, claim, read_documents
 
 MARK = "▁"
-CACHE, PAIRS = 300_000, 200_000  # units and token pairs kept by a worker; a cache is emptied when full, which changes speed only
+CACHE, PAIRS = 300_000, 150_000  # units and token pairs kept by a worker; a cache is emptied when full, which changes speed only
 SHORT = 64  # characters of a unit that is kept, and tiled as a whole
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 

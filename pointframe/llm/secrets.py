@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointframe.llm.common import append_columns, read_documents
+from pointframe.llm.common import append_columns, claim, read_documents
 
 KINDS = ("assign", "access", "hex", "literal")
 THRESHOLD = 0.5
@@ -262,6 +262,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secr
     keys = ("kind", "start", "end", "name", "score")
 
     def make():
+        claim("secrets", lambda: None)
         return lambda texts: [pa.array([[dict(zip(keys, s, strict=True)) for s in scan(t, threshold)] for t in texts], kind)]
 
     return append_columns(docs, text_col, [T.StructField(spans_col, T.ArrayType(SPAN))], make)
