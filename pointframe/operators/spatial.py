@@ -3,7 +3,7 @@
 A radius join cuts space into cells as wide as the radius; every query goes to the 27 cells around its own, and meets
 the targets of those cells by an equi-join. A nearest-neighbour join does the same with a guessed radius; queries whose
 k-th neighbour isn't certain (fewer than k within the radius) are asked again with twice the radius, and the few that are
-left after some rounds are held against all targets in one broadcast or shuffled pass. So results are exact for any guess.
+left after some rounds are held against all targets, dealt into parts whose best are merged. So results are exact for any guess.
 """
 
 from __future__ import annotations
@@ -45,11 +45,11 @@ def radius_join(queries: DataFrame, targets: DataFrame, radius: float, qid: list
     return joined.withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
 
 
-def knn_join(queries: DataFrame, targets: DataFrame, k: int, guess: float, qid: list[str], tid: list[str], on: list[str] | None = None, skip_self: bool = False, max_dist: float | None = None) -> DataFrame:
+def knn_join(queries: DataFrame, targets: DataFrame, k: int, guess: float, qid: list[str], tid: list[str], on: list[str] | None = None, skip_self: bool = False, max_dist: float | None = None, where: Column | None = None) -> DataFrame:
     """(q_*, t_*, d2, rank) of the k nearest targets of each query, ties by the target's ids; fewer if there are fewer.
 
     With max_dist, only targets within it count, which a single radius join answers. skip_self leaves out targets with
-    the query's own ids.
+    the query's own ids; where, over q_ and t_ columns of the ids, leaves out others before they are ranked.
     """
     qk, tk = [f"q_{c}" for c in dict.fromkeys([*(on or []), *qid])], [f"t_{c}" for c in tid]
     rank = Window.partitionBy(*qk).orderBy("d2", *tk)
@@ -61,6 +61,8 @@ def knn_join(queries: DataFrame, targets: DataFrame, k: int, guess: float, qid:
             for s in same[1:]:
                 cond = cond & s
             pairs = pairs.filter(~cond)
+        if where is not None:
+            pairs = pairs.filter(where)
         return pairs.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
     if max_dist is not None:
@@ -76,11 +78,23 @@ def knn_join(queries: DataFrame, targets: DataFrame, k: int, guess: float, qid:
             break
         radius *= 2
     else:
-        span = targets.agg(*(F.max(c).alias(f"h{c}") for c in XYZ), *(F.min(c).alias(f"l{c}") for c in XYZ)).first()
-        ask = asked.agg(*(F.max(c).alias(f"h{c}") for c in XYZ), *(F.min(c).alias(f"l{c}") for c in XYZ)).first()
-        if span["hx"] is not None and ask["hx"] is not None:  # one cell that holds both: what is left sees every target of its group
-            wide = sum((max(span[f"h{c}"], ask[f"h{c}"]) - min(span[f"l{c}"], ask[f"l{c}"])) ** 2 for c in XYZ) ** 0.5 + 1e-9
-            done.append(best(radius_join(asked, targets, wide, qid, tid, on)))
+        # What is left sees every target of its group, a part of the targets in a task; the best of all parts are ranked again.
+        parts = max(1, int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        q = asked.select(*(F.col(c).alias(f"q_{c}") for c in dict.fromkeys([*keys, *XYZ])), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"))
+        t = targets.select(*(F.col(c).alias(f"t_{c}") for c in dict.fromkeys([*(on or []), *tid, *XYZ])), F.pmod(F.xxhash64(*tid), F.lit(parts)).cast("int").alias("_p"))
+        same = F.lit(True)
+        for c in on or []:
+            same = same & (F.col(f"q_{c}") == F.col(f"t_{c}"))
+        pairs = q.join(t, "_p").filter(same).withColumn("d2", g.sq_dist(g.vec("q_x", "q_y", "q_z"), g.vec("t_x", "t_y", "t_z")))
+        if skip_self:
+            own = F.lit(True)
+            for a, b in zip(qid, tid, strict=True):
+                own = own & (F.col(f"q_{a}") == F.col(f"t_{b}"))
+            pairs = pairs.filter(~own)
+        if where is not None:
+            pairs = pairs.filter(where)
+        here = Window.partitionBy("_p", *qk).orderBy("d2", *tk)
+        done.append(best(pairs.withColumn("_r", F.row_number().over(here)).filter(F.col("_r") <= k).drop("_r", "_p")))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -34,11 +34,17 @@ def fit1(spark, d):
     return out.select("grp", *r6(nx=F.col("nx"), nz=F.col("nz"), d=F.col("d"), worst=F.col("worst")), "ok")
 
 
-@query("fit12_measurement_sums", f"WITH r AS (SELECT scan_id, (y*nz - z*ny) AS j0, nx AS j3, ny AS j4, nx*x + ny*y + nz*z + 0.5 AS r FROM ({POINTS})) SELECT count(*) AS n, {R6(h00='sum(j0*j0)', h03='sum(j0*j3)', h34='sum(j3*j4)', g0='sum(j0*r)', g3='sum(j3*r)', cost='sum(r*r)')} FROM r")
+@query("fit12_measurement_sums", f"""
+WITH w AS (SELECT *, x + 0.2 AS bx, y - 0.1 AS by_, z + 0.3 AS bz, cos(0.4) * nx + sin(0.4) * ny AS c0, -sin(0.4) * nx + cos(0.4) * ny AS c1, nz AS c2 FROM ({POINTS})),
+ h AS (SELECT nx AS h0, ny AS h1, by_ * c2 - bz * c1 AS h3, bz * c0 - bx * c2 AS h4, y * c2 - z * c1 AS h6, x * c1 - y * c0 AS h8, c0 AS h9, c2 AS h11,
+  nx * (cos(0.4) * bx - sin(0.4) * by_ + 1.0) + ny * (sin(0.4) * bx + cos(0.4) * by_ - 2.0) + nz * (bz + 0.5) + 0.5 AS r FROM w)
+SELECT count(*) AS n, {R6(s00='sum(h0*h0)', s13='sum(h1*h3)', s34='sum(h3*h4)', s68='sum(h6*h8)', s411='sum(h4*h11)', s99='sum(h9*h9)', r0='sum(h0*r)', r4='sum(h4*r)', r8='sum(h8*r)', r11='sum(h11*r)')} FROM h
+""")
 def fit12(spark, d):
-    p = points(spark, d).select(*(F.col(c).alias(f"q_{c}") for c in "xyz"), *(F.col(f"n{c}").alias(f"n_{c}") for c in "xyz"), F.lit(0.5).alias("d"))
-    e = ft.normal_equations(ft.measurement_rows(p))
-    return e.select("n", *r6(**{c: F.col(c) for c in ("h00", "h03", "h34", "g0", "g3", "cost")}))
+    turned = es.State(pos=np.array([1.0, -2.0, 0.5]), rot=es.exp_so3(np.array([0.0, 0.0, 0.4])), mount_pos=np.array([0.2, -0.1, 0.3]))
+    h, r, n = es.measurement_sums(es.measurement_rows(points(spark, d).withColumn("d", F.lit(0.5)), turned))
+    sums = {f"s{a}{b}": h[a, b] for a, b in ((0, 0), (1, 3), (3, 4), (6, 8), (4, 11), (9, 9))} | {f"r{k}": r[k] for k in (0, 4, 8, 11)}
+    return spark.createDataFrame([(n, *(float(v) for v in sums.values()))], "n long, " + ", ".join(f"{c} double" for c in sums)).select("n", *r6(**{c: F.col(c) for c in sums}))
 
 
 def _tri_pairs(spark, d):

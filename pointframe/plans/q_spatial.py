@@ -213,13 +213,10 @@ def idx10(spark, d):
 
 @query("idx12_nearest_in_time", f"WITH {_nn(3, 'scan_id = 1', 'scan_id <> 1', 'abs(q.t_off_ms - t.t_off_ms) <= 2.0')} SELECT q, t, CAST(rank AS INTEGER) AS rank FROM nn")
 def idx12(spark, d):
-    from pyspark.sql.window import Window
-
     q, t = _sides(spark, d, "scan_id = 1", "scan_id <> 1")
-    # The time range is part of the match, so all targets within reach are ranked after it.
-    pairs = op.radius_join(q, t, 12.0, ["pt_idx", "t_off_ms"], ["pt_idx", "t_off_ms"]).filter("abs(q_t_off_ms - t_t_off_ms) <= 2.0")
-    w = Window.partitionBy("q_pt_idx").orderBy("d2", "t_pt_idx")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select(F.col("q_pt_idx").alias("q"), F.col("t_pt_idx").alias("t"), "rank")
+    near = F.abs(F.col("q_t_off_ms") - F.col("t_t_off_ms")) <= 2.0  # the time range is part of the match
+    nn = op.knn_join(q, t, 3, 0.5, ["pt_idx", "t_off_ms"], ["pt_idx", "t_off_ms"], where=near)
+    return nn.select(F.col("q_pt_idx").alias("q"), F.col("t_pt_idx").alias("t"), "rank")
 
 
 _MID = {c: f"(floor(q{c} * 2) * 0.5 + 0.25)" for c in "xyz"}

@@ -37,6 +37,19 @@ def test_knn_is_exact_for_any_guess(cloud):
             assert np.allclose([got[i, k] for k in range(1, 6)], d, atol=1e-9)
 
 
+def test_knn_of_a_far_query_and_with_a_condition(cloud, monkeypatch):
+    df, p = cloud
+    monkeypatch.setattr(spatial, "MAX_ROUNDS", 2)  # most queries end with all targets
+    q = df.filter("pt_idx < 30").withColumn("x", F.col("x") + 1000)
+    nn = spatial.knn_join(q, df, 3, 0.01, ["pt_idx"], ["pt_idx"], where=(F.col("q_pt_idx") + F.col("t_pt_idx")) % 2 == 0)
+    got = collections.defaultdict(list)
+    for r in sorted(nn.collect(), key=lambda r: r["rank"]):
+        got[r.q_pt_idx].append(r.t_pt_idx)
+    for k in range(30):
+        d2 = ((p - (p[k] + [1000, 0, 0])) ** 2).sum(1) + 1e9 * ((np.arange(400) + k) % 2)
+        assert got[k] == np.argsort(d2, kind="stable")[:3].tolist()
+
+
 def test_knn_with_fewer_targets_than_k(cloud):
     df, _ = cloud
     got = spatial.knn_join(df.filter("pt_idx < 2"), df.filter("pt_idx < 3"), 5, 0.1, ["pt_idx"], ["pt_idx"])
