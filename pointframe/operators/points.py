@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -107,22 +108,70 @@ def in_cone(p: g.Vec, origin: tuple[float, ...], axis: tuple[float, ...], half_a
     n = sum(v * v for v in axis) ** 0.5
     d = g.sub(p, g.lit3(origin))
     along = g.dot(d, g.lit3(tuple(v / n for v in axis)))
-    import math
-
     return (along > 0) & (along <= depth) & (along >= g.norm(d) * math.cos(half_angle))
 
 
-def segment_in_cone(ends: DataFrame, origin, axis, half_angle: float, depth: float, steps: int = 16) -> DataFrame:
-    """ends (x1..z1, x2..z2) with in_view: whether any of `steps` + 1 places of the segment lies in the cone."""
-    at = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: k / F.lit(float(steps)))
-    seen = F.exists(at, lambda s: in_cone(tuple(F.col(f"{c}1") + s * (F.col(f"{c}2") - F.col(f"{c}1")) for c in "xyz"), origin, axis, half_angle, depth))
-    return ends.withColumn("in_view", seen)
+def segment_meets_cone(p: g.Vec, q: g.Vec, origin: tuple[float, ...], axis: tuple[float, ...], half_angle: float, depth: float) -> Column:
+    """Whether the segment from p to q has a point in the viewing cone (half_angle below a right angle).
+
+    What a segment has in common with the cone is one piece of it, which ends at an end of the segment, on the cone's side or at
+    its depth; so it meets the cone if one of those places lies in it.
+    """
+    n = sum(v * v for v in axis) ** 0.5
+    n_ = g.lit3(tuple(v / n for v in axis))
+    c2 = math.cos(half_angle) ** 2
+    d, l_ = g.sub(p, g.lit3(origin)), g.sub(q, p)
+    dn, ln = g.dot(d, n_), g.dot(l_, n_)
+    a, b, c = ln * ln - c2 * g.dot(l_, l_), dn * ln - c2 * g.dot(d, l_), dn * dn - c2 * g.dot(d, d)
+    root = F.sqrt(F.greatest(b * b - a * c, F.lit(0.0)))
+    places = F.array(F.lit(0.0), F.lit(1.0), F.try_divide(-b + root, a), F.try_divide(-b - root, a), F.try_divide(-c, 2 * b), F.try_divide(F.lit(float(depth)) - dn, ln))
+
+    def inside(s: Column) -> Column:
+        at = tuple(x + s * y for x, y in zip(d, l_, strict=True))
+        along = g.dot(at, n_)
+        return (s >= 0) & (s <= 1) & (along > 0) & (along <= depth + 1e-9) & (along >= g.norm(at) * math.cos(half_angle) - 1e-9)
+
+    return F.exists(F.filter(places, lambda s: s.isNotNull()), inside)
+
+
+def surface_meets_cone(p: g.Vec, u: g.Vec, v: g.Vec, origin: tuple[float, ...], axis: tuple[float, ...], half_angle: float, depth: float) -> Column:
+    """Whether a rectangle (corner p, sides u and v at right angles) is in view: an edge or its centre in the cone, or the cone's
+    axis through it. A cone that touches the inside of a large rectangle with its flank alone isn't noticed."""
+    n = sum(x * x for x in axis) ** 0.5
+    n_, o = g.lit3(tuple(x / n for x in axis)), g.lit3(origin)
+    cone = (origin, axis, half_angle, depth)
+    corner = {(i, j): g.add(g.add(p, u) if i else p, v) if j else g.add(p, u) if i else p for i in (0, 1) for j in (0, 1)}
+    edges = [((0, 0), (1, 0)), ((0, 0), (0, 1)), ((1, 0), (1, 1)), ((0, 1), (1, 1))]
+    seen = in_cone(tuple((x + y) / 2 for x, y in zip(corner[0, 0], corner[1, 1], strict=True)), *cone)
+    for i, j in edges:
+        seen = seen | segment_meets_cone(corner[i], corner[j], *cone)
+    w = g.cross(u, v)
+    t = F.try_divide(g.dot(g.sub(p, o), w), g.dot(n_, w))
+    hit = g.sub(tuple(x + t * y for x, y in zip(o, n_, strict=True)), p)
+    within = lambda side: (g.dot(hit, side) >= 0) & (g.dot(hit, side) <= g.dot(side, side))
+    return seen | F.coalesce((t >= 0) & (t <= depth) & within(u) & within(v), F.lit(False))
+
+
+def box_meets_cone(low: g.Vec, high: g.Vec, origin: tuple[float, ...], axis: tuple[float, ...], half_angle: float, depth: float) -> Column:
+    """Whether a box is in view: the sensor or the box's centre inside the other, or one of its faces in view."""
+    cone = (origin, axis, half_angle, depth)
+    side = [tuple(h - lo if k == i else F.lit(0.0) for k, (lo, h) in enumerate(zip(low, high, strict=True))) for i in range(3)]
+    seen = in_cone(tuple((x + y) / 2 for x, y in zip(low, high, strict=True)), *cone)
+    inside = F.lit(True)
+    for x, lo, h in zip(origin, low, high, strict=True):
+        inside = inside & (lo <= x) & (h >= x)
+    for i, j, k in ((0, 1, 2), (0, 2, 1), (1, 2, 0)):
+        seen = seen | surface_meets_cone(low, side[i], side[j], *cone) | surface_meets_cone(g.add(low, side[k]), side[i], side[j], *cone)
+    return seen | inside
+
+
+def segment_in_cone(ends: DataFrame, origin, axis, half_angle: float, depth: float) -> DataFrame:
+    """ends (x1..z1, x2..z2) with in_view: whether the segment has a point in the cone."""
+    return ends.withColumn("in_view", segment_meets_cone(g.vec("x1", "y1", "z1"), g.vec("x2", "y2", "z2"), origin, axis, half_angle, depth))
 
 
 def cells_in_view(spark, origin, axis, half_angle: float, depth: float, cell: float) -> DataFrame:
     """The cells of a grid whose centre lies in a viewing cone."""
-    import math
-
     span = range(math.floor(-depth / cell) - 1, math.ceil(depth / cell) + 2)
     base = [math.floor(o / cell) for o in origin]
     line = lambda k: F.explode(F.sequence(F.lit(base[k] + span[0]), F.lit(base[k] + span[-1])))

@@ -13,6 +13,7 @@ from pointframe.functions.packets import decode_packets
 from pointframe.operators import estimation as es
 from pointframe.operators import fitting as ft
 from pointframe.operators import graph as gr
+from pointframe.operators import tables
 from pointframe.plans.q_points import R6, r6
 from pointframe.plans.registry import query
 from pointframe.sources import readers
@@ -260,11 +261,8 @@ def top6(spark, d):
 
 @query("top5_six_pairs", f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY rx*rx + ry*ry + rz*rz, pt_idx) AS r FROM ({_RES})) SELECT i, pt_idx FROM k WHERE r <= 6")
 def top5(spark, d):
-    from pyspark.sql.window import Window
-
     r = gr.pair_residuals(_pairs(spark, d))
-    w = Window.partitionBy("i").orderBy(g.dot(g.vec("rx", "ry", "rz"), g.vec("rx", "ry", "rz")), "pt_idx")
-    return r.withColumn("_r", F.row_number().over(w)).filter("_r <= 6").select("i", "pt_idx")
+    return tables.top_per(r, ["i"], [g.dot(g.vec("rx", "ry", "rz"), g.vec("rx", "ry", "rz")), "pt_idx"], 6).select("i", "pt_idx")
 
 
 @query("fac6_replace_accepted", f"WITH {_BODY} SELECT i, j, count(*) AS n FROM k WHERE r <= 6 AND i % 3 <> 0 GROUP BY 1, 2 UNION ALL SELECT DISTINCT i, j, -1 AS n FROM b WHERE i % 3 = 0")

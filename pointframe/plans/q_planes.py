@@ -5,10 +5,9 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pointframe.functions import geom as g
-from pointframe.operators import loops
+from pointframe.operators import loops, tables
 from pointframe.operators import planes as op
 from pointframe.operators import points as pt
 from pointframe.plans import sqlgeom as sg
@@ -236,8 +235,7 @@ def join14(spark, d):
 
 @query("top1_strongest_keypoints", f"WITH k AS ({_KP}), r AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY summary DESC, kp_id) AS r FROM k) SELECT frame_id, kp_id, summary FROM r WHERE r <= 10")
 def top1(spark, d):
-    w = Window.partitionBy("frame_id").orderBy(F.desc("summary"), "kp_id")
-    return keypoints(spark, d).withColumn("_r", F.row_number().over(w)).filter("_r <= 10").select("frame_id", "kp_id", "summary")
+    return tables.top_per(keypoints(spark, d), ["frame_id"], [F.desc("summary"), "kp_id"], 10).select("frame_id", "kp_id", "summary")
 
 
 @query("dsc2_keypoint_selection", f"""
@@ -246,9 +244,8 @@ WITH k AS ({_KP}), s AS (SELECT * FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b W
 SELECT frame_id, kp_id, summary FROM r WHERE r <= 8
 """)
 def dsc2(spark, d):
-    w = Window.partitionBy("frame_id").orderBy(F.desc("summary"), "kp_id")
     s = op.non_max_suppression(keypoints(spark, d), ["kp_id"], 0.5, ["frame_id"])
-    return s.withColumn("_r", F.row_number().over(w)).filter("_r <= 8").select("frame_id", "kp_id", "summary")
+    return tables.top_per(s, ["frame_id"], [F.desc("summary"), "kp_id"], 8).select("frame_id", "kp_id", "summary")
 
 
 @query("dsc5_dice", f"WITH k AS ({_KP}) SELECT a.kp_id, b.kp_id AS other, round(CASE WHEN a.summary + b.summary = 0 THEN 0 ELSE 2.0::DOUBLE * len(list_intersect(a.slices, b.slices)) / (a.summary + b.summary) END, 6) AS similarity FROM k a JOIN k b ON b.kp_id = a.kp_id + 7")
@@ -443,12 +440,12 @@ def set2(spark, d):
 @query("set3_loop_pairs", f"WITH p AS ({POINTS}) SELECT i, j, min(pt_idx) AS first_pt FROM (SELECT pt_idx, least(scan_id, pt_idx % 10) AS i, greatest(scan_id, pt_idx % 10) AS j FROM p) GROUP BY 1, 2")
 def set3(spark, d):
     i, j = F.least("scan_id", F.col("pt_idx") % 10), F.greatest("scan_id", F.col("pt_idx") % 10)
-    return points(spark, d).select("pt_idx", i.alias("i"), j.alias("j")).groupBy("i", "j").agg(F.min("pt_idx").alias("first_pt"))
+    pairs = points(spark, d).select(i.alias("i"), j.alias("j"), F.col("pt_idx").alias("first_pt"))
+    # The pairs of the first points are there already; only new ones come.
+    return tables.insert_absent(tables.top_per(pairs.filter("first_pt < 100"), ["i", "j"], ["first_pt"], 1), pairs, ["i", "j"], ["first_pt"])
 
 
 @query("set4_remove_queued", f"WITH p AS ({POINTS}), q AS (SELECT scan_id, pt_idx, row_number() OVER (PARTITION BY scan_id ORDER BY pt_idx) AS r FROM p) SELECT scan_id, pt_idx FROM q WHERE NOT (scan_id IN (2, 5) AND r = 1)")
 def set4(spark, d):
-    w = Window.partitionBy("scan_id").orderBy("pt_idx")
-    q = points(spark, d).withColumn("_r", F.row_number().over(w))
-    gone = spark.createDataFrame([(2, 1), (5, 1)], "scan_id long, _r int")
-    return q.join(F.broadcast(gone), ["scan_id", "_r"], "left_anti").select("scan_id", "pt_idx")
+    gone = spark.createDataFrame([(2,), (5,)], "scan_id long")
+    return tables.remove_first(points(spark, d).select("scan_id", "pt_idx"), gone, ["scan_id"], ["pt_idx"])

@@ -289,10 +289,15 @@ def flt10(spark, d):
     return points(spark, d).filter(op.in_cone(g.vec(*P_XYZ), (-2.0, 0.0, 0.0), (3.0, 4.0, 0.0), 0.7, 3.0)).select("scan_id", "pt_idx")
 
 
+_CAND = "unnest([0.0, 1.0, (-b + sqrt(greatest(b*b - a*c, 0))) / nullif(a, 0), (-b - sqrt(greatest(b*b - a*c, 0))) / nullif(a, 0), (3.0 - dn) / nullif(ln, 0)])"
+
+
 @query("flt10_segment_in_view", f"""
-WITH p AS ({POINTS}), s AS (SELECT scan_id, pt_idx, x, y, z, nx, ny, nz, unnest(range(17)) / 16.0 AS f FROM p),
- q AS (SELECT scan_id, pt_idx, x + f * (nx - x) AS a, y + f * (ny - y) AS b, z + f * (nz - z) AS c FROM s)
-SELECT scan_id, pt_idx, bool_or(0.6 * (a + 2) + 0.8 * b > 0 AND 0.6 * (a + 2) + 0.8 * b <= 3.0 AND 0.6 * (a + 2) + 0.8 * b >= sqrt((a+2)*(a+2) + b*b + c*c) * cos(0.3)) AS in_view FROM q GROUP BY 1, 2
+WITH p AS (SELECT scan_id, pt_idx, x + 2 AS dx, y AS dy, z AS dz, nx - x AS lx, ny - y AS ly, nz - z AS lz FROM ({POINTS})),
+ k AS (SELECT *, 0.6*dx + 0.8*dy AS dn, 0.6*lx + 0.8*ly AS ln, cos(0.3)**2 AS c2 FROM p),
+ e AS (SELECT *, ln*ln - c2*(lx*lx + ly*ly + lz*lz) AS a, dn*ln - c2*(dx*lx + dy*ly + dz*lz) AS b, dn*dn - c2*(dx*dx + dy*dy + dz*dz) AS c FROM k),
+ s AS (SELECT scan_id, pt_idx, dx, dy, dz, lx, ly, lz, {_CAND} AS s FROM e), q AS (SELECT scan_id, pt_idx, s, dx + s*lx AS u, dy + s*ly AS v, dz + s*lz AS w FROM s)
+SELECT scan_id, pt_idx, bool_or(coalesce(s >= 0 AND s <= 1 AND 0.6*u + 0.8*v > 0 AND 0.6*u + 0.8*v <= 3.0 + 1e-9 AND 0.6*u + 0.8*v >= sqrt(u*u + v*v + w*w) * cos(0.3) - 1e-9, FALSE)) AS in_view FROM q GROUP BY 1, 2
 """)
 def flt10b(spark, d):
     ends = points(spark, d).select("scan_id", "pt_idx", *(F.col(c).alias(c + "1") for c in "xyz"), *(F.col("n" + c).alias(c + "2") for c in "xyz"))

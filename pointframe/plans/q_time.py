@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pointframe.functions import geom as g
+from pointframe.operators import tables
 from pointframe.operators import temporal as op
 from pointframe.plans.q_points import R6, r6
 from pointframe.plans.registry import query
@@ -50,7 +51,7 @@ def join7(spark, d):
 @query("join8_exact_time", f"WITH s AS ({SAMPLES}) SELECT a.session, a.t_us, a.id, b.id AS other FROM s a JOIN s b ON a.session = b.session AND a.t_us = b.t_us WHERE a.id % 2 = 0")
 def join8(spark, d):
     s = samples(spark, d)
-    return s.filter("id % 2 = 0").select("session", "t_us", "id").join(s.select("session", "t_us", F.col("id").alias("other")), ["session", "t_us"])
+    return tables.at_equal_times(s.filter("id % 2 = 0").select("session", "t_us", "id"), s.select("session", "t_us", F.col("id").alias("other")), ["session", "t_us"])
 
 
 @query("join9_interval", f"""
@@ -122,8 +123,7 @@ def win3(spark, d):
 
 @query("win4_sliding_mean", f"WITH s AS ({SAMPLES}) SELECT session, id, round(avg(v) OVER (PARTITION BY session ORDER BY t_us, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean FROM s")
 def win4(spark, d):
-    w = Window.partitionBy("session").orderBy("t_us", "id").rowsBetween(-4, 0)
-    return samples(spark, d).select("session", "id", F.round(F.avg("v").over(w), 6).alias("mean"))
+    return tables.running_mean(samples(spark, d), ["session"], ["t_us", "id"], "v", "mean", 5).select("session", "id", F.round("mean", 6).alias("mean"))
 
 
 @query("win5_point_time_rank", f"WITH p AS ({POINTS}) SELECT scan_id, pt_idx, row_number() OVER (PARTITION BY scan_id ORDER BY t_off_ms, pt_idx) AS rank FROM p")
@@ -193,8 +193,8 @@ def agg21(spark, d):
 
 @query("agg22_running_mean", f"WITH s AS ({SAMPLES}) SELECT session, id, round(1000 * avg(v) OVER (PARTITION BY session ORDER BY t_us, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 997, 5) AS mean FROM s")
 def agg22(spark, d):
-    w = Window.partitionBy("session").orderBy("t_us", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return samples(spark, d).select("session", "id", F.round(1000 * F.avg("v").over(w) / 997, 5).alias("mean"))  # a scale that no rounding tie falls on
+    mean = tables.running_mean(samples(spark, d), ["session"], ["t_us", "id"], "v", "mean")
+    return mean.select("session", "id", F.round(1000 * F.col("mean") / 997, 5).alias("mean"))  # a scale that no rounding tie falls on
 
 
 @query("fac11_jump_remap", f"WITH t AS ({TRAJECTORY}) SELECT session, id, CASE WHEN t_us <= 1705000000000000 THEN round(-y + 1.5, 5) ELSE round(x, 5) END AS x, CASE WHEN t_us <= 1705000000000000 THEN round(x - 2.0, 5) ELSE round(y, 5) END AS y FROM t")

@@ -367,6 +367,35 @@ def test_sinks_come_back(spark, cloud, tmp_path):
     assert readers.read_planes(spark, str(tmp_path / "planes")).count() == flat.count()
 
 
+def test_segments_and_boxes_in_view(spark):
+    """Against fine samples: what they show in view is found, and what is found is in view or within their spacing of it."""
+    rng = np.random.default_rng(5)
+    origin, axis, angle, depth = (0.5, -0.5, 0.0), (1.0, 2.0, -1.0), 0.4, 4.0
+    n = np.array(axis) / np.linalg.norm(axis)
+
+    def seen(p, slack):
+        d = p - np.array(origin)
+        along = d @ n
+        return (along > -slack) & (along <= depth + slack) & (along >= np.linalg.norm(d, axis=-1) * np.cos(angle) - slack)
+
+    p, q = rng.uniform(-4, 4, (300, 3)), rng.uniform(-4, 4, (300, 3))
+    names = [f"{c}{k}" for k in (1, 2) for c in "xyz"]
+    rows = spark.createDataFrame([(k, *map(float, a), *map(float, b)) for k, (a, b) in enumerate(zip(p, q, strict=True))], "k long, " + ", ".join(f"{c} double" for c in names))
+    got = {r.k: r.in_view for r in points.segment_in_cone(rows, origin, axis, angle, depth).collect()}
+    s = np.linspace(0, 1, 4001)[:, None]
+    for k in range(300):
+        at = p[k] + s * (q[k] - p[k])
+        assert not seen(at, -1e-6).any() or got[k]
+        assert seen(at, 5e-3).any() or not got[k]
+    low, size = rng.uniform(-4, 3, (150, 3)), rng.uniform(0.2, 1.5, (150, 3))
+    rows = spark.createDataFrame([(k, *map(float, a), *map(float, a + b)) for k, (a, b) in enumerate(zip(low, size, strict=True))], "k long, " + ", ".join(f"{c} double" for c in names))
+    box = points.box_meets_cone(g.vec("x1", "y1", "z1"), g.vec("x2", "y2", "z2"), origin, axis, angle, depth)
+    got = {r.k: r.seen for r in rows.select("k", box.alias("seen")).collect()}
+    grid = np.stack(np.meshgrid(*[np.linspace(0, 1, 25)] * 3), -1).reshape(-1, 3)
+    found = [(bool(seen(low[k] + grid * size[k], -1e-6).any()), got[k], bool(seen(low[k] + grid * size[k], 0.1).any())) for k in range(150)]
+    assert all(g_ <= wide for _, g_, wide in found) and sum(s_ and not g_ for s_, g_, _ in found) <= 3 < sum(g_ for _, g_, _ in found)
+
+
 def test_index_under_random_inserts_and_deletes(spark):
     """Inserts that keep the point nearest to a cell's centre, deletes of points and boxes, then nearest, radius and box searches, against lists."""
     rng, size = np.random.default_rng(8), 0.8
