@@ -1,6 +1,6 @@
 """The queries of the text operators."""
 
-from pointframe.llm import language, lines, neardup, pages, pieces, quality, secrets, spots, tiling, toxicity
+from pointframe.llm import language, lines, neardup, pages, pieces, quality, resampling, secrets, spots, tiling, topk, toxicity, whitening
 
 QUERIES = {
     "op1_decontamination": tiling.op1_decontamination,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_language_id": language.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_resampling": resampling.op12_resampling,
+    "op13_topk": topk.op13_topk,
     "spot_near_classes": spots.spot_near_classes,
 }
-ORACLES: dict[str, str] = {"op6_line_dedup": lines.OP6_SQL}
+ORACLES: dict[str, str] = {"op6_line_dedup": lines.OP6_SQL, "op13_topk": topk.OP13_SQL}
