@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointframe.llm.common import cut, read_documents, table
+from pointframe.llm.common import claim, cut, read_documents, table
 from pointframe.llm.common import chunks as slices
 
 BUCKETS = 10_000
@@ -71,12 +71,13 @@ def _advance(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, register
     """Registers after the bytes of each slice, all slices a byte a step."""
     order = np.argsort(-lengths, kind="stable")
     left, reg, steps = lengths[order], register[order], crc_table()
-    at = starts[order]
+    at = starts[order].astype(np.int64)
     # How many slices have more than k bytes, for each k.
     active = len(left) - np.searchsorted(left[::-1], np.arange(left[0] if len(left) else 0), side="right")
-    for k, n in enumerate(active.tolist()):
+    for n in active.tolist():
         r = reg[:n]
-        reg[:n] = steps[(r ^ data[at[:n] + k]) & 0xFF] ^ (r >> np.uint32(8))
+        reg[:n] = steps[(r ^ data[at[:n]]) & 0xFF] ^ (r >> np.uint32(8))
+        at[:n] += 1
     out = np.empty_like(reg)
     out[order] = reg
     return out
@@ -167,6 +168,7 @@ def bucket_counts(rows: DataFrame, text_col: str = "text", buckets: int = BUCKET
     """Features of all rows by bucket: each task counts its own, so a task hands on one row a bucket at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("resampling", lambda: None)
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             for b in slices(batch, "text"):
@@ -191,6 +193,7 @@ def weigh(docs: DataFrame, gain: np.ndarray, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(gain)  # a number a bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("resampling", lambda: None)
         g = shared.value
         for batch in batches:
             for b in slices(batch, "text"):
@@ -251,7 +254,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     table of documents stays empty, an empty target makes rare buckets gain; other columns go.
     """
     gain = gains(bucket_counts(docs, buckets=buckets, max_run=max_run), bucket_counts(target, buckets=buckets, max_run=max_run))
-    scored = weigh(docs, gain, max_run=max_run).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
+    # Four numbers a row, written once: dealing rows out by ranges reads them twice.
+    scored = cut(weigh(docs, gain, max_run=max_run)).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
     return ranked(scored, F.col("n_words") >= least_words, percent).drop("n_words")
 
 
