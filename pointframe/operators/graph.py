@@ -1,17 +1,12 @@
-"""Pose graphs: factor tables, residuals as columns, a batch Gauss-Newton solve with acceptance or restoration."""
+"""Factor tables of pose graphs and their residuals as columns; `pose_graph` solves them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pointframe.functions import geom as g
-from pointframe.operators.estimation import exp_so3, hat, log_so3, right_jacobian
 
 POSE = ("x", "y", "z", "roll", "pitch", "yaw")
 
@@ -68,91 +63,3 @@ def replace_accepted(pair_table: DataFrame, between: DataFrame, accepted: DataFr
     """After acceptance: the pair factors of the accepted (i, j) go, and a between factor for each of them comes."""
     kept = pair_table.join(accepted.select("i", "j"), ["i", "j"], "left_anti")
     return kept, between.unionByName(accepted.select(*between.columns))
-
-
-@dataclass
-class PoseGraph:
-    """Poses of one session by frame, its relative factors (i, j, R, t, weight) and point-pair factors (i, j, p1, p2, weight); the first frame is held.
-
-    Errors are rotation vectors and shifts of relative poses, and for point pairs R2^T (R1 p1 + t1 - t2) - p2. A session's
-    graph is solved on the driver, sessions apart; memory is one small block a frame and one a factor. `accept` keeps a
-    solution only if no factor is off by more than a limit, else the poses stay.
-    """
-
-    rot: dict[int, np.ndarray]
-    pos: dict[int, np.ndarray]
-    factors: list[tuple[int, int, np.ndarray, np.ndarray, float]]
-    points: list[tuple[int, int, np.ndarray, np.ndarray, float]] = field(default_factory=list)
-
-    def linear(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, float]]:
-        """(i, j, error, its derivatives by the errors (rotation, shift) of both poses, weight) of each factor."""
-        for i, j, r, t, w in self.factors:
-            ri, rj = self.rot[i].T, self.rot[j]
-            turn, seen = log_so3(r.T @ ri @ rj), ri @ (self.pos[j] - self.pos[i])
-            back = np.linalg.inv(right_jacobian(turn))
-            a, b = np.zeros((6, 6)), np.zeros((6, 6))
-            a[:3, :3], b[:3, :3] = -back @ rj.T @ self.rot[i], back
-            a[3:, :3], a[3:, 3:], b[3:, 3:] = hat(seen), -ri, ri
-            yield i, j, np.concatenate([turn, seen - t]), a, b, w
-        for i, j, p, q, w in self.points:
-            rj = self.rot[j].T
-            seen = rj @ (self.rot[i] @ p + self.pos[i] - self.pos[j])
-            yield i, j, seen - q, np.hstack([-rj @ self.rot[i] @ hat(p), rj]), np.hstack([hat(seen), -rj]), w
-
-    def errors(self) -> list[np.ndarray]:
-        return [e for _, _, e, *_ in self.linear()]
-
-    def solve(self, rounds: int = 20) -> float:
-        """Gauss-Newton, each step by conjugate gradients over the blocks; returns the final weighted squared error."""
-        frames = sorted(self.rot)
-        at = {f: k for k, f in enumerate(frames)}
-        for _ in range(rounds):
-            parts = list(self.linear())
-            if not parts:
-                break
-            diagonal, b = np.zeros((len(frames), 6, 6)), np.zeros((len(frames), 6))
-            for i, j, e, ji, jj, w in parts:
-                for f, jac in ((i, ji), (j, jj)):
-                    diagonal[at[f]] += w * jac.T @ jac
-                    b[at[f]] -= w * jac.T @ e
-            diagonal += 1e-9 * np.eye(6)
-            diagonal[0] += 1e9 * np.eye(6)  # the first frame is held
-            inverse = np.linalg.inv(diagonal)
-            # Blocks of two frames, in arrays: their sums along rows are the product with a vector.
-            i_, j_ = np.array([at[x[0]] for x in parts]), np.array([at[x[1]] for x in parts])
-            cross = np.array([w * ji.T @ jj for _, _, _, ji, jj, w in parts])
-
-            def times(v: np.ndarray) -> np.ndarray:
-                out = np.einsum("nab,nb->na", diagonal, v)
-                np.add.at(out, i_, np.einsum("nab,nb->na", cross, v[j_]))  # noqa: B023
-                np.add.at(out, j_, np.einsum("nba,nb->na", cross, v[i_]))  # noqa: B023
-                return out
-
-            step, r = np.zeros_like(b), b.copy()
-            z = np.einsum("nab,nb->na", inverse, r)
-            d, rz = z.copy(), float((r * z).sum())
-            for _ in range(20 * len(frames) + 50):
-                if rz < 1e-24:
-                    break
-                hd = times(d)
-                a = rz / float((d * hd).sum())
-                step, r = step + a * d, r - a * hd
-                z = np.einsum("nab,nb->na", inverse, r)
-                rz, old = float((r * z).sum()), rz
-                d = z + rz / old * d
-            for f, k in at.items():
-                self.rot[f] = self.rot[f] @ exp_so3(step[k, :3])
-                self.pos[f] = self.pos[f] + step[k, 3:]
-            if np.abs(step).max() < 1e-9:
-                break
-        return float(sum(w * e @ e for _, _, e, _, _, w in self.linear()))
-
-    def accept(self, loops: list[tuple[int, int, np.ndarray, np.ndarray, float]], limit: float = 2.0) -> bool:
-        """Add loop factors and solve; on a residual beyond the limit everything is put back."""
-        saved = ({k: v.copy() for k, v in self.rot.items()}, {k: v.copy() for k, v in self.pos.items()}, list(self.factors))
-        self.factors = self.factors + loops
-        self.solve()
-        if max((float(np.linalg.norm(e)) for e in self.errors()), default=0.0) <= limit:
-            return True
-        self.rot, self.pos, self.factors = saved
-        return False

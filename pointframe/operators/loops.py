@@ -117,6 +117,92 @@ class LoopGate:
         return "wait" if fresh and self.waiting else "use"
 
 
+@dataclass
+class LoopState:
+    """One step of a session's loop closing: the gate, loops that wait with their keypoints, and finding a prior session.
+
+    A target below 0 is a frame of a prior session. A loop that is used takes up the loops that wait and are known, in order of
+    arrival; those that aren't known go on waiting. Without a prior session all of them are added, and the graph is solved.
+    With one (`prior`), `state` is -1 before it is tried to find the place in it, 0 while that isn't sure and 1 after:
+    loops within the session are added; at -1 the second loop that is taken up, if it is against the prior session, is
+    added with the one before it and the state is 0; at 1 the first one is added and the rest is passed over; what a step
+    passes over is dropped, with all loops behind it. The graph is solved unless the state is -1. If a factor of the solution is off by
+    more than `limit` it is rolled back: 0 goes back to -1, and two loops that contradict each other are both forgotten.
+    A solution that stands makes 0 a 1.
+    """
+
+    gate: LoopGate = field(default_factory=LoopGate)
+    prior: bool = False
+    limit: float = 2.0
+    state: int = -1
+    waiting: list[tuple[int, int]] = field(default_factory=list)  # (target, frame)
+    last: tuple[int, int] | None = None
+
+    def see(self, frame: int, target: int, score: float, distance: float, extent: float, worst: float) -> tuple[str, list[tuple[int, int]], bool | None, int]:
+        """(verdict, loops added to the graph, whether its solution stands, state) for a loop; worst is the largest error of
+        a factor if the graph is solved with it."""
+        pair = (target, frame)
+        self.waiting.append(pair)
+        verdict = self.gate.see(frame, target, score, distance, extent)
+        if verdict != "use":
+            if verdict == "reject":
+                self.waiting.remove(pair)
+            return verdict, [], None, self.state
+        added = self._take_up()
+        if self.prior and self.state == -1:
+            return verdict, added, None, self.state
+        stands = worst <= self.limit
+        if not stands:
+            if self.state == 0:
+                self.state = -1
+            if len(self.gate.known) == 2:
+                self.gate.known.clear()
+        elif self.state == 0:
+            self.state = 1
+        self.last = pair
+        return verdict, added, stands, self.state
+
+    def _take_up(self) -> list[tuple[int, int]]:
+        added, left, n = [], [], 0
+        for pair in self.waiting:
+            if pair not in self.gate.known:
+                left.append(pair)
+                continue
+            n += 1
+            if not self.prior or pair[0] >= 0:
+                added.append(pair)
+            elif self.state == -1 and n == 2:
+                added += [pair, self.last] if self.last else [pair]
+                self.state = 0
+                break
+            elif self.state == -1 and n == 1:
+                self.last = pair
+            if self.prior and self.state == 1 and n == 1:
+                if pair[0] < 0:
+                    added.append(pair)
+                break
+        self.waiting = left
+        return added
+
+
+LOOPS = "session long, t_us long, frame long, target long, verdict string, added array<struct<target: long, frame: long>>, stands boolean, state int"
+LOOP_COLUMNS = ["session", "t_us", "frame", "target", "score", "distance", "extent", "worst"]
+
+
+def close_loops(found: DataFrame, prior: bool = False, limit: float = 2.0, overlap: float = 0.5) -> DataFrame:
+    """What becomes of each loop of a table (session, t_us, frame, target, score, distance, extent, worst), a session a sequence.
+
+    Loops go by time, then frame and target. Sessions run apart, each as one pass over its sorted rows.
+    """
+    from pointframe.streaming.fold import fold_sorted
+
+    def step(state: LoopState, row: tuple) -> tuple:
+        return (*row[:4], *state.see(*row[2:]))
+
+    rows = found.select(*LOOP_COLUMNS)
+    return fold_sorted(rows, "session", ["t_us", "frame", "target"], lambda _: LoopState(LoopGate(overlap), prior, limit), step, LOOPS)
+
+
 def plane_pair_residuals(pairs: DataFrame) -> DataFrame:
     """One row of mean distances and normal differences of matched planes, for pairs of consecutive frames and for others.
 

@@ -273,24 +273,6 @@ def fac6(spark, d):
     return kept.groupBy("i", "j").agg(F.count("*").alias("n")).unionByName(between.select("i", "j", F.lit(-1).cast("long").alias("n")))
 
 
-@query("fac5_pose_graph", f"SELECT scan_id AS frame, {', '.join(f'round(avg({c}), 4) + 0.0 AS {c}' for c in 'xyz')} FROM ({POINTS}) GROUP BY 1")
-def fac5(spark, d):
-    # Frames at the scans' centres, turned by their mean normals; the poses are known with drift, the steps between them exactly.
-    rows = points(spark, d).groupBy("scan_id").agg(*(F.avg(c).alias(c) for c in ("x", "y", "z", "nx", "ny", "nz"))).orderBy("scan_id").collect()  # one row a frame
-    rot = {r.scan_id: ft._exp(4 * np.array([r.nx, r.ny, r.nz])) for r in rows}
-    pos = {r.scan_id: np.array([r.x, r.y, r.z]) for r in rows}
-    frames = sorted(rot)
-    step = lambda i, j: (i, j, rot[i].T @ rot[j], rot[i].T @ (pos[j] - pos[i]), 1.0)
-    drift = lambda k: (rot[k] @ ft._exp(0.02 * n * np.array([1.0, -1, 2])), pos[k] + 0.1 * n * np.array([1.0, 2, -1]))  # noqa: B023, E731
-    graph = gr.PoseGraph({}, {}, [step(i, j) for i, j in zip(frames, frames[1:], strict=False)])
-    for n, k in enumerate(frames):
-        graph.rot[k], graph.pos[k] = drift(k)
-    body = np.array([[1.0, 0, 0], [0, 2, 0], [0, 0, 3]])
-    graph.points = [(frames[2], frames[7], p, rot[frames[7]].T @ (rot[frames[2]] @ p + pos[frames[2]] - pos[frames[7]]), 1.0) for p in body]
-    assert graph.accept([step(frames[0], frames[-1])])
-    return spark.createDataFrame([(k, *(round(float(v), 4) + 0.0 for v in graph.pos[k])) for k in frames], "frame long, x double, y double, z double")
-
-
 @query("str1_keyframe_windows")
 def str1(spark, d):
     t = trajectory(spark, d).withColumns({"qw": F.cos(F.col("z") / 2), "qx": F.lit(0.0), "qy": F.lit(0.0), "qz": F.sin(F.col("z") / 2)})

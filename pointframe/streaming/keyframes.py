@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointframe.functions import geom as g
+from pointframe.streaming.fold import fold_sorted
 
 KEYFRAME = "session long, keyframe long, t_us long, n_scans long, scans array<long>"
 KEYFRAME_STATE = "keyframe long, count long, last array<double>, scans array<long>, seen_t long"
@@ -86,10 +87,16 @@ def keyframes_batch(poses: DataFrame, window: int = 10, still: float = 0.2, jump
     Scans are taken by time or, with `arrival`, in order of that column, in which time may run backwards.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_run(Gate(window, still, jump, turn), int(pdf["session"].iloc[0]), pdf, arrival), columns=_COLS)
+    turn_cols = [c for c in TURN if c in poses.columns]
+    pose = [*(F.col(c).cast("double") for c in "xyz"), *((F.col(c).cast("double") for c in TURN) if len(turn_cols) == 4 else map(F.lit, (1.0, 0.0, 0.0, 0.0)))]
+    order = [arrival] if arrival else ["t_us", "id"]
+    rows = poses.select("session", "id", "t_us", F.array(*pose).alias("_pose"), *(c for c in order if c not in ("t_us", "id")))
 
-    return poses.groupBy("session").applyInPandas(lambda pdf: run(pdf), KEYFRAME)
+    def step(gate: Gate, row: tuple) -> tuple | None:
+        done = gate.step(row[1], row[2], [float(v) for v in row[3]])
+        return None if done is None else (row[0], gate.keyframe, row[2], len(done), done)
+
+    return fold_sorted(rows, "session", order, lambda _: Gate(window, still, jump, turn), step, KEYFRAME)
 
 
 def keyframes_stream(poses: DataFrame, window: int = 10, still: float = 0.2, jump: float = 5.0, turn: float = 5.0, arrival: str | None = None) -> DataFrame:
@@ -189,27 +196,6 @@ def rebuild_map(points: DataFrame, poses: DataFrame, here: DataFrame, reach: flo
     return (new, True) if verify(new) else (points, False)
 
 
-@dataclass
-class Relocalizer:
-    """Multi-session state: -1 not tried, 0 tried and not yet sure, 1 found.
-
-    It is tried with the second loop against the prior session; a correction that is accepted then finds it. What was found stays.
-    """
-
-    state: int = -1
-    loops: int = 0
-
-    def see(self, prior_loop: bool, accepted: bool) -> int:
-        """The state after a loop, against the prior session or not, and whether a correction has been accepted since."""
-        if prior_loop and self.state == -1:
-            self.loops += 1
-            if self.loops == 2:
-                self.state = 0
-        if accepted and self.state == 0:
-            self.state = 1
-        return self.state
-
-
 @dataclass
 class LocalMap:
     """The cube of the map around the sensor; move() gives the boxes that leave it when it follows.

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pointframe.functions import geom as g
 from pointframe.functions.packets import LAYOUTS, decode_packet
-from pointframe.operators import estimation, fitting, graph, index, loops, planes, points, spatial, temporal
+from pointframe.operators import estimation, fitting, index, loops, planes, points, spatial, temporal
 from pointframe.sources import readers
 from pointframe.streaming import keyframes as kf
 
@@ -243,11 +243,6 @@ def test_loop_gate():
     assert see == ["reject", "wait", "use", "use", "use", "reject", "reject", "wait", "use"]
 
 
-def test_relocalizer():
-    r = kf.Relocalizer()
-    assert [r.see(*x) for x in [(False, True), (True, False), (False, True), (True, False), (False, False), (False, True), (True, False)]] == [-1, -1, -1, 0, 0, 1, 1]
-
-
 def test_local_map_boxes():
     m = kf.LocalMap(edge=100.0, reach=20.0, threshold=1.5)
     assert m.move((0, 0, 0)) == [] and m.move((1, 0, 0)) == []
@@ -433,9 +428,3 @@ def test_index_under_random_inserts_and_deletes(spark):
     assert near == {(k, int(ids[j])) for k in range(30) for j in np.flatnonzero(d2[k] <= 2.25)}
     box = {r.pt_idx for r in spatial.box_search(table, (-2, -2, -2), (2, 2, 2)).collect()}
     assert box == {int(k) for k, x in zip(ids, p, strict=True) if (x >= -2).all() and (x < 2).all()}
-
-
-def test_graph_refuses_a_false_loop():
-    gph = graph.PoseGraph({0: np.eye(3), 1: np.eye(3)}, {0: np.zeros(3), 1: np.array([1.0, 0, 0])}, [(0, 1, np.eye(3), np.array([1.0, 0, 0]), 1.0)])
-    assert not gph.accept([(0, 1, np.eye(3), np.array([50.0, 0, 0]), 1.0)])
-    assert len(gph.factors) == 1 and np.allclose(gph.pos[1], [1, 0, 0])
