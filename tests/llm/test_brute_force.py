@@ -11,7 +11,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from pointframe.llm import language, lines, neardup, pieces, quality, secrets, spots
+from pointframe.llm import language, lines, neardup, pieces, quality, resampling, secrets, spots, topk, whitening
 
 SHA = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -225,3 +225,54 @@ def test_pipeline(spark, sf_dir, rows):
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id: r.text for r in got} == clean
     assert all(list(r.ids) == sp.encode(r.text, add_eos=True) for r in got)
+
+
+def test_whitening_by_numpy(spark, sf_dir):
+    e = spark.read.parquet(sf_dir + "/embeddings.parquet").collect()
+    x = {r.vec_id: np.floor(256 * np.array(r.embedding, float)).astype(np.int64) for r in e}
+    fit = np.unique(np.array(list(x.values())), axis=0)
+    n, s = len(fit), fit.sum(0)
+    y = fit - s / n
+    v = y.T @ y / n
+    values, vecs = np.linalg.eigh(v)
+    values, vecs = values[::-1][:4], vecs[:, ::-1][:, :4]
+    got = collections.defaultdict(dict)
+    for r in whitening.op11_whitening(spark, sf_dir).collect():
+        got[r.vec_id][r.component] = r.whitened
+        assert r.n == n and r.deviation == int(((n * x[r.vec_id] - s) ** 2).sum()) and r.identity_error < 1e-10
+        assert abs(r.explained - values[r.component - 1] / np.trace(v)) < 1e-12
+    have = np.array([[got[i][c] for c in (1, 2, 3, 4)] for i in x])
+    want = np.array([(x[i] - s / n) @ vecs / np.sqrt(values) for i in x])
+    np.testing.assert_allclose(have, want * np.sign((have * want).sum(0)), atol=1e-8)
+
+
+def test_resampling_by_words(spark, sf_dir, rows):
+    def buckets(text):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        return [zlib.crc32(w.encode()) % 10_000 for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)]
+
+    docs = {r.doc_id: buckets(r.text) for r in rows}
+    s, t = collections.Counter(b for v in docs.values() for b in v), collections.Counter()
+    for r in spark.read.parquet(sf_dir + "/benchmark.parquet").collect():
+        t.update(buckets(r.text))
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + 10_000) / ((s[b] + 1) * (t.total() + 10_000))))
+    want = {}
+    for i, v in docs.items():
+        h = int(hashlib.sha256(f"2024:{i}".encode()).hexdigest()[:8], 16)
+        weight = sum(map(gain, v))
+        want[i] = [len(v), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None]
+    order = sorted((i for i in want if want[i][0] >= 20), key=lambda i: (-want[i][2], i))
+    for k, i in enumerate(order[: 10 * len(order) // 100]):
+        want[i][3] = k + 1
+    assert {r.doc_id: [r.n_features, r.weight, r.score, r["rank"]] for r in resampling.op12_resampling(spark, sf_dir).collect()} == want
+
+
+def test_topk_by_all_products(spark, sf_dir):
+    e = spark.read.parquet(sf_dir + "/embeddings.parquet").collect()
+    ids, x = [r.vec_id for r in e], np.floor(256 * np.array([r.embedding for r in e], float)).astype(np.int64)
+    want = set()
+    for i, q in enumerate(ids):
+        if q % 50 == 0:
+            s = x @ x[i]
+            want |= {(q, k + 1, ids[j], int(s[j])) for k, j in enumerate(sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-s[j], ids[j]))[:5])}  # noqa: B023
+    assert {tuple(r) for r in topk.op13_topk(spark, sf_dir).collect()} == want

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointframe.llm import buckets, graph, language, lines, neardup, pages, page_samples, pieces, quality, registry, secrets, spots, stages, tiling, toxicity
+from pointframe.llm import buckets, graph, language, lines, neardup, pages, page_samples, pieces, quality, registry, resampling, secrets, spots, stages, tiling, topk, toxicity, vectors, whitening
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -22,6 +22,11 @@ ODD = [
     (7, "=:\"'<>&;{}[]" * 200, "en", "a", 10),
 ]
 
+ODD_VECTORS = [
+    (0, None, 1, "a", 1), (50, [], 1, None, 1), (100, [1.0, None], 1, "a", 1), (150, [float("nan"), 1.0], 1, "a", 1), (200, [float("inf"), 1.0], 1, "a", 1), (250, [1.0, 2.0, 3.0], 1, "a", 1),
+    (None, [0.5, -0.25], 1, "a", 1), (300, [0.5, -0.25], None, "a", 1), (300, [0.5, -0.25], 1, "a", 1), (300, [-0.001, 0.75], 1, "a", 1), (7, [0.0, -0.0], 1, "a", 1), (9, [0.5, 0.5], 1, "a", 1), (8, [0.5, 0.5], 1, "a", 1),
+]
+
 
 @pytest.fixture(scope="module")
 def odd_dir(spark, tmp_path_factory):
@@ -29,6 +34,7 @@ def odd_dir(spark, tmp_path_factory):
     spark.createDataFrame(ODD, DOCS).write.parquet(d + "/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (3, 0, 1), (3, 1, 1), (4, None, None), (5, 1, 0), (None, 1, 1), (99, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(d + "/labels.parquet")
     spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "v", "<p>a<b>c</i></p></div><article>" * 50), (None, "w", "<script>never closed <p>x"), (5, "x", "no markup & <"), (5, "x", "no markup & <")], "page_id long, url string, html string").write.parquet(d + "/pages.parquet")
+    spark.createDataFrame(ODD_VECTORS, "vec_id long, embedding array<float>, label int, x string, rank int").write.parquet(d + "/embeddings.parquet")
     spark.createDataFrame([(1, None), (2, ""), (3, "no id here at all, only words"), (3, "no id here at all, only words"), (None, "... !")], "item_id long, text string").write.parquet(d + "/benchmark.parquet")
     return d
 
@@ -36,7 +42,7 @@ def odd_dir(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty_dir(spark, odd_dir, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels", "pages", "benchmark"):
+    for t in ("documents", "labels", "pages", "benchmark", "embeddings"):
         spark.read.parquet(f"{odd_dir}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return d
 
@@ -44,7 +50,11 @@ def empty_dir(spark, odd_dir, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_odd_and_empty_tables(name, spark, odd_dir, empty_dir):
     rows = registry.QUERIES[name](spark, odd_dir).collect()
-    if name not in ("op1_decontamination", "op3_main_text"):
+    if name == "op11_whitening":
+        assert len(rows) == 2 * 7 and {r.n for r in rows} == {4} and rows[0].identity_error < 1e-12 and collections.Counter(r.vec_id for r in rows)[300] == 6
+    elif name == "op13_topk":
+        assert collections.Counter(r.query_id for r in rows) == {300: 15}
+    elif name not in ("op1_decontamination", "op3_main_text"):
         assert len(rows) == len(ODD)
     if name == "op3_main_text":
         assert len(rows) == 6 and all(r.text is not None for r in rows)
@@ -628,3 +638,153 @@ def test_seam_rule_equals_re_merging(library):
         a, b = rng.choice(names), rng.choice(names)
         if not (a + b).startswith("▁▁") and "▁▁" not in a + b:
             assert m.compatible(m.ids[a], m.ids[b]) == (m.merge(a + b) == [a, b])
+
+
+# 11. Whitening
+
+
+def test_tiles_give_the_covariance(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.integers(-2000, 2000, (700, 37)) @ rng.integers(-2, 3, (37, 37))
+    fit = spark.createDataFrame([([int(c) for c in r],) for r in x], "x array<long>").repartition(5)
+    monkeypatch.setattr(whitening, "LEAST_TILE", 5)
+    monkeypatch.setattr(whitening, "BLOCK_BYTES", 8 * 5 * 11)  # many row blocks, an odd last tile
+    sums = whitening.dimension_sums(fit, 37)
+    assert sums == x.sum(0).tolist()
+    y = x - x.sum(0) / len(x)
+    np.testing.assert_allclose(whitening.covariance(whitening.cut(fit), np.array(sums) / len(x), len(x)), y.T @ y / len(x), rtol=1e-12, atol=1e-6)
+
+
+def test_sums_and_deviations_are_exact_beyond_a_long(spark):
+    big = 2**61 + 12345
+    fit = spark.createDataFrame([([big, -big],)] * 6 + [([3, -1],)], "x array<long>")
+    assert whitening.dimension_sums(fit, 2) == [6 * big + 3, -6 * big - 1]
+    m = whitening.Whitening(2, [3, 5], np.eye(2), np.ones(2), 2.0)
+    assert m.deviations(np.array([[4, -1], [2**40, 7], [1, 2]])) == [25 + 49, None, 2]
+
+
+def test_what_does_not_vary_is_null(spark, tmp_path):
+    one = str(tmp_path / "one")
+    spark.createDataFrame([(1, [0.5, 0.25]), (2, [0.5, 0.25])], "vec_id long, embedding array<float>").write.parquet(one + "/embeddings.parquet")
+    rows = whitening.op11_whitening(spark, one).collect()
+    assert len(rows) == 4 and all(r.whitened is None and r.explained is None and r.identity_error == 0.0 and r.deviation == 0 and r.n == 1 for r in rows)
+    line = str(tmp_path / "line")
+    spark.createDataFrame([(k, [k / 8, k / 4]) for k in range(5)], "vec_id long, embedding array<double>").write.parquet(line + "/embeddings.parquet")
+    rows = whitening.op11_whitening(spark, line).collect()
+    assert all((r.whitened is None) == (r.component == 2) for r in rows) and rows[0].identity_error < 1e-9
+
+
+# 12. Resampling
+
+
+def _features(text, most):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    return words, [" ".join(words[i : i + n]) for n in range(1, most + 1) for i in range(len(words) - n + 1)]
+
+
+def test_features_of_arrow_buffers():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    parts = ["a", "B", " ", "9", "é", "漢", "-", "\n", "\0", "[", "Z", "\U0001f600", "@", "~"]
+    for _ in range(200):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice([*parts, "x" * rng.randint(1, 200)]) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(8))]
+        for kind in (pa.string(), pa.large_string()):
+            for most in (1, 3):
+                owner, bucket, words = resampling.features(pa.array(["head", *texts, "tail"], kind).slice(1, len(texts)), 10_000, most)
+                want = [_features(t, most) for t in texts]
+                assert words.tolist() == [len(w) for w, _ in want]
+                assert [sorted(bucket[owner == k].tolist()) for k in range(len(texts))] == [sorted(zlib.crc32(f.encode()) % 10_000 for f in fs) for _, fs in want]
+
+
+def test_a_word_of_millions_of_bytes_takes_few_steps():
+    import pyarrow as pa
+
+    long = "y" * 3_000_001
+    began = time.perf_counter()
+    _, bucket, words = resampling.features(pa.array(["ab " + long, long + " ab"]))
+    assert time.perf_counter() - began < 15 and words.tolist() == [2, 2]
+    assert sorted(bucket.tolist()) == sorted(2 * [zlib.crc32(b"ab") % 10_000, zlib.crc32(long.encode()) % 10_000])
+
+
+def test_ranks_of_ties_and_repeated_rows(spark):
+    rows = [(k % 7 if k % 11 else None, 5, k % 3) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, n_words long, score long").repartition(6)
+    got = resampling.ranked(df, F.col("doc_id").isNull() | (F.col("doc_id") != 3), 50).collect()
+    open_ = sorted((-s, i is None, i or 0) for i, _, s in rows if i != 3)
+    want = collections.Counter((i if not none else None, -s, k + 1 if k < len(open_) // 2 else None) for k, (s, none, i) in enumerate(open_))
+    assert collections.Counter((r.doc_id, r.score, r["rank"]) for r in got if r.doc_id != 3) == want
+    assert all(r["rank"] is None for r in got if r.doc_id == 3) and len(got) == 100
+
+
+# 13. Exact top-k
+
+
+def _nearest(ids, x, k):
+    out = []
+    for i, q in enumerate(ids):
+        if q is not None and q % 50 == 0:
+            s = [int(sum(int(a) * int(b) for a, b in zip(x[i], y, strict=True))) for y in x]
+            order = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-s[j], ids[j] is None, ids[j] or 0))[:k]  # noqa: B023
+            out += [(q, r + 1, ids[j], s[j]) for r, j in enumerate(order)]
+    return collections.Counter(out)
+
+
+@pytest.mark.parametrize("kind", ["ties", "clusters", "large"])
+def test_nearest_by_pivots(spark, monkeypatch, kind):
+    rng = np.random.default_rng(5)
+    n, d = 500, 3
+    ids = [None if rng.random() < 0.05 else int(rng.integers(0, 40)) * 10 for _ in range(n)]
+    if kind == "ties":
+        x = rng.integers(-2, 3, (n, d))
+    elif kind == "clusters":
+        x = rng.integers(-400, 400, (8, d))[rng.integers(0, 8, n)] + rng.integers(-6, 7, (n, d))
+    else:  # products beyond 2^53
+        x = rng.integers(-(2**30), 2**30, (n, d))
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "SLICE", 5)
+    v = spark.createDataFrame([(i, [int(c) for c in y]) for i, y in zip(ids, x, strict=True)], "vec_id long, x array<long>")
+    got = topk.nearest(v, d, F.col("vec_id") % 50 == 0, 4)
+    assert collections.Counter(tuple(r) for r in got.collect()) == _nearest(ids, x, 4)
+
+
+def test_bounds_spare_evaluations(spark):
+    """In clusters most candidates are ruled out by their bounds, and none that belongs to the result."""
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(20, 6))
+    middle *= 3000 / np.linalg.norm(middle, axis=1)[:, None]  # as embeddings, of about one length
+    x = (middle[rng.integers(0, 20, 4000)] + rng.integers(-20, 21, (4000, 6))).astype(np.int64)
+    f = x.astype(float)
+    pivots = f[rng.choice(4000, 24, replace=False)]
+    t = topk.Table(pivots, float((f * f).sum(1).max()), 6, "int64", True)
+    dist, seen = t.distances(f).T, 0
+    count = t.products
+    for q in range(0, 4000, 200):
+        s = topk.Search(t, x[q], t.distances(f[q : q + 1], query=True)[0], 5)
+
+        def counted(rows, query):
+            nonlocal seen
+            seen += len(rows)
+            return count(rows, query)
+
+        t.products = counted
+        s.visit(x, dist, np.arange(4000), np.arange(4001))
+        best = sorted(range(4000), key=lambda j: (-int(x[j] @ x[q]), j))[:5]  # noqa: B023
+        assert s.ids.tolist() == best
+    assert seen < 20 * 4000 / 3
+
+
+def test_a_frequent_vector_is_one_candidate(spark):
+    v = spark.createDataFrame([(k, [1, 2] if k % 3 else [k, 1]) for k in range(3000)], "vec_id long, x array<long>")
+    got = topk.candidates(v, 6, F.col("vec_id") % 50 == 0).filter("x = array(1, 2)").collect()
+    assert [r.ids for r in got] == [[1, 2, 4, 5, 7, 8]] and got[0].query
+    rows = topk.nearest(v, 2, F.col("vec_id") % 50 == 0).collect()
+    assert len(rows) == 60 * 5 and all(r.vec_id != r.query_id for r in rows)
+
+
+def test_whole_numbers(spark):
+    rows = spark.createDataFrame(ODD_VECTORS, "vec_id long, embedding array<float>, label int, x string, rank int")
+    v, d = vectors.whole_vectors(rows)
+    got = [(r.vec_id, r.x) for r in v.collect()]
+    assert d == 2 and len(got) == 7 and (300, [-1, 192]) in got and (7, [0, 0]) in got and v.columns == ["vec_id", "x"]
