@@ -44,24 +44,31 @@ _WORD = re.compile(r"[^\W_]+")
 def segments(scores: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first token, end, score), in order, for tokens of scores[i] + drift.
 
-    A linear-time scan with a stack of candidates: each keeps the cumulative sum before and after it, and absorbs those
-    to its left that it tops. Runs of non-positive tokens are summed at once.
+    A linear-time scan with a stack of candidates: each has the cumulative sum before and after it, and a link to the
+    nearest candidate to its left that begins at a smaller sum, so that no candidate is passed over twice. A new one absorbs
+    those that it tops; where none begins at a smaller sum, all that are kept are final. Runs of non-positive tokens are
+    summed at once.
     """
     total = np.cumsum(scores + drift)
-    out: list[list[float]] = []  # first, end, cumulative before, cumulative after
+    done: list[tuple] = []
+    kept: list[tuple[int, int, float, float, int]] = []  # first, end, cumulative before, cumulative after, link
     for i in np.flatnonzero(scores + drift > 0).tolist():
-        after = float(total[i])
-        cand = [i, i + 1, float(total[i - 1]) if i else 0.0, after]
+        first, before, after = i, float(total[i - 1]) if i else 0.0, float(total[i])
+        j = len(kept) - 1
         while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= cand[2]:
-                j -= 1
-            if j < 0 or out[j][3] >= cand[3]:
-                out.append(cand)
+            while j >= 0 and kept[j][2] >= before:
+                j = kept[j][4]
+            if j < 0:
+                done += kept
+                kept = [(first, i + 1, before, after, -1)]
                 break
-            cand = [out[j][0], cand[1], out[j][2], cand[3]]
-            del out[j:]
-    return [(int(a), int(b), y - x) for a, b, x, y in out]
+            if kept[j][3] >= after:
+                kept.append((first, i + 1, before, after, j))
+                break
+            first, _, before, _, link = kept[j]
+            del kept[j:]
+            j = link
+    return [(a, b, y - x) for a, b, x, y, _ in done + kept]
 
 
 def bucket_of(word: str) -> int:
