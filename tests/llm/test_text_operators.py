@@ -328,6 +328,17 @@ def test_code_words_differ():
         assert len({tuple(r) for r in m}) == k and (np.abs(m.sum(0)) < k).all()
 
 
+def test_segments_take_linear_time():
+    for every in (2, 4, 7):  # isolated tokens, each a segment of its own or part of a growing one
+        took = []
+        for n in (125_000, 1_000_000):
+            began = time.process_time()
+            found = toxicity.segments(np.where(np.arange(n) % every == 0, 3.0, 0.0), -2.0)
+            took.append(time.process_time() - began)
+            assert len(found) == -(-n // every)
+        assert took[1] < 25 * max(took[0], 0.05)  # quadratic: 64 times
+
+
 def test_segments_equal_their_definition():
     def rec(v, a, b):
         best = (0.0, 0, 0, 0)
