@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pointframe.functions import geom as g
+from pointframe.operators import balanced as bl
 from pointframe.operators import index as ix
 from pointframe.operators import spatial as op
 from pointframe.plans import sqlgeom as sg
@@ -31,6 +32,31 @@ def idx2(spark, d):
     return op.knn_join(q, t, 5, 0.5, ["pt_idx"], ["pt_idx"]).select(F.col("q_pt_idx").alias("q"), F.col("t_pt_idx").alias("t"), "rank", *r6(d2=F.col("d2")))
 
 
+@query("idx1_k_nearest_balanced", f"WITH {_nn(5, 'pt_idx % 3 = 0', 'pt_idx % 3 <> 0')} SELECT q, t, CAST(rank AS INTEGER) AS rank, round(d2, 6) AS d2 FROM nn")
+def idx1(spark, d):
+    q, t = _sides(spark, d, "pt_idx % 3 = 0", "pt_idx % 3 <> 0")
+    return bl.knn_join(q, t, 5, ["pt_idx"], ["pt_idx"]).select(F.col("q_pt_idx").alias("q"), F.col("t_pt_idx").alias("t"), "rank", *r6(d2=F.col("d2")))
+
+
+@query("idx1_radius_balanced", f"WITH p AS ({POINTS}) SELECT q.pt_idx AS q, t.pt_idx AS t FROM p q JOIN p t ON {_D2} <= 0.36 WHERE q.pt_idx % 5 = 0")
+def idx1_radius(spark, d):
+    q, t = _sides(spark, d, "pt_idx % 5 = 0", "true")
+    return bl.radius_join(q, t, 0.6, ["pt_idx"], ["pt_idx"]).select(F.col("q_pt_idx").alias("q"), F.col("t_pt_idx").alias("t"))
+
+
+@query("idx11_rebuilt_index", f"SELECT pt_idx FROM ({POINTS}) WHERE NOT (x < 0 AND pt_idx % 10 <> 0)")
+def idx11(spark, d):
+    """An index whose nodes are rebuilt until none is out of balance or mostly deleted: its live points are the ones that weren't deleted."""
+    p = points(spark, d)
+    index = p.withColumn("deleted_by", F.when((F.col("x") < 0) & (F.col("pt_idx") % 10 != 0), F.lit("point")))
+    splits = bl.fit_splits(p, 50)
+    for _ in range(3):
+        index, splits, nodes = bl.rebuild(index, splits, leaf_rows=50)
+        if not nodes:
+            break
+    return index.filter("deleted_by IS NULL").select("pt_idx")
+
+
 @query("idx3_box_search", f"WITH p AS ({POINTS}) SELECT scan_id, pt_idx FROM p WHERE x >= -0.5 AND x < 0.8 AND y >= -1 AND y < 1 AND z >= 0 AND z < 2")
 def idx3(spark, d):
     return op.box_search(points(spark, d), (-0.5, -1, 0), (0.8, 1, 2)).select("scan_id", "pt_idx")
