@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pointframe.functions import geom as g
 from pointframe.operators import spatial
+from pointframe.session import cut
 
 
 def plane_of_points(df: DataFrame, keys: list[str], gate: float = 0.1) -> DataFrame:
@@ -17,7 +18,7 @@ def plane_of_points(df: DataFrame, keys: list[str], gate: float = 0.1) -> DataFr
     Groups whose normal equations are singular have a null plane and are not ok.
     """
     s = lambda a, b: F.sum(F.col(a) * F.col(b))
-    m = df.groupBy(*keys).agg(*(s(a, b).alias(a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")), *(F.sum(c).alias("s" + c) for c in "xyz"), F.collect_list(F.struct("x", "y", "z")).alias("_pts"))
+    m = df.groupBy(*keys).agg(*(s(a, b).alias(a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")), *(F.sum(c).alias("s" + c) for c in "xyz"))
     a = [[F.col("".join(sorted(i + j))) for j in "xyz"] for i in "xyz"]
     rhs = [-F.col("s" + c) for c in "xyz"]
 
@@ -29,8 +30,14 @@ def plane_of_points(df: DataFrame, keys: list[str], gate: float = 0.1) -> DataFr
         m = m.withColumn(f"_{c}", F.try_divide(det([[rhs[i] if j == k else a[i][j] for j in range(3)] for i in range(3)]), F.col("_det")))
     n = F.sqrt(F.col("_a") ** 2 + F.col("_b") ** 2 + F.col("_c") ** 2)
     m = m.withColumns({"nx": F.col("_a") / n, "ny": F.col("_b") / n, "nz": F.col("_c") / n, "d": 1 / n})
-    far = F.array_max(F.transform("_pts", lambda p: F.abs(F.col("nx") * p["x"] + F.col("ny") * p["y"] + F.col("nz") * p["z"] + F.col("d"))))
-    return m.withColumn("worst", far).withColumn("ok", F.coalesce(F.col("worst") <= gate, F.lit(False))).select(*keys, "nx", "ny", "nz", "d", "worst", "ok")
+    plane = m.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "nx", "ny", "nz", "d")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    far = F.abs(F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z") + F.col("d"))
+    # The points meet their plane again rather than being collected: groups may be of any size.
+    worst = df.select(*keys, "x", "y", "z").join(plane, same).groupBy(*keys).agg(*(F.first(c).alias(c) for c in ("nx", "ny", "nz", "d")), F.max(far).alias("worst"))
+    return worst.withColumn("ok", F.coalesce(F.col("worst") <= gate, F.lit(False))).select(*keys, "nx", "ny", "nz", "d", "worst", "ok")
 
 
 def rigid_from_pairs(p: np.ndarray, q: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -52,12 +59,13 @@ def align_triangles(pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rs, ts = [], []
-            for q, t in zip(pdf["q"], pdf["t"], strict=True):
-                r, s = rigid_from_pairs(np.asarray(q).reshape(3, 3), np.asarray(t).reshape(3, 3))
-                rs.append(r.reshape(-1).tolist())
-                ts.append(s.tolist())
-            yield pdf.assign(rotation=rs, shift=ts)
+            q, t = (np.array(pdf[c].tolist(), dtype=float).reshape(-1, 3, 3) for c in "qt")
+            mq, mt = q.mean(1), t.mean(1)
+            u, _, vt = np.linalg.svd(np.einsum("nki,nkj->nij", q - mq[:, None], t - mt[:, None]))
+            flip = np.ones((len(q), 3))
+            flip[:, 2] = np.where(np.linalg.det(vt.transpose(0, 2, 1) @ u.transpose(0, 2, 1)) < 0, -1.0, 1.0)
+            rot = (vt.transpose(0, 2, 1) * flip[:, None, :]) @ u.transpose(0, 2, 1)
+            yield pdf.assign(rotation=list(rot.reshape(-1, 9)), shift=list(mt - np.einsum("nij,nj->ni", rot, mq)))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
     return pairs.mapInPandas(run, f"{fields}, rotation array<double>, shift array<double>")
@@ -75,14 +83,74 @@ def vote_transforms(pairs: DataFrame, group: list[str], pair_id: str, near: floa
     seed = pairs.withColumn("_i", F.row_number().over(w) - 1).withColumn("_step", F.ceil(n / seeds)).filter("_i % _step = 0").drop("_i", "_step")
     seed = align_triangles(seed).select(*group, F.col(pair_id).alias("seed"), "rotation", "shift")
     both = seed.join(pairs.select(*group, F.col(pair_id).alias("_voter"), "q", "t"), group)
+    ok = _vertices_meet(near)
+    count = both.groupBy(*group, "seed").agg(F.sum(ok.cast("int")).alias("votes"), F.first("rotation").alias("rotation"), F.first("shift").alias("shift"))
+    best = count.groupBy(*group).agg(F.max_by(F.struct("seed", "votes", "rotation", "shift"), F.struct("votes", -F.col("seed"))).alias("b"))
+    return best.select(*group, "b.seed", "b.votes", "b.rotation", "b.shift").filter(F.col("votes") >= least)
+
+
+def _vertices_meet(near: float) -> Column:
+    """Whether the transform of a row takes all three vertices of its q to within `near` of those of its t."""
     ok = F.lit(True)
     for v in range(3):
         p = tuple(F.col("q")[3 * v + k] for k in range(3))
         at = g.transform([F.col("rotation")[k] for k in range(9)], tuple(F.col("shift")[k] for k in range(3)), p)
         ok = ok & (g.sq_dist(at, tuple(F.col("t")[3 * v + k] for k in range(3))) < near * near)
-    count = both.groupBy(*group, "seed").agg(F.sum(ok.cast("int")).alias("votes"), F.first("rotation").alias("rotation"), F.first("shift").alias("shift"))
-    best = count.groupBy(*group).agg(F.max_by(F.struct("seed", "votes", "rotation", "shift"), F.struct("votes", -F.col("seed"))).alias("b"))
-    return best.select(*group, "b.seed", "b.votes", "b.rotation", "b.shift").filter(F.col("votes") >= least)
+    return ok
+
+
+def near_rotations(left: DataFrame, right: DataFrame, keys: list[str], lid: str, rid: str, degrees: float) -> DataFrame:
+    """(keys, lid, rid) of rotations less than `degrees` apart; both sides have a column rotation of nine numbers.
+
+    Rotations are unit quaternions, either sign. Those within the angle are within a chord of each other or of the mirror
+    image, so right rows stand in one cell, two chords wide, of four coordinates each, and left rows go, with both signs,
+    to the cells that the chord reaches: two a coordinate at most.
+    """
+    half = np.radians(degrees) / 4
+    chord = 2 * float(np.sin(half)) + 1e-9
+    cell = lambda c: F.floor(c / (2 * chord))
+
+    def quaternion(df: DataFrame) -> DataFrame:
+        m = [F.col("rotation")[k] for k in range(9)]
+        a, b, c, d = m[0] + m[4] + m[8], m[0] - m[4] - m[8], m[4] - m[0] - m[8], m[8] - m[0] - m[4]
+        most = F.greatest(a, b, c, d)
+        # The largest coordinate is a root, the others follow from it.
+        by = [(a, (None, m[7] - m[5], m[2] - m[6], m[3] - m[1])), (b, (m[7] - m[5], None, m[1] + m[3], m[2] + m[6])), (c, (m[2] - m[6], m[1] + m[3], None, m[5] + m[7])), (d, (m[3] - m[1], m[2] + m[6], m[5] + m[7], None))]
+        root = F.sqrt(F.greatest(most + 1, F.lit(0.0)))
+        q = None
+        for which, parts in reversed(by):
+            own = F.array(*(root / 2 if p is None else p / (2 * root) for p in parts))
+            q = own if q is None else F.when(most == which, own).otherwise(q)
+        return df.withColumn("_q", q)
+
+    r = quaternion(right).select(*keys, F.col(rid).alias("_rid"), F.col("_q").alias("_p"), *(cell(F.col("_q")[k]).alias(f"_c{k}") for k in range(4)))
+    q = quaternion(left).select(*keys, F.col(lid).alias("_lid"), F.explode(F.array("_q", F.transform("_q", lambda v: -v))).alias("_q"))
+    for k in range(4):
+        v = F.col("_q")[k]
+        q = q.withColumn(f"_c{k}", F.explode(F.array_distinct(F.array(cell(v - chord), cell(v + chord)))))
+    dot = sum((F.col("_q")[k] * F.col("_p")[k] for k in range(4)), F.lit(0.0))
+    near = F.acos(F.least(dot, F.lit(1.0))) * 2 < float(np.radians(degrees))
+    return q.join(r, [*keys, *(f"_c{k}" for k in range(4))]).filter((dot > 0) & near).select(*keys, F.col("_lid").alias(lid), F.col("_rid").alias(rid))
+
+
+def rotation_consensus(pairs: DataFrame, group: list[str], pair_id: str, degrees: float = 10.0, near: float = 5.0, seeds: int = 200, least: int = 5) -> DataFrame:
+    """(group, seed, agreeing, rotation, shift, n_met): the transform whose rotation most others of a group are close to.
+
+    Every k-th pair of a group proposes, where k is one more than its pairs over `seeds`, so fewer than `seeds` + 1 do. The first
+    proposal of the most agreeing ones, itself among them, is taken if they are `least` or more, and it stands if it takes
+    all three vertices of `least` or more of all pairs to within `near`. Other groups have no row.
+    """
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy(*group).orderBy(pair_id)
+    n = F.count("*").over(Window.partitionBy(*group))
+    picked = pairs.withColumn("_i", F.row_number().over(w) - 1).withColumn("_step", F.floor(n / seeds) + 1).filter("_i % _step = 0").drop("_i", "_step")
+    proposals = cut(align_triangles(picked).select(*group, F.col(pair_id).alias("seed"), "rotation", "shift"))
+    agree = near_rotations(proposals, proposals.withColumnRenamed("seed", "_other"), group, "seed", "_other", degrees)
+    best = agree.groupBy(*group, "seed").agg(F.count("*").alias("agreeing")).groupBy(*group).agg(F.max_by(F.struct("seed", "agreeing"), F.struct("agreeing", -F.col("seed"))).alias("b"))
+    chosen = best.select(*group, "b.*").filter(F.col("agreeing") >= least).join(proposals, [*group, "seed"])
+    met = pairs.select(*group, "q", "t").join(chosen, group).groupBy(*group, "seed", "agreeing").agg(F.first("rotation").alias("rotation"), F.first("shift").alias("shift"), F.sum(_vertices_meet(near).cast("long")).alias("n_met"))
+    return met.filter(F.col("n_met") >= least)
 
 
 def _apply(df: DataFrame, r: np.ndarray, t: np.ndarray) -> DataFrame:

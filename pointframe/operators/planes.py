@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from pointframe.functions import geom as g
 from pointframe.operators import spatial
+from pointframe.streaming.fold import fold_sorted
 
 VOX = ["vx", "vy", "vz"]
 
@@ -108,6 +109,62 @@ def coplanar_labels(pdf: pd.DataFrame, normal_thr: float = 0.1, dist_thr: float
     return pd.Series(label, index=pdf.index).sort_index().to_numpy()
 
 
+def coplanar_pairs(planes: DataFrame, keys: list[str], order: list[str], normal_thr: float = 0.1, dist_thr: float = 0.3) -> DataFrame:
+    """(keys, later, earlier): pairs of planes of a frame (order: what tells them apart, as structs) that lie in one plane.
+
+    Normals, of either sign, differ by less than normal_thr, and each centre is nearer than dist_thr to the other's plane. Then
+    the offsets, with the sign, differ by dist_thr + normal_thr * (the farthest centre of the frame) at most. So planes
+    stand in a cell of normals, two thresholds wide, and of offsets, that wide; and are looked up with both signs from the
+    cells that can hold a partner.
+    """
+    far = F.sqrt(F.max(g.sq_dist(g.vec("cx", "cy", "cz"), g.lit3((0, 0, 0)))).over(Window.partitionBy(*keys)))
+    wide, p = 2.0 * normal_thr, [*keys, "_w", "_id", "_c", "_n", "_d"]
+    cell = lambda v: F.floor(v / wide)
+    base = planes.withColumn("_w", F.lit(dist_thr) + normal_thr * far + 1e-9).select(*keys, "_w", F.struct(*order).alias("_id"), F.array("cx", "cy", "cz").alias("_c"), F.array("nx", "ny", "nz").alias("_n"), F.col("d").alias("_d"))
+    right = base.select(*keys, *(F.col(c).alias("r" + c) for c in p[len(keys) + 1 :]), *(cell(F.col("_n")[k]).alias(f"_k{k}") for k in range(3)), F.floor(F.col("_d") / F.col("_w")).alias("_k3"))
+    flip = F.struct(F.transform("_n", lambda v: -v).alias("n"), (-F.col("_d")).alias("d"))
+    left = base.withColumn("_s", F.explode(F.array(F.struct(F.col("_n").alias("n"), F.col("_d").alias("d")), flip)))
+    for k in range(3):
+        v = F.col("_s.n")[k]
+        left = left.withColumn(f"_k{k}", F.explode(F.array_distinct(F.array(cell(v - normal_thr), cell(v + normal_thr)))))
+    at = F.floor(F.col("_s.d") / F.col("_w"))
+    left = left.withColumn("_k3", F.explode(F.array(at - 1, at, at + 1)))
+    three = lambda c: tuple(F.col(c)[k] for k in range(3))
+    off = lambda n, d, c: F.abs(g.dot(three(n), three(c)) + F.col(d)) < dist_thr
+    both = left.join(right, [*keys, *(f"_k{k}" for k in range(4))]).filter(F.col("r_id") < F.col("_id"))
+    apart = F.sqrt(sum(((F.col("_s.n")[k] - F.col("r_n")[k]) ** 2 for k in range(3)), F.lit(0.0)))
+    return both.filter((apart < normal_thr) & off("_n", "_d", "r_c") & off("r_n", "r_d", "_c")).select(*keys, F.col("_id").alias("later"), F.col("r_id").alias("earlier")).distinct()
+
+
+def label_coplanar(planes: DataFrame, key: str, order: list[str], normal_thr: float = 0.1, dist_thr: float = 0.3) -> DataFrame:
+    """planes with label, as coplanar_labels gives them: pairs are gone through by the later plane downwards, then the earlier one upwards.
+
+    A label is given once and stays, so it is known when the pair is met: a frame's pairs go by as a sorted stream, of
+    which a task keeps the labels given so far.
+    """
+    pairs = coplanar_pairs(planes, [key], order, normal_thr, dist_thr)
+    rank = planes.select(key, F.struct(*order).alias("_id"), F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long").alias("_n"))
+    side = lambda name, n: rank.select(key, F.col("_id").alias(name), F.col("_n").alias(n))
+    rows = pairs.join(side("later", "_i"), [key, "later"]).join(side("earlier", "_j"), [key, "earlier"]).select(F.col(key).alias("key"), (-F.col("_i")).alias("down"), F.col("_j").alias("up"))
+
+    def step(labels: dict, row: tuple) -> tuple | None:
+        i, j = -row[1], row[2]
+        a, b = labels.get(i), labels.get(j)
+        if a and b:
+            return None
+        label = a or b or labels.get(0, 0) + 1
+        if not a and not b:
+            labels[0] = label  # places count from 1
+        labels[i] = labels[j] = label
+        return row[0], label, [x for x, had in ((i, a), (j, b)) if not had]
+
+    kind = planes.schema[key].dataType.simpleString()
+    given = fold_sorted(rows, "key", ["down", "up"], lambda _: {}, step, f"key {kind}, label long, places array<long>")
+    given = given.select(F.col("key").alias(key), "label", F.explode("places").alias("_n"))
+    named = rank.join(given, [key, "_n"], "left").select(key, "_id", F.coalesce("label", F.lit(0)).alias("label"))
+    return planes.withColumn("_id", F.struct(*order)).join(named, [key, "_id"]).drop("_id")
+
+
 def merge_coplanar(planes: DataFrame, keys: list[str], singles: bool, normal_thr: float = 0.1, dist_thr: float = 0.3) -> DataFrame:
     """Planes of a frame merged by label: moments added up, sub_planes counted; planes without a label stay if `singles`.
 

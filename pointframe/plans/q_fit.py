@@ -76,14 +76,13 @@ def fit3(spark, d):
     return v.select("grp", "votes", F.round(r[1], 5).alias("m01"), F.round(r[3], 5).alias("m10"))
 
 
-@query("fit4_rotation_consensus", f"WITH t AS (SELECT tri FROM ({_TRIS}) WHERE tri % 4 <> 0) SELECT tri % 5 AS grp, count(*) * (count(*) - 1) // 2 AS agreeing FROM t GROUP BY 1")
+@query("fit4_rotation_consensus", f"""
+WITH t AS (SELECT tri, tri % 5 AS grp FROM ({_TRIS})), n AS (SELECT grp, count(*) AS n, count(*) // 200 + 1 AS step, sum(CASE WHEN tri % 4 <> 0 OR tri < 5 THEN 1 ELSE 0 END) AS met FROM t GROUP BY 1)
+SELECT grp, CAST((n + step - 1) // step AS BIGINT) AS agreeing, CAST(met AS BIGINT) AS n_met, -1.0::DOUBLE AS m01, 1.0::DOUBLE AS m10 FROM n
+""")
 def fit4(spark, d):
-    # Pairs of transforms whose rotations are within 10 degrees of each other.
-    a = ft.align_triangles(_tri_pairs(spark, d).filter("tri % 4 <> 0")).select("grp", "tri", "rotation")
-    b = a.select("grp", F.col("tri").alias("tri2"), F.col("rotation").alias("r2"))
-    j = a.join(b, "grp").filter("tri < tri2")
-    trace = sum((F.col("rotation")[k] * F.col("r2")[k] for k in range(9)), F.lit(0.0))
-    return j.filter(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (trace - 1) / 2))) < 0.17453292519943295).groupBy("grp").agg(F.count("*").alias("agreeing"))
+    v = ft.rotation_consensus(_tri_pairs(spark, d), ["grp"], "tri")
+    return v.select("grp", "agreeing", "n_met", F.round(F.col("rotation")[1], 5).alias("m01"), F.round(F.col("rotation")[3], 5).alias("m10"))
 
 
 _BACK = f"SELECT pt_idx, {', '.join(f'round({c}, 3) + 0.0 AS {c}' for c in 'xyz')} FROM ({POINTS})"

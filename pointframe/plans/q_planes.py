@@ -420,15 +420,31 @@ def join18(spark, d):
     return j.filter(close).groupBy(*(F.col(f"av{c}").alias(f"v{c}") for c in "xyz")).agg(F.count("*").alias("linked"))
 
 
-_PL = f"SELECT vx, vy, vz, scan_id, cx, cy, cz, n FROM ({_COVS}) WHERE n > 3"
+def _surfels(spark, d):
+    """Planes of voxels: mean points with the direction of their mean normals."""
+    v = op.with_voxel(points(spark, d), 0.5).groupBy("scan_id", *op.VOX).agg(*(F.avg(c).alias("c" + c) for c in "xyz"), *(F.avg(c).alias(c) for c in ("nx", "ny", "nz")))
+    n = g.norm(g.vec("nx", "ny", "nz"))
+    v = v.withColumn("_l", n).filter("_l > 0.01").withColumns({c: F.col(c) / F.col("_l") for c in ("nx", "ny", "nz")}).drop("_l")
+    return v.withColumn("d", -g.dot(g.vec("nx", "ny", "nz"), g.vec("cx", "cy", "cz")))
 
 
-@query("join15_plane_pairs", f"WITH p AS ({_PL}) SELECT a.scan_id, count(*) AS pairs FROM p a JOIN p b ON a.scan_id = b.scan_id AND (a.vx, a.vy, a.vz) < (b.vx, b.vy, b.vz) AND abs(a.cz - b.cz) < 0.3 GROUP BY 1")
+_SURFELS = f"""v AS (SELECT scan_id, {_V5}, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, avg(nx) AS ax, avg(ny) AS ay, avg(nz) AS az FROM ({POINTS}) GROUP BY 1, 2, 3, 4),
+ u AS (SELECT *, sqrt(ax*ax + ay*ay + az*az) AS l FROM v), s AS (SELECT scan_id, vx, vy, vz, cx, cy, cz, ax / l AS nx, ay / l AS ny, az / l AS nz, -(ax*cx + ay*cy + az*cz) / l AS d FROM u WHERE l > 0.01)"""
+
+
+@query("join15_plane_pairs", f"""
+WITH {_SURFELS}
+SELECT a.scan_id, count(*) AS pairs FROM s a JOIN s b ON a.scan_id = b.scan_id AND (a.vx, a.vy, a.vz) > (b.vx, b.vy, b.vz)
+ AND least((a.nx-b.nx)**2 + (a.ny-b.ny)**2 + (a.nz-b.nz)**2, (a.nx+b.nx)**2 + (a.ny+b.ny)**2 + (a.nz+b.nz)**2) < 0.16
+ AND abs(a.nx*b.cx + a.ny*b.cy + a.nz*b.cz + a.d) < 0.3 AND abs(b.nx*a.cx + b.ny*a.cy + b.nz*a.cz + b.d) < 0.3 GROUP BY 1
+""")
 def join15(spark, d):
-    p = covs(spark, d).filter("n > 3").select("scan_id", *op.VOX, "cz")
-    b = p.select("scan_id", F.struct(*op.VOX).alias("kb"), F.col("cz").alias("zb"), F.floor(F.col("cz") / 0.3).alias("s"))
-    a = p.select("scan_id", F.struct(*op.VOX).alias("ka"), F.col("cz").alias("za"), F.explode(F.array(*((F.floor(F.col("cz") / 0.3) + k) for k in (-1, 0, 1)))).alias("s"))
-    return a.join(b, ["scan_id", "s"]).filter("ka < kb AND abs(za - zb) < 0.3").groupBy("scan_id").agg(F.count("*").alias("pairs"))
+    return op.coplanar_pairs(_surfels(spark, d), ["scan_id"], op.VOX, 0.4, 0.3).groupBy("scan_id").agg(F.count("*").alias("pairs"))
+
+
+@query("join15_plane_labels")
+def join15_labels(spark, d):
+    return op.label_coplanar(_surfels(spark, d), "scan_id", op.VOX, 0.4, 0.3).select("scan_id", *op.VOX, "label")
 
 
 @query("set2_concatenation", f"WITH p AS ({POINTS}), u AS (SELECT scan_id FROM p WHERE scan_id < 3 UNION ALL SELECT scan_id FROM p WHERE scan_id < 5) SELECT scan_id, count(*) AS n FROM u GROUP BY 1")
