@@ -12,7 +12,7 @@ from pointframe.plans.q_points import R6, r6
 from pointframe.plans.registry import query
 from pointframe.session import cut
 from pointframe.sources.adapters import POINTS, SAMPLES, TRAJECTORY, points, samples, trajectory
-from pointframe.streaming import assembly, fold
+from pointframe.streaming import assembly, fold, rebuild
 from pointframe.streaming import loops as loop_streams
 
 _S = 1_000_000
@@ -143,3 +143,25 @@ def fac5_sessions(spark, d):
     factors = factors.withColumn("shift", F.when(false & (F.col("j") - F.col("i") == 17), moved).otherwise(F.col("shift")))
     out = pg.accept_graphs(drift, factors, segment=16)
     return out.select("session", "frame", *((F.round(F.col("position")[k], 6) + 0.0).alias(c) for k, c in enumerate("xyz")), "accepted")
+
+
+@query("str9_map_after_corrections", f"""
+SELECT scan_id AS frame_id, pt_idx, {R6(x='x + 0.01 * scan_id + CASE WHEN scan_id % 3 = 0 THEN 0.05 ELSE 0 END', y='y + CASE WHEN scan_id % 3 = 1 THEN 0.04 ELSE 0 END', z='z')} FROM ({POINTS})
+""")
+def str9(spark, d):
+    """Three micro-batches of corrections: two small ones, and between them one that moves the newest scan away and is refused."""
+    p = points(spark, d).select(F.lit(0).cast("long").alias("session"), F.col("scan_id").alias("frame_id"), "pt_idx", "x", "y", "z")
+    zero = [F.lit(0.0).alias(c) for c in ("roll", "pitch", "yaw")]
+    pose = lambda x, y: [x.alias("x"), y.alias("y"), F.lit(0.0).alias("z"), *zero]
+    frames = p.select("session", "frame_id").distinct()
+    at, none = 0.01 * F.col("frame_id"), F.lit(0.0)
+    fixes = [frames.filter("frame_id % 3 = 0").select("session", "frame_id", *pose(at + 0.05, none)), frames.select("session", "frame_id", *pose(at + 90.0 * F.col("frame_id") ** 2, none)), frames.filter("frame_id % 3 = 1").select("session", "frame_id", *pose(at, F.lit(0.04)))]
+    rows = None
+    for k, f in enumerate(fixes):
+        f = f.withColumn("arrival", F.lit(k))
+        rows = f if rows is None else rows.unionByName(f)
+    home, corrections = fold.staged(cut(rows), "arrival")
+    store = rebuild.MapStore(home + "-map")
+    store.start(frames.select("session", "frame_id", *pose(at, none)), p, 1e6, 1 << 40)
+    rebuild.rebuild_stream(corrections, store, p, home + "-state", 1e6, 1 << 40, rebuild.last_scan_fits(p, max_dist=20.0, rounds=1)).awaitTermination()
+    return store.map(spark).select("frame_id", "pt_idx", *r6(x=F.col("x"), y=F.col("y"), z=F.col("z")))

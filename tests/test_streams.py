@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointframe.operators import loops, pose_graph
-from pointframe.streaming import assembly, fold
+from pointframe.streaming import assembly, fold, rebuild
 from pointframe.streaming import loops as loop_streams
 
 S = 1_000_000
@@ -228,3 +228,32 @@ def test_graphs_refuse_a_false_loop(spark):
     assert {(r.session, r.accepted) for r in got} == {(0, True), (1, False)}
     assert all(np.allclose(r.position, [r.frame, 0, 0], atol=1e-9) for r in got)
     assert pose_graph.worst_errors(p, f).filter(F.col("session") == 1).first().worst == 47.0
+
+
+def test_a_map_is_swapped_once_or_left(spark, tmp_path):
+    one = [(0, f, k, 0.1 * k, float(f), 0.0) for f in range(3) for k in range(20)]
+    pts = spark.createDataFrame(one, "session long, frame_id long, pt_idx long, x double, y double, z double")
+    schema = "session long, frame_id long, x double, y double, z double, roll double, pitch double, yaw double"
+    poses = spark.createDataFrame([(0, f, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0) for f in range(3)], schema)
+    store, calls = rebuild.MapStore(str(tmp_path / "map")), []
+    store.start(poses, pts, 100.0, 1000)
+    store.start(poses.limit(0), pts, 100.0, 1000)  # has begun already
+    fits = rebuild.last_scan_fits(pts, fitness=2.0, rounds=2)
+
+    def verify(m, p):
+        calls.append(m.count())
+        return fits(m, p)
+
+    fix = lambda f, x: spark.createDataFrame([(0, f, x, 0.0, 0.0, 0.0, 0.0, 0.0)], schema)
+    place = lambda: {r.frame_id: r.x for r in store.map(spark).filter("pt_idx = 0").collect()}
+    assert store.version(spark) == 0 and place() == {0: 0.0, 1: 0.0, 2: 0.0}
+    assert store.apply(fix(1, 0.5), 0, pts, 100.0, 1000, verify) is True
+    assert store.version(spark) == 1 and place() == {0: 0.0, 1: 0.5, 2: 0.0}
+    assert store.apply(fix(1, 0.7), 0, pts, 100.0, 1000, verify) is None and place()[1] == 0.5  # run again: nothing changes
+    assert store.apply(fix(2, 300.0), 1, pts, 1e6, 1000, verify) is False  # the last scan fits nothing any more
+    assert store.version(spark) == 1 and place() == {0: 0.0, 1: 0.5, 2: 0.0} and len(calls) == 2
+    with pytest.raises(RuntimeError):  # fails before its commit
+        store.apply(fix(0, 0.2), 2, pts, 100.0, 1000, lambda m, p: (_ for _ in ()).throw(RuntimeError("lost")))
+    assert store.version(spark) == 1 and place()[0] == 0.0
+    assert store.apply(fix(0, 0.2), 2, pts, 100.0, 1000, verify) is True and place() == {0: 0.2, 1: 0.5, 2: 0.0}
+    assert [(r.batch, r.accepted) for r in store.commits(spark).orderBy("batch").collect()] == [(-1, True), (0, True), (1, False), (2, True)]
