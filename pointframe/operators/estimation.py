@@ -7,15 +7,16 @@ gravity as two angles about axes across it. Measurement rows are summed by the e
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointframe.functions import geom as g
+from pointframe.streaming.fold import fold_sorted
 
 SLOTS = {"pos": slice(0, 3), "rot": slice(3, 6), "mount_rot": slice(6, 9), "mount_pos": slice(9, 12), "vel": slice(12, 15), "gyro_bias": slice(15, 18), "acc_bias": slice(18, 21), "grav": slice(21, 23)}
 SIZE = 23
@@ -150,18 +151,17 @@ def propagate_states(imu: DataFrame, start: State | None = None, variance: float
     """
     x0 = start or State()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_us")
-        t, u = pdf["t_us"].to_numpy(), pdf[["gx", "gy", "gz", "ax", "ay", "az"]].to_numpy(dtype=float)
-        x, p, rows = x0, variance * np.eye(SIZE), []
-        for k in range(len(t)):
-            if k:
-                mid = (u[k - 1] + u[k]) / 2
-                x, p = predict(x, p, mid[:3], mid[3:], (t[k] - t[k - 1]) / 1e6)
-            rows.append((pdf["session"].iloc[0], int(t[k]), x.pos.tolist(), x.rot.reshape(-1).tolist(), x.vel.tolist(), np.diag(p).tolist()))
-        return pd.DataFrame(rows, columns=["session", "t_us", "pos", "rot", "vel", "variance"])
+    def step(now: dict, row: tuple) -> tuple:
+        session, t, u = row[0], row[1], np.array(row[2:8], dtype=float)
+        if "t" in now:
+            mid = (now["u"] + u) / 2
+            now["x"], now["p"] = predict(now["x"], now["p"], mid[:3], mid[3:], (t - now["t"]) / 1e6)
+        now["t"], now["u"] = t, u
+        x = now["x"]
+        return session, t, x.pos.tolist(), x.rot.reshape(-1).tolist(), x.vel.tolist(), np.diag(now["p"]).tolist()
 
-    return imu.groupBy("session").applyInPandas(lambda pdf: run(pdf), STATES)
+    rows = imu.select("session", "t_us", "gx", "gy", "gz", "ax", "ay", "az")
+    return fold_sorted(rows, "session", ["t_us"], lambda _: {"x": x0, "p": variance * np.eye(SIZE)}, step, STATES)
 
 
 H = [f"h{k}" for k in range(12)]
@@ -181,14 +181,22 @@ def measurement_rows(points: DataFrame, x: State) -> DataFrame:
 
 def measurement_sums(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """(H^T H, H^T residual, number of rows), summed by the engine."""
-    s = rows.agg(F.count("*").alias("n"), *(F.sum(F.col(H[a]) * F.col(H[b])).alias(f"s{a}_{b}") for a in range(12) for b in range(a, 12)), *(F.sum(F.col(h) * F.col("residual")).alias(f"r{k}") for k, h in enumerate(H))).first()
-    hth, htr = np.zeros((12, 12)), np.zeros(12)
-    if s["n"]:
-        for a in range(12):
-            htr[a] = s[f"r{a}"]
-            for b in range(a, 12):
-                hth[a, b] = hth[b, a] = s[f"s{a}_{b}"]
-    return hth, htr, s["n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Columns H, residual and ones, so that one product a batch has all sums and the count.
+        total = np.zeros((14, 14))
+        for b in batches:
+            if b.num_rows:
+                m = np.stack([*(c.to_numpy(zero_copy_only=False) for c in b.columns), np.ones(b.num_rows)], 1)
+                total += m.T @ m
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(14 * 14, dtype=np.int32)), pa.array(total.ravel())], names=["k", "v"])
+
+    parts = rows.select(*H, "residual").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # 196 numbers
+    s = np.zeros(14 * 14)
+    for r in parts:
+        s[r["k"]] = r["v"]
+    s = s.reshape(14, 14)
+    return s[:12, :12], s[:12, 12], round(s[13, 13])
 
 
 def update(x: State, p: np.ndarray, measure: Callable[[State], tuple[np.ndarray, np.ndarray, int]], noise: float = 1e-3, rounds: int = 4, still: float = 1e-3) -> tuple[State, np.ndarray]:

@@ -262,6 +262,18 @@ def imu_init(pdf: pd.DataFrame, samples: int = 20) -> pd.DataFrame:
     return pd.DataFrame([[pdf["session"].iloc[0], len(pdf), *mean, *cov]], columns=["session", "n", "mx", "my", "mz", "vx", "vy", "vz"])
 
 
+INIT = "session long, n long, mx double, my double, mz double, vx double, vy double, vz double"
+
+
+def imu_start(imu: DataFrame, samples: int = 20) -> DataFrame:
+    """imu_init of each session (session, t_us, ax, ay, az); only its first samples, by time, are brought together."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("session").orderBy("t_us", "ax", "ay", "az")
+    first = imu.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= samples).select("session", "t_us", "ax", "ay", "az")
+    return first.groupBy("session").applyInPandas(lambda pdf: imu_init(pdf, samples), INIT)
+
+
 def undistort(points: DataFrame, poses: DataFrame, ends: DataFrame) -> DataFrame:
     """Points (session, scan_id, t_us, x, y, z) moved to the frame of their scan's end, by the state before each point at constant rates.
 

@@ -170,14 +170,19 @@ def segment_in_cone(ends: DataFrame, origin, axis, half_angle: float, depth: flo
     return ends.withColumn("in_view", segment_meets_cone(g.vec("x1", "y1", "z1"), g.vec("x2", "y2", "z2"), origin, axis, half_angle, depth))
 
 
-def cells_in_view(spark, origin, axis, half_angle: float, depth: float, cell: float) -> DataFrame:
-    """The cells of a grid whose centre lies in a viewing cone."""
-    span = range(math.floor(-depth / cell) - 1, math.ceil(depth / cell) + 2)
-    base = [math.floor(o / cell) for o in origin]
-    line = lambda k: F.explode(F.sequence(F.lit(base[k] + span[0]), F.lit(base[k] + span[-1])))
-    cells = spark.range(1).select(line(0).alias("cx")).select("cx", line(1).alias("cy")).select("cx", "cy", line(2).alias("cz"))
-    centre = tuple((F.col(c) + 0.5) * cell for c in ("cx", "cy", "cz"))
-    return cells.filter(in_cone(centre, origin, axis, half_angle, depth))
+def cells_in_view(views: DataFrame, axis: tuple[float, ...], half_angle: float, depth: float, cell: float) -> DataFrame:
+    """views (x, y, z and others), a row for each cell (cx, cy, cz) of a grid whose centre lies in the viewing cone from there.
+
+    A view meets the cells of a cube of twice its depth, whose number doesn't depend on the data.
+    """
+    n = sum(v * v for v in axis) ** 0.5
+    side = lambda c: F.sequence(F.floor((F.col(c) - depth) / cell), F.floor((F.col(c) + depth) / cell))
+    at = views
+    for c in "xyz":
+        at = at.withColumn(f"c{c}", F.explode(side(c)))
+    d = g.sub(tuple((F.col(f"c{c}") + 0.5) * cell for c in "xyz"), g.vec("x", "y", "z"))
+    along = g.dot(d, g.lit3(tuple(v / n for v in axis)))
+    return at.filter((along > 0) & (along <= depth) & (along >= g.norm(d) * math.cos(half_angle)))
 
 
 FEATURE_SCHEMA = "scan_id long, ring int, pt_idx long, x double, y double, z double, feature string"

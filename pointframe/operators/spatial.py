@@ -3,7 +3,8 @@
 A radius join cuts space into cells as wide as the radius; every query goes to the 27 cells around its own, and meets
 the targets of those cells by an equi-join. A nearest-neighbour join does the same with a guessed radius; queries whose
 k-th neighbour isn't certain (fewer than k within the radius) are asked again with twice the radius, and the few that are
-left after some rounds are held against all targets, dealt into parts whose best are merged. So results are exact for any guess.
+left after some rounds go by a balanced partition, or, with a condition on pairs, are held against all targets, dealt into
+parts whose best are merged. So results are exact for any guess.
 """
 
 from __future__ import annotations
@@ -78,29 +79,39 @@ def knn_join(queries: DataFrame, targets: DataFrame, k: int, guess: float, qid:
             break
         radius *= 2
     else:
-        # What is left sees every target of its group, a part of the targets in a task; the best of all parts are ranked again.
-        parts = max(1, int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        q = asked.select(*(F.col(c).alias(f"q_{c}") for c in dict.fromkeys([*keys, *XYZ])), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"))
-        t = targets.select(*(F.col(c).alias(f"t_{c}") for c in dict.fromkeys([*(on or []), *tid, *XYZ])), F.pmod(F.xxhash64(*tid), F.lit(parts)).cast("int").alias("_p"))
-        same = F.lit(True)
-        for c in on or []:
-            same = same & (F.col(f"q_{c}") == F.col(f"t_{c}"))
-        pairs = q.join(t, "_p").filter(same).withColumn("d2", g.sq_dist(g.vec("q_x", "q_y", "q_z"), g.vec("t_x", "t_y", "t_z")))
-        if skip_self:
-            own = F.lit(True)
-            for a, b in zip(qid, tid, strict=True):
-                own = own & (F.col(f"q_{a}") == F.col(f"t_{b}"))
-            pairs = pairs.filter(~own)
-        if where is not None:
-            pairs = pairs.filter(where)
-        here = Window.partitionBy("_p", *qk).orderBy("d2", *tk)
-        done.append(best(pairs.withColumn("_r", F.row_number().over(here)).filter(F.col("_r") <= k).drop("_r", "_p")))
+        if not on and where is None:
+            from pointframe.operators import balanced
+
+            # What is left, far from most targets, goes by a balanced partition: its own leaf, then the leaves that its ball reaches.
+            done.append(balanced.knn_join(asked, targets, k, qid, tid, skip_self).select(*done[0].columns))
+        else:
+            done.append(_dealt_targets(asked, targets, keys, tid, on or [], own_ids=list(zip(qid, tid, strict=True)) if skip_self else [], where=where, k=k, best=best))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out
 
 
+def _dealt_targets(asked: DataFrame, targets: DataFrame, keys: list[str], tid: list[str], on: list[str], own_ids: list[tuple[str, str]], where: Column | None, k: int, best) -> DataFrame:
+    """What is left sees every target of its group, a part of the targets in a task; the best of all parts are ranked again."""
+    qk, tk = [f"q_{c}" for c in keys], [f"t_{c}" for c in tid]
+    parts = max(1, int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    q = asked.select(*(F.col(c).alias(f"q_{c}") for c in dict.fromkeys([*keys, *XYZ])), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"))
+    t = targets.select(*(F.col(c).alias(f"t_{c}") for c in dict.fromkeys([*on, *tid, *XYZ])), F.pmod(F.xxhash64(*tid), F.lit(parts)).cast("int").alias("_p"))
+    same = F.lit(True)
+    for c in on:
+        same = same & (F.col(f"q_{c}") == F.col(f"t_{c}"))
+    pairs = q.join(t, "_p").filter(same).withColumn("d2", g.sq_dist(g.vec("q_x", "q_y", "q_z"), g.vec("t_x", "t_y", "t_z")))
+    own = F.lit(bool(own_ids))
+    for a, b in own_ids:
+        own = own & (F.col(f"q_{a}") == F.col(f"t_{b}"))
+    pairs = pairs.filter(~own)
+    if where is not None:
+        pairs = pairs.filter(where)
+    here = Window.partitionBy("_p", *qk).orderBy("d2", *tk)
+    return best(pairs.withColumn("_r", F.row_number().over(here)).filter(F.col("_r") <= k).drop("_r", "_p"))
+
+
 def box_search(df: DataFrame, low: tuple[float, ...], high: tuple[float, ...]) -> DataFrame:
     """The points of a box, its low faces included and its high ones not."""
     cond = F.lit(True)
@@ -109,16 +120,16 @@ def box_search(df: DataFrame, low: tuple[float, ...], high: tuple[float, ...]) -
     return df.filter(cond)
 
 
-def plane_rmse(queries: DataFrame, targets: DataFrame, k: int, guess: float, qid: list[str], tid: list[str], max_dist: float) -> DataFrame:
-    """One row (useful, rmse): the queries nearer than max_dist squared to the plane through their k nearest targets, and the root of their mean distance to it.
+def plane_rmse(queries: DataFrame, targets: DataFrame, k: int, guess: float, qid: list[str], tid: list[str], max_dist: float, on: list[str] | None = None) -> DataFrame:
+    """(useful, rmse), a row for each value of `on` or one in all: the queries nearer than max_dist squared to the plane through their k nearest targets, and the root of their mean distance to it.
 
     Queries whose targets lie in no one plane's direction (singular equations) don't count.
     """
     from pointframe.operators.fitting import plane_of_points
 
-    nn = knn_join(queries, targets, k, guess, qid, tid)
-    keys = [f"q_{c}" for c in dict.fromkeys([*qid, *XYZ])]
+    nn = knn_join(queries, targets, k, guess, qid, tid, on)
+    keys = [f"q_{c}" for c in dict.fromkeys([*(on or []), *qid, *XYZ])]
     plane = plane_of_points(nn.select(*keys, *(F.col(f"t_{c}").alias(c) for c in XYZ)), keys)
     dis = F.abs(g.dot(g.vec("nx", "ny", "nz"), g.vec("q_x", "q_y", "q_z")) + F.col("d"))
-    near = plane.select(dis.alias("dis")).filter(F.col("dis") < max_dist * max_dist)
-    return near.agg(F.count("*").alias("useful"), F.sqrt(F.avg("dis")).alias("rmse"))
+    near = plane.select(*(F.col(f"q_{c}").alias(c) for c in on or []), dis.alias("dis")).filter(F.col("dis") < max_dist * max_dist)
+    return near.groupBy(*(on or [])).agg(F.count("*").alias("useful"), F.sqrt(F.avg("dis")).alias("rmse"))

@@ -161,7 +161,7 @@ WITH r AS (SELECT session, k, v * 0.14285137 AS ax, v * 0.02040813 - 1 AS ay FRO
 SELECT session, count(*) AS n, {R6(mx='avg(ax)', my='avg(ay)', mz='9.81::DOUBLE', vx='sum((ax - mx)**2 * (k - 1) / k::DOUBLE) / count(*)', vy='sum((ay - my)**2 * (k - 1) / k::DOUBLE) / count(*)', vz='0.0::DOUBLE')} FROM m GROUP BY 1
 """)
 def agg17(spark, d):
-    out = _imu(spark, d).groupBy("session").applyInPandas(lambda pdf: ft.imu_init(pdf), "session long, n long, mx double, my double, mz double, vx double, vy double, vz double")
+    out = ft.imu_start(_imu(spark, d))
     return out.select("session", "n", *r6(**{c: F.col(c) + 0.0 for c in ("mx", "my", "mz", "vx", "vy", "vz")}))
 
 
@@ -239,7 +239,7 @@ def agg20(spark, d):
 
 def _bodies(spark, d):
     p = points(spark, d)
-    poses = spark.range(10).select(F.col("id").alias("frame_id"), (F.col("id") * 0.1).alias("x"), F.lit(0.5).alias("y"), F.lit(0.0).alias("z"), F.lit(0.0).alias("roll"), F.lit(0.0).alias("pitch"), F.lit(0.0).alias("yaw"))
+    poses = p.select(F.col("scan_id").alias("id")).distinct().select(F.col("id").alias("frame_id"), (F.col("id") * 0.1).alias("x"), F.lit(0.5).alias("y"), F.lit(0.0).alias("z"), F.lit(0.0).alias("roll"), F.lit(0.0).alias("pitch"), F.lit(0.0).alias("yaw"))
     m = p.select(F.col("scan_id").alias("i"), ((F.col("scan_id") + 1) % 10).alias("j"), F.col("pt_idx").alias("pair_id"), F.col("x").alias("p1x"), F.col("y").alias("p1y"), F.col("z").alias("p1z"), F.col("nx").alias("p2x"), F.col("ny").alias("p2y"), F.col("nz").alias("p2z"))
     return gr.pair_factors(m, poses, 6)
 
@@ -317,7 +317,7 @@ def str10(spark, d):
 @query("snk1_corrected_map", f"WITH p AS ({POINTS}) SELECT scan_id AS frame_id, pt_idx, round(cos(scan_id * 0.1) * x - sin(scan_id * 0.1) * y + scan_id, 6) AS x, round(sin(scan_id * 0.1) * x + cos(scan_id * 0.1) * y, 6) AS y, round(z, 6) AS z FROM p WHERE pt_idx % 2 = 0")
 def snk1(spark, d):
     zero = F.lit(0.0)
-    k = spark.range(10).select(F.col("id").alias("frame_id"), F.col("id").cast("double").alias("x"), zero.alias("y"), zero.alias("z"), zero.alias("roll"), zero.alias("pitch"), (F.col("id") * 0.1).alias("yaw"))
+    k = points(spark, d).select(F.col("scan_id").alias("id")).distinct().select(F.col("id").alias("frame_id"), F.col("id").cast("double").alias("x"), zero.alias("y"), zero.alias("z"), zero.alias("roll"), zero.alias("pitch"), (F.col("id") * 0.1).alias("yaw"))
     return readers.corrected_map(points(spark, d).withColumnRenamed("scan_id", "frame_id"), k, 2).select("frame_id", "pt_idx", *r6(x=F.col("x"), y=F.col("y"), z=F.col("z")))
 
 

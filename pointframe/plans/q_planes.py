@@ -355,9 +355,9 @@ def join13(spark, d):
 _SHIFTED = f"SELECT scan_id, vx, vy, vz FROM (SELECT scan_id, {sg.voxel('(x + 0.3)', 0.5)} AS vx, {sg.voxel('y', 0.5)} AS vy, {sg.voxel('z', 0.5)} AS vz FROM ({{}}))"
 
 
-def _scan_pairs(spark):
+def _scan_pairs(clouds):
     turn, shift = F.array(*(F.lit(float(k % 4 == 0)) for k in range(9))), F.array(F.lit(0.3), F.lit(0.0), F.lit(0.0))
-    return spark.range(10).select(F.col("id").alias("i"), ((F.col("id") + 1) % 10).alias("j"), turn.alias("rotation"), shift.alias("shift"))
+    return clouds.select(F.col("scan_id").alias("id")).distinct().select(F.col("id").alias("i"), ((F.col("id") + 1) % 10).alias("j"), turn.alias("rotation"), shift.alias("shift"))
 
 
 def _overlap_sql(source: str, extra: str) -> str:
@@ -369,7 +369,8 @@ SELECT i, j, {extra} FROM o"""
 
 @query("fac8_overlap_score", _overlap_sql(POINTS, "round(score, 6) AS score, FALSE AS vetoed"))
 def fac8(spark, d):
-    return loops.overlap_scores(_scan_pairs(spark), points(spark, d).withColumnRenamed("scan_id", "frame_id"), 0.5, plane=None).select("i", "j", *r6(score=F.col("score")), "vetoed")
+    p = points(spark, d)
+    return loops.overlap_scores(_scan_pairs(p), p.withColumnRenamed("scan_id", "frame_id"), 0.5, plane=None).select("i", "j", *r6(score=F.col("score")), "vetoed")
 
 
 #: Even scans pressed flat.
@@ -382,7 +383,8 @@ def _flat(spark, d):
 
 @query("fac8_plane_veto", _overlap_sql(_FLAT, "CASE WHEN i % 2 = 0 AND score > 0.01 THEN 0.0 ELSE round(score, 6) END AS score, i % 2 = 0 AND score > 0.01 AS vetoed"))
 def fac8b(spark, d):
-    return loops.overlap_scores(_scan_pairs(spark), _flat(spark, d).withColumnRenamed("scan_id", "frame_id"), 0.5, 0.01, 0.9).select("i", "j", *r6(score=F.col("score")), "vetoed")
+    p = _flat(spark, d)
+    return loops.overlap_scores(_scan_pairs(p), p.withColumnRenamed("scan_id", "frame_id"), 0.5, 0.01, 0.9).select("i", "j", *r6(score=F.col("score")), "vetoed")
 
 
 @query("agg23_plane_share", f"SELECT DISTINCT scan_id, scan_id % 2 = 0 AS is_plane FROM ({POINTS})")
@@ -447,10 +449,10 @@ def join15_labels(spark, d):
     return op.label_coplanar(_surfels(spark, d), "scan_id", op.VOX, 0.4, 0.3).select("scan_id", *op.VOX, "label")
 
 
-@query("set2_concatenation", f"WITH p AS ({POINTS}), u AS (SELECT scan_id FROM p WHERE scan_id < 3 UNION ALL SELECT scan_id FROM p WHERE scan_id < 5) SELECT scan_id, count(*) AS n FROM u GROUP BY 1")
+@query("set2_concatenation", f"WITH p AS ({POINTS}), u AS (SELECT scan_id FROM p UNION ALL SELECT scan_id FROM p WHERE scan_id % 2 = 0) SELECT scan_id, count(*) AS n FROM u GROUP BY 1")
 def set2(spark, d):
     p = points(spark, d).select("scan_id")
-    return p.filter("scan_id < 3").unionByName(p.filter("scan_id < 5")).groupBy("scan_id").agg(F.count("*").alias("n"))
+    return p.unionByName(p.filter("scan_id % 2 = 0")).groupBy("scan_id").agg(F.count("*").alias("n"))
 
 
 @query("set3_loop_pairs", f"WITH p AS ({POINTS}) SELECT i, j, min(pt_idx) AS first_pt FROM (SELECT pt_idx, least(scan_id, pt_idx % 10) AS i, greatest(scan_id, pt_idx % 10) AS j FROM p) GROUP BY 1, 2")

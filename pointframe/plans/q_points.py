@@ -11,7 +11,7 @@ from pointframe.functions import geom as g
 from pointframe.operators import points as op
 from pointframe.plans import sqlgeom as sg
 from pointframe.plans.registry import query
-from pointframe.sources.adapters import CLOUD, POINTS, cloud, points
+from pointframe.sources.adapters import CLOUD, POINTS, TRAJECTORY, cloud, points, trajectory
 
 #: A rotation by 0.3, -0.2 and 0.5 about x, y and z, and a shift; a mounting as well.
 R, P, Y = 0.3, -0.2, 0.5
@@ -304,13 +304,16 @@ def flt10b(spark, d):
     return op.segment_in_cone(ends, (-2.0, 0.0, 0.0), (3.0, 4.0, 0.0), 0.3, 3.0).select("scan_id", "pt_idx", "in_view")
 
 
-@query("flt11_cells_in_view", """
-WITH r AS (SELECT CAST(unnest(range(-30, 30)) AS INTEGER) AS v), c AS (SELECT a.v AS cx, b.v AS cy, e.v AS cz FROM r a, r b, r e),
- q AS (SELECT *, (cx + 0.5) * 0.5 AS x, (cy + 0.5) * 0.5 AS y, (cz + 0.5) * 0.5 AS z FROM c)
-SELECT cx, cy, cz FROM q WHERE 0.6*x + 0.8*y > 0 AND 0.6*x + 0.8*y <= 3.0 AND 0.6*x + 0.8*y >= sqrt(x*x + y*y + z*z) * cos(0.5)
-""")
+@query("flt11_cells_in_view", f"""
+WITH t AS (SELECT session, id, x + 0.123 AS x, y + 0.217 AS y, z + 0.031 AS z FROM ({TRAJECTORY})), r AS (SELECT unnest(range(-4, 5)) AS v),
+ c AS (SELECT t.*, CAST(floor(x / 0.5) AS BIGINT) + a.v AS cx, CAST(floor(y / 0.5) AS BIGINT) + b.v AS cy, CAST(floor(z / 0.5) AS BIGINT) + e.v AS cz FROM t, r a, r b, r e),
+ q AS (SELECT *, (cx + 0.5) * 0.5 - x AS u, (cy + 0.5) * 0.5 - y AS v, (cz + 0.5) * 0.5 - z AS w FROM c)
+SELECT session, id, cx, cy, cz FROM q WHERE 0.6*u + 0.8*v > 0 AND 0.6*u + 0.8*v <= 1.5 AND 0.6*u + 0.8*v >= sqrt(u*u + v*v + w*w) * cos(0.5)
+""")
 def flt11(spark, d):
-    return op.cells_in_view(spark, (0.0, 0.0, 0.0), (3.0, 4.0, 0.0), 0.5, 3.0, 0.5)
+    # Views from every pose, off the cells' borders.
+    views = trajectory(spark, d).select("session", "id", *((F.col(c) + o).alias(c) for c, o in (("x", 0.123), ("y", 0.217), ("z", 0.031))))
+    return op.cells_in_view(views, (3.0, 4.0, 0.0), 0.5, 1.5, 0.5).select("session", "id", "cx", "cy", "cz")
 
 
 @query("flt14_ring_features")

@@ -68,10 +68,19 @@ def idx4(spark, d):
     return op.radius_join(q, t, 0.6, ["pt_idx"], ["pt_idx"]).select(F.col("q_pt_idx").alias("q"), F.col("t_pt_idx").alias("t"))
 
 
-@query("join3_keypoint_association", f"WITH {_nn(1, 'scan_id = 4', 'scan_id = 3')} SELECT q, t FROM nn WHERE abs(qx-tx) < 1 AND abs(qy-ty) < 1 AND abs(qz-tz) < 1")
+def _consecutive(spark, d):
+    """Every scan as queries and the one before it as targets, paired by the later one."""
+    p = points(spark, d)
+    return p.withColumn("pair", F.col("scan_id")), p.withColumn("pair", F.col("scan_id") + 1)
+
+
+_NEXT = "q.scan_id = t.scan_id + 1"
+
+
+@query("join3_keypoint_association", f"WITH {_nn(1, 'scan_id >= 0', 'scan_id >= 0', _NEXT)} SELECT q, t FROM nn WHERE abs(qx-tx) < 1 AND abs(qy-ty) < 1 AND abs(qz-tz) < 1")
 def join3(spark, d):
-    q, t = _sides(spark, d, "scan_id = 4", "scan_id = 3")
-    nn = op.knn_join(q, t, 1, 0.5, ["pt_idx"], ["pt_idx"])
+    q, t = _consecutive(spark, d)
+    nn = op.knn_join(q, t, 1, 0.5, ["pt_idx"], ["pt_idx"], ["pair"])
     return nn.filter("abs(q_x - t_x) < 1 AND abs(q_y - t_y) < 1 AND abs(q_z - t_z) < 1").select(F.col("q_pt_idx").alias("q"), F.col("t_pt_idx").alias("t"))
 
 
@@ -153,32 +162,31 @@ def join17(spark, d):
     return op.radius_join(q, t, 1.0, ["scan_id", "pt_idx"], ["pt_idx"]).select("q_scan_id", "q_pt_idx").distinct().groupBy(F.col("q_scan_id").alias("scan_id")).agg(F.count("*").alias("repeated"))
 
 
-@query("join19_overlap_ratio", f"WITH {_nn(1, 'scan_id = 2', 'scan_id = 7')} SELECT round(2.0 * sum(CASE WHEN d2 < 1.0 THEN 1 ELSE 0 END) / (count(*) + (SELECT count(*) FROM p WHERE scan_id = 7))::DOUBLE, 6) AS ratio FROM nn")
+@query("join19_overlap_ratio", f"WITH {_nn(1, 'scan_id >= 0', 'scan_id >= 0', _NEXT)}, n AS (SELECT scan_id, count(*) AS n FROM p GROUP BY 1) SELECT q_scan_id AS pair, round(2.0 * sum(CASE WHEN d2 < 1.0 THEN 1 ELSE 0 END) / (any_value(a.n) + any_value(b.n))::DOUBLE, 6) AS ratio FROM nn JOIN n a ON a.scan_id = q_scan_id JOIN n b ON b.scan_id = q_scan_id - 1 GROUP BY 1")
 def join19(spark, d):
-    q, t = _sides(spark, d, "scan_id = 2", "scan_id = 7")
-    nn = op.knn_join(q, t, 1, 0.5, ["pt_idx"], ["pt_idx"]).agg(F.sum((F.col("d2") < 1.0).cast("int")).alias("hit"), F.count("*").alias("n1"))
-    other = t.agg(F.count("*").alias("n2"))
-    return nn.join(F.broadcast(other), F.lit(True)).select(F.round(2.0 * F.col("hit") / (F.col("n1") + F.col("n2")), 6).alias("ratio"))
+    q, t = _consecutive(spark, d)
+    hits = op.knn_join(q, t, 1, 0.5, ["pt_idx"], ["pt_idx"], ["pair"]).groupBy(F.col("q_pair").alias("pair")).agg(F.sum((F.col("d2") < 1.0).cast("int")).alias("hit"))
+    size = lambda df, n: df.groupBy("pair").agg(F.count("*").alias(n))
+    return hits.join(size(q, "n1"), "pair").join(size(t, "n2"), "pair").select("pair", F.round(2.0 * F.col("hit") / (F.col("n1") + F.col("n2")), 6).alias("ratio"))
 
 
-@query("join20_inlier_rmse", f"WITH {_nn(1, 'scan_id = 2', 'scan_id = 7')} SELECT round(avg(CASE WHEN d2 < 1.0 THEN 1.0 ELSE 0 END)::DOUBLE, 6) AS inliers, round(sqrt(avg(d2) FILTER (WHERE d2 < 1.0)), 6) AS rmse FROM nn")
+@query("join20_inlier_rmse", f"WITH {_nn(1, 'scan_id >= 0', 'scan_id >= 0', _NEXT)} SELECT q_scan_id AS pair, round(avg(CASE WHEN d2 < 1.0 THEN 1.0 ELSE 0 END)::DOUBLE, 6) AS inliers, round(sqrt(avg(d2) FILTER (WHERE d2 < 1.0)), 6) AS rmse FROM nn GROUP BY 1")
 def join20(spark, d):
-    q, t = _sides(spark, d, "scan_id = 2", "scan_id = 7")
-    nn = op.knn_join(q, t, 1, 0.5, ["pt_idx"], ["pt_idx"])
-    near = F.col("d2") < 1.0
-    return nn.agg(F.round(F.avg(near.cast("double")), 6).alias("inliers"), F.round(F.sqrt(F.avg(F.when(near, F.col("d2")))), 6).alias("rmse"))
+    q, t = _consecutive(spark, d)
+    nn, near = op.knn_join(q, t, 1, 0.5, ["pt_idx"], ["pt_idx"], ["pair"]), F.col("d2") < 1.0
+    return nn.groupBy(F.col("q_pair").alias("pair")).agg(F.round(F.avg(near.cast("double")), 6).alias("inliers"), F.round(F.sqrt(F.avg(F.when(near, F.col("d2")))), 6).alias("rmse"))
 
 
 @query("join20_plane_rmse", f"""
-WITH {_nn(20, 'scan_id = 2', 'scan_id = 7')}, m AS (SELECT q, any_value(qx) AS qx, any_value(qy) AS qy, any_value(qz) AS qz, sum(tx*tx) AS xx, sum(tx*ty) AS xy, sum(tx*tz) AS xz, sum(ty*ty) AS yy, sum(ty*tz) AS yz, sum(tz*tz) AS zz, -sum(tx) AS sx, -sum(ty) AS sy, -sum(tz) AS sz FROM nn GROUP BY 1),
+WITH {_nn(20, 'scan_id >= 0', 'scan_id >= 0', _NEXT)}, m AS (SELECT q_scan_id AS pair, q, any_value(qx) AS qx, any_value(qy) AS qy, any_value(qz) AS qz, sum(tx*tx) AS xx, sum(tx*ty) AS xy, sum(tx*tz) AS xz, sum(ty*ty) AS yy, sum(ty*tz) AS yz, sum(tz*tz) AS zz, -sum(tx) AS sx, -sum(ty) AS sy, -sum(tz) AS sz FROM nn GROUP BY 1, 2),
  i AS (SELECT *, xx*(yy*zz - yz*yz) - xy*(xy*zz - yz*xz) + xz*(xy*yz - yy*xz) AS det FROM m),
  s AS (SELECT *, (sx*(yy*zz - yz*yz) + sy*(xz*yz - xy*zz) + sz*(xy*yz - xz*yy)) / det AS a, (sx*(yz*xz - xy*zz) + sy*(xx*zz - xz*xz) + sz*(xz*xy - xx*yz)) / det AS b, (sx*(xy*yz - yy*xz) + sy*(xy*xz - xx*yz) + sz*(xx*yy - xy*xy)) / det AS c FROM i),
- d AS (SELECT abs(a*qx + b*qy + c*qz + 1) / sqrt(a*a + b*b + c*c) AS dis FROM s)
-SELECT count(*) AS useful, round(sqrt(avg(dis)), 6) AS rmse FROM d WHERE dis < 4.0
+ d AS (SELECT pair, abs(a*qx + b*qy + c*qz + 1) / sqrt(a*a + b*b + c*c) AS dis FROM s)
+SELECT pair, count(*) AS useful, round(sqrt(avg(dis)), 6) AS rmse FROM d WHERE dis < 4.0 GROUP BY 1
 """)
 def join20b(spark, d):
-    q, t = _sides(spark, d, "scan_id = 2", "scan_id = 7")
-    return op.plane_rmse(q, t, 20, 1.0, ["pt_idx"], ["pt_idx"], 2.0).select("useful", *r6(rmse=F.col("rmse")))
+    q, t = _consecutive(spark, d)
+    return op.plane_rmse(q, t, 20, 1.0, ["pt_idx"], ["pt_idx"], 2.0, ["pair"]).select("pair", "useful", *r6(rmse=F.col("rmse")))
 
 
 _CELL = ", ".join(f"{sg.leaf(c, 0.8)} AS c{c}" for c in "xyz")
