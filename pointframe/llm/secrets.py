@@ -5,9 +5,13 @@ lexer reads assignments in the syntaxes of source code and configuration files:
 (`name = "x"`, `$name = "x"`, `a["name"] = "x"`, `name: x`, `"name": "x"`, `name := x`, `name => x`,
 `key="name" value="x"`), sums of literals, and references (`name`, `$name`, `${name}`, `a["name"]`) to names assigned
 before, whose literals are carried along. A value or the rest of a sum may stand on the next line or in brackets; of a
-string or block over several lines each line is a literal. A literal that
+string or block over several lines each line is a literal. A word before `(` is a callee and no literal, but the strings among its
+arguments go on to the name, as do those of a list, and both branches of a choice; a string that names constants (`f"{x}"`,
+`"${x}"`) hands on theirs. Several targets take their values in order (`a, b = "x", "y"`). Setters (`setName("x")`,
+`put("name", "x")`), `#define name x`, `<name>x</name>` and `--name x` are pairs too. A literal that
 reaches a name is scored by how sensitive the name is and how much the literal looks like key material; a literal of
-a score of at least `threshold` becomes a span of kind `literal`, if no assign span covers it already.
+a score of at least `threshold` becomes a span of kind `literal`, if no assign span covers it already. Literals with
+white space, as pass phrases of several words, score 0: they can't be told from prose.
 """
 
 from __future__ import annotations
@@ -46,9 +50,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 _OP = re.compile(r"[=:]")
 _PAIR = re.compile(rf"""(?<![\w.\-$])(?:"({_NAME})"|'({_NAME})'|(?:[$@]{{1,2}}(?:\w+:(?=[A-Za-z_]))?)?({_NAME}))(?:\x20?[\]}}])?(?:\x20*:\x20*[A-Za-z_][\w\[\], ]*+(?==))?[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*""")
-_ATOM = re.compile(rf"""[\x20\t]*(?:(?P<q>["'`])(?P<s>(?:\\.|(?!(?P=q)).)*)(?P=q)|\$\{{(?P<i>{_NAME})\}}|[$@]?[A-Za-z_][\w.]*\[["'](?P<k>{_NAME})["']\]|\$(?P<d>[A-Za-z_]\w*)|(?P<b>[^\s"'`,;(){{}}\[\]+]+))""")
+_ATOM = re.compile(rf"""[\x20\t]*(?:(?:(?P<f>[A-Za-z]{{1,2}})(?=["']))?(?P<q>["'`])(?P<s>(?:\\.|(?!(?P=q)).)*)(?P=q)|\$\{{(?P<i>{_NAME})\}}|[$@]?[A-Za-z_][\w.]*\[["'](?P<k>{_NAME})["']\]|\$(?P<d>[A-Za-z_]\w*)|(?P<b>[^\s"'`,;(){{}}\[\]+]+))""")
 _TRIPLE = re.compile(r"""[\x20\t]*[A-Za-z]{0,2}(?P<q>"{3}|'{3}|`{3})(?P<s>(?s:.*?))(?P=q)""")
-_LONG = re.compile(r"""[\x20\t]*(?P<q>["'`])(?P<s>(?s:\\.|(?!(?P=q))[^\\])*+)(?P=q)""")
+_LONG = re.compile(r"""[\x20\t]*(?:(?P<f>[A-Za-z]{1,2})(?=["']))?(?P<q>["'`])(?P<s>(?s:\\.|(?!(?P=q))[^\\])*+)(?P=q)""")
 _BLOCK = re.compile(r"[\x20\t]*[|>][+\-0-9]*[\x20\t]*\r?(?=\n)")
 _PLUS = re.compile(r"(?:[\x20\t]*|[\x20\t]*\\?\r?\n[\x20\t]+)(?:\+|\.\.)[\x20\t]*(?:\\?\r?\n[\x20\t]*(?=\S))?")
 _BRACKET = re.compile(r"[\x20\t]*\([\x20\t]*")
@@ -57,6 +61,20 @@ _ALONE = re.compile(r"""(?<=[\x20\t])[^\s"'`,;(){}\[\]+=]*[^\s"'`,;(){}\[\]+=:][
 _KEY = re.compile(r"[\x20\t]*(?:[\]}][\x20\t]*)?[:=]")
 _BESIDE = re.compile(r"""(?:[\x20\t]*\r?\n)?[\x20\t]*(?=["'])""")
 _LINES = re.compile(r"\S(?:[^\n]*\S)?")
+_LIST = re.compile(r"[\x20\t]*[\[{][\x20\t]*")
+_ITEM = re.compile(rf"""[^\w"'`()\[\]{{}};$@]*(?:(?:(?P<f>[A-Za-z]{{1,2}})(?=["']))?(?P<q>["'`])(?P<s>(?:\\.|(?!(?P=q))[^\\\n])*+)(?P=q)|(?P<b>[$@]?\w[\w.]*)|(?P<o>[(\[{{])|(?P<c>[)\]}};])|.)""")
+_CHOICE = re.compile(r"""[\x20\t]*(?:[=!<>&|]{1,3}[^\n"'?;=:,]*)?\?(?![?.:])[\x20\t]*""")
+_ELSE = re.compile(r"""[\x20\t]*(?:(?P<or>\?\?|\|\||or\b)|(?P<colon>:(?=[\x20\t]))|(?P<if>if\b[^\n"'=:;]*\belse\b))[\x20\t]*""")
+_INSIDE = re.compile(rf"\$?\{{({_NAME})\}}|\$([A-Za-z_]\w*)")
+_TARGETS = re.compile(rf"(?:^|[;{{])[\x20\t]*(?:(?:let|const|var|my|local)\b)?[\x20\t]*((?:[$@]?{_NAME}[\x20\t]*,[\x20\t]*)+)$")
+_COMMA = re.compile(r"[\x20\t]*,[\x20\t]*(?:\\?\r?\n[\x20\t]*)?")
+#: Pairs that have no sign of assignment, by what stands before the value.
+_SETTER = re.compile(r"(?<![A-Za-z0-9])[sS]et(?:_(?=\w)|(?=[A-Z]))(?P<name>\w+)\(\s*")
+_PUT = re.compile(rf"""(?<![A-Za-z])(?i:set|put|add|define|append|header|get|getenv|setenv|putenv|setdefault|(?:set|get)_?(?:property|item|header|attribute|env|value))\s*\(\s*["'](?P<name>{_NAME})["']\s*,\s*""")
+_DEFINE = re.compile(rf"(?m)^[\x20\t]*[#%][\x20\t]*define[\x20\t]+(?P<name>{_NAME})[\x20\t]+")
+_FLAG = re.compile(r"(?<![\w\-])--(?P<name>[A-Za-z][\w\-]*)(?:=|[\x20\t]+)(?![\-=])")
+_ELEMENT = re.compile(rf"<({_NAME})(?:\s[^<>]*)?>[\x20\t]*([^<>\s](?:[^<>\n]*[^<>\s])?)[\x20\t]*</\1\s*>")
+_SIGNS = re.compile(r"[:=(]|--|</|define")
 _XML = re.compile(r"""(?:key|name)\s*=\s*["']([^"'\n]+)["']\s+value\s*=\s*["']([^"'\n]*)["']""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -144,11 +162,48 @@ def _reach(events: list[tuple[float, int, str, Flow]]) -> dict[tuple[int, int],
     return best
 
 
-def _value(text: str, pos: int, env: dict[str, Flow]) -> tuple[int, list[tuple[int, int, str] | Flow] | None]:
-    """(end, literals) of the value at pos, which may begin on the next line; None if a line ends without any."""
+def _items(text: str, pos: int, env: dict[str, Flow], stop: int) -> list[tuple[int, int, str] | Flow]:
+    """The strings, and what known names hold, from pos to the end of the bracket that it is in, to the next named value there, or to stop."""
+    literals: list[tuple[int, int, str] | Flow] = []
+    depth = 1
+    while pos < stop and (m := _ITEM.match(text, pos)) is not None:
+        pos = m.end()
+        if m["o"]:
+            depth += 1
+        elif m["c"]:
+            depth -= 1
+            if not depth or m["c"] == ";":
+                break
+        elif m["q"]:
+            if _KEY.match(text, pos):
+                break
+            literals += _string(text, m, env)
+        elif m["b"] and text[pos : pos + 1] != "(":
+            if _KEY.match(text, pos):
+                break
+            literals += [env[x]] if (x := m["b"].lstrip("$@")) in env else []
+    return literals
+
+
+def _string(text: str, m: re.Match, env: dict[str, Flow]) -> list[tuple[int, int, str] | Flow]:
+    """The literals of a matched string, a line each, and what the constants named in it hold."""
+    at, s = m.start("s"), m["s"]
+    out: list[tuple[int, int, str] | Flow] = [(at + x.start(), at + x.end(), x[0]) for x in _LINES.finditer(s)] if "\n" in s else [(at, m.end("s"), s)]
+    if "{" in s or "$" in s:
+        known = [env[n] for x in _INSIDE.finditer(s) if (n := x[1] or x[2]) in env and ("$" in x[0] or "f" in (m.groupdict().get("f") or "").lower())]
+        if known and not _INSIDE.sub("", s).strip():
+            return known
+        out += known
+    return out
+
+
+def _value(text: str, pos: int, env: dict[str, Flow], stop: int) -> tuple[int, list[tuple[int, int, str] | Flow] | None]:
+    """(where to go on, literals) of the value at pos, which may begin on the next line; None if a line ends without any."""
     literals: list[tuple[int, int, str] | Flow] = []
     if (m := _BLOCK.match(text, pos)) is not None:
         return _block(text, pos, m.end())
+    if (m := _LIST.match(text, pos)) is not None:
+        return m.end(), _items(text, m.end(), env, stop)
     bracket = _BRACKET.match(text, pos)
     pos = bracket.end() if bracket else pos
     if (m := _NEXT.match(text, pos)) is not None:
@@ -159,18 +214,31 @@ def _value(text: str, pos: int, env: dict[str, Flow]) -> tuple[int, list[tuple[i
             return pos, None
     elif pos >= len(text):
         return pos, None
+    if bracket and text[pos : pos + 1] in {'"', "'"} and not _TRIPLE.match(text, pos):
+        return pos, _items(text, pos, env, stop)
+    choice = False
     while (a := _TRIPLE.match(text, pos) or _ATOM.match(text, pos) or _LONG.match(text, pos)) is not None:
         found = a.groupdict()
         ref = found.get("i") or found.get("d") or found.get("k")
+        word, pos = None, a.end()
         if found.get("q"):
-            at, s = a.start("s"), a["s"]
-            literals += [(at + x.start(), at + x.end(), x[0]) for x in _LINES.finditer(s)] if "\n" in s else [(at, a.end("s"), s)]
+            literals += _string(text, a, env)
         elif ref or a["b"].lstrip("@") in env:
             literals += [env[x]] if (x := ref or a["b"].lstrip("@")) in env else []
+        elif text[pos : pos + 1] == "(":  # a callee
+            return pos + 1, literals + _items(text, pos + 1, env, stop)
         else:
-            end = a.end("b") - (a["b"][-1] in ".:")
-            literals.append((a.start("b"), end, text[a.start("b") : end]))
-        pos = a.end()
+            end = pos - (a["b"][-1] in ".:")
+            word = (a.start("b"), end, text[a.start("b") : end])
+        if (m := _CHOICE.match(text, pos)) is not None:  # what was read is the condition
+            literals, choice, pos = [], True, m.end()
+            continue
+        m = _ELSE.match(text, pos)
+        if m is not None and (not m["colon"] or choice):
+            # A bare word that something else can stand in for is a name.
+            pos = m.end()
+            continue
+        literals += [word] if word else []
         p = _PLUS.match(text, pos) or (_BESIDE.match(text, pos) if bracket and found.get("q") else None)
         if p is None:
             break
@@ -207,6 +275,24 @@ def lex(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, fl
             if len(flow.parts) > 1 or any(isinstance(p, Flow) for p in flow.parts):
                 joined.append((s * flow.whole(), alone[-1][1], name, flow))
 
+    more = sorted((m.start(), k, m) for k, rule in enumerate((_SETTER, _PUT, _DEFINE, _FLAG, _ELEMENT)) for m in rule.finditer(text))
+    more.reverse()
+
+    def before(pos: int) -> None:
+        """Take the pairs without a sign of assignment that begin before pos."""
+        while more and more[-1][0] < pos:
+            _, k, m = more.pop()
+            if k == 4:
+                flows(m[1], Flow([(m.start(2), m.end(2), m[2])]))
+                continue
+            # What stands behind the next such pair is that one's.
+            end = more[-1][0] if more else len(text)
+            literals = _items(text, m.end(), env, end) if k < 2 else _value(text, m.end(), env, end)[1]
+            if literals:
+                if k == 2:
+                    env[m["name"]] = Flow(literals)
+                flows(m["name"], Flow(literals))
+
     at = 0
     while (op := _OP.search(text, at)) is not None:
         start = text.rfind("\n", 0, op.start()) + 1
@@ -216,13 +302,24 @@ def lex(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, fl
             flows(m[1], Flow([(m.start(2), m.end(2), m[2])]))
         pos = max(at, start)
         while (m := _PAIR.search(text, pos, stop)) is not None:
-            name = m[1] or m[2] or m[3]
-            pos, literals = _value(text, m.end(), env)
+            before(m.start())
+            name, was = m[1] or m[2] or m[3], max(pos, start)
+            pos, literals = _value(text, m.end(), env, len(text))
             if literals is None:
                 continue
-            env[name] = Flow(literals)
-            flows(name, env[name])
+            names = [name]
+            if m[3] and text[max(was, m.start() - 2) : m.start()].rstrip()[-1:] == "," and (t := _TARGETS.search(text[was : m.start()])) is not None:
+                names = [n.strip(" \t$@") for n in t[1].split(",")[:-1]] + [name]
+            for k, n in enumerate(names):
+                if k:
+                    c = _COMMA.match(text, pos)
+                    pos, literals = _value(text, c.end(), env, len(text)) if c else (pos, None)
+                    if literals is None:
+                        break
+                env[n] = Flow(literals)
+                flows(n, env[n])
         at = stop
+    before(len(text))
     single, whole, out = _reach(alone), _reach(joined), []
     for span, (s, order, name, value) in sorted(single.items()):
         best = (s * literal_score(value), -order, name)
@@ -236,7 +333,7 @@ def lex(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, fl
 def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, str, float]]:
     """All spans of a text: (kind, start, end, name, score), by start, then kind as listed; code points, end exclusive."""
     out = []
-    if ":" in text or "=" in text:
+    if _SIGNS.search(text):
         out = [("assign", m.start(), m.end(), m[1], 1.0) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
         starts, ends = [x[1] for x in out], [x[2] for x in out]  # in order, without overlaps
         free = lambda s, e: not (k := bisect_left(starts, e)) or ends[k - 1] <= s

@@ -207,6 +207,60 @@ def test_subscripts_sigils_and_values_over_lines(text, found):
     assert [text[s:e] for k, s, e, *_ in secrets.scan(text) if k == "literal"] == found
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('auth = base64.b64decode("czNjcjN0RGVmYXVsdDk5")', ["czNjcjN0RGVmYXVsdDk5"]),
+        ('auth = load(read("S3cr3tValue99"), other)', ["S3cr3tValue99"]),
+        ('auth = S3cr3tValue99Load(path)', []),
+        ('conn = connect(user="root", db_pwd="S3cr3tValue99")', ["S3cr3tValue99"]),
+        ('auth = connect(user="Q1w2E3r4T5", db_pwd="S3cr3tValue99")', ["S3cr3tValue99"]),
+        ('db_pwd = ["S3cr3tValue99", "Q1w2E3r4T5y6"]', ["S3cr3tValue99", "Q1w2E3r4T5y6"]),
+        ('"credentials": [\n  "S3cr3tValue99",\n  "Q1w2E3r4T5y6"\n], "user": "hunter2Hunter"', ["S3cr3tValue99", "Q1w2E3r4T5y6"]),
+        ('"auth": {"user": "hunter2Hunter"}', []),
+        ('db_pwd = ("S3cr3tValue99", "Q1w2E3r4T5y6")', ["S3cr3tValue99", "Q1w2E3r4T5y6"]),
+        ('user, db_pwd = "hunter2Hunter", "S3cr3tValue99"', ["S3cr3tValue99"]),
+        ('db_pwd, user = "S3cr3tValue99", "hunter2Hunter"', ["S3cr3tValue99"]),
+        ('f(a, db_pwd = "S3cr3tValue99", b = "hunter2Hunter")', ["S3cr3tValue99"]),
+        ('db_pwd = live ? "S3cr3tValue99" : "Q1w2E3r4T5y6"', ["S3cr3tValue99", "Q1w2E3r4T5y6"]),
+        ('db_pwd = a == b ? "S3cr3tValue99" : ""', ["S3cr3tValue99"]),
+        ('db_pwd = "S3cr3tValue99" if live else "Q1w2E3r4T5y6"', ["S3cr3tValue99", "Q1w2E3r4T5y6"]),
+        ('db_pwd = process.env.DB_PWD9x || "S3cr3tValue99"', ["S3cr3tValue99"]),
+        ('X = "S3cr3tValue99"\nauth = f"{X}"', ["S3cr3tValue99"]),
+        ('X="S3cr3tValue99"\nDB_PWD="${X}"', ["S3cr3tValue99"]),
+        ('X = "S3cr3tValue99"\nauth = "{X}"', []),
+        ('db_pwd = b"S3cr3tValue99"', ["S3cr3tValue99"]),
+        ('user.setPassword("S3cr3tValue99")', ["S3cr3tValue99"]),
+        ('user.set_credential("S3cr3tValue99")', ["S3cr3tValue99"]),
+        ('user.setName("S3cr3tValue99")', []),
+        ('config.set("api_key", "S3cr3tValue99")', ["S3cr3tValue99"]),
+        ('os.environ.get("AUTH", "S3cr3tValue99")', ["S3cr3tValue99"]),
+        ('X = "S3cr3tValue99"\nconfig.put("db_pwd", X);', ["S3cr3tValue99"]),
+        ('#define AUTH_KEY "S3cr3tValue99"', ["S3cr3tValue99"]),
+        ('#define K "S3cr3tValue99"\nchar *auth = K;', ["S3cr3tValue99"]),
+        ("<credential>S3cr3tValue99</credential>", ["S3cr3tValue99"]),
+        ('<credential kind="x"> S3cr3tValue99 </credential>', ["S3cr3tValue99"]),
+        ("<b>S3cr3tValue99</b>", []),
+        ("tool --db-pwd S3cr3tValue99 --user hunter2Hunter", ["S3cr3tValue99"]),
+        ("tool --db-pwd=S3cr3tValue99", ["S3cr3tValue99"]),
+        ("a well--pwd thought", []),
+        ('passphrase = "correct horse battery staple 9X"', []),
+    ],
+)
+def test_calls_lists_choices_and_pairs_without_a_sign(text, found):
+    assert [text[s:e] for k, s, e, *_ in secrets.scan(text) if k == "literal"] == found
+
+
+@pytest.mark.parametrize("unit", ["a=f(", 'a=["x",', "pwd = c ? ", "x, ", "<pwd>", "--pwd ", "setPassword(", 'a = b or ', '"k": {', "a=b <c ", 'f"{a}" ', "a = (", "#define pwd a(\n"])
+def test_scans_take_linear_time(unit):
+    took = []
+    for n in (4_000, 32_000):
+        began = time.process_time()
+        secrets.scan(unit * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.02)  # quadratic: 64 times
+
+
 def test_every_literal_of_a_long_constant_is_followed():
     text = 'first = "S3cr3tValue99"\n' + "".join(f'first = first + "p{k}"\n' for k in range(3000)) + "db_pwd = first\n"
     assert text[10 - 1 : 22] == "S3cr3tValue99" and (9, 22, "db_pwd") in [x[:3] for x in secrets.lex(text)]
