@@ -61,6 +61,20 @@ def _notice(r: random.Random) -> str:
     return _el(r.choice(["div", "div", "section", "aside"]), _el("p", text) if r.random() < 0.5 else text, 0, _names(r, "cookie cookies consent notice gdpr popup modal overlay alert banner newsletter subscribe paywall warning"))
 
 
+_LABELS = "Advertisement|ADVERTISEMENT|Advertisements|Advertising|Sponsored|Sponsored content|Promoted|Anzeige|ANZEIGE|Werbung|Publicité|Publicidad|Anuncio|Ad|Story continues below advertisement".split("|")
+
+
+def _label(r: random.Random) -> str:
+    """What stands over or in the place of an advert, without a name that says so."""
+    return _el(r.choice(["p", "p", "div"]), r.choice(_LABELS), 0)
+
+
+def _hidden(r: random.Random) -> str:
+    """Text that no reader sees."""
+    how = r.choice(['style="display:none"', 'style="color:red; display: none"', "hidden", 'aria-hidden="true"', 'hidden="hidden"'])
+    return _el(r.choice(["p", "p", "div", "section", "li", "h2"]), r.choice([_prose(r), _el("p", _prose(r)), _sentence(r)]), 0, how)
+
+
 def _form(r: random.Random) -> str:
     return _el("form", f'<label>{_sentence(r, 1, 4)}</label><input type="text"><p>{_sentence(r)}</p><button>Send</button>', 0, r.choice(["", _names(r, "search login signup contact newsletter comment-form")]))
 
@@ -98,10 +112,21 @@ def _article(r: random.Random) -> str:
                 + [lambda: _el("ul", "".join(_el("li", _sentence(r)) for _ in range(r.randint(1, 5)))), lambda: _el("blockquote", _el("p", _prose(r))), lambda: _el("blockquote", _prose(r))]
                 + [lambda: _el("ol", "".join(_el("li", _sentence(r)) for _ in range(3))), lambda: _el("pre", _sentence(r)), lambda: _el("figure", "<img src=x>" + _el("figcaption", _sentence(r)))]
                 + [lambda: _el("table", "".join(_el("tr", _el("td", _sentence(r, 1, 3)) * 2) for _ in range(3))), lambda: _el("p", f'{_sentence(r)} <a href="/{_word(r)}">{_sentence(r, 1, 5)}</a> {_sentence(r)}')]
-                + [lambda: r.choice([_advert, _advert, _side, _notice, _form])(r)]
+                + [lambda: r.choice([_advert, _advert, _side, _notice, _form])(r), lambda: _label(r), lambda: _hidden(r)]
             )()
         )
-    inner = "".join(parts)
+    return "".join(parts)
+
+
+def _plain(r: random.Random) -> str:
+    """An article of a title, paragraphs and the like, that nothing but a nameless element may hold."""
+    parts = [_el(r.choice(["h1", "h1", "h2"]), _sentence(r, 1, 10))] if r.random() < 0.85 else []
+    parts += [r.choice([lambda: _el("p", _prose(r))] * 9 + [lambda: _el("h2", _sentence(r, 1, 7)), lambda: _el("ul", "".join(_el("li", _sentence(r)) for _ in range(3))), lambda: _label(r), lambda: _hidden(r)])() for _ in range(r.choice([1, 1, 1, 2, 2, 3, 4, 7]))]
+    return "".join(parts)
+
+
+def _wrapped(r: random.Random) -> str:
+    inner = _article(r)
     wrap = r.random()
     if wrap < 0.45:
         out = _el("article", inner, 1, r.choice(["", "", _names(r, "post article story entry")]))
@@ -111,11 +136,28 @@ def _article(r: random.Random) -> str:
     return _el(r.choice(["div", "div", "section", "td"]), inner, 1, _names(r, "content article post entry story body post-content article-body entry-content text main"))
 
 
-def sample_page(r: random.Random) -> str:
-    """One page: an article among some of the other parts, in a plausible order."""
+KINDS = {"full": 0.6, "few": 0.15, "bare": 0.15, "plain": 0.1}
+
+
+def sample_page(r: random.Random, kind: str | None = None) -> str:
+    """One page: an article among some of the other parts, in a plausible order.
+
+    Kinds: full; few, with an article in a named element and hardly anything else; bare, an article that stands in the body
+    itself; plain, one in a nameless element. The last two have few other parts and often none.
+    """
+    kind = kind or r.choices(list(KINDS), list(KINDS.values()))[0]
+    if kind != "full":
+        rare = lambda make, p: make(r) if r.random() < p else ""
+        top, end = rare(_menu, 0.25) + rare(_head, 0.1) + rare(_notice, 0.05), rare(_foot, 0.3) + rare(_comments, 0.1) + rare(_hidden, 0.1)
+        if kind == "few":
+            return f"<html><body>{top}{_wrapped(r)}{end}</body></html>"
+        inner = _plain(r)
+        inner = _el(r.choice(["div", "div", "section", "center"]), inner, 1) if kind == "plain" else inner
+        title = f"<head><title>{_sentence(r)}</title></head>" if r.random() < 0.5 else ""
+        return f'<html>{title}<body{" data-main=1" if kind == "bare" else ""}>{top}{inner}{end}</body></html>'
     some = lambda make, p: make(r) if r.random() < p else ""
     body = some(_notice, 0.3) + some(_head, 0.5) + some(_menu, 0.75) + some(_advert, 0.5) + some(_side, 0.2)
-    middle = _article(r) + some(_side, 0.35) + some(_comments, 0.35) + some(_form, 0.15) + some(_advert, 0.2)
+    middle = _wrapped(r) + some(_hidden, 0.08) + some(_side, 0.35) + some(_comments, 0.35) + some(_form, 0.15) + some(_advert, 0.2)
     if r.random() < 0.4:
         middle = _el("div", middle, None, r.choice(["", _names(r, "wrapper container page layout row")]))
     return f"<!DOCTYPE html><html><head><title>{_sentence(r)}</title></head><body>{body}{middle}{some(_notice, 0.1)}{some(_foot, 0.85)}</body></html>"

@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from pointframe.llm.common import append_columns, claim, table
 from pointframe.llm.page_samples import sample_pages
 
-TRAIN_PAGES = 500
-EPOCHS = 6
+TRAIN_PAGES = 800
+EPOCHS = 8
 
 #: Fixed values of HTML: elements that break a line of text, that have no content, and whose content isn't page text.
 BLOCKS = frozenset(
@@ -251,6 +251,7 @@ def read_blocks(page: str, known: frozenset[str] | None = None, marked: bool = F
 
 
 _CUES = {
+    "c=advert": re.compile(r"^\W*(?:story continues below )?(?:advertis(?:ement|ements|ing)|sponsored(?: content| post| by \S+)?|promoted|anzeigen?|werbung|publicité|publicidad|anuncio|ads?)\W*$", re.I),
     "c=rights": re.compile(r"©|\(c\)|copyright|rights reserved|privacy|terms of", re.I),
     "c=notice": re.compile(r"cookie|subscribe|newsletter|sign up|log in|sign in|accept", re.I),
 }

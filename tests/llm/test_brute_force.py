@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import html.parser
 import itertools
 import math
 import re
@@ -11,7 +12,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from pointframe.llm import language, lines, neardup, pieces, quality, resampling, secrets, spots, topk, whitening
+from pointframe.llm import language, lines, neardup, pages, pieces, quality, resampling, secrets, spots, tiling, topk, whitening
 
 SHA = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -276,3 +277,72 @@ def test_topk_by_all_products(spark, sf_dir):
             s = x @ x[i]
             want |= {(q, k + 1, ids[j], int(s[j])) for k, j in enumerate(sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-s[j], ids[j]))[:5])}  # noqa: B023
     assert {tuple(r) for r in topk.op13_topk(spark, sf_dir).collect()} == want
+
+
+class _Article(html.parser.HTMLParser):
+    """The texts of the blocks of a page's article element, but for its adverts and forms."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.out, self.now = [], [], ""
+
+    def _end(self):
+        if self.now.split():
+            self.out.append(" ".join(self.now.split()))
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        names = (dict(attrs).get("class") or "").split()
+        if tag in ("br", "meta", "img", "input", "link", "hr"):
+            self.now += " "
+            return
+        if tag not in ("b", "i", "em", "strong", "a", "span"):
+            self._end()
+        if tag == "p" and "p" in self.open:
+            self.open = self.open[: self.open.index("p")]
+        self.open.append("out" if tag in ("aside", "form", "script", "style", "nav", "footer") or {"ad", "comments", "cookie"} & set(names) else tag)
+        self.open[-1] = self.open[-1] if self.open[-1] == "out" else tag
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "em", "strong", "a", "span"):
+            self._end()
+        if tag in self.open:
+            k = len(self.open) - 1 - self.open[::-1].index(tag)
+            self.open = self.open[:k]
+        elif "out" in self.open and tag in ("aside", "form", "script", "style", "nav", "footer", "div"):
+            self.open = self.open[: len(self.open) - 1 - self.open[::-1].index("out")]
+
+    def handle_data(self, data):
+        if "article" in self.open and "out" not in self.open:
+            self.now += data
+
+
+def test_main_text_by_the_article_element(spark, sf_dir):
+    want = {}
+    for r in spark.read.parquet(sf_dir + "/pages.parquet").collect():
+        p = _Article()
+        p.feed(r.html or "")
+        p._end()
+        want[r.page_id] = "\n".join(p.out)
+    got = {r.page_id: r for r in pages.op3_main_text(spark, sf_dir).collect()}
+    assert {i: r.text for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values()) and any(want.values())
+
+
+def test_contaminations_by_naive_tiles(spark, sf_dir, rows):
+    from test_text_operators import _naive_tiles
+
+    items = {r.item_id: tiling.tokens(r.text or "") for r in spark.read.parquet(sf_dir + "/benchmark.parquet").collect()}
+    grams = lambda t, n: {tuple(t[k : k + n]) for k in range(len(t) - n + 1)}
+    want = {}
+    for r in rows:
+        doc = tiling.tokens(r.text or "")
+        have = grams(doc, tiling.SEED)
+        for i, item in items.items():
+            least = min(tiling.SEED, len(item))
+            if item and (have & grams(item, tiling.SEED) if least == tiling.SEED else grams(doc, least) & grams(item, least)):
+                tiles = _naive_tiles(doc, item, tiling.SEED)
+                covered = sum(k for _, _, k in tiles)
+                if covered >= tiling.COVERAGE * len(item):
+                    want[r.doc_id, i] = (round(covered / len(item), 9), len(tiles), covered)
+    got = {(r.doc_id, r.item_id): (round(r.coverage, 9), r.n_tiles, r.n_tokens) for r in tiling.op1_decontamination(spark, sf_dir).collect()}
+    assert got == want and want

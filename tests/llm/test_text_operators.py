@@ -281,6 +281,32 @@ def test_field_learns_unseen_layouts():
     assert wrong <= 0.01 * total
 
 
+@pytest.mark.parametrize(("kind", "blocks", "whole"), [("full", 0.99, 0.88), ("few", 0.99, 0.91), ("bare", 0.99, 0.96), ("plain", 0.99, 0.94)])
+def test_every_kind_of_page(kind, blocks, whole):
+    model, r, good, total, all_good = pages.trained(), random.Random(5), 0, 0, 0
+    for _ in range(300):
+        page = pages.read_blocks(page_samples.sample_page(r, kind), marked=True)
+        wrong = sum(y != (b.label or 0) for y, b in zip(model.decode(pages.block_features(page)), page, strict=True))
+        good, total, all_good = good + len(page) - wrong, total + len(page), all_good + (wrong == 0)
+    assert good >= blocks * total and all_good >= whole * 300
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><h1>The Title</h1><p>Some words of the first paragraph stand here.</p></body>", "The Title\nSome words of the first paragraph stand here."),
+        ("<body><h1>A walk</h1><p>We left early in the morning, before the sun was up.</p><p>It rained all day.</p><p>Nobody minded.</p></body>", "A walk\nWe left early in the morning, before the sun was up.\nIt rained all day.\nNobody minded."),
+        ("<body><div><h1>A walk</h1><p>We left early in the morning.</p><p>It rained all day.</p></div></body>", "A walk\nWe left early in the morning.\nIt rained all day."),
+        ("<body><p>Only a paragraph of text is on this page, and nothing else.</p></body>", "Only a paragraph of text is on this page, and nothing else."),
+        ("<body><nav><a href=/>Home</a> <a href=/b>Blog</a></nav><h1>Notes</h1><p>One short note is all there is today.</p><footer>© 2024 me</footer></body>", "Notes\nOne short note is all there is today."),
+        ('<article><h1>T</h1><p>Seen words are here.</p><p style="display:none">Unseen words.</p><p hidden>Also unseen words.</p><div aria-hidden="true">And these.</div><p>Last words are here.</p></article>', "T\nSeen words are here.\nLast words are here."),
+        ("<article><h1>T</h1><p>First words are here, some more of them.</p><p>Advertisement</p><p>Second words are here.</p><div>Sponsored</div><p>Third words.</p></article><footer>x</footer>", "T\nFirst words are here, some more of them.\nSecond words are here.\nThird words."),
+    ],
+)
+def test_short_pages_hidden_parts_and_advert_labels(page, text):
+    assert pages.main_text(page, pages.trained()) == text
+
+
 def test_viterbi_is_the_best_sequence():
     rng = np.random.default_rng(0)
     for _ in range(50):
