@@ -18,13 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointframe.functions import geom as g
 from pointframe.session import cut
 
 SEGMENT = 128  # frames of a segment, by id
 HOLD, LEAST = 1e9, 1e-9  # weights on a session's first frame, and on every frame
 DONE = 1e-9
 
-#: Factors as numbers: kind 0 is a relative pose (rotation by rows, shift), kind 1 a pair of body points (p1, p2).
+#: Factors as numbers, by kind, in `rotation` and `shift`. 0: a relative pose (rotation by rows, shift), its error a rotation
+#: vector. 1: a pair of body points (p1, p2). 2: a pair of planes in the bodies (n1, c1, n2 in rotation, c2 in shift). 3: a
+#: relative pose whose error of attitude is twice the vector of a quaternion.
 FACTOR = "session long, i long, j long, kind int, rotation array<double>, shift array<double>, weight double"
 
 
@@ -68,10 +71,12 @@ def _unturn(v: np.ndarray) -> np.ndarray:
 
 
 def linearise(rot: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, kind: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(errors, derivatives by both poses) of factors, six rows each; point pairs use the last three.
+    """(errors, derivatives by both poses) of factors, six rows each; point pairs use the last three, plane pairs the first four.
 
     A pose moves by R exp(d) and p + s, for a step (d, s). Relative poses: the rotation vector of R^T Ri^T Rj, and Ri^T (pj - pi) - t.
-    Point pairs (the points are the first row of r and t): Rj^T (Ri p + pi - pj) - q.
+    Point pairs (the points are the first row of r and t): Rj^T (Ri p + pi - pj) - q. Plane pairs, in the world: the
+    difference of the normals, and the distance of the first centre from the second plane. Kind 3: twice the vector of the
+    quaternion of R (Ri^T Rj)^T, of the sign with a positive real part, and the shift of kind 0.
     """
     n = len(i)
     e, a, b = np.zeros((n, 6)), np.zeros((n, 6, 6)), np.zeros((n, 6, 6))
@@ -90,6 +95,26 @@ def linearise(rot: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, ki
         e[pts, 3:] = seen - t[pts]
         a[pts, 3:, :3], a[pts, 3:, 3:] = -rj @ ri @ hat(p), rj
         b[pts, 3:, :3], b[pts, 3:, 3:] = hat(seen), -rj
+    pln = np.flatnonzero(kind == 2)
+    if len(pln):
+        ri, rj, n1, c1, n2, c2 = rot[i[pln]], rot[j[pln]], *(r[pln, k] for k in range(3)), t[pln]
+        turn = lambda m, v: np.einsum("nab,nb->na", m, v)
+        gap, normal = turn(ri, c1) + pos[i[pln]] - turn(rj, c2) - pos[j[pln]], turn(rj, n2)
+        e[pln, :3], e[pln, 3] = turn(ri, n1) - normal, np.einsum("na,na->n", normal, gap)
+        a[pln, :3, :3], b[pln, :3, :3] = -ri @ hat(n1), rj @ hat(n2)
+        row = lambda v, m: np.einsum("na,nab->nb", v, m)
+        a[pln, 3, :3], a[pln, 3, 3:] = -row(normal, ri @ hat(c1)), normal
+        b[pln, 3, :3], b[pln, 3, 3:] = row(normal, rj @ hat(c2)) - row(gap, rj @ hat(n2)), -normal
+    old = np.flatnonzero(kind == 3)
+    if len(old):
+        ri, rj, m = rot[i[old]].transpose(0, 2, 1), rot[j[old]], r[old]
+        off = log_all(m @ (ri @ rj).transpose(0, 2, 1))
+        half = np.linalg.norm(off, axis=1) / 2
+        v = off * (np.sinc(half / np.pi) / 2)[:, None]
+        real, seen = np.cos(half)[:, None, None] * np.eye(3), np.einsum("nab,nb->na", ri, pos[j[old]] - pos[i[old]])
+        e[old, :3], e[old, 3:] = 2 * v, seen - t[old]
+        a[old, :3, :3], b[old, :3, :3] = real + hat(v), (hat(v) - real) @ m
+        a[old, 3:, :3], a[old, 3:, 3:], b[old, 3:, 3:] = hat(seen), -ri, ri
     return e, a, b
 
 
@@ -233,6 +258,38 @@ def _advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows)[ROW.names]
 
 
+def plane_factors(pairs: DataFrame, poses: DataFrame) -> DataFrame:
+    """Factors of planes that two frames see: (session, i, j, n1, c1, n2, c2, weight), unit normals and centres in the bodies.
+
+    A normal has no sign of its own: n1 gets the one that is nearer to n2 at the given poses.
+    """
+    own = pairs
+    for k in "ij":
+        own = own.join(poses.select("session", F.col("frame").alias(k), F.col("rotation").alias(f"_r{k}")), ["session", k])
+    turned = lambda m, v: [sum((F.col(m)[3 * a + b] * F.col(v)[b] for b in range(3)), F.lit(0.0)) for a in range(3)]
+    same = sum((x * y for x, y in zip(turned("_ri", "n1"), turned("_rj", "n2"), strict=True)), F.lit(0.0)) >= 0
+    n1 = F.transform("n1", lambda v: F.when(same, v).otherwise(-v))
+    return own.select("session", "i", "j", F.lit(2).alias("kind"), F.concat(n1, "c1", "n2").alias("rotation"), F.col("c2").alias("shift"), "weight")
+
+
+def error_terms(factors: DataFrame, poses: DataFrame, root: list[list[float]]) -> DataFrame:
+    """(session, i, j, e0 .. e5) of relative poses: the shift's error, then that of attitude as kind 3 has it, times the 6 x 6 square root
+    of the measurements' information."""
+    out = factors
+    for k in "ij":
+        out = out.join(poses.select("session", F.col("frame").alias(k), F.col("rotation").alias(f"_r{k}"), F.col("position").alias(f"_p{k}")), ["session", k])
+    nine, three = (lambda c: [F.col(c)[k] for k in range(9)]), (lambda c: tuple(F.col(c)[k] for k in range(3)))
+    seen, at = g.relative(nine("_ri"), three("_pi"), nine("_rj"), three("_pj"))
+    out = out.withColumns({"_seen": F.array(*seen), "_at": F.array(*at)})
+    off = g.so3_log(g.mat_mul(nine("rotation"), g.transpose(nine("_seen"))))
+    out = out.withColumn("_off", F.array(*off))
+    angle = g.norm(three("_off"))
+    scale = F.when(angle < 1e-12, F.lit(1.0)).otherwise(2 * F.sin(angle / 2) / angle)
+    raw = [F.col("_at")[k] - F.col("shift")[k] for k in range(3)] + [F.col("_off")[k] * scale for k in range(3)]
+    out = out.withColumn("_e", F.array(*raw))
+    return out.select("session", "i", "j", *(sum((F.lit(float(root[a][b])) * F.col("_e")[b] for b in range(6)), F.lit(0.0)).alias(f"e{a}") for a in range(6)))
+
+
 def factors_of(between: DataFrame | None = None, points: DataFrame | None = None) -> DataFrame:
     """One table of factors from relative poses (session, i, j, rotation, shift, weight) and point pairs (session, i, j, p1, p2, weight)."""
     out = None

@@ -124,6 +124,11 @@ def fac5(spark, d):
     return out.filter("accepted").select("frame", *((F.round(F.col("position")[k], 4) + 0.0).alias(c) for k, c in enumerate("xyz")))
 
 
+def _poses(spark, d):
+    n = F.row_number().over(Window.partitionBy("session").orderBy("t_us", "id")) - 1
+    return trajectory(spark, d).select("session", n.cast("long").alias("frame"), "x", "y", "z", (F.col("z") % 0.7).alias("roll"), (F.col("z") % 1.1 - 0.5).alias("pitch"), (F.col("z") % 3.0).alias("yaw"))
+
+
 _NUMBERED = f"SELECT session, row_number() OVER (PARTITION BY session ORDER BY t_us, id) - 1 AS frame, x, y, z FROM ({TRAJECTORY})"
 
 
@@ -132,9 +137,7 @@ WITH f AS (SELECT *, session % 4 <> 0 OR max(frame) OVER (PARTITION BY session)
 SELECT session, frame, {', '.join(f'round(CASE WHEN accepted THEN {c} ELSE {c} + frame * {v} END, 6) + 0.0 AS {c}' for c, v in (('x', 0.1), ('y', 0.2), ('z', -0.1)))}, accepted FROM f""")
 def fac5_sessions(spark, d):
     """All sessions in one job: those divisible by 4 have false loops, are refused and keep their drift; the others come back."""
-    n = F.row_number().over(Window.partitionBy("session").orderBy("t_us", "id")) - 1
-    t = trajectory(spark, d)
-    frames = t.select("session", n.cast("long").alias("frame"), "x", "y", "z", (F.col("z") % 0.7).alias("roll"), (F.col("z") % 1.1 - 0.5).alias("pitch"), (F.col("z") % 3.0).alias("yaw"))
+    frames = _poses(spark, d)
     f = frames.select("session", "frame")
     loops = f.filter("frame >= 20 AND frame % 10 = 0").select("session", (F.col("frame") - 17).alias("i"), F.col("frame").alias("j"))
     drift, factors = _graph(frames, loops)
@@ -165,3 +168,42 @@ def str9(spark, d):
     store.start(frames.select("session", "frame_id", *pose(at, none)), p, 1e6, 1 << 40)
     rebuild.rebuild_stream(corrections, store, p, home + "-state", 1e6, 1 << 40, rebuild.last_scan_fits(p, max_dist=20.0, rounds=1)).awaitTermination()
     return store.map(spark).select("frame_id", "pt_idx", *r6(x=F.col("x"), y=F.col("y"), z=F.col("z")))
+
+
+@query("fac10_plane_adjustment", f"SELECT session, frame, {', '.join(f'round({c} / 0.99999, 4) + 0.0 AS {c}' for c in 'xyz')} FROM ({_NUMBERED})")
+def fac10(spark, d):
+    """Poses from nothing but planes that consecutive frames, and frames nine apart, see in common; they start with drift and come back."""
+    drift, _ = _graph(_poses(spark, d), spark.createDataFrame([], "session long, i long, j long"))
+    m = g.euler_to_mat(*g.vec("roll", "pitch", "yaw"))
+    true = cut(_poses(spark, d).select("session", "frame", F.array(*m).alias("rotation"), F.array("x", "y", "z").alias("position")))
+    steps = true.select("session", F.col("frame").alias("j"), F.explode(F.array(F.col("frame") - 1, F.col("frame") - 9)).alias("i")).filter("i >= 0")
+    # Four planes a pair, in the world: a normal, and two places on the plane where the two frames have their centres.
+    normals = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (0.6, 0.0, -0.8)]
+    planes = F.array(*(F.struct(F.array(*map(F.lit, n)).alias("n"), F.array(*map(F.lit, (n[1] * 2.0 + n[2], n[2] * 2.0 + n[0] * 1.5 if n[1] == 0 else 0.0, n[0] * 1.0 + n[1]))).alias("s")) for n in normals))
+    seen = steps.withColumn("w", F.explode(planes))
+    for k in "ij":
+        seen = seen.join(true.select("session", F.col("frame").alias(k), F.col("rotation").alias(f"r{k}"), F.col("position").alias(f"p{k}")), ["session", k])
+    three = lambda c: tuple(F.col(c)[k] for k in range(3))
+    back = lambda r, v: F.array(*g.mat_vec(g.transpose([F.col(r)[k] for k in range(9)]), v))
+    centre = tuple((F.col("pi")[k] + F.col("pj")[k]) / 2 + F.col("w.n")[k] * 3.0 for k in range(3))
+    along = g.sub(three("w.s"), tuple(F.col("w.n")[k] * g.dot(three("w.s"), three("w.n")) for k in range(3)))  # in the plane
+    pairs = seen.select("session", "i", "j", back("ri", three("w.n")).alias("n1"), back("ri", g.sub(centre, three("pi"))).alias("c1"), back("rj", tuple(-v for v in three("w.n"))).alias("n2"), back("rj", g.sub(g.add(centre, along), three("pj"))).alias("c2"), F.lit(1.0).alias("weight"))
+    solved = pg.solve_graphs(drift, pg.plane_factors(cut(pairs), drift), segment=32)
+    return solved.select("session", "frame", *((F.round(F.col("position")[k] / 0.99999, 4) + 0.0).alias(c) for k, c in enumerate("xyz")))
+
+
+@query("fac9_error_terms", f"""
+WITH f AS (SELECT *, z % 3.0 AS yaw FROM ({_NUMBERED})), p AS (SELECT session, frame - 1 AS i, frame AS j, lag(yaw) OVER w AS a, x - lag(x) OVER w AS u, y - lag(y) OVER w AS v, z - lag(z) OVER w AS h FROM f WINDOW w AS (PARTITION BY session ORDER BY frame))
+SELECT session, i, j, {R6(e0='10 * (cos(a) * u + sin(a) * v - 0.5)', e1='10 * (cos(a) * v - sin(a) * u)', e2='10 * h', e3='0.0::DOUBLE', e5='20 * (2 * sin(0.05)) + (cos(a) * u + sin(a) * v - 0.5)')} FROM p WHERE a IS NOT NULL
+""")
+def fac9(spark, d):
+    """Steps of frames that turn about the vertical, held against measurements that are off by half a unit and a tenth of a radian."""
+    f = _poses(spark, d).withColumns({"roll": F.lit(0.0), "pitch": F.lit(0.0)})
+    poses = cut(f.select("session", "frame", F.array(*g.euler_to_mat(*g.vec("roll", "pitch", "yaw"))).alias("rotation"), F.array("x", "y", "z").alias("position"), "yaw"))
+    w = Window.partitionBy("session").orderBy("frame")
+    turn = F.col("yaw") - F.lag("yaw").over(w) + 0.1
+    steps = poses.select("session", (F.col("frame") - 1).alias("i"), F.col("frame").alias("j"), turn.alias("turn")).filter("turn IS NOT NULL")
+    zero = F.lit(0.0)
+    measured = steps.select("session", "i", "j", F.array(*g.euler_to_mat(zero, zero, F.col("turn"))).alias("rotation"), F.array(F.lit(0.5), zero, zero).alias("shift"))
+    root = [[10.0 * (a == b) if a < 3 else 20.0 * (a == b) + 1.0 * (a == 5 and b == 0) for b in range(6)] for a in range(6)]
+    return pg.error_terms(cut(measured), poses, root).select("session", "i", "j", *r6(**{c: F.col(c) for c in ("e0", "e1", "e2", "e3", "e5")}))

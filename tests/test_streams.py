@@ -160,8 +160,9 @@ def test_rotation_vectors_of_many():
 def test_derivatives_of_factors():
     rng = np.random.default_rng(1)
     rot, pos = pose_graph.exp_all(rng.normal(size=(2, 3))), rng.normal(size=(2, 3))
-    i, j, kind = np.array([0, 0]), np.array([1, 1]), np.array([0, 1])
-    r, t = pose_graph.exp_all(rng.normal(size=(2, 3))), rng.normal(size=(2, 3))
+    i, j, kind = np.zeros(8, int), np.ones(8, int), np.repeat([0, 1, 2, 3], 2)
+    r, t = pose_graph.exp_all(rng.normal(size=(8, 3))), rng.normal(size=(8, 3))
+    r[4:6, 1] *= 7  # a plane's centre
     e, a, b = pose_graph.linearise(rot, pos, i, j, kind, r, t)
     for frame, jac in ((0, a), (1, b)):
         for k in range(6):
