@@ -68,7 +68,7 @@ class Splits:
 
 def fit_splits(points: DataFrame, leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE) -> Splits:
     """Splits by the medians of a sample of points, as many leaves as the points need and MOST_LEAVES at most; NaNs are left out."""
-    sound = points.select(*(F.col(c).cast("double").alias(c) for c in XYZ)).filter(~(F.isnan("x") | F.isnan("y") | F.isnan("z")) & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+    sound = points.select(*(F.col(c).cast("double").alias(c) for c in XYZ)).filter(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in XYZ))
     n = sound.count()
     some = sound if n <= sample else sound.filter(F.pmod(F.xxhash64(*XYZ, F.monotonically_increasing_id()), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
     p = np.array(some.toPandas(), dtype=float).reshape(-1, 3)
@@ -108,7 +108,7 @@ def _floats(b: pa.RecordBatch) -> np.ndarray:
 def with_leaf(points: DataFrame, splits: Splits, reach: str | None = None) -> DataFrame:
     """points with _leaf, a row for each leaf: its own, or all that its ball reaches if `reach` is a column. NaNs and nulls have none."""
     shared = points.sparkSession.sparkContext.broadcast(splits)  # MOST_LEAVES at most
-    sound = points.filter(F.coalesce(~(F.isnan("x") | F.isnan("y") | F.isnan("z")), F.lit(False)))
+    sound = points.filter(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in XYZ))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -8,9 +8,11 @@ from pointframe.functions import geom as g
 from pointframe.operators import balanced as bl
 from pointframe.operators import index as ix
 from pointframe.operators import spatial as op
+from pointframe.operators.forest import CubeForest
 from pointframe.plans import sqlgeom as sg
 from pointframe.plans.q_points import R6, ROT, SHIFT, r6
 from pointframe.plans.registry import query
+from pointframe.session import shared_folder
 from pointframe.sources.adapters import POINTS, TRAJECTORY, points, trajectory
 
 _D2 = "(q.x-t.x)**2 + (q.y-t.y)**2 + (q.z-t.z)**2"
@@ -253,6 +255,18 @@ def idx12(spark, d):
     return nn.select(F.col("q_pt_idx").alias("q"), F.col("t_pt_idx").alias("t"), "rank")
 
 
+@query("idx13_forest_box_in_time", f"SELECT pt_idx FROM ({POINTS}) WHERE x BETWEEN -1.3 AND 2.1 AND y BETWEEN -0.7 AND 1.9 AND z BETWEEN -2.2 AND 2.4 AND t_off_ms BETWEEN 2.05 AND 7.85 AND NOT (pt_idx % 10 = 3)")
+def idx13(spark, d):
+    """Points inserted by parts of a scan's time and found again by a box and a range of time; some are deleted, and their cubes written anew."""
+    p = points(spark, d).select("pt_idx", "x", "y", "z", "t_off_ms")
+    f = CubeForest(shared_folder(spark, "forest"), 1.0)
+    for k in range(3):
+        f.add(p.filter(F.floor(F.col("t_off_ms") / 4) == k), f"part-{k}", "t_off_ms")
+    f.delete(p.filter("pt_idx % 10 = 3"), "threes")
+    f.compact(spark, "compacted", "t_off_ms")
+    return f.read(spark, (-1.3, -0.7, -2.2), (2.1, 1.9, 2.4), 2.05, 7.85).select("pt_idx")
+
+
 _MID = {c: f"(floor(q{c} * 2) * 0.5 + 0.25)" for c in "xyz"}
 _OWN = " + ".join(f"(q{c} - {_MID[c]})**2" for c in "xyz")
 _ITS = " + ".join(f"(t{c} - {_MID[c]})**2" for c in "xyz")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pointframe.session import ensure_checkpoint_dir
+from pointframe.session import shared_folder
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -48,8 +47,7 @@ def run_available(stream: DataFrame, mode: str = "append", before: Callable[[],
     goes to RocksDB, which keeps timers and lists of state outside of the heap.
     """
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    home = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/stream-{uuid.uuid4().hex}"
+    home = shared_folder(spark, "stream")
     setting = "spark.sql.streaming.stateStore.providerClass"
     had = spark.conf.get(setting)
     spark.conf.set(setting, ROCKS)
@@ -67,8 +65,7 @@ def staged(rows: DataFrame, arrival: str) -> tuple[str, DataFrame]:
     Values of arrival are few whole numbers.
     """
     spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
-    home = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/source-{uuid.uuid4().hex}"
+    home = shared_folder(spark, "source")
     kept = rows.drop(arrival)
     for (k,) in rows.select(arrival).distinct().orderBy(arrival).collect():
         rows.filter(rows[arrival] == k).drop(arrival).coalesce(1).write.mode("append").parquet(home)
