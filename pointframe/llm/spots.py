@@ -21,6 +21,7 @@ from pointframe.llm.graph import lookup
 
 CHAIN = 2
 THRESHOLD = 0.8
+COMMON_ROWS, LEAST_COMMON = 200_000, 20  # signatures that are told to be common, at most; sets that hold one, at least
 RANGES = 4
 
 #: Common words of a few languages, which serve as anchors.
@@ -121,11 +122,25 @@ def _linked(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return held.join(passed, [*on, alike]).select("a", "b").distinct()
 
 
+def rarest_first(sets: DataFrame) -> DataFrame:
+    """(node, size, sigs) of sets (node, size, sigs), the signatures that many sets hold last and the others by hash: one order for all.
+
+    Which ones are common is a list of fewer than COMMON_ROWS: those on more sets than the signatures of all sets over
+    COMMON_ROWS.
+    """
+    each = sets.select("node", "size", F.explode("sigs").alias("sig"))
+    total = sets.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    common = each.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > max(LEAST_COMMON, total // COMMON_ROWS))
+    row = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sig")
+    ranked = each.join(F.broadcast(common), "sig", "left").groupBy("node", "size").agg(F.sort_array(F.collect_list(row)).alias("r"))
+    return ranked.select("node", "size", F.transform("r", lambda x: x["sig"]).alias("sigs"))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = THRESHOLD) -> DataFrame:
     """(id, class_id): rows of equal or chained near-equal fingerprints share a class, named by its least id.
 
     Sets are partitioned by size so that a set of likeness `least` is in the same partition or the next. The comparison is
-    pruned by prefixes: in a common order of signatures, two such sets share one of their first n - ceil(least n) + 1, which
+    pruned by prefixes: in a common order of signatures, rarest first, two such sets share one of their first n - ceil(least n) + 1, which
     with the partition makes the bucket they meet in. Equal sets are one node; a text without signatures (null, empty or
     without words) is alike to its kind only.
     """
@@ -134,7 +149,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     some = nodes.filter("size > 0")
     part = F.floor(F.log(F.col("size")) / F.lit(math.log(1 / least)) + 1e-9).cast("int")
     prefix = F.slice("sigs", F.lit(1), F.greatest(F.lit(1), F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9).cast("int") + 1))
-    spread = some.select("node", "size", part.alias("p"), F.explode(prefix).alias("sig")).select("node", "size", "sig", F.explode(F.array(F.col("p"), F.col("p") + 1)).alias("q"))
+    spread = rarest_first(some).select("node", "size", part.alias("p"), F.explode(prefix).alias("sig")).select("node", "size", "sig", F.explode(F.array(F.col("p"), F.col("p") + 1)).alias("q"))
     spread = spread.select(F.xxhash64("sig", "q").alias("bucket"), "node", "size").distinct()
     label = cut(link_buckets(spread, some.count(), lambda members: some.select("node", "sigs").join(members.select("node").distinct(), "node", "left_semi"), _linked, least))
     reps = cut(label.join(nodes.select("node", "rep"), "node"))
