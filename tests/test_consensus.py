@@ -93,3 +93,16 @@ def test_coplanar_labels_equal_those_of_whole_frames(spark, far):
         want |= {(frame, r.vx, r.vy, r.vz): int(label) for r, label in zip(pdf.itertuples(), planes.coplanar_labels(pdf), strict=True)}
     got = {(r.frame, r.vx, r.vy, r.vz): r.label for r in planes.label_coplanar(df, "frame", planes.VOX).collect()}
     assert got == want and max(collections.Counter(want.values()).values()) > 3
+
+
+def test_proposals_of_a_vote_have_no_period(spark):
+    """Every fourth pair is off; 200 pairs and 50 proposals are four pairs a proposal."""
+    rng, rows = np.random.default_rng(11), []
+    for k in range(200):
+        q = rng.normal(size=(3, 3)) * 3
+        t = q + np.array([1.0, 2.0, 3.0]) + (k + 10.0 if k % 4 == 0 else 0.0)
+        rows.append((0, k, q.ravel().tolist(), t.ravel().tolist()))
+    pairs = spark.createDataFrame(rows, "grp long, tri long, q array<double>, t array<double>")
+    best = fitting.vote_transforms(pairs, ["grp"], "tri").collect()
+    assert [(r["grp"], r["votes"]) for r in best] == [(0, 150)]
+    assert best[0]["seed"] % 4 != 0 and np.allclose(best[0]["shift"], [1.0, 2.0, 3.0])
