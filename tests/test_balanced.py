@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointframe.operators import balanced
+from pointframe.operators import balanced, spatial
 
 
 def _cloud(kind, n, rng):
@@ -94,3 +94,28 @@ def test_rebuild_plan_by_its_rules():
     assert plan([40, 5, 5], [0, 0, 0]) == [0]  # too few below the first split
     assert plan([22, 10, 2], [0, 0, 9]) == [4] and plan([22, 10, 12], [0, 0, 0]) == [] and plan([22, 19, 2], [0, 0, 0]) == [1]
     assert plan([1, 1, 1], [20, 20, 20]) == [0]
+
+
+def test_nearest_by_group_and_distance_equal_brute_force(spark, monkeypatch):
+    """Many leaves of large groups, groups of few targets or none, ids that are null, and no join that pairs up whole cells."""
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("a radius join pairs all points of dense cells")
+
+    monkeypatch.setattr(spatial, "radius_join", refuse)
+    monkeypatch.setattr(balanced, "LEAF_ROWS", 200)
+    rng = np.random.default_rng(21)
+    p = np.concatenate([rng.normal(size=(1500, 3)), 30 + rng.normal(size=(20, 3)), np.round(rng.normal(size=(400, 3)))])
+    group = np.concatenate([rng.integers(0, 3, 1500), np.full(20, 7), np.full(400, 1)])
+    rows = [(int(gr), i, None if i % 9 == 0 else "s", *map(float, v)) for i, (gr, v) in enumerate(zip(group, p, strict=True))]
+    df = spark.createDataFrame(rows, "grp int, id long, note string, x double, y double, z double")
+    targets = df.filter("id % 3 <> 0 AND grp <> 2")
+    for k, far in ((4, None), (3, 0.4)):
+        got = {}
+        for r in spatial.knn_join(df, targets, k, 1.0, ["id", "note"], ["id"], ["grp"], max_dist=far).collect():
+            got.setdefault(r["q_id"], []).append((r["rank"], r["t_id"]))
+        t = np.array([i for i in range(len(p)) if i % 3 and group[i] != 2])
+        for i in range(len(p)):
+            d2 = ((p[t] - p[i]) ** 2).sum(1)
+            near = sorted((d, int(j)) for d, j, gr in zip(d2, t, group[t], strict=True) if gr == group[i] and (far is None or d <= far * far))[:k]
+            assert [j for _, j in sorted(got.get(i, []))] == [j for _, j in near]
