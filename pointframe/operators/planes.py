@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from pointframe.functions import geom as g
 from pointframe.operators import spatial
+from pointframe.session import cut
 from pointframe.streaming.fold import fold_sorted
 
 VOX = ["vx", "vy", "vz"]
@@ -301,30 +302,76 @@ def triangles(keypoints: DataFrame, near: int, shortest: float, longest: float,
     return t.select(frame, tri.alias("tri_id"), "a", "b", "c", "cx", "cy", "cz", "va", "vb", "vc")
 
 
+MEET = 1 << 22  # pairs of triangles of one cell that meet at one place, about
+
+
+def _mask(slices: Column) -> Column:
+    """Slices as the bits of a number; null if one is not from 0 to 63 or is there twice."""
+    fits = (F.size(F.array_distinct(slices)) == F.size(slices)) & F.forall(slices, lambda k: (k >= 0) & (k < 64))
+    return F.when(fits, F.aggregate(slices, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int")))))
+
+
 def match_triangles(queries: DataFrame, base: DataFrame, skip_near: int, rough: float, similar: float, around: bool = True, frame: str = "frame_id") -> DataFrame:
     """(q_frame, t_frame, q_tri, t_tri, side_dist, similarity) of triangles with close sides and similar vertices.
 
-    Each query triangle looks into its own cell of sides and, if `around`, the 26 about it whose centre is within 1.5; that
-    makes an equi-join, and the rest is a filter in order of cost: recency, side distance, vertices.
+    A target counts if its cell of sides (one unit wide) is the query's own or, if `around`, one of the 26 about it whose centre is
+    within 1.5 of the query's sides; then come recency, side distance, at most `rough` times the size of the query, and
+    vertices. As sides that near are much nearer than a cell, the equi-join is on boxes that grow by powers of two
+    with the size: a query goes to the boxes of its own power that it reaches, two a side at most, and a target stands in the
+    box of each power whose queries can reach it, so a pair meets once. Boxes of many pairs are counted first and dealt into parts.
+    Frame and tri_id tell triangles of a table apart.
     """
-    cell = lambda c: F.col(c).cast("int")
-    inc = F.array(*(F.lit(v) for v in ((-1, 0, 1) if around else (0,))))
-    steps = F.flatten(F.transform(inc, lambda x: F.flatten(F.transform(inc, lambda y: F.transform(inc, lambda z: F.struct(x.alias("x"), y.alias("y"), z.alias("z")))))))
-    q = queries.withColumn("_o", F.explode(steps))
-    q = q.withColumns({f"k{c}": (F.col(c) + F.col(f"_o.{o}")).cast("int") for c, o in zip("abc", "xyz", strict=True)})
-    if around:
-        gap = [F.col(c) - (F.col(f"k{c}") + 0.5) for c in "abc"]
-        q = q.filter(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] < 2.25)
+    size = lambda: F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c"))
+    power = lambda v: F.floor(F.log2(v)).cast("int")
+    wide = 2 * F.pow(F.lit(2.0), F.col("_l")) * (2 * rough * (1 + 1e-9))  # twice what a query of this power reaches
+    sides = [F.col(c) for c in "abc"]
+    masks = lambda p: [_mask(F.col(f"v{c}.slices")).alias(f"{p}_m{c}") for c in "abc"]
+    sound = lambda df: df.withColumn("_size", size()).filter(F.col("_size") > 0)  # noqa: E731  # a size of 0 reaches nothing
+    q = sound(queries).withColumn("_l", power(F.col("_size"))).withColumn("_r", F.col("_size") * (rough * (1 + 1e-9)))
+    for k, v in enumerate(sides):
+        q = q.withColumn(f"_k{k}", F.explode(F.array_distinct(F.array(F.floor((v - F.col("_r")) / wide), F.floor((v + F.col("_r")) / wide)))))
+    low, high = (power(F.col("_size") / (1 + s * rough * (1 + 1e-9))) for s in (1, -1))
+    t = sound(base).withColumn("_l", F.explode(F.sequence(low, high) if rough < 0.9 else F.sequence(low, power(F.lit(1e300)))))
+    for k, v in enumerate(sides):
+        t = t.withColumn(f"_k{k}", F.floor(v / wide))
+    box = ["_l", "_k0", "_k1", "_k2"]
+    columns = lambda p: [F.col(frame).alias(f"{p}_frame"), F.col("tri_id").alias(f"{p}_tri"), *(F.col(c).alias(f"{p}_{c}") for c in "abc"), *(F.when(_mask(F.col(f"v{c}.slices")).isNull(), F.col(f"v{c}.slices")).alias(f"{p}_s{c}") for c in "abc"), *masks(p)]
+    q, t = cut(q.select(*box, *columns("q"))), cut(t.select(*box, *columns("t")))
+    pairs = q.groupBy(*box).agg(F.count("*").alias("_nq")).join(t.groupBy(*box).agg(F.count("*").alias("_nt")), box)
+    many = cut(pairs.filter(F.col("_nq") * F.col("_nt") > MEET).select(*box, F.ceil(F.sqrt(F.col("_nq") * F.col("_nt") / MEET)).cast("int").alias("_n")))
+    if many.limit(1).count():  # both sides of a full box are dealt, and every part of one meets every part of the other
+        for p, other in ("qt", "tq"):
+            own = F.coalesce(F.pmod(F.xxhash64(f"{p}_frame", f"{p}_tri"), F.col("_n")), F.lit(0)).cast("int").alias(f"_p{p}")
+            every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1)).alias(f"_p{other}")
+            side = (q if p == "q" else t).join(many, box, "left")
+            side = side.select(*[c for c in side.columns if c != "_n"], own, every)
+            q, t = (side, t) if p == "q" else (q, side)
+        box = [*box, "_pq", "_pt"]
+    m = q.join(t, box).filter(F.col("q_frame") - F.col("t_frame") > skip_near)
     side = lambda p: [F.col(f"{p}_{c}") for c in "abc"]
-    q = q.select(F.col(frame).alias("q_frame"), F.col("tri_id").alias("q_tri"), "ka", "kb", "kc", *(F.col(c).alias(f"q_{c}") for c in "abc"), *(F.col(f"v{c}.slices").alias(f"q_s{c}") for c in "abc"))
-    t = base.select(F.col(frame).alias("t_frame"), F.col("tri_id").alias("t_tri"), *(cell(c).alias(f"k{c}") for c in "abc"), *(F.col(c).alias(f"t_{c}") for c in "abc"), *(F.col(f"v{c}.slices").alias(f"t_s{c}") for c in "abc"))
-    m = q.join(t, ["ka", "kb", "kc"]).filter(F.col("q_frame") - F.col("t_frame") > skip_near)
+    cell = lambda v: v.cast("int")
     dist = F.sqrt(sum(((x - y) ** 2 for x, y in zip(side("q"), side("t"), strict=True)), F.lit(0.0)))
-    size = F.sqrt(sum((x * x for x in side("q")), F.lit(0.0)))
-    m = m.withColumn("side_dist", dist).filter(F.col("side_dist") < size * rough)
-    alike = sum((dice(F.col(f"q_s{c}"), F.col(f"t_s{c}")) for c in "abc"), F.lit(0.0)) / 3
+    length = F.sqrt(sum((x * x for x in side("q")), F.lit(0.0)))
+    m = m.withColumn("side_dist", dist).filter(F.col("side_dist") < length * rough)
+    for x, y in zip(side("q"), side("t"), strict=True):
+        m = m.filter(F.abs(cell(x) - cell(y)) <= (1 if around else 0))
+    if around:
+        gap = [x - (cell(y) + 0.5) for x, y in zip(side("q"), side("t"), strict=True)]
+        m = m.filter(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] < 2.25)
+
+    def slices(p: str, c: str) -> Column:
+        bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.call_function("shiftrightunsigned", F.col(f"{p}_m{c}"), k).bitwiseAND(F.lit(1)) == 1)
+        return F.coalesce(F.col(f"{p}_s{c}"), bits)
+
+    def like(c: str) -> Column:
+        """dice() by bits where both have them."""
+        x, y = F.col(f"q_m{c}"), F.col(f"t_m{c}")
+        bits = F.coalesce(F.try_divide(2.0 * F.bit_count(x.bitwiseAND(y)), F.bit_count(x) + F.bit_count(y)), F.lit(0.0))
+        return F.when(x.isNotNull() & y.isNotNull(), bits).otherwise(dice(slices("q", c), slices("t", c)))
+
+    alike = sum((like(c) for c in "abc"), F.lit(0.0)) / 3
     m = m.withColumn("similarity", alike).filter(F.col("similarity") > similar)
-    return m.select("q_frame", "t_frame", "q_tri", "t_tri", "side_dist", "similarity").distinct()
+    return m.select("q_frame", "t_frame", "q_tri", "t_tri", "side_dist", "similarity")
 
 
 def votes(matches: DataFrame) -> DataFrame:

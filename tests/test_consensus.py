@@ -106,3 +106,25 @@ def test_proposals_of_a_vote_have_no_period(spark):
     best = fitting.vote_transforms(pairs, ["grp"], "tri").collect()
     assert [(r["grp"], r["votes"]) for r in best] == [(0, 150)]
     assert best[0]["seed"] % 4 != 0 and np.allclose(best[0]["shift"], [1.0, 2.0, 3.0])
+
+
+@pytest.mark.parametrize("around", [True, False])
+def test_matches_of_full_boxes_equal_all_pairs(spark, monkeypatch, around):
+    """Boxes are dealt into parts; slices may lie beyond the bits of a number."""
+    monkeypatch.setattr(planes, "MEET", 40)
+    rng, rows = np.random.default_rng(8), []
+    for k in range(240):
+        a, b, c = sorted(np.where(k % 3, rng.uniform(1.0, 2.2, 3), rng.uniform(0.2, 18, 3)))
+        kinds = [sorted({int(v) for v in rng.integers(0, 6, 4)} | ({70} if k % 5 == 0 and n == 0 else set())) for n in range(3)]
+        rows.append((k % 6, (k, 1, 2), float(a), float(b), float(c), *((s,) for s in kinds)))
+    df = spark.createDataFrame(rows, "frame_id long, tri_id struct<p1: long, m: int, n: int>, a double, b double, c double, va struct<slices: array<int>>, vb struct<slices: array<int>>, vc struct<slices: array<int>>")
+    want = set()
+    for q in rows:
+        for t in rows:
+            x, y = np.array(q[2:5]), np.array(t[2:5])
+            cells = np.abs(x.astype(int) - y.astype(int)).max() <= (1 if around else 0) and (not around or ((x - y.astype(int) - 0.5) ** 2).sum() < 2.25)
+            alike = np.mean([2 * len(set(u[0]) & set(v[0])) / (len(u[0]) + len(v[0])) for u, v in zip(q[5:], t[5:], strict=True)])
+            if q[0] - t[0] > 1 and cells and np.linalg.norm(x - y) < 0.08 * np.linalg.norm(x) and alike > 0.4:
+                want.add((q[1][0], t[1][0]))
+    got = [(r.q_tri.p1, r.t_tri.p1) for r in planes.match_triangles(df, df, 1, 0.08, 0.4, around).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
