@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pointframe.operators.temporal import asof_forward
+from pointframe.streaming.fold import slot
 
 KEY = ["session", "submap"]
 
@@ -40,56 +40,57 @@ def attach_poses(submaps: DataFrame, poses: DataFrame, wait_us: int) -> DataFram
 
 
 class _Attach(StatefulProcessor):
-    """The submaps of a key that have no pose yet and its poses that a submap may still take."""
+    """The submaps of a group of keys that have no pose yet and the poses that a submap may still take."""
 
-    def __init__(self, wait_us: int, sub: list[T.StructField], pose: list[T.StructField]):
-        self.wait, self.sub, self.pose = wait_us, sub, pose
+    def __init__(self, wait_us: int, keys: list[T.StructField], sub: list[T.StructField], pose: list[T.StructField]):
+        self.wait, self.keys, self.sub, self.pose = wait_us, keys, sub, pose
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        t = T.StructField("t_us", T.LongType())
+        at = [*self.keys, T.StructField("t_us", T.LongType())]
         self.handle = handle
-        self.subs = handle.getListState("submaps", T.StructType([t, *self.sub]))
-        self.poses = handle.getListState("poses", T.StructType([t, *self.pose]))
+        self.subs = handle.getListState("submaps", T.StructType([*at, *self.sub]))
+        self.poses = handle.getListState("poses", T.StructType([*at, *self.pose]))
+        self.made = Row(*KEY, "t_us", *(f.name for f in self.sub), "pose_t", *(f.name for f in self.pose))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for kind, state, fields in (("s", self.subs, self.sub), ("p", self.poses, self.pose)):
-                own = pdf[pdf["kind"] == kind]
-                if len(own):
-                    state.appendList([tuple(r) for r in own[["t_us", *(f"{kind}_{f.name}" for f in fields)]].astype(object).itertuples(index=False, name=None)])
-        yield from self._settle(key, timerValues)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        subs, poses = [], []
+        names = {k: [*KEY, "t_us", *(f"{k}_{f.name}" for f in fields)] for k, fields in (("s", self.sub), ("p", self.pose))}
+        for row in rows:
+            (subs if row["kind"] == "s" else poses).append(tuple(row[n] for n in names[row["kind"]]))
+        yield from self._settle(timerValues, subs, poses)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._settle(key, timerValues)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._settle(timerValues, [], [])
 
-    def _settle(self, key, timers) -> Iterator[pd.DataFrame]:
+    def _settle(self, timers, subs: list[tuple], poses: list[tuple]) -> Iterator[Row]:
         seen = timers.getCurrentWatermarkInMs() * 1000  # whatever comes from now on is later than this
-        subs, poses = [tuple(s) for s in self.subs.get()], [tuple(p) for p in self.poses.get()]
-        out, open_, due = [], [], []
+        subs += [tuple(s) for s in self.subs.get()]
+        poses += [tuple(p) for p in self.poses.get()]
+        of: dict[tuple, list[tuple]] = {}
+        for p in poses:
+            if None not in p[:2]:
+                of.setdefault(p[:2], []).append(p)
+        open_, due = [], []
         for s in subs:
-            near = [p for p in poses if abs(p[0] - s[0]) <= self.wait]
-            best = min(near, key=lambda p: (p[0], tuple((v is not None, v) for v in p[1:]))) if near else None
-            sure = best[0] if best else s[0] + self.wait
+            near = [p for p in of.get(s[:2], ()) if abs(p[2] - s[2]) <= self.wait]
+            best = min(near, key=lambda p: (p[2], tuple((v is not None, v) for v in p[3:]))) if near else None
+            sure = best[2] if best else s[2] + self.wait
             if sure <= seen:
-                out.append([*key, s[0], *s[1:], *(best or [None] * (len(self.pose) + 1))])
+                yield self.made(*s, *(best[2:] if best else [None] * (len(self.pose) + 1)))
             else:
                 open_.append(s)
                 due.append(sure)
-        kept = [p for p in poses if p[0] + self.wait > seen]
-        due += [p[0] + self.wait for p in kept]
-        for state, was, now in ((self.subs, subs, open_), (self.poses, poses, kept)):
-            if len(now) != len(was):
-                if now:
-                    state.put(now)
-                else:
-                    state.clear()
+        kept = [p for p in poses if p[2] + self.wait > seen]
+        due += [p[2] + self.wait for p in kept]
+        for state, now in ((self.subs, open_), (self.poses, kept)):
+            if now:
+                state.put(now)
+            else:
+                state.clear()
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
         if due:
             self.handle.registerTimer(-(-min(due) // 1000))
-        if out:
-            names = [*KEY, "t_us", *(f.name for f in self.sub), "pose_t", *(f.name for f in self.pose)]
-            yield pd.DataFrame(out, columns=names).astype(object)
 
     def close(self) -> None:
         pass
@@ -98,17 +99,18 @@ class _Attach(StatefulProcessor):
 def attach_poses_stream(submaps: DataFrame, poses: DataFrame, wait_us: int, delay: str) -> DataFrame:
     """The same over two streams; rows are at most `delay` out of order.
 
-    State is a key's waiting rows, from the arrival of a row until the watermark is past its stamp plus the wait.
+    State is the waiting rows, from the arrival of a row until the watermark is past its stamp plus the wait. Keys have few
+    rows each and are many, so they are kept and settled by groups of keys.
     """
     sub, pose = _plain(submaps, [*KEY, "t_us"]), _plain(poses, [*KEY, "t_us"])
 
     def side(df: DataFrame, kind: str) -> DataFrame:
         null = lambda f: F.lit(None).cast(f.dataType)
         cols = [(F.col(f.name) if kind == k else null(f)).alias(f"{k}_{f.name}") for k, fields in (("s", sub), ("p", pose)) for f in fields]
-        return df.select(*KEY, "t_us", F.lit(kind).alias("kind"), F.timestamp_micros("t_us").alias("ts"), *cols).withWatermark("ts", delay)
+        return df.select(slot(*KEY).alias("slot"), *KEY, "t_us", F.lit(kind).alias("kind"), F.timestamp_micros("t_us").alias("ts"), *cols).withWatermark("ts", delay)
 
     both = side(submaps, "s").unionByName(side(poses, "p"))
     long = T.LongType()
     keys = [submaps.schema[k] for k in KEY]
     schema = T.StructType([*keys, T.StructField("t_us", long), *sub, T.StructField("pose_t", long), *pose])
-    return both.groupBy(*KEY).transformWithStateInPandas(_Attach(wait_us, sub, pose), schema, "Append", "EventTime")
+    return both.groupBy("slot").transformWithState(_Attach(wait_us, keys, sub, pose), schema, "Append", "EventTime")

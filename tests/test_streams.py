@@ -282,3 +282,24 @@ def test_short_sessions_are_solved_whole_and_as_by_segments(spark, monkeypatch):
         assert got.keys() == parts.keys() and len(got) == 53
         for k, v in got.items():
             np.testing.assert_allclose(v, parts[k], atol=1e-6)
+
+
+def test_streams_of_small_keys_in_batches_of_several_files(spark, monkeypatch):
+    monkeypatch.setattr(fold, "FILE_ROWS", 60)
+    big = (1 << 60) + 1
+    subs = [(k % 7 if k % 5 else None, k, 1000 * S + k * S, big + k) for k in range(200)]
+    poses = [(s, k, t + 3 * S, big + 3 * k) for s, k, t, _ in subs if k % 3]
+    a, b = "session long, submap long, t_us long, cloud long", "session long, submap long, t_us long, mark long"
+    want = {(s, k, t, c, *((t + 3 * S, big + 3 * k) if k % 3 and s is not None else (None, None))) for s, k, t, c in subs}
+    ends = [(-1, -1, 9000 * S, 0)]
+    batch = lambda rows: [(*r, 9 if r[0] == -1 else 2 if r[1] == 199 else r[1] // 150) for r in [*rows, *ends]]
+    home, left = fold.staged(spark.createDataFrame(batch(subs), a + ", arrival long").repartition(8), "arrival")
+    _, right = fold.staged(spark.createDataFrame(batch(poses), b + ", arrival long"), "arrival")
+    assert len(spark.read.parquet(home).inputFiles()) == 4 * 3  # four micro-batches of three files, some of them without rows
+    got = fold.run_available(assembly.attach_poses_stream(left, right, 20 * S, "300 seconds"))
+    assert {tuple(r) for r in got.collect() if r.session != -1} == want  # null ids meet nothing, long values stay whole
+    rows = [(k % 40, 1000 * S + k * S, k, -(k % 3) - 1 if k % 2 else k // 2, 0.4 + k % 7 / 10, k % 50, 100.0, k % 4) for k in range(200)]
+    flat = lambda r: (r.session, r.t_us, r.frame, r.target, r.verdict, tuple(map(tuple, r.added)), r.stands, r.state)
+    late = spark.createDataFrame([(*r[:4], *map(float, r[4:]), r[2] // 70) for r in rows] + [(99, 9000 * S, 0, 0, 0.0, 0.0, 0.0, 0.0, 9)], LOOPS + ", arrival long")
+    closed = fold.run_available(loop_streams.close_loops_stream(fold.staged(late, "arrival")[1], "90 seconds", True)).filter("session < 90")
+    assert sorted(map(flat, closed.collect())) == sorted(map(flat, loops.close_loops(late.drop("arrival").filter("session < 90"), True).collect()))
