@@ -7,6 +7,7 @@ gravity as two angles about axes across it. Measurement rows are summed by the e
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -16,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointframe.functions import geom as g
-from pointframe.streaming.fold import fold_sorted
 
 SLOTS = {"pos": slice(0, 3), "rot": slice(3, 6), "mount_rot": slice(6, 9), "mount_pos": slice(9, 12), "vel": slice(12, 15), "gyro_bias": slice(15, 18), "acc_bias": slice(18, 21), "grav": slice(21, 23)}
 SIZE = 23
@@ -144,24 +144,102 @@ def predict(x: State, p: np.ndarray, gyro: np.ndarray, acc: np.ndarray, dt: floa
 STATES = "session long, t_us long, pos array<double>, rot array<double>, vel array<double>, variance array<double>"
 
 
+def _exp_all(v: np.ndarray) -> np.ndarray:
+    """exp_so3 of many vectors."""
+    a, k = np.linalg.norm(v, axis=1)[:, None, None], _hat_all(v)
+    small = a < 1e-8
+    b = np.where(small, 1.0, a)
+    return np.eye(3) + np.where(small, 1.0, np.sin(b) / b) * k + np.where(small, 0.5, (1 - np.cos(b)) / b**2) * (k @ k)
+
+
+def _right_jacobian_all(v: np.ndarray) -> np.ndarray:
+    a, k = np.linalg.norm(v, axis=1)[:, None, None], _hat_all(v)
+    small = a < 1e-6
+    b = np.where(small, 1.0, a)
+    return np.eye(3) - np.where(small, 0.5, (1 - np.cos(b)) / b**2) * k + np.where(small, 1 / 6, (b - np.sin(b)) / b**3) * (k @ k)
+
+
+def _hat_all(v: np.ndarray) -> np.ndarray:
+    x, y, z = v.T
+    o = np.zeros(len(v))
+    return np.stack([o, -z, y, z, o, -x, -y, x, o], 1).reshape(-1, 3, 3)
+
+
+def predict_runs(x: State, pos: np.ndarray, rot: np.ndarray, vel: np.ndarray, p: np.ndarray, run: np.ndarray, gyro: np.ndarray, acc: np.ndarray, dt: np.ndarray, noise: np.ndarray = NOISE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """predict() along many runs side by side: (positions, attitudes, velocities, variances) after each row.
+
+    pos, rot, vel and p (a covariance each) hold the states before and, when it returns, after the runs; rows are those of
+    run 0 in order, then of run 1, and so on; `run` is a row's run. What predict() leaves as it is is taken from x.
+    """
+    n, turn, rate = len(run), (gyro - x.gyro_bias) * dt[:, None], acc - x.acc_bias
+    spin, back, right = _exp_all(turn), _exp_all(-turn), _right_jacobian_all(turn)
+    at = np.arange(n) - np.searchsorted(run, run)  # a row's place in its run
+    steps = [order[lo:hi] for order in [np.argsort(at, kind="stable")] for lo, hi in itertools.pairwise(np.searchsorted(at[order], np.arange(at.max(initial=-1) + 2)))]
+    before, out_pos, out_rot, out_vel, var = np.empty((n, 3, 3)), np.empty((n, 3)), np.empty((n, 3, 3)), np.empty((n, 3)), np.empty((n, SIZE))
+    for k in steps:
+        r, t = run[k], dt[k, None]
+        before[k] = rot[r]
+        pos[r], vel[r], rot[r] = pos[r] + vel[r] * t, vel[r] + ((rot[r] @ rate[k, :, None])[..., 0] + x.grav) * t, rot[r] @ spin[k]
+        out_pos[k], out_rot[k], out_vel[k] = pos[r], rot[r], vel[r]
+    # The step of the error is the identity but for these blocks, as in predict().
+    s, t = SLOTS, dt[:, None, None]
+    skew, fixed = -before @ _hat_all(rate) * t, -hat(x.grav) @ across(x.grav)
+    for k in steps:
+        step = np.tile(np.eye(SIZE), (len(k), 1, 1))
+        step[:, s["pos"], s["vel"]] = np.eye(3) * t[k]
+        step[:, s["rot"], s["rot"]], step[:, s["rot"], s["gyro_bias"]] = back[k], -right[k] * t[k]
+        step[:, s["vel"], s["rot"]], step[:, s["vel"], s["acc_bias"]], step[:, s["vel"], s["grav"]] = skew[k], -before[k] * t[k], fixed * t[k]
+        now = step @ p[run[k]] @ step.transpose(0, 2, 1)
+        sq = dt[k, None, None] ** 2
+        now[:, s["rot"], s["rot"]] += sq * (right[k] * noise[0:3]) @ right[k].transpose(0, 2, 1)
+        now[:, s["vel"], s["vel"]] += sq * (before[k] * noise[3:6]) @ before[k].transpose(0, 2, 1)
+        now[:, s["gyro_bias"], s["gyro_bias"]] += sq * np.diag(noise[6:9])
+        now[:, s["acc_bias"], s["acc_bias"]] += sq * np.diag(noise[9:12])
+        p[run[k]] = now
+        var[k] = np.diagonal(now, axis1=1, axis2=2)
+    return out_pos, out_rot, out_vel, var
+
+
+IMU = ["gx", "gy", "gz", "ax", "ay", "az"]
+
+
 def propagate_states(imu: DataFrame, start: State | None = None, variance: float = 1e-4) -> DataFrame:
     """States of each session along its inertial samples (t_us, gx..gz, ax..az), by midpoint readings, with the diagonal of the covariance.
 
     A session is a sequential recurrence; sessions run apart. Its first row is the start; a session of one sample has one row.
+    A task reads its sessions in batches of sorted rows and takes those of a batch side by side; the last one's state is
+    carried to the next batch, so a long session takes time but no memory.
     """
     x0 = start or State()
 
-    def step(now: dict, row: tuple) -> tuple:
-        session, t, u = row[0], row[1], np.array(row[2:8], dtype=float)
-        if "t" in now:
-            mid = (now["u"] + u) / 2
-            now["x"], now["p"] = predict(now["x"], now["p"], mid[:3], mid[3:], (t - now["t"]) / 1e6)
-        now["t"], now["u"] = t, u
-        x = now["x"]
-        return session, t, x.pos.tolist(), x.rot.reshape(-1).tolist(), x.vel.tolist(), np.diag(now["p"]).tolist()
-
-    rows = imu.select("session", "t_us", "gx", "gy", "gz", "ax", "ay", "az")
-    return fold_sorted(rows, "session", ["t_us"], lambda _: {"x": x0, "p": variance * np.eye(SIZE)}, step, STATES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # session, time, readings, and the state after them
+        for b in batches:
+            if not b.num_rows:
+                continue
+            session, t = b.column("session"), b.column("t_us").to_numpy()
+            u = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in IMU], 1).astype(float)
+            key = session.fill_null(0).to_numpy(), session.is_null().to_numpy(zero_copy_only=False)
+            first = np.ones(len(t), bool)
+            first[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])
+            of, m = np.cumsum(first) - 1, int(first.sum())
+            pos, rot, vel, p = (np.tile(v, (m,) + (1,) * v.ndim).astype(float) for v in (x0.pos, x0.rot, x0.vel, variance * np.eye(SIZE)))
+            gone = last is not None and last[0] == (key[0][0], key[1][0])
+            had_t, had_u = np.append(last[1] if gone else 0, t[:-1]), np.concatenate([last[2][None] if gone else u[:1], u[:-1]])
+            if gone:
+                first[0] = False
+                pos[0], rot[0], vel[0], p[0] = last[3]
+            mid, dt = (had_u + u) / 2, (t - had_t) / 1e6
+            made = [pos[of], rot[of], vel[of], np.diagonal(p, axis1=1, axis2=2)[of]]
+            k = np.flatnonzero(~first)
+            for whole, part in zip(made, predict_runs(x0, pos, rot, vel, p, of[k], mid[k, :3], mid[k, 3:], dt[k]), strict=True):
+                whole[k] = part
+            last = (key[0][-1], key[1][-1]), t[-1], u[-1], (pos[-1], rot[-1], vel[-1], p[-1])
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * (v.size // len(t))), pa.array(v.ravel())) for v in made]
+            yield pa.RecordBatch.from_arrays([session, b.column("t_us"), *lists], names=["session", "t_us", "pos", "rot", "vel", "variance"])
+
+    rows = imu.select("session", "t_us", *IMU)
+    return rows.repartition("session").sortWithinPartitions("session", "t_us").mapInArrow(run, STATES)
 
 
 H = [f"h{k}" for k in range(12)]

@@ -428,3 +428,29 @@ def test_index_under_random_inserts_and_deletes(spark):
     assert near == {(k, int(ids[j])) for k in range(30) for j in np.flatnonzero(d2[k] <= 2.25)}
     box = {r.pt_idx for r in spatial.box_search(table, (-2, -2, -2), (2, 2, 2)).collect()}
     assert box == {int(k) for k, x in zip(ids, p, strict=True) if (x >= -2).all() and (x < 2).all()}
+
+
+def test_states_of_many_sessions_are_predicted_side_by_side(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    start = estimation.State(vel=np.array([1.0, 2, 3]), gyro_bias=np.array([0.1, -0.2, 0.3]), acc_bias=np.array([0.3, 0.1, 0.2]), rot=estimation.exp_so3(np.array([0.4, 0.2, 1.0])))
+    lengths = {0: 1, 1: 2, 2: 300, 3: 40, **{k: 3 for k in range(4, 30)}}
+    rows = [(s, int(1000 * k * (s + 1)), *map(float, rng.normal(size=6) * (k % 5 > 0))) for s, n in lengths.items() for k in range(n)]
+    want = {}
+    for s in lengths:
+        x, p, was = start, 1e-4 * np.eye(estimation.SIZE), None
+        for r in (r for r in rows if r[0] == s):
+            u = np.array(r[2:])
+            if was:
+                x, p = estimation.predict(x, p, *np.split((was[1] + u) / 2, 2), (r[1] - was[0]) / 1e6)
+            was = r[1], u
+            want[r[:2]] = np.concatenate([x.pos, x.rot.ravel(), x.vel, np.diag(p)])
+    monkeypatch.setattr(estimation, "predict", None)  # no row is taken alone
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)  # the long session goes over several batches
+    try:
+        imu = spark.createDataFrame(rows, "session long, t_us long, gx double, gy double, gz double, ax double, ay double, az double")
+        got = estimation.propagate_states(imu.repartition(7), start).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) == len(rows)
+    for r in got:
+        np.testing.assert_allclose([*r.pos, *r.rot, *r.vel, *r.variance], want[r.session, r.t_us], rtol=1e-9, atol=1e-12)
