@@ -23,6 +23,8 @@ CHAIN = 2
 THRESHOLD = 0.8
 COMMON_ROWS, LEAST_COMMON = 200_000, 20  # signatures that are told to be common, at most; sets that hold one, at least
 RANGES = 4
+WORDS = 8  # of 64 bits, in the marks of a set; a power of two
+GROUP = ["kind", "g", "part"]
 
 #: Common words of a few languages, which serve as anchors.
 ANCHORS = (
@@ -111,15 +113,51 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", deriv
     return out.filter(~F.col(ghost)).drop(ghost)
 
 
+def marks() -> dict[str, Column]:
+    """The parity of how many signatures of `sigs` fall on each of 64 x WORDS bits.
+
+    The marks of two sets differ on no more bits than signatures are in one of them only, so marks too far apart rule a likeness out.
+    """
+    word = "aggregate(sigs, 0L, (a, s) -> a ^ if((shiftrightunsigned(s, 6) & {}) = {}, shiftleft(1L, cast(s & 63 AS int)), 0L))"
+    return {f"m{k}": F.expr(word.format(WORDS - 1, k)) for k in range(WORDS)}
+
+
+def _sides(rows: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What a group holds and what it streams by, with the columns named x_ and y_."""
+    side = lambda other, p: rows.filter(F.col("side") != other).select(*GROUP, *(F.col(c).alias(p + c) for c in ("node", "label", "size", *cols)))
+    return side(STREAMED, "x_"), side(INDEXED, "y_")
+
+
+def _sized(least: float) -> Column:
+    return (F.col("x_label") != F.col("y_label")) & (F.least("x_size", "y_size") >= F.lit(least) * F.greatest("x_size", "y_size"))
+
+
+def near_members(rows: DataFrame, least: float) -> DataFrame:
+    """The rows (kind, g, part, side, node, label, size, marks) that may be alike to one of the other side of their group.
+
+    Of each side a row stays, as held or streamed, if it has a partner; no pair leaves its task.
+    """
+    apart = sum((F.bit_count(F.col(f"x_m{k}").bitwiseXOR(F.col(f"y_m{k}"))) for k in range(WORDS)), F.lit(0))
+    # Sets of likeness t and sizes n and m differ by (n + m) (1 - t) / (1 + t) signatures at most.
+    may = _sized(least) & (apart <= (F.col("x_size") + F.col("y_size")) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6))
+    held, passed = _sides(rows, [f"m{k}" for k in range(WORDS)])
+    out = []
+    for one, other, p, side in ((held, passed, "x_", INDEXED), (passed, held, "y_", STREAMED)):
+        kept = one.join(other, [*(one[c] == other[c] for c in GROUP), may], "left_semi")
+        out.append(kept.select(*GROUP, F.lit(side).alias("side"), *(F.col(p + c).alias(c) for c in ("node", "label", "size"))))
+    return out[0].unionByName(out[1])
+
+
 def _linked(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b): the labels that members of a group join by that likeness; each side of a group meets the other in a join that keeps links only."""
-    rows = groups.join(sets, "node").select("kind", "g", "part", "side", "node", "label", "sigs")
-    held = rows.filter(F.col("side") != STREAMED).select("kind", "g", "part", F.col("node").alias("x"), F.col("label").alias("a"), F.col("sigs").alias("sa"))
-    passed = rows.filter(F.col("side") != INDEXED).select("kind", "g", "part", F.col("node").alias("y"), F.col("label").alias("b"), F.col("sigs").alias("sb"))
-    small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    alike = (F.col("a") != F.col("b")) & (small >= F.lit(least) * large) & (likeness(F.col("sa"), F.col("sb")) >= least)
-    on = [held[c] == passed[c] for c in ("kind", "g", "part")]
-    return held.join(passed, [*on, alike]).select("a", "b").distinct()
+    """(a, b): the labels that members of a group join by that likeness; each side of a group meets the other in a join that keeps links only.
+
+    Marks go to the groups first, and the signatures only of members that may have a partner by them.
+    """
+    rows = cut(groups.join(sets.drop("sigs"), "node"))
+    held, passed = _sides(cut(near_members(rows, least)).join(sets.select("node", "sigs"), "node"), ["sigs"])
+    alike = _sized(least) & (likeness(F.col("x_sigs"), F.col("y_sigs")) >= least)
+    on = [held[c] == passed[c] for c in GROUP]
+    return held.join(passed, [*on, alike]).select(F.col("x_label").alias("a"), F.col("y_label").alias("b")).distinct()
 
 
 def rarest_first(sets: DataFrame) -> DataFrame:
@@ -145,13 +183,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     without words) is alike to its kind only.
     """
     rows = cut(docs.select(F.col(id_col).alias("id"), F.array_sort(signatures(F.col(text_col))).alias("sigs")).withColumn("node", F.xxhash64("sigs")))
-    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("sigs").alias("sigs")).withColumn("size", F.size("sigs")))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("sigs").alias("sigs")).withColumns({"size": F.size("sigs"), **marks()}))
     some = nodes.filter("size > 0")
     part = F.floor(F.log(F.col("size")) / F.lit(math.log(1 / least)) + 1e-9).cast("int")
     prefix = F.slice("sigs", F.lit(1), F.greatest(F.lit(1), F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9).cast("int") + 1))
-    spread = rarest_first(some).select("node", "size", part.alias("p"), F.explode(prefix).alias("sig")).select("node", "size", "sig", F.explode(F.array(F.col("p"), F.col("p") + 1)).alias("q"))
+    first = cut(rarest_first(some).select("node", "size", part.alias("p"), prefix.alias("sigs")))  # the buckets are made of it twice
+    spread = first.select("node", "size", "p", F.explode("sigs").alias("sig")).select("node", "size", "sig", F.explode(F.array(F.col("p"), F.col("p") + 1)).alias("q"))
     spread = spread.select(F.xxhash64("sig", "q").alias("bucket"), "node", "size").distinct()
-    label = cut(link_buckets(spread, some.count(), lambda members: some.select("node", "sigs").join(members.select("node").distinct(), "node", "left_semi"), _linked, least))
+    label = cut(link_buckets(spread, some.count(), lambda members: some.drop("rep"), _linked, least))
     reps = cut(label.join(nodes.select("node", "rep"), "node"))
     named = lookup(reps, reps.groupBy("label").agg(F.min("rep").alias("class_id")), "label", "node").select("node", "class_id")
     classes = nodes.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"))

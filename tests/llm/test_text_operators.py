@@ -879,3 +879,16 @@ def test_whole_numbers(spark):
     v, d = vectors.whole_vectors(rows)
     got = [(r.vec_id, r.x) for r in v.collect()]
     assert d == 2 and len(got) == 7 and (300, [-1, 192]) in got and (7, [0, 0]) in got and v.columns == ["vec_id", "x"]
+
+
+def test_marks_rule_out_what_is_not_alike_and_nothing_else(spark):
+    rng = random.Random(8)
+    sets = [[rng.getrandbits(63) for _ in range(n)] for n in (1, 3, 20, 200, 200, 200, 215) for _ in range(8)]
+    sets += [s[: len(s) - len(s) // 9] + [rng.getrandbits(63) for _ in range(len(s) // 9 - len(s) // 90)] for s in sets if len(s) > 9]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "node long, sigs array<long>").withColumns({"size": F.size("sigs"), **spots.marks()})
+    groups = df.select(F.lit(2).alias("kind"), F.lit(7).cast("long").alias("g"), F.lit(0).alias("part"), F.lit(1).alias("side"), "node", F.col("node").alias("label"))
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and like(a, b) >= 0.8}
+    stay = spots.near_members(groups.join(df.drop("sigs"), "node"), 0.8).select("node").distinct()
+    assert want and {r.node for r in stay.collect()} == {i for i, _ in want}  # of 88 sets in one bucket only those with a partner are sent
+    assert {(r.a, r.b) for r in spots._linked(groups, df, 0.8).collect()} == want
