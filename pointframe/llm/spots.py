@@ -23,7 +23,7 @@ CHAIN = 2
 THRESHOLD = 0.8
 COMMON_ROWS, LEAST_COMMON = 200_000, 20  # signatures that are told to be common, at most; sets that hold one, at least
 RANGES = 4
-WORDS = 8  # of 64 bits, in the marks of a set; a power of two
+WORDS = 32  # of 64 bits, in the marks of a set; a power of two
 GROUP = ["kind", "g", "part"]
 
 #: Common words of a few languages, which serve as anchors.
