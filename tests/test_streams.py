@@ -303,3 +303,51 @@ def test_streams_of_small_keys_in_batches_of_several_files(spark, monkeypatch):
     late = spark.createDataFrame([(*r[:4], *map(float, r[4:]), r[2] // 70) for r in rows] + [(99, 9000 * S, 0, 0, 0.0, 0.0, 0.0, 0.0, 9)], LOOPS + ", arrival long")
     closed = fold.run_available(loop_streams.close_loops_stream(fold.staged(late, "arrival")[1], "90 seconds", True)).filter("session < 90")
     assert sorted(map(flat, closed.collect())) == sorted(map(flat, loops.close_loops(late.drop("arrival").filter("session < 90"), True).collect()))
+
+
+def _rings(rng, sizes):
+    """Sessions of one ring each, whose poses have drift: (starts, rot, pos, factors), the first frames as they should be."""
+    starts, rots, poss, rows = np.append(0, np.cumsum(sizes)), [], [], []
+    for lo, n in zip(starts, sizes, strict=False):
+        rot, pos, k = pose_graph.exp_all(rng.normal(size=(n, 3))), 5 * rng.normal(size=(n, 3)), np.arange(n)[:, None]
+        for a, b in [(x, (x + 1) % n) for x in range(n if n > 2 else n - 1)]:
+            off = 0.01 * rng.normal(size=(1, 3))
+            rows.append((lo + a, lo + b, 0, rot[a].T @ rot[b] @ pose_graph.exp_all(off)[0], rot[a].T @ (pos[b] - pos[a]) + off[0], 1.0 + a % 3))
+        rots.append(rot @ pose_graph.exp_all(0.002 * k * np.array([[1.0, -1, 2]])))
+        poss.append(pos + 0.02 * k)
+    return starts, np.concatenate(rots), np.concatenate(poss), [np.array(x) for x in zip(*rows, strict=True)]
+
+
+def test_sessions_side_by_side_need_no_dense_systems(monkeypatch):
+    starts, rot, pos, f = _rings(np.random.default_rng(7), [120, 1, 2, 90, 3, 120])
+    sides, solve = [], np.linalg.solve
+    with monkeypatch.context() as m:
+        m.setattr(np.linalg, "solve", lambda a, b: sides.append(a.shape[-1]) or solve(a, b))
+        got = pose_graph.Sessions(starts, rot.copy(), pos.copy(), *f)
+        got.solve(10)
+    assert max(sides) <= 6 * 8  # a ring of 120 frames has 720 unknowns, and spans two places of a good order
+    for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+        own = (f[0] >= lo) & (f[0] < hi)
+        np.testing.assert_array_less(np.abs(got.pos[lo] - pos[lo]).max(), 1e-12)  # the first frame stays
+        if own.any():
+            want = _dense(rot[lo:hi], pos[lo:hi], [x[own] - lo if k < 2 else x[own] for k, x in enumerate(f)])
+            np.testing.assert_allclose(got.pos[lo:hi], want[1], atol=1e-6)
+            np.testing.assert_allclose(got.rot[lo:hi], want[0], atol=1e-6)
+
+
+def test_sessions_of_rows_over_many_batches(spark, monkeypatch):
+    starts, rot, pos, f = _rings(np.random.default_rng(8), [40, 3, 25, 1, 30])
+    of = lambda x: int(np.searchsorted(starts, x, "right")) - 1
+    poses = [(of(k), int(k - starts[of(k)]), rot[k].ravel().tolist(), pos[k].tolist()) for k in range(len(rot))]
+    factors = [(of(a), int(a - starts[of(a)]), int(b - starts[of(a)]), int(k), r.ravel().tolist(), t.tolist(), float(w)) for a, b, k, r, t, w in zip(*f, strict=True)]
+    p = spark.createDataFrame(poses, "session long, frame long, rotation array<double>, position array<double>")
+    solve = lambda: {(r.session, r.frame): r.position for r in pose_graph.solve_graphs(p, spark.createDataFrame(factors, pose_graph.FACTOR)).collect()}
+    whole = solve()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        parts = solve()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert parts.keys() == whole.keys() and len(parts) == 99
+    for k, v in parts.items():
+        np.testing.assert_allclose(v, whole[k], atol=1e-9)
