@@ -351,3 +351,17 @@ def test_sessions_of_rows_over_many_batches(spark, monkeypatch):
     assert parts.keys() == whole.keys() and len(parts) == 99
     for k, v in parts.items():
         np.testing.assert_allclose(v, whole[k], atol=1e-9)
+
+
+def test_planes_of_frames_are_neither_shuffled_nor_written(spark, sf_dir):
+    import os
+
+    from pointframe import plans
+
+    home = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, x)) for d, _, names in os.walk(home) for x in names)
+    had = size()
+    got = plans.QUERIES["fac10_plane_adjustment"](spark, sf_dir)
+    assert size() - had < 100_000  # eight planes a frame are more than a megabyte
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("RepartitionByExpression") == 1
